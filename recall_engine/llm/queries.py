@@ -30,7 +30,25 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op4_line_dedup)}
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm.sentencepiece_codec import encode_tokens
+
+    return encode_tokens(table(spark, sf_dir, "documents"), outputs=False)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op4_line_dedup, op5_sentencepiece, op6_packing, op8_token_counts)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
