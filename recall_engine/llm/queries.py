@@ -23,6 +23,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup_lower(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm import language_id as lid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lid.train(docs.filter(~lid.held_out()), order=F.xxhash64("doc_id"))
+    return lid.identify(docs, model, keep=("doc_id",), spans=False).select("doc_id", lid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recall_engine.llm.line_dedup import line_dedup
 
@@ -42,13 +50,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recall_engine.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op4_line_dedup, op5_sentencepiece, op6_packing, op8_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_exact_dedup,
+        op3_language_id,
+        op4_line_dedup,
+        op5_sentencepiece,
+        op6_packing,
+        op7_html_extraction,
+        op8_token_counts,
+    )
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
