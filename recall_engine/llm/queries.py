@@ -62,6 +62,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm.vp_tree import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 20 = 0"), k=20, factor=1.0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +80,7 @@ QUERIES = {
         op6_packing,
         op7_html_extraction,
         op8_token_counts,
+        op9_nearest_neighbours,
     )
 }
 
@@ -106,4 +114,14 @@ f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >=
 g AS (SELECT k.r, count(f.key) AS n_dropped, string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (f.key IS NULL) AS kept FROM k LEFT JOIN f USING (key) GROUP BY k.r)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d JOIN g USING (r)""",
+    "op9_nearest_neighbours": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
 }
