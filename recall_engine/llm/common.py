@@ -32,11 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that all executors share. A folder of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's, or one of our own only where none is set."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "recall_engine_checkpoints"))
+    return named or sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, without the plan that made them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

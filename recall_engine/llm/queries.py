@@ -69,6 +69,12 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.filter("vec_id % 20 = 0"), k=20, factor=1.0)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +87,7 @@ QUERIES = {
         op7_html_extraction,
         op8_token_counts,
         op9_nearest_neighbours,
+        op10_ngram_jaccard_join,
     )
 }
 
