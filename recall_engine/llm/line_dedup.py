@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from recall_engine.llm.common import BLANKS, ascii_lower
 
+#: The end of a run that reaches to the last line; parts that the rows of one key are dealt to (a power of two).
+OPEN, SALTS = (1 << 31) - 2, 8
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -32,10 +36,9 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
 
 
 def line_entries(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """Every line that has a key: _h1, _h2, _id, _th, _pos, and its document's number of lines in _n."""
-    split = docs.select(*_identity(id_col, text_col), lines_of(F.col(text_col)).alias("_lines"))
-    keys = split.select("_id", "_th", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_pos", "_line")).withColumn("_key", line_key(F.col("_line")))
-    hashed = keys.filter(F.char_length("_key") >= min_chars).select(F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("_h2"), "_id", "_th", "_pos", "_n")
+    """Every line that has a key: _h1, _h2, _id, _th, _pos."""
+    keys = docs.select(*_identity(id_col, text_col), F.posexplode(lines_of(F.col(text_col))).alias("_pos", "_line")).withColumn("_key", line_key(F.col("_line")))
+    hashed = keys.filter(F.char_length("_key") >= min_chars).select(F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("_h2"), "_id", "_th", "_pos")
     return hashed.repartitionByRange("_h1", "_h2", "_id", "_th")
 
 
@@ -49,17 +52,19 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     within = Window.partitionBy("_h1", "_h2", "_id", "_th").orderBy("_pos")
     firsts = entries.withColumn("_rn", F.row_number().over(within)).filter("_rn = 1")
     frequent = firsts.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_th", "_pos")).alias("_first")).filter(F.col("_docs") >= min_docs)
-    hit = entries.join(frequent.select("_h1", "_h2", *(["_first"] if first_stays else [])), ["_h1", "_h2"])
+    # The rows of a very common key are dealt out by document too; each of the few frequent keys goes along with every part.
+    parts = frequent.select("_h1", "_h2", *(["_first"] if first_stays else []), F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt"))
+    hit = entries.withColumn("_salt", F.xxhash64("_id", "_th").bitwiseAND(F.lit(SALTS - 1))).join(parts, ["_h1", "_h2", "_salt"])
     if first_stays:
         hit = hit.filter(~F.struct("_id", "_th", "_pos").eqNullSafe(F.col("_first")))
-    gone = hit.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"), F.max("_n").alias("_n"))
-    return gone.select("_id", "_th", F.size("_gone").alias("_dropped"), _runs(F.col("_gone"), F.col("_n")).alias("_runs"))
+    gone = hit.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
+    return gone.select("_id", "_th", F.size("_gone").alias("_dropped"), _runs(F.col("_gone")).alias("_runs"))
 
 
-def _runs(gone: Column, n: Column) -> Column:
-    """The runs between dropped positions, as start and length."""
+def _runs(gone: Column) -> Column:
+    """The runs between dropped positions, as start and length; the last one is open to the end."""
     from_ = F.concat(F.array(F.lit(-1)), gone)
-    to = F.concat(gone, F.array(n))
+    to = F.concat(gone, F.array(F.lit(OPEN)))
     return F.filter(F.zip_with(from_, to, lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("length"))), lambda r: r["length"] > 0)
 
 
