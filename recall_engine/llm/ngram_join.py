@@ -7,10 +7,11 @@ for copies, which share one node.
 1. One scan gives each document's set size and set digest, and a count table of shingles (fixed size, summed over all
    documents by way of the shuffle). Rare shingles, by this table, come first in one global order.
 2. A second scan sends, for each distinct set, its first n - ceil(t n) + 1 shingles in that order: two sets that link
-   share one of them. They travel as packed arrays to buckets by shingle; a bucket returns which sets met, as a forest.
-   The connected components of what met are the candidate groups.
-3. The texts of each candidate group come together once. Shingles are hashed into GROUPS groups; the counts of a set are a
-   point, and an R-tree over the points bounds the overlap of a set with all sets below a node by the sum of the
+   share one of them. They travel as packed arrays to buckets by shingle. Shingles that only one prefix has bound the
+   size that a partner can have; the connected components of the sets that share a shingle and may link by size are
+   the candidate groups.
+3. The texts of each candidate group come together once. Shingles are hashed into 64 to 1024 groups; the counts of a set are
+   a point, and an R-tree over the points bounds the overlap of a set with all sets below a node by the sum of the
    coordinate minima. Pairs that survive are verified on the shingle sets, unless links found before join them already.
 4. Candidate groups of more than LARGE sets are first held against one of their sets, row by row and without gathering
    them: what links to it is settled, and by the triangle inequality only the sets that don't link, and the linked ones
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 
 from recall_engine.llm.common import checkpointed
 
-GROUPS, LARGE = 64, 8192
+LARGE = 8192
 #: Counters of the count table, and how many travel in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 10
 #: Parts that the rows of one key are dealt to (a power of two).
@@ -175,9 +176,9 @@ def join_group(sets: list[np.ndarray], joined: np.ndarray | None = None, num: in
     """The components of the links among sets: for each its component, as a place. joined: sets known to be in one."""
     k = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    hashes = np.concatenate(sets)
-    key = np.repeat(np.arange(k), sizes) * GROUPS + (_mix(hashes) >> _U(58)).astype(np.int64)
-    counts = np.bincount(key, minlength=k * GROUPS).reshape(k, GROUPS).astype(np.int32)
+    bits = min(10, max(6, int(np.median(sizes)).bit_length() - 3))  # an eighth of the usual size, 64 to 1024
+    key = np.repeat(np.arange(k), sizes) << bits | (_mix(np.concatenate(sets)) >> _U(64 - bits)).astype(np.int64)
+    counts = np.bincount(key, minlength=k << bits).reshape(k, -1).astype(np.int32)
     tree = CountTree(counts, sizes)
     group = np.arange(k)
     if joined is not None and joined.any():
@@ -244,24 +245,50 @@ def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
     return s[np.lexsort((s, rare))[:keep]]
 
 
+_ENTRY = (("_h", np.uint32), ("_d", np.int64), ("_n", np.uint32), ("_u", np.uint32))
+
+
+def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray, name: str, **fixed: int) -> pa.RecordBatch:
+    """Rows of a bucket and its entries, each column packed into one value."""
+    order = np.argsort(bucket, kind="stable")
+    ids, at = np.unique(bucket[order], return_index=True)
+    spans = list(zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True))
+    cols = {name: pa.array(ids, pa.int64())} | {k: pa.array([v] * len(ids), pa.int64()) for k, v in fixed.items()}
+    for k, v in columns.items():
+        own = v[order]
+        cols[k] = pa.array([own[i:j].tobytes() for i, j in spans], pa.binary())
+    return pa.RecordBatch.from_pydict(cols)
+
+
+def _unpacked(t: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
+    kinds = dict(_ENTRY)
+    return [np.concatenate([np.frombuffer(x, kinds[n]) for x in t[n].to_pylist()]) for n in names]
+
+
 def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int, width: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of digests: a forest over the sets that share a shingle of their prefixes."""
+    """Pairs (a, b) of digests: a forest over the sets that share a shingle of their prefixes and may link.
+
+    Entries of shingle, set and set size go to buckets by shingle. Those that met another set there go on to buckets by
+    set, where each set learns how many of its prefix's shingles no other prefix has, and back. Of two sets, let x be the
+    one whose prefix ends first in the common order: what only x's prefix has can't be in the other set at all, so
+    with u such shingles the other's size is at most (num + den) (n - u) / num - n, and that leaves few.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers of four bytes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         owner: list[np.ndarray] = []
+        size: list[np.ndarray] = []
         known: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            h, d = np.concatenate(held), np.concatenate(owner)
+            h = np.concatenate(held)
             bucket = ((h >> _U(32)) % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, d = h[order].astype(np.uint32), d[order]
-            ids, at = np.unique(bucket[order], return_index=True)
-            at = np.append(at, len(h))
-            spans = list(zip(at[:-1], at[1:], strict=True))
-            return pa.RecordBatch.from_pydict({"_bucket": pa.array(ids, pa.int64()), "_h": pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), "_d": pa.array([d[a:b].tobytes() for a, b in spans], pa.binary())})
+            out = _packed({"_h": h.astype(np.uint32), "_d": np.concatenate(owner), "_n": np.concatenate(size)}, bucket, "_bucket")
+            held.clear()
+            owner.clear()
+            size.clear()
+            return out
 
         for b in batches:
             for _, part in _slices(b.column(0).to_pylist()):
@@ -270,32 +297,62 @@ def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int,
                         known.add(digest)
                         held.append(_mix(prefix(s, shared.value, num, den)))
                         owner.append(np.full(len(held[-1]), digest, np.int64))
+                        size.append(np.full(len(held[-1]), len(s), np.uint32))
                 if sum(map(len, held)) > 2_000_000:
                     yield flush()
-                    held.clear()
-                    owner.clear()
             if len(known) > 1_000_000:
                 known.clear()
         if held:
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, np.uint32) for x in t["_h"].to_pylist()])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in t["_d"].to_pylist()])
+        """Entries whose shingle another set has too, once each."""
+        h, d, n = _unpacked(t, ("_h", "_d", "_n"))
         order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        new = (np.diff(h, prepend=h[:1]) != 0) | (np.diff(d, prepend=d[:1]) != 0)
-        new[:1] = True
-        h, d = h[new], d[new]
-        start = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint32(1)) != 0)
-        head = np.repeat(d[start], np.diff(np.append(start, len(d))))
-        pairs = np.unique(np.stack([d, head], axis=1)[d != head], axis=0)
+        h, d, n = h[order], d[order], n[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        h, d, n = h[new], d[new], n[new]
+        same = h[1:] == h[:-1]
+        met = np.append(same, False) | np.append(False, same)
+        h, d, n = h[met], d[met], n[met]
+        return pa.Table.from_batches([_packed({"_h": h, "_d": d, "_n": n}, (d % buckets).astype(np.int64), "_to", _bucket=t["_bucket"][0].as_py())])
+
+    def tally(t: pa.Table) -> pa.Table:
+        """The same entries with the number of shingles of the set's prefix that none but it has."""
+        h, d, n = _unpacked(t, ("_h", "_d", "_n"))
+        bucket = np.repeat(t["_bucket"].to_numpy(), [len(x) // 4 for x in t["_h"].to_pylist()])
+        _, which, met = np.unique(d, return_inverse=True, return_counts=True)
+        length = n.astype(np.int64)
+        unmet = length + (-(length * num) // den) + 1 - met[which.reshape(-1)]
+        return pa.Table.from_batches([_packed({"_h": h, "_d": d, "_n": n, "_u": np.maximum(unmet, 0).astype(np.uint32)}, bucket, "_bucket")])
+
+    def link(t: pa.Table) -> pa.Table:
+        """A forest over the sets of each shingle, by the sizes that each may link with. Members lie in order of size, so
+        whom a set may link with is a run of them, and joining neighbours in the run joins it all."""
+        h, d, n, u = _unpacked(t, ("_h", "_d", "_n", "_u"))
+        order = np.lexsort((d, n, h))
+        h, d, n, u = h[order], d[order], n[order].astype(np.int64), u[order].astype(np.int64)
+        block = np.cumsum(np.append(0, h[1:] != h[:-1])) << 33
+        least = -(-n * num // den)
+        most = np.maximum(np.minimum(n * den // num, ((num + den) * (n - u)) // num - n), 0)
+        lo, hi = np.searchsorted(block + n, block + least, "left"), np.searchsorted(block + n, block + most, "right")
+        may = hi > lo
+        cover = np.zeros(len(h) + 1, np.int64)
+        np.add.at(cover, lo[may], 1)
+        np.add.at(cover, hi[may] - 1, -1)
+        side = np.flatnonzero(np.cumsum(cover)[: len(h)] > 0)
+        own = np.flatnonzero(may)
+        pairs = np.concatenate([np.stack([d[side], d[side + 1]], axis=1), np.stack([d[own], d[lo[own]]], axis=1)])
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         nodes, ends = np.unique(pairs, return_inverse=True)
         a, b = _forest(len(nodes), ends.reshape(-1, 2))
         return pa.Table.from_pydict({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
 
-    packed = docs.select(F.col(text_col)).mapInArrow(send, "_bucket long, _h binary, _d binary")
-    return packed.groupBy("_bucket").applyInArrow(meet, "a long, b long").distinct()
+    entries = docs.select(F.col(text_col)).mapInArrow(send, "_bucket long, _h binary, _d binary, _n binary")
+    met = entries.groupBy("_bucket").applyInArrow(meet, "_to long, _bucket long, _h binary, _d binary, _n binary")
+    told = met.groupBy("_to").applyInArrow(tally, "_bucket long, _h binary, _d binary, _n binary, _u binary")
+    return told.groupBy("_bucket").applyInArrow(link, "a long, b long").distinct()
 
 
 def _forest(n: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -419,6 +476,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = checkpointed(_resolve(groups.withColumn("linked", F.lit(False)), width, num, den))
         final = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
+        groups = checkpointed(groups)
         large = checkpointed(groups.join(sizes.select("root"), "root", "left_semi").dropDuplicates(["root", "node"]))
         held = checkpointed(_against_head(large, width, num, den))
         # A set that links to the head is at most a quarter from it, one that doesn't is farther; both link only if
