@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import functools
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +29,10 @@ from pyspark.sql import types as T
 
 from recall_engine.llm.common import plain, tokenizer_path
 
-#: The pre-token pattern of the word-end vocabulary, for lower-case texts that ``plain`` admits.
+#: The pre-token pattern of the word-end vocabulary, for lower-case words that ``plain`` admits.
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-
-
-class Pieces(dict):
-    """Token ids of pre-tokens as little-endian bytes; encoded when first met, at most ``most`` are kept."""
-
-    def __init__(self, tokenizer, most: int = 400_000):
-        super().__init__()
-        self.tokenizer, self.most = tokenizer, most
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids
-        return ids
+#: Words, and pre-tokens, that a worker remembers with their ids; those that come later are encoded again in each batch.
+MOST_WORDS = 500_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -55,15 +42,66 @@ def _tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t, Pieces(t)
+    return t, {}, {}
+
+
+def _encode_words(tokenizer, words: list[str]) -> dict[str, bytes]:
+    """The ids of each word as little-endian bytes, from one call: no pre-token reaches over white space."""
+    enc = tokenizer.encode(" ".join(words), add_special_tokens=False)
+    starts = np.cumsum(np.array([0] + [len(w) + 1 for w in words[:-1]], np.int64))
+    owner = np.searchsorted(starts, np.array([o[0] for o in enc.offsets], np.int64), side="right") - 1
+    at = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+    ids = np.array(enc.ids, "<u4").tobytes()
+    return {w: ids[4 * a : 4 * b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
+
+
+def _from_pieces(tokenizer, words: list[str], pieces: dict[str, bytes]) -> dict[str, bytes]:
+    """The ids of words that aren't known, from those of their pre-tokens; new pre-tokens are encoded together."""
+    split = [_PRE.findall(w) for w in words]
+    new = list({p for s in split for p in s if p not in pieces})
+    here = _encode_words(tokenizer, new) if new else {}
+    if len(pieces) < MOST_WORDS:
+        pieces.update(here)
+    return {w: b"".join([pieces[p] if p in pieces else here[p] for p in s]) for w, s in zip(words, split, strict=True)}
+
+
+def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids that the library gives each text. Words of plain texts are looked up, those not yet known by their
+    pre-tokens. Other texts go to the library as a whole."""
+    tokenizer, known, pieces = _tokenizer(path)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    flat: list[str] = []
+    spans: list[tuple[int, int, int]] = []
+    for i, text in enumerate(texts):
+        if plain(text) and "<|" not in text:
+            words = text.lower().split()
+            spans.append((i, len(flat), len(flat) + len(words)))
+            flat += words
+        else:
+            out[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    found = list(map(known.get, flat))
+    if None in found:
+        missing = dict.fromkeys(w for w, f in zip(flat, found, strict=True) if f is None)
+        new = _from_pieces(tokenizer, list(missing), pieces)
+        for i, f in enumerate(found):
+            if f is None:
+                found[i] = new[flat[i]]
+        known.update(islice(new.items(), max(0, MOST_WORDS - len(known))))
+    for i, a, b in spans:
+        out[i] = np.frombuffer(b"".join(found[a:b]), "<u4")
+    return out
 
 
-def token_ids(text: str, path: str) -> np.ndarray:
-    """The ids that the library gives; texts of plain characters go through the table of pre-tokens."""
-    tokenizer, pieces = _tokenizer(path)
-    if plain(text) and "<|" not in text:
-        return np.frombuffer(b"".join(map(pieces.__getitem__, _PRE.findall(text.lower()))), "<u4")
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+def _slices(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -179,8 +217,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         end = np.array([end_id], "<u4")
         for b in batches:
             rows: list[tuple] = []
-            for at, (shard, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                ids = np.concatenate([token_ids(text, path), end])
+            encoded = (ids for part in _slices(b.column(2).to_pylist()) for ids in token_ids(part, path))
+            for at, (shard, ids) in enumerate(zip(b.column(0).to_pylist(), encoded, strict=True)):
+                ids = np.concatenate([ids, end])
                 whole = len(ids) - len(ids) % window
                 rows += [((shard + s // window) % shards, at, s, window, len(ids), _crc(ids[s : s + window]), None) for s in range(0, whole, window)]
                 if whole < len(ids):
