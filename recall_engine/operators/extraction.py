@@ -25,8 +25,8 @@ def sniff(data: Column) -> Column:
     low = F.lower(F.ltrim(F.decode(head, "ISO-8859-1")))
     html = low.startswith("<!doctype html") | low.startswith("<html") | F.contains(low, F.lit("<body")) | F.contains(low, F.lit("<head"))
     zipped = F.hex(F.substring(data, 1, 4)) == "504B0304"
-    nul = F.contains(F.hex(head), F.lit("00")) & F.decode(head, "ISO-8859-1").contains("\0")
-    return F.when(F.hex(F.substring(data, 1, 5)) == "255044462D", "pdf").when(zipped, F.when(F.decode(data, "ISO-8859-1").contains("word/document.xml"), "docx").otherwise("")).when(html, "html").when(nul | ~F.is_valid_utf8(data.cast("string")) | (F.octet_length(data) == 0), "").otherwise("text")
+    nul = F.decode(head, "ISO-8859-1").contains("\0")
+    return F.when(F.hex(F.substring(data, 1, 5)) == "255044462D", "pdf").when(zipped, F.when(F.decode(data, "ISO-8859-1").contains("word/document.xml"), "docx").otherwise("")).when(nul, "").when(html, "html").when(~F.is_valid_utf8(data.cast("string")) | (F.octet_length(data) == 0), "").otherwise("text")
 
 
 class _Text(HTMLParser):

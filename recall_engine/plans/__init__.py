@@ -1,9 +1,15 @@
 """Registered queries over the driver's tables, with SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from recall_engine.plans import evaluation, retrieval, structure
+
+_PARTS = (retrieval, structure, evaluation)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in _PARTS for k, s in part.SQL.items()}
