@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recall_engine.plans import evaluation, retrieval, structure
+from recall_engine.plans import evaluation, log, retrieval, structure
 
-_PARTS = (retrieval, structure, evaluation)
+_PARTS = (retrieval, structure, evaluation, log)
 
 
 def queries() -> dict:
