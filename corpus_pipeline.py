@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall_engine.llm import language_id as lid
-from recall_engine.llm.common import shared_folder, table
+from recall_engine.llm.common import BLANKS, restored, set_aside, shared_folder, table
 from recall_engine.llm.line_dedup import line_dedup
 from recall_engine.llm.ngram_join import keep_one
 from recall_engine.llm.packing import pack
@@ -21,20 +21,26 @@ from recall_engine.llm.packing import pack
 LEAST_SCORE = 0.3
 
 
+def _names(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are text in one of the learned languages, with the predicted language in ``lang``."""
     model = lid.train(docs.filter(~lid.held_out()), order=F.xxhash64("doc_id"))
-    found = lid.identify(docs, model, keep=tuple(docs.columns), spans=False)
+    inner, (text,) = set_aside(docs, "text")
+    found = lid.identify(inner, model, text, keep=tuple(inner.columns), spans=False)
     kept = found.filter((F.col("lang_pred") != lid.UND) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return restored(kept, docs, lang=F.col("lang_pred")).select(*_names(docs))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines in ten documents or more stay in the first of them alone; documents left without a line go."""
-    out = line_dedup(docs, min_docs=10, min_chars=1, first_stays=True)
-    kept = out.filter((F.col("_n_dropped") == 0) | (F.btrim("_kept", F.lit(" \t\n\x0b\f\r")) != ""))
-    text = F.when(F.col("_n_dropped") == 0, F.col("text")).otherwise(F.col("_kept"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    inner, (doc_id, given) = set_aside(docs, "doc_id", "text")
+    out = line_dedup(inner, doc_id, given, min_docs=10, min_chars=1, first_stays=True)
+    kept = out.filter((F.col("_n_dropped") == 0) | (F.btrim("_kept", F.lit(BLANKS)) != ""))
+    text = F.when(F.col("_n_dropped") == 0, F.col(given)).otherwise(F.col("_kept"))
+    return restored(kept, docs, text=text, n_chars=F.char_length(text).cast("long")).select(*_names(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """The rows under neutral column names, which no operator's own columns clash with, and the neutral names of the
+    columns named. ``restored`` gives the old names back."""
+    inner = docs.toDF(*[f"given_{i}" for i in range(len(docs.columns))])
+    return inner, [f"given_{docs.columns.index(n)}" for n in named]
+
+
+def restored(inner: DataFrame, docs: DataFrame, **own: Column) -> DataFrame:
+    """The columns of docs from those set aside, with further columns of ours, which replace any of the same name."""
+    low = {n.lower() for n in own}
+    old = [F.col(f"given_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in low]
+    return inner.select(*old, *[c.alias(n) for n, c in own.items()])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's, or one of our own only where none is set."""
     sc = spark.sparkContext

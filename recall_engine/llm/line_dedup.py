@@ -7,8 +7,9 @@ occurrence of a key in a document; counts and first places of a key leave each p
 the documents is not text but a run-length bitmap for each document that loses lines: the runs of lines that stay.
 
 Defined results: null or empty text is one empty line; a key is the line without blanks at both ends, with A-Z in
-lower case; keys shorter than min_chars code points are never dropped; each input row counts as one document, also
-where ids repeat or are null; an empty table gives no rows; extra columns are ignored.
+lower case; keys shorter than min_chars code points are never dropped; rows that share both id and text are one
+document, all others are documents of their own, also where ids repeat or are null; an empty table gives no rows; extra
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall_engine.llm.common import BLANKS, ascii_lower
+from recall_engine.llm.common import BLANKS, ascii_lower, restored, set_aside
 
 #: The end of a run that reaches to the last line; parts that the rows of one key are dealt to (a power of two).
 OPEN, SALTS = (1 << 31) - 2, 8
@@ -69,17 +70,21 @@ def _runs(gone: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, and _n_lines, _n_dropped and _kept (the text of the lines that stay)."""
-    given = docs.select("*", *_identity(id_col, text_col))
+    """The documents with all their columns, and _n_lines, _n_dropped and _kept (the text of the lines that stay), which
+    replace columns of these names."""
+    given, (own_id, own_text) = set_aside(docs, id_col, text_col)
+    left = given.select("*", *_identity(own_id, own_text))
     b = bitmaps.select(F.col("_id").alias("_bid"), F.col("_th").alias("_bth"), "_runs", "_dropped")
-    joined = given.join(b, given["_id"].eqNullSafe(F.col("_bid")) & (given["_th"] == F.col("_bth")), "left")
-    lines = lines_of(F.col(text_col))
+    joined = left.join(b, left["_id"].eqNullSafe(F.col("_bid")) & (left["_th"] == F.col("_bth")), "left")
+    text = F.coalesce(F.col(own_text), F.lit(""))
+    lines = lines_of(F.col(own_text))
     kept = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.size(lines).cast("long").alias("_n_lines"),
-        F.coalesce("_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
-        F.when(F.col("_runs").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept).alias("_kept"),
+    return restored(
+        joined,
+        docs,
+        _n_lines=F.size(lines).cast("long"),
+        _n_dropped=F.coalesce("_dropped", F.lit(0)).cast("long"),
+        _kept=F.when(F.col("_runs").isNull(), text).otherwise(kept),
     )
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall_engine.llm.common import checkpointed
+from recall_engine.llm.common import checkpointed, restored, set_aside
 
 LARGE = 8192
 #: Counters of the count table, and how many travel in one row.
@@ -501,7 +501,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents, all columns, of which each component keeps the row of its least id. Rows that repeat both
     id and text are one document: they stay or go together; rows with null ids stay."""
-    found = near_duplicates(docs, id_col, text_col, text_hash=True, **params)
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("_th").alias("__th"))
-    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__id")) & (own == F.col("__th")), "left_semi")
+    inner, (own_id, own_text) = set_aside(docs, id_col, text_col)
+    found = near_duplicates(inner, own_id, own_text, text_hash=True, **params)
+    stay = found.filter(F.col(own_id).eqNullSafe(F.col("component_id"))).select(F.col(own_id).alias("_stay"), F.col("_th").alias("_stay_th"))
+    own = F.xxhash64(F.coalesce(F.col(own_text), F.lit("")))
+    return restored(inner.join(stay, F.col(own_id).eqNullSafe(F.col("_stay")) & (own == F.col("_stay_th")), "left_semi"), docs)
