@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,16 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def hold(operator: str, clear: Callable[[], object] = lambda: None) -> None:
+    """Says in a worker that this operator's caches are in use; another operator's, left by earlier tasks, go."""
+    for other in [n for n in _held if n != operator]:
+        _held.pop(other)()
+    _held[operator] = clear
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall_engine.llm.common import tokenizer_path
+from recall_engine.llm.common import hold, tokenizer_path
 
 MARK = "▁"
 _CHUNKS = re.compile(" (?: *)[^ ]*")
@@ -52,18 +52,17 @@ def splits_at_markers(path: str) -> bool:
 
 class Chunks(dict):
     """The distinct-chunk table: from a marked word, without its first marker, to its ids as text, their number and
-    what they decode to. It keeps at most ``most`` entries."""
+    what they decode to. It keeps the first ``most`` entries, among which the frequent ones are."""
 
-    def __init__(self, sp, most: int = 300_000):
+    def __init__(self, sp, most: int = 400_000):
         super().__init__()
         self.sp, self.most = sp, most
 
     def __missing__(self, chunk: str) -> tuple[str, int, str]:
         ids = self.sp.encode(chunk) if chunk else [self.sp.piece_to_id(MARK)]  # a lone marker: a space at the end
         found = (" ".join(map(str, ids)), len(ids), self.sp.decode(ids))
-        if len(self) >= self.most:
-            self.clear()
-        self[chunk] = found
+        if len(self) < self.most:
+            self[chunk] = found
         return found
 
 
@@ -103,6 +102,7 @@ def encode_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("sentencepiece", _tables.clear)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             done = [encode_decode(t, path) for t in b.column(1).to_pylist()]
