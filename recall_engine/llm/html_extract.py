@@ -203,11 +203,9 @@ def _first(b: Block, framed: bool) -> bool | None:
         return False if density > 0 else None
     words = _WORD.findall(b.text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stop >= STOP_HIGH and len(b.text) > LONG:
+    if stop >= STOP_HIGH or len(b.text) > LONG and stop > STOP_LOW / 3:
         return True
-    if stop >= STOP_LOW or len(b.text) > LONG and stop > STOP_LOW / 3:
-        return None if len(b.text) <= LONG else True
-    return None if len(b.text) <= LONG else False
+    return None if stop >= STOP_LOW or len(b.text) > LONG else False
 
 
 def main_text(page: str | None) -> str:

@@ -16,8 +16,6 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -169,12 +167,3 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def brute_force(vectors: Iterator[tuple[int, list[float]]], queries: Iterator[tuple[int, list[float]]], k: int) -> list[tuple[int, int, int, float]]:
-    """All inner products, for tests."""
-    known, out = list(vectors), []
-    for qid, q in queries:
-        scored = sorted((-sum(float(a) * float(b) for a, b in zip(q, v, strict=True)), vid) for vid, v in known if vid != qid)
-        out += [(qid, r, vid, -s) for r, (s, vid) in enumerate(scored[:k], 1)]
-    return out
