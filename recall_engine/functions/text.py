@@ -52,8 +52,9 @@ def topic_name_ok(c: Column) -> Column:
 
 
 def topic_from(c: Column) -> Column:
-    """A topic name from any text: lower case, dashes, none at the ends, x before what may not begin one."""
-    dashed = F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9/_-]+", "-"), F.lit("-"))
+    """A topic name from any text: lower case, dashes for what may not be in one, no marks at the ends, x before what may
+    not begin one."""
+    dashed = F.btrim(F.regexp_replace(F.replace(F.lower(c), F.lit(" "), F.lit("-")), "[^a-z0-9/_-]+", "-"), F.lit("/-_"))
     return F.when(dashed.rlike(r"\A[a-z0-9]"), dashed).otherwise(F.concat(F.lit("x"), dashed))
 
 
@@ -65,10 +66,20 @@ def ancestors(path: Column) -> Column:
     return F.when(depth < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
 
 
+def proposed_topics(label: Column, path: Column) -> Column:
+    """The topics of a file: the label of its tree, and the label with each of its folders."""
+    return F.array_distinct(F.concat(F.array(topic_from(label)), F.transform(ancestors(path), lambda a: topic_from(F.concat(label, F.lit("/"), a)))))
+
+
+def wiki_name(c: Column) -> Column:
+    """What a link and a file's name are compared by: trimmed, dashes for spaces, lower case."""
+    return F.lower(F.replace(F.trim(c), F.lit(" "), F.lit("-")))
+
+
 def wiki_links(c: Column) -> Column:
-    """Targets of [[target]], [[target|shown]] and [[target#part]], trimmed, first occurrences in order."""
-    raw = F.regexp_extract_all(c, F.lit(r"\[\[([^\]\|#]+)[^\]]*\]\]"), F.lit(1))
-    return F.array_distinct(F.transform(raw, lambda x: F.lower(F.trim(x))))
+    """Targets of [[target]] and [[target|shown]], by name, first occurrences in order."""
+    raw = F.regexp_extract_all(c, F.lit(r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]"), F.lit(1))
+    return F.array_distinct(F.transform(raw, wiki_name))
 
 
 def normalise_newlines(c: Column) -> Column:
@@ -77,10 +88,13 @@ def normalise_newlines(c: Column) -> Column:
 
 
 def lead(c: Column, most: int) -> Column:
-    """An extract from the start: whole if short, else back to the last full stop or line end in its second half."""
-    head = F.left(c, F.lit(most))
-    cut = F.greatest(F.lit(0), F.char_length(F.regexp_extract(head, r"(?s)\A(.*[.\n])", 1)))
-    return F.when(F.char_length(c) <= most, c).when(cut > most // 2, F.rtrim(F.left(head, cut))).otherwise(head)
+    """An extract from the start: whole if short, else back to the last full stop or line end in its second half; without
+    white space at the ends."""
+    blanks = F.lit(" \t\n\x0b\f\r")
+    body = F.btrim(c, blanks)
+    head = F.left(body, F.lit(most))
+    cut = F.char_length(F.regexp_extract(head, r"(?s)\A(.*[.\n])", 1))
+    return F.when(F.char_length(body) <= most, body).when(cut > most // 2, F.btrim(F.left(head, cut), blanks)).otherwise(F.btrim(head, blanks))
 
 
 def slug(c: Column) -> Column:
@@ -92,8 +106,8 @@ def plural(n: Column, one: str, many: str) -> Column:
 
 
 def split_terms(c: Column) -> Column:
-    """The terms of a query: lower case, cut at anything but letters and digits."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda x: x != "")
+    """The terms of a query: lower case, cut at anything but letters and digits, of two bytes or more, once each."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{Nd}]+", -1), lambda x: F.octet_length(x) >= 2))
 
 
 def contains_all(text: Column, terms: Column) -> Column:

@@ -49,10 +49,19 @@ def in_holdout(salt: Column, key: Column, share: int = PARAMS.split_share) -> Co
     return F.conv(F.left(F.sha2(F.concat(salt, key), 256), F.lit(4)), 16, 10).cast("int") < share
 
 
-def degradation(disk: Column, backlog: Column, disk_steps: tuple[float, ...], backlog_steps: tuple[float, ...]) -> Column:
-    """A level from two axes, each the number of its steps that are reached; the higher one counts."""
-    level = lambda x, steps: sum((F.when(x >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    return F.greatest(level(disk, disk_steps), level(backlog, backlog_steps))
+def degradation(backlog: Column, free_bytes: Column, p: Params = PARAMS) -> Column:
+    """0 to 7: levels 1 to 4 by what still waits for enrichment, 5 to 7 by how little disk is free; the higher one counts."""
+    waiting = sum((F.when(backlog >= s, 1).otherwise(0) for s in p.backlog_steps), F.lit(0))
+    least, middle, most = sorted(p.free_steps)
+    disk = F.when(free_bytes < least, 7).when(free_bytes < middle, 6).when(free_bytes < most, 5).otherwise(0)
+    return F.greatest(waiting, disk)
+
+
+def effective_class(declared: Column, body_len: Column, admitted: Column, override: Column, p: Params = PARAMS) -> Column:
+    """The text class that a body gets: too large ones, canonical ones over their limit and those that the day's quota
+    doesn't admit become ephemeral, unless an operator overrides it."""
+    small = F.when(body_len > p.body_limit, False).when((declared == "canonical") & ((body_len > p.canonical_limit) | ~admitted), False).otherwise(True)
+    return F.when(override | (declared == "ephemeral") | small, declared).otherwise("ephemeral")
 
 
 def valid_view(c: Column) -> Column:

@@ -11,10 +11,15 @@ from recall_engine.params import PARAMS, Params
 
 
 def percentile_by_offset(samples: DataFrame, value: str, percent: int, by: list[str]) -> DataFrame:
-    """(by, n, picked): the element at n * percent / 100 of the sorted values, without interpolation."""
+    """(by, n, picked): the element at n * percent / 100 of the sorted values, without interpolation.
+
+    Equal values are counted before the shuffle, so what is sorted is one row for each distinct value.
+    """
+    counted = samples.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by)
-    placed = samples.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("_i") == F.expr(f"least(_n * {percent} div 100, _n - 1)"), F.col(value))).alias("picked"))
+    placed = counted.withColumn("_n", F.sum("_c").over(w)).withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.expr(f"least(_n * {percent} div 100, _n - 1)")
+    return placed.filter((at < F.col("_to")) & (at >= F.col("_to") - F.col("_c"))).select(*by, F.col("_n").cast("long").alias("n"), F.col(value).alias("picked"))
 
 
 def gate_counters(interactions: DataFrame, latencies: DataFrame) -> DataFrame:

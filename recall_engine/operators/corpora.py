@@ -82,9 +82,12 @@ def notes(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 
 def notes_tail(items: DataFrame, budget: int) -> DataFrame:
-    """The newest notes whose texts fit the budget, read as one file from its end: id, created_at, running."""
+    """The newest notes that fit the budget, read as one file from its end: id, created_at, running. items: id, title, text,
+    created_at. Each note takes one character at least, so no more notes than that are ever needed."""
+    items = items.orderBy(F.desc("created_at"), F.desc("id")).limit(budget)
     w = Window.orderBy(F.desc("created_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    sized = items.withColumn("running", F.sum(F.char_length("text") + 1).over(w).cast("long"))
+    cost = F.char_length(F.concat(F.col("id").cast("string"), F.lit(": "), "title", F.lit("\n"), "text", F.lit("\n\n")))
+    sized = items.withColumn("running", F.sum(cost).over(w).cast("long"))
     return sized.filter(F.col("running") <= budget).select("id", "created_at", "running")
 
 

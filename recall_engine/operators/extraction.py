@@ -14,19 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_IN, MOST_OUT = 16 << 20, 1 << 20
-_BLOCK = frozenset("p div br li ul ol table tr td th h1 h2 h3 h4 h5 h6 section article header footer nav aside main blockquote pre title".split())
+_BLOCK = frozenset("p div br li tr h1 h2 h3 h4 h5 h6".split())
 _SKIP = frozenset(("script", "style", "noscript"))
 _DOCX_TEXT = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def sniff(data: Column) -> Column:
-    """pdf, docx, html, text, or an empty string, by the first bytes."""
-    head = F.substring(data, 1, 512)
-    low = F.lower(F.ltrim(F.decode(head, "ISO-8859-1")))
-    html = low.startswith("<!doctype html") | low.startswith("<html") | F.contains(low, F.lit("<body")) | F.contains(low, F.lit("<head"))
-    zipped = F.hex(F.substring(data, 1, 4)) == "504B0304"
-    nul = F.decode(head, "ISO-8859-1").contains("\0")
-    return F.when(F.hex(F.substring(data, 1, 5)) == "255044462D", "pdf").when(zipped, F.when(F.decode(data, "ISO-8859-1").contains("word/document.xml"), "docx").otherwise("")).when(nul, "").when(html, "html").when(~F.is_valid_utf8(data.cast("string")) | (F.octet_length(data) == 0), "").otherwise("text")
+    """pdf, docx, html, text, or an empty string, by the bytes, never by a name."""
+    shown = lambda c: F.decode(c, "ISO-8859-1")
+    low = F.lower(F.ltrim(shown(F.substring(data, 1, 4096)), F.lit(" \t\r\n")))
+    html = low.startswith("<!doctype html") | low.startswith("<html") | low.contains("<body") | low.contains("<div") | low.contains("<p>")
+    docx = (F.hex(F.substring(data, 1, 4)) == "504B0304") & shown(data).contains("word/document.xml")
+    text = F.is_valid_utf8(data.cast("string")) & ~shown(data).contains("\0")
+    return F.when(F.hex(F.substring(data, 1, 5)) == "255044462D", "pdf").when(docx, "docx").when(html, "html").when(text, "text").otherwise("")
 
 
 class _Text(HTMLParser):
@@ -41,11 +41,12 @@ class _Text(HTMLParser):
         elif tag in _BLOCK:
             self.parts.append("\n")
 
+    def handle_startendtag(self, tag, attrs):
+        pass  # a tag that closes itself starts no line
+
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.skipping = max(0, self.skipping - 1)
-        elif tag in _BLOCK:
-            self.parts.append("\n")
 
     def handle_data(self, data):
         if not self.skipping:
@@ -53,12 +54,11 @@ class _Text(HTMLParser):
 
 
 def html_text(html: str) -> str:
-    """Text with a line for each block; no scripts, styles or fallbacks."""
+    """The text, with a line feed where a block starts; no scripts, styles or fallbacks."""
     parser = _Text()
     parser.feed(html)
     parser.close()
-    lines = (" ".join(x.split()) for x in "".join(parser.parts).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return "".join(parser.parts).strip()
 
 
 def docx_text(data: bytes) -> str:

@@ -7,7 +7,7 @@ import difflib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.functions.text import ancestors, normalise_newlines, topic_from, wiki_links
+from recall_engine.functions.text import normalise_newlines, proposed_topics, wiki_links, wiki_name
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -17,9 +17,9 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(at.alias("path"), normalise_newlines(F.col("value")).alias("text")).filter(~F.col("path").rlike(r"(^|/)\.[^/]"))
 
 
-def plan(files: DataFrame) -> DataFrame:
-    """Files with their hash, the topics of their folders and the targets of their links."""
-    return files.select("path", "text", F.sha2(F.col("text"), 256).alias("body_hash"), F.transform(ancestors(F.col("path")), topic_from).alias("topics"), wiki_links(F.col("text")).alias("links"))
+def plan(files: DataFrame, label: str = "notes") -> DataFrame:
+    """Files with their hash, the topics of the tree and its folders, and the targets of their links."""
+    return files.select("path", "text", F.sha2(F.col("text"), 256).alias("body_hash"), proposed_topics(F.lit(label), F.col("path")).alias("topics"), wiki_links(F.col("text")).alias("links"))
 
 
 def classify(files: DataFrame, source_refs: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def report(classified: DataFrame) -> DataFrame:
 def resolve_links(planned: DataFrame) -> DataFrame:
     """(path, link, target): links to the file whose name, without folders and ending, is the link; null for none. Of
     several the first path counts."""
-    name = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md\z", ""))
+    name = wiki_name(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md\z", ""))
     targets = planned.groupBy(name.alias("link")).agg(F.min("path").alias("target"))
     return planned.select("path", F.explode("links").alias("link")).join(targets, "link", "left").select("path", "link", "target")
 

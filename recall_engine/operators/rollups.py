@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from recall_engine.params import PARAMS
 
-#: How many holders each durability class asks for, weakest first.
-DURABILITY = {"ephemeral": 1, "normal": 2, "important": 3, "critical": 4}
+#: Holders that the class normal, and any class that isn't known, asks for.
+NORMAL_HOLDERS = 2
 
 
 def topic_list(topics: DataFrame, links: DataFrame) -> DataFrame:
@@ -102,11 +102,10 @@ def segment_seals(events: DataFrame, per_segment: int, origin: list[str], sequen
     return sealed
 
 
-def durability_status(attachments: DataFrame, holders: DataFrame) -> DataFrame:
-    """(object_hash, class, target, holders, ok): the strongest class asked for and who holds a copy."""
-    target = F.lit(1)
-    for name, n in DURABILITY.items():
-        target = F.when(F.col("durability") == name, F.lit(n)).otherwise(target)
+def durability_status(attachments: DataFrame, holders: DataFrame, members: int) -> DataFrame:
+    """(object_hash, durability, target, holders, ok): the strongest class asked for and who holds a copy. One holder is
+    enough for ephemeral objects, all members hold important and pinned ones, two hold all others."""
+    target = F.when(F.col("durability") == "ephemeral", 1).when(F.col("durability").isin("important", "pinned"), max(1, members)).otherwise(NORMAL_HOLDERS)
     asked = attachments.withColumn("_t", target).groupBy("object_hash").agg(F.max_by("durability", F.struct("_t", "durability")).alias("durability"), F.max("_t").alias("target"))
     have = holders.groupBy("object_hash").agg(F.count_distinct("holder").alias("holders"))
     out = asked.join(have, "object_hash", "left").withColumn("holders", F.coalesce("holders", F.lit(0)))

@@ -62,6 +62,9 @@ class Params:
     split_share: int = 19660
     map_top: int = 20
     body_limit: int = 1 << 20
+    canonical_limit: int = 1 << 20
+    backlog_steps: tuple[int, ...] = (200, 1000, 5000, 20000)
+    free_steps: tuple[int, ...] = (2 << 30, 512 << 20, 64 << 20)
 
 
 PARAMS = Params()

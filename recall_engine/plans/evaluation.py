@@ -182,7 +182,7 @@ def sub_calibration(spark: SparkSession, d: str) -> DataFrame:
     return subscriptions.calibrate(_sims(m), observed, subs).select("subscription_id", "message_id", F.col("place").cast("long").alias("place"), "included")
 
 
-@query(with_tables("subs", "SELECT subscription_id, greatest(0, least(5 - last_window, CASE WHEN cap_per_day > 0 THEN cap_per_day - last_day ELSE 5 - last_window END))::BIGINT AS allowance FROM subs JOIN trail USING (subscription_id)", delivered=_DELIVERED, trail=_TRAIL))
+@query(with_tables("subs", "SELECT subscription_id, greatest(0, least(cap_per_day - last_day, CASE WHEN mode = 'top_n' THEN 5 - last_window ELSE cap_per_day - last_day END))::BIGINT AS allowance FROM subs JOIN trail USING (subscription_id)", delivered=_DELIVERED, trail=_TRAIL))
 def sub_allowances(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     return subscriptions.allowances(m.subscriptions(), subscriptions.trailing_deliveries(_delivered(m), m.subscriptions(), now()))
@@ -194,7 +194,7 @@ def hash_split(spark: SparkSession, d: str) -> DataFrame:
     return corpora.assign_splits(q, "salt")
 
 
-_ASKED = "SELECT item_id AS query_id, list_filter(string_split_regex(lower(left(text, 30)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[1:3] AS terms FROM benchmark WHERE item_id < 10"
+_ASKED = "SELECT item_id AS query_id, list_filter(string_split_regex(lower(left(text, 30)), '[^\\p{L}\\p{Nd}]+'), lambda x: strlen(x) >= 2)[1:3] AS terms FROM benchmark WHERE item_id < 10"
 _GREP = """SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {}) AS rank FROM (SELECT *, bool_or(every) OVER (PARTITION BY query_id) AS full_hit FROM (
   SELECT query_id, doc_id AS id, len(list_filter(terms, lambda t: contains(lower(text), t))) AS hit, hit = len(terms) AS every FROM documents, asked WHERE hit > 0)) WHERE every OR NOT full_hit QUALIFY rank <= 10"""
 
@@ -218,9 +218,9 @@ def notes_baseline(spark: SparkSession, d: str) -> DataFrame:
     return corpora.notes(items, _asked(m)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("SELECT id, running FROM (SELECT doc_id AS id, sum(length(text) + 1) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents) WHERE running <= 20000")
+@query("SELECT id, running FROM (SELECT doc_id AS id, sum(length(doc_id::VARCHAR) + length(lang) + length(text) + 5) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents) WHERE running <= 20000")
 def notes_tail(spark: SparkSession, d: str) -> DataFrame:
-    items = Model(spark, d).raw("documents").selectExpr("doc_id AS id", "text", "doc_id AS created_at")
+    items = Model(spark, d).raw("documents").selectExpr("doc_id AS id", "lang AS title", "text", "doc_id AS created_at")
     return corpora.notes_tail(items, 20000).select("id", "running")
 
 
@@ -267,10 +267,10 @@ def late_bodies(spark: SparkSession, d: str) -> DataFrame:
     return corpora.lateness(e).select("event_id", "body_kept")
 
 
-@query("SELECT CASE WHEN page_id % 4 = 0 THEN 'html' WHEN page_id % 4 = 1 THEN 'pdf' WHEN page_id % 4 = 2 THEN 'text' ELSE '' END AS kind, count(*) AS n FROM pages GROUP BY 1")
+@query("SELECT CASE WHEN page_id % 4 = 0 THEN 'html' WHEN page_id % 4 = 1 THEN 'pdf' WHEN page_id % 4 = 2 THEN 'text' WHEN page_id % 8 = 3 THEN 'html' ELSE '' END AS kind, count(*) AS n FROM pages GROUP BY 1")
 def content_sniff(spark: SparkSession, d: str) -> DataFrame:
     p = Model(spark, d).raw("pages")
-    data = F.when(F.col("page_id") % 4 == 0, F.col("html")).when(F.col("page_id") % 4 == 1, F.concat(F.lit("%PDF-1.7"), "html")).when(F.col("page_id") % 4 == 2, F.lit("plain words")).otherwise(F.concat(F.lit("\0"), "html"))
+    data = F.when(F.col("page_id") % 4 == 0, F.col("html")).when(F.col("page_id") % 4 == 1, F.concat(F.lit("%PDF-1.7"), "html")).when(F.col("page_id") % 4 == 2, F.lit("plain words")).otherwise(F.concat(F.lit("\0"), F.when(F.col("page_id") % 8 == 3, F.col("html")).otherwise(F.lit("bytes"))))
     return p.select(extraction.sniff(F.encode(data, "UTF-8")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -313,6 +313,23 @@ def digest_p0(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.digest(corpus(m), m.views(), m.links(), now()).select("query_id", "message_id", F.col("final_rank").cast("long").alias("final_rank"), "mandatory", r6("r", "r"), r6("f", "f"), r6("score", "score"))
 
 
+@query(
+    with_tables(
+        _SAL_TABLES + " revisions vectors links views",
+        "SELECT query_id, message_id, final_rank, round(r, 6) AS r, round(s, 6) AS s, round(n, 6) AS n, round(score, 6) AS score FROM (SELECT * FROM ranked UNION ALL SELECT * FROM silent)",
+        queries="SELECT * FROM views WHERE query IS NOT NULL", **_LEX_CTES, vec=_VEC, fused=_RRF, members=_MEMBERS, **_SALIENCE,
+        cand="SELECT b.*, coalesce(rrf, 0) AS rrf, m.event_id, m.created_at, m.priority, m.pinned, m.confirmed, salience, novelty FROM members b LEFT JOIN fused USING (query_id, message_id) JOIN messages m USING (message_id) LEFT JOIN sal USING (message_id)",
+        asked="SELECT * FROM cand WHERE query_id IN (SELECT query_id FROM queries)", quiet="SELECT * FROM cand WHERE query_id NOT IN (SELECT query_id FROM queries)",
+        ranked=_ranked(72.0, PARAMS.digest_p2, "asked"), silent=_ranked(72.0, PARAMS.digest_p2, "quiet", uniform=True),
+    )
+)
+def digest_p2(spark: SparkSession, d: str) -> DataFrame:
+    """A digest ranked with salience, intent and novelty."""
+    m = Model(spark, d)
+    out = retrieve.digest(corpus(m, salient(m)), m.views(), m.links(), now(), weights=PARAMS.digest_p2)
+    return out.select("query_id", "message_id", F.col("final_rank").cast("long").alias("final_rank"), r6("r", "r"), r6("s", "s"), r6("n", "n"), r6("score", "score"))
+
+
 @query(with_tables("turns", "SELECT query_id, message_id, row_number() OVER (PARTITION BY query_id ORDER BY created_at, message_id) AS final_rank FROM (SELECT message_id AS query_id, message_id AS root FROM turns WHERE thread_id IS NULL) JOIN (SELECT message_id, created_at, coalesce(thread_id, message_id) AS root FROM turns) USING (root)"))
 def thread_expand(spark: SparkSession, d: str) -> DataFrame:
     t = Model(spark, d).turns()

@@ -207,20 +207,20 @@ def range_scan(spark: SparkSession, d: str) -> DataFrame:
     return lookups.events_in_range(o, F.col("o_custkey") % 3 == 0, 100, 600).select("o_orderkey", "o_totalprice")
 
 
-_DUR = """SELECT object_hash, CASE t WHEN 4 THEN 'critical' WHEN 3 THEN 'important' WHEN 2 THEN 'normal' ELSE 'ephemeral' END AS durability, t AS target, coalesce(h, 0) AS holders, coalesce(h, 0) >= t AS ok
-FROM (SELECT object_hash, max(CASE durability WHEN 'critical' THEN 4 WHEN 'important' THEN 3 WHEN 'normal' THEN 2 ELSE 1 END) AS t FROM attachments GROUP BY 1) LEFT JOIN (SELECT object_hash, count(DISTINCT holder) AS h FROM holders GROUP BY 1) USING (object_hash)"""
+_DUR = """SELECT object_hash, durability, t AS target, coalesce(h, 0) AS holders, coalesce(h, 0) >= t AS ok
+FROM (SELECT object_hash, arg_max(durability, (t, durability)) AS durability, max(t) AS t FROM (SELECT *, CASE WHEN durability = 'ephemeral' THEN 1 WHEN durability IN ('important', 'pinned') THEN 4 ELSE 2 END AS t FROM attachments) GROUP BY 1) LEFT JOIN (SELECT object_hash, count(DISTINCT holder) AS h FROM holders GROUP BY 1) USING (object_hash)"""
 
 
 @query(with_tables("attachments holders", _DUR))
 def durability_status(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
-    return rollups.durability_status(m.attachments(), m.holders())
+    return rollups.durability_status(m.attachments(), m.holders(), 4)
 
 
 @query(with_tables("attachments holders", "SELECT DISTINCT message_id FROM attachments WHERE object_hash IN (SELECT object_hash FROM dur WHERE NOT ok)", dur=_DUR))
 def pending_objects(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
-    return rollups.pending_objects(rollups.durability_status(m.attachments(), m.holders()), m.attachments())
+    return rollups.pending_objects(rollups.durability_status(m.attachments(), m.holders(), 4), m.attachments())
 
 
 @query("SELECT greatest(1, count(*) FILTER (s_acctbal > 0 AND s_suppkey % 5 <> 0))::BIGINT AS members FROM supplier")
@@ -254,20 +254,20 @@ def ingest_classify(spark: SparkSession, d: str) -> DataFrame:
     return ingest.report(ingest.classify(ingest.plan(files), refs))
 
 
-_LINKED = "SELECT doc_id, 'see [[Note ' || (doc_id % 7) || ']] and [[ note ' || (doc_id % 7) || '|this]] or [[Other#part]]' AS text FROM documents"
+_LINKED = "SELECT doc_id, 'see [[Note ' || (doc_id % 7) || ']] and [[ note ' || (doc_id % 7) || '|this]] or [[Other#part]] [[]] [[a[b]]' AS text FROM documents"
 
 
-@query(f"SELECT doc_id, ['note ' || (doc_id % 7), 'other'] AS links FROM ({_LINKED})")
+@query(f"SELECT doc_id, ['note-' || (doc_id % 7), 'other#part'] AS links FROM ({_LINKED})")
 def wiki_links(spark: SparkSession, d: str) -> DataFrame:
-    t = Model(spark, d).raw("documents").selectExpr("doc_id", "concat('see [[Note ', doc_id % 7, ']] and [[ note ', doc_id % 7, '|this]] or [[Other#part]]') AS text")
+    t = Model(spark, d).raw("documents").selectExpr("doc_id", "concat('see [[Note ', doc_id % 7, ']] and [[ note ', doc_id % 7, '|this]] or [[Other#part]] [[]] [[a[b]]') AS text")
     return t.select("doc_id", tx.wiki_links(F.col("text")).alias("links"))
 
 
-@query("SELECT page_id, ['a', 'a/b' || (page_id % 3)] AS topics, regexp_replace('A B' || page_id, '[^a-z0-9/_-]', '_', 'g') AS clean FROM pages")
+@query("SELECT page_id, ['my-repo', 'my-repo/a', 'my-repo/a/b' || (page_id % 3)] AS topics, regexp_replace('A B' || page_id, '[^a-z0-9/_-]', '_', 'g') AS clean FROM pages")
 def path_topics(spark: SparkSession, d: str) -> DataFrame:
     p = Model(spark, d).raw("pages")
     path = F.concat(F.lit("a/b"), (F.col("page_id") % 3).cast("string"), F.lit("/c.md"))
-    return p.select("page_id", tx.ancestors(path).alias("topics"), tx.sanitize(F.concat(F.lit("A B"), F.col("page_id").cast("string"))).alias("clean"))
+    return p.select("page_id", tx.proposed_topics(F.lit("My Repo"), path).alias("topics"), tx.sanitize(F.concat(F.lit("A B"), F.col("page_id").cast("string"))).alias("clean"))
 
 
 @query("SELECT doc_id, rtrim(left(text, 200), chr(10)) AS snippet, length(text) AS chars, array_to_string((string_split(text, chr(10)))[1:3], chr(10)) AS lines, '> ' || replace(left(text, 60), chr(10), chr(10) || '> ') || chr(10) AS quoted FROM documents")
@@ -276,10 +276,10 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return Model(spark, d).raw("documents").select("doc_id", tx.snippet(t).alias("snippet"), tx.budget_chars(t).cast("long").alias("chars"), tx.first_lines(t).alias("lines"), tx.quote_lines(F.left(t, F.lit(60))).alias("quoted"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, round(greatest(0.0, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9), 6) AS age, round(1 - pow(2, -value / 3.0), 6) AS saturated, (value >= 50)::INT + (value >= 100)::INT AS level FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, round(greatest(0.0, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9), 6) AS age, round(1 - pow(2, -value / 3.0), 6) AS saturated, CASE WHEN event_id % 50 = 0 THEN 7 WHEN event_id % 50 = 1 THEN 6 WHEN event_id % 50 = 2 THEN 5 WHEN value * 100 >= 5000 THEN 3 WHEN value * 100 >= 1000 THEN 2 WHEN value * 100 >= 200 THEN 1 ELSE 0 END AS level FROM events WHERE value < 200")
 def time_and_decay(spark: SparkSession, d: str) -> DataFrame:
-    e = Model(spark, d).raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.select("event_id", vx.utc_day(F.col("ts")).alias("day"), F.round(vx.age_hours(F.col("ts"), now()), 6).alias("age"), F.round(vx.saturate(F.col("value"), 3.0), 6).alias("saturated"), vx.degradation(F.col("value"), F.lit(0), (50.0, 100.0), (1.0,)).alias("level"))
+    e = Model(spark, d).raw("events").filter("value < 200").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select("event_id", vx.utc_day(F.col("ts")).alias("day"), F.round(vx.age_hours(F.col("ts"), now()), 6).alias("age"), F.round(vx.saturate(F.col("value"), 3.0), 6).alias("saturated"), vx.degradation(F.col("value") * 100, F.expr("CASE event_id % 50 WHEN 0 THEN 1L << 20 WHEN 1 THEN 1L << 28 WHEN 2 THEN 1L << 30 ELSE 1L << 40 END")).alias("level")).filter("level >= 0")
 
 
 @query(with_tables("messages", "SELECT message_id, CASE WHEN NOT (message_id % 50 = 3 OR text_class = 'ephemeral' AND message_id % 2 = 1) THEN 'delivered' WHEN text_class = 'ephemeral' AND created_at < TIMESTAMP '2024-01-25' THEN 'expired' ELSE 'not_delivered' END AS state FROM messages WHERE message_id < 1000 UNION ALL SELECT -5, 'not_found'"))

@@ -82,8 +82,8 @@ class Model:
     def attachments(self) -> DataFrame:
         """Pages hang on messages; every third page is shared by the next message."""
         p = self.raw("pages")
-        own = p.selectExpr("page_id AS message_id", "page_id AS object_hash", "CASE page_id % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'important' WHEN 2 THEN 'critical' ELSE 'ephemeral' END AS durability")
-        again = p.filter("page_id % 3 = 0").selectExpr("page_id + 1 AS message_id", "page_id AS object_hash", "'critical' AS durability")
+        own = p.selectExpr("page_id AS message_id", "page_id AS object_hash", "CASE page_id % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'important' WHEN 2 THEN 'pinned' ELSE 'ephemeral' END AS durability")
+        again = p.filter("page_id % 3 = 0").selectExpr("page_id + 1 AS message_id", "page_id AS object_hash", "'normal' AS durability")
         return own.unionByName(again)
 
     def pins(self) -> DataFrame:
@@ -141,8 +141,8 @@ SQL = {
     "impressions": "SELECT interaction_id, message_id, final_rank FROM interactions WHERE kind = 'view'",
     "fetches": "SELECT interaction_id, message_id, task_id, principal FROM interactions WHERE kind = 'purchase'",
     "vectors": "SELECT vec_id AS message_id, 'unit64' AS model_id, embedding AS vector, 'c' || label AS topic_id FROM embeddings",
-    "attachments": """SELECT page_id AS message_id, page_id AS object_hash, CASE page_id % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'important' WHEN 2 THEN 'critical' ELSE 'ephemeral' END AS durability FROM pages
-  UNION ALL SELECT page_id + 1, page_id, 'critical' FROM pages WHERE page_id % 3 = 0""",
+    "attachments": """SELECT page_id AS message_id, page_id AS object_hash, CASE page_id % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'important' WHEN 2 THEN 'pinned' ELSE 'ephemeral' END AS durability FROM pages
+  UNION ALL SELECT page_id + 1, page_id, 'normal' FROM pages WHERE page_id % 3 = 0""",
     "pins": "SELECT page_id AS pin_id, 'p' || (page_id % 3) AS principal, page_id AS object_hash, page_id % 12 = 0 AS removed FROM pages WHERE page_id % 6 = 0",
     "derivatives": """SELECT page_id AS derivative_id, page_id AS object_hash, 'text' AS derivative_type, CASE WHEN page_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status,
   page_id % 9 = 0 AS invalidated, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages WHERE page_id % 5 <> 0""",
