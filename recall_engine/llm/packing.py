@@ -23,16 +23,17 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall_engine.llm.common import plain, tokenizer_path
+from recall_engine.llm.common import hold, plain, tokenizer_path
 
 #: The pre-token pattern of the word-end vocabulary, for lower-case words that ``plain`` admits.
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Words, and pre-tokens, that a worker remembers with their ids; those that come later are encoded again in each batch.
-MOST_WORDS = 500_000
+MOST_WORDS, MOST_PIECES = 500_000, 500_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -45,14 +46,25 @@ def _tokenizer(path: str):
     return t, {}, {}
 
 
-def _encode_words(tokenizer, words: list[str]) -> dict[str, bytes]:
-    """The ids of each word as little-endian bytes, from one call: no pre-token reaches over white space."""
-    enc = tokenizer.encode(" ".join(words), add_special_tokens=False)
-    starts = np.cumsum(np.array([0] + [len(w) + 1 for w in words[:-1]], np.int64))
-    owner = np.searchsorted(starts, np.array([o[0] for o in enc.offsets], np.int64), side="right") - 1
-    at = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-    ids = np.array(enc.ids, "<u4").tobytes()
-    return {w: ids[4 * a : 4 * b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
+def _encode_words(tokenizer, words: list[str], run: int = 64) -> dict[str, bytes]:
+    """The ids of pre-tokens as little-endian bytes. Runs of them are encoded as one text: white space parts them again, and
+    short texts cost the library less than long ones."""
+    ids: list[int] = []
+    owner: list[np.ndarray] = []
+    for at in range(0, len(words), run):
+        part = words[at : at + run]
+        enc = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        own = np.array(enc.word_ids, np.int64)
+        if not len(own) or own[-1] != len(part) - 1 or (np.diff(own) > 1).any() or own[0]:  # not one for one
+            alone = [tokenizer.encode(w, add_special_tokens=False).ids for w in part]
+            ids += [i for x in alone for i in x]
+            own = np.repeat(np.arange(len(part)), [len(x) for x in alone])
+        else:
+            ids += enc.ids
+        owner.append(own + at)
+    ends = np.searchsorted(np.concatenate(owner), np.arange(len(words) + 1)).tolist()
+    data = np.array(ids, "<u4").tobytes()
+    return {w: data[4 * a : 4 * b] for w, a, b in zip(words, ends[:-1], ends[1:], strict=True)}
 
 
 def _from_pieces(tokenizer, words: list[str], pieces: dict[str, bytes]) -> dict[str, bytes]:
@@ -60,7 +72,7 @@ def _from_pieces(tokenizer, words: list[str], pieces: dict[str, bytes]) -> dict[
     split = [_PRE.findall(w) for w in words]
     new = list({p for s in split for p in s if p not in pieces})
     here = _encode_words(tokenizer, new) if new else {}
-    if len(pieces) < MOST_WORDS:
+    if len(pieces) < MOST_PIECES:
         pieces.update(here)
     return {w: b"".join([pieces[p] if p in pieces else here[p] for p in s]) for w, s in zip(words, split, strict=True)}
 
@@ -92,16 +104,14 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     return out
 
 
-def _slices(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def _slices(col: pa.Array, most: int = 1_500_000) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` bytes; only one run at a time is turned into strings."""
+    ends = np.cumsum(pc.binary_length(col).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(col):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1
+        yield col.slice(at, upto - at).to_pylist()
+        at = upto
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -214,10 +224,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Full windows, done, and the tail of each document with its ids."""
+        hold("packing", _tokenizer.cache_clear)
         end = np.array([end_id], "<u4")
         for b in batches:
             rows: list[tuple] = []
-            encoded = (ids for part in _slices(b.column(2).to_pylist()) for ids in token_ids(part, path))
+            encoded = (ids for part in _slices(b.column(2)) for ids in token_ids(part, path))
             for at, (shard, ids) in enumerate(zip(b.column(0).to_pylist(), encoded, strict=True)):
                 ids = np.concatenate([ids, end])
                 whole = len(ids) - len(ids) % window
