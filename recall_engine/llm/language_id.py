@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recall_engine.llm.common import hold
+
 BINS = 1 << 16
 UND = "und"
 
@@ -148,7 +150,7 @@ def detect(texts: list[str], model: Model) -> list[tuple[str, float, list[tuple[
     return [(model.langs[b], min(1.0, float(s)), sp) if sp else (UND, 0.0, []) for b, s, sp in zip(best, score, spans, strict=True)]
 
 
-def _slices(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
+def _slices(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` code points, so that no batch grows with long texts more than it must."""
     run, size = [], 0
     for t in texts:
@@ -195,6 +197,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language_id")
         for b in batches:
             texts = [t or "" for t in b.column(len(keep)).to_pylist()]
             done = [x for part in _slices(texts) for x in detect(part, shared.value)]

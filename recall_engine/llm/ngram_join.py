@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall_engine.llm.common import checkpointed, restored, set_aside
+from recall_engine.llm.common import checkpointed, hold, restored, set_aside
 
 LARGE = 8192
 #: Counters of the count table, and how many travel in one row.
@@ -101,7 +101,7 @@ def set_digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _slices(texts: list[str | None], most: int = 3_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     run, size, at = [], 0, 0
     for i, t in enumerate(texts):
         run.append((t or "").encode())
@@ -202,6 +202,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     kind = pa.null()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("ngram_join")
         seen, id_type = np.zeros(COUNTERS, np.int64), kind
         for b in batches:
             id_type = b.column(0).type
@@ -252,7 +253,8 @@ def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray, name: str, **fix
     """Rows of a bucket and its entries, each column packed into one value."""
     order = np.argsort(bucket, kind="stable")
     ids, at = np.unique(bucket[order], return_index=True)
-    spans = list(zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True))
+    ends = np.append(at, len(bucket)).tolist()
+    spans = list(zip(ends[: len(ids)], ends[1:], strict=False))
     cols = {name: pa.array(ids, pa.int64())} | {k: pa.array([v] * len(ids), pa.int64()) for k, v in fixed.items()}
     for k, v in columns.items():
         own = v[order]

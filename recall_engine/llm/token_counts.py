@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall_engine.llm.common import plain, tokenizer_path
+from recall_engine.llm.common import hold, plain, tokenizer_path
 
 #: The pre-token pattern of byte-level BPE, for the texts that ``plain`` admits.
 _PRE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -107,6 +107,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = docs.sparkSession.sparkContext.broadcast(compact((p, len(tokenizer.encode(p, add_special_tokens=False).ids)) for p in pieces))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token_counts", _tables.clear)
         tok, specials = _tokenizer(path)
         lengths = _table(path, id(packed), packed.value)
         for b in batches:
