@@ -12,8 +12,9 @@ WORD = r"[\p{L}\p{N}_\-#@]+"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), ACCENTED, FOLDED)
+    """Lower case without accents; texts of ASCII alone have none."""
+    low = F.lower(c)
+    return F.when(F.octet_length(c) == F.char_length(c), low).otherwise(F.translate(low, ACCENTED, FOLDED))
 
 
 def words(c: Column) -> Column:

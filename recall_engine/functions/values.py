@@ -33,7 +33,7 @@ def utc_day(at: Column) -> Column:
 def overdue(stamp: Column, now: Column, hours: float = PARAMS.park_grace) -> Column:
     """True for stamps older than the grace, and for those that can't be read."""
     at = F.try_to_timestamp(stamp)
-    return F.coalesce(age_hours(at, now) > hours, F.lit(True))
+    return at.isNull() | (age_hours(at, now) > hours)
 
 
 def ttl_hours(spec: Column) -> Column:

@@ -16,6 +16,13 @@ def now():
     return F.lit(NOW).cast("timestamp")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer splits than there are cores, dealt out evenly; any other as it is. Small files of one
+    row group would else keep one core busy with all of their text."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Model:
     """Lazily derived tables of one scale directory."""
 
@@ -23,7 +30,8 @@ class Model:
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(df) if name in ("documents", "pages") else df
 
     def messages(self) -> DataFrame:
         d = self.raw("documents")
