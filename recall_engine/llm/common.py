@@ -40,7 +40,10 @@ def hold(operator: str, clear: Callable[[], object] = lambda: None) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a scale directory; where it comes in fewer splits than there are cores, dealt out evenly."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def set_aside(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
