@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recall_engine.operators.lexical import checked_broadcast
 from recall_engine.operators.ranking import TERMS
 from recall_engine.params import PARAMS, Params
 
@@ -47,7 +48,7 @@ def found_ranks(eps: DataFrame, grid: DataFrame) -> DataFrame:
     value = F.col("r") * F.col("w_r")
     for t in TERMS[1:]:
         value = value + F.col(t) * F.col(f"w_{t}")
-    scored = eps.crossJoin(F.broadcast(grid)).withColumn("_s", value)
+    scored = eps.crossJoin(checked_broadcast(grid)).withColumn("_s", value)
     own = F.when(F.col("message_id") == F.col("found"), F.struct("_s", "message_id"))
     best = scored.withColumn("_f", F.max(own).over(Window.partitionBy("grid_id", "episode")))
     before = (F.col("_s") > F.col("_f._s")) | ((F.col("_s") == F.col("_f._s")) & (F.col("message_id") < F.col("_f.message_id")))

@@ -13,15 +13,20 @@ from recall_engine.functions.text import words
 from recall_engine.params import PARAMS, Params
 
 
+def checked_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A stated, small table marked for broadcast, if it has no more rows than that; else as it is. Spark's own estimate
+    can't be relied on here: that of an exploded text is too low, and would send the index to every task instead."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def postings(texts: DataFrame, id_col: str = "revision_id", text_col: str = "text") -> DataFrame:
     """(id_col, doc_len, pos, term): every word of every text. Written out sorted by term, it is the index."""
     return texts.select(id_col, words(F.col(text_col)).alias("_w")).select(id_col, F.size("_w").alias("doc_len"), F.posexplode("_w").alias("pos", "term"))
 
 
-def collection_stats(index: DataFrame, texts: DataFrame, id_col: str = "revision_id") -> DataFrame:
+def collection_stats(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n_docs, avg_len over all texts, those without words included."""
-    total = index.agg(F.count(F.lit(1)).alias("_words"))
-    return texts.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(total).select("n_docs", (F.col("_words") / F.col("n_docs")).alias("avg_len"))
+    return texts.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size(words(F.col(text_col)))).alias("_words")).select("n_docs", (F.col("_words") / F.col("n_docs")).alias("avg_len"))
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -31,18 +36,31 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return phrases.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).select("query_id", "phrase", F.size("_w").alias("phrase_len"), "phrases", F.posexplode("_w").alias("offset", "term"))
 
 
+def document_frequency(tf: DataFrame) -> DataFrame:
+    """(query_id, phrase, df). It reads all columns of the counts, so that Spark makes them once for both their uses."""
+    counted = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"), F.min("tf").alias("_least"), F.max("phrases").alias("_phrases"))
+    return counted.filter("_least > 0 AND _phrases > 0").select("query_id", "phrase", "df")
+
+
+def summed(scored: DataFrame, id_col: str) -> DataFrame:
+    """(query_id, id_col, score) of texts that have all phrases of a query. The sum goes in the order of the phrases, so that
+    equal texts score alike to the last bit, and ties are ties."""
+    parts = scored.groupBy("query_id", id_col, "phrases").agg(F.array_sort(F.collect_list(F.struct("phrase", "_s"))).alias("_p")).filter(F.size("_p") == F.col("phrases"))
+    return parts.select("query_id", id_col, (-F.aggregate("_p", F.lit(0.0), lambda t, x: t + x["_s"])).alias("score"))
+
+
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, id_col: str = "revision_id", p: Params = PARAMS) -> DataFrame:
     """(query_id, id_col, score): less is better. All phrases of a query must occur."""
     wanted = query_phrases(queries)
-    hits = index.join(wanted, "term").withColumn("_start", F.col("pos") - F.col("offset"))
+    hits = index.join(checked_broadcast(wanted), "term").withColumn("_start", F.col("pos") - F.col("offset"))
     runs = hits.groupBy("query_id", "phrase", "phrase_len", "phrases", id_col, "doc_len", "_start").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == F.col("phrase_len"))
     tf = runs.groupBy("query_id", "phrase", "phrases", id_col, "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
+    df = document_frequency(tf)
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(p.least_idf)).otherwise(raw)
     norm = F.col("tf") + F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * F.col("doc_len") / F.col("avg_len"))
     scored = tf.join(df, ["query_id", "phrase"]).crossJoin(F.broadcast(stats)).withColumn("_s", idf * F.col("tf") * (p.k1 + 1) / norm)
-    return scored.groupBy("query_id", id_col, "phrases").agg(F.count(F.lit(1)).alias("_k"), F.sum("_s").alias("_sum")).filter(F.col("_k") == F.col("phrases")).select("query_id", id_col, (-F.col("_sum")).alias("score"))
+    return summed(scored, id_col)
 
 
 def top_per_query(scored: DataFrame, k: int, *order) -> DataFrame:
@@ -55,7 +73,7 @@ def word_search(messages: DataFrame, revisions: DataFrame, queries: DataFrame, k
     """(query_id, message_id, score, rank) over head revisions. messages: message_id, head_revision_id, retracted;
     revisions: revision_id, message_id, text."""
     index = postings(revisions)
-    scored = bm25(index, collection_stats(index, revisions), queries, p=p)
+    scored = bm25(index, collection_stats(revisions), queries, p=p)
     heads = messages if include_retracted else messages.filter(~F.col("retracted"))
     heads = heads.select("message_id", F.col("head_revision_id").alias("revision_id"))
     return top_per_query(scored.join(heads, "revision_id"), k, "score", "message_id").select("query_id", "message_id", "score", "rank")
@@ -69,18 +87,18 @@ def substring_search(messages: DataFrame, revisions: DataFrame, queries: DataFra
     terms = queries.select("query_id", F.posexplode(F.filter(F.split(F.lower("query"), r"\s+", -1), lambda x: F.char_length(x) >= least)).alias("phrase", "term"))
     terms = terms.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     stats = texts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    found = texts.join(F.broadcast(terms), F.contains("_low", "term"))
+    found = texts.join(checked_broadcast(terms), F.contains("_low", "term"))
     # occurrences may overlap, as those of a phrase of trigrams do
     starts = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("_low") - F.char_length("term") + 1)), lambda i: F.substr(F.col("_low"), i, F.char_length("term")) == F.col("term")))
     plain = F.floor((F.char_length("_low") - F.char_length(F.replace(F.col("_low"), F.col("term"), F.lit("")))) / F.char_length("term"))
     selfish = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("term") - 1)), lambda i: F.left("term", i) == F.right("term", i)) & (F.char_length("term") > 1)
     tf = found.withColumn("tf", F.when(selfish, starts).otherwise(plain).cast("long"))
-    df = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
+    df = document_frequency(tf)
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(p.least_idf)).otherwise(raw)
     norm = F.col("tf") + F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * F.col("doc_len") / F.col("avg_len"))
     scored = tf.join(df, ["query_id", "phrase"]).crossJoin(F.broadcast(stats)).withColumn("_s", idf * F.col("tf") * (p.k1 + 1) / norm)
-    scored = scored.groupBy("query_id", "revision_id", "phrases").agg(F.count(F.lit(1)).alias("_k"), F.sum("_s").alias("_sum")).filter("_k = phrases").select("query_id", "revision_id", (-F.col("_sum")).alias("score"))
+    scored = summed(scored, "revision_id")
     heads = messages if include_retracted else messages.filter(~F.col("retracted"))
     heads = heads.select("message_id", F.col("head_revision_id").alias("revision_id"))
     return top_per_query(scored.join(heads, "revision_id"), k, "score", "message_id").select("query_id", "message_id", "score", "rank")
@@ -91,7 +109,7 @@ def derivative_search(messages: DataFrame, attachments: DataFrame, derivatives:
     derivatives: derivative_id, object_hash, status, invalidated, text."""
     live = derivatives.filter((F.col("status") == "ok") & ~F.col("invalidated"))
     index = postings(live, "derivative_id")
-    hit = bm25(index, collection_stats(index, live, "derivative_id"), queries, "derivative_id").join(live.select("derivative_id", "object_hash"), "derivative_id").join(attachments.select("message_id", "object_hash"), "object_hash")
+    hit = bm25(index, collection_stats(live), queries, "derivative_id").join(live.select("derivative_id", "object_hash"), "derivative_id").join(attachments.select("message_id", "object_hash"), "object_hash")
     shown = messages if include_retracted else messages.filter(~F.col("retracted"))
     found = hit.join(shown.select("message_id"), "message_id", "left_semi").select("query_id", "message_id").distinct()
     return top_per_query(found, k, "message_id")

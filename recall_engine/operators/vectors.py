@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.functions.text import words
-from recall_engine.operators.lexical import top_per_query
+from recall_engine.operators.lexical import checked_broadcast, top_per_query
 from recall_engine.params import PARAMS
 
 
@@ -26,9 +26,9 @@ def normalise(v: Column) -> Column:
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = PARAMS.candidates) -> DataFrame:
     """(query_id, message_id, sim, rank). vectors: message_id, model_id, vector; queries: query_id, model_id, vector.
     Models are never compared with each other. A few queries meet every vector where it lies; the query table is
-    broadcast by Spark if it is small enough, else joined by model."""
+    broadcast if it is small, else joined by model."""
     q = queries.select("query_id", "model_id", F.col("vector").alias("_q"))
-    scored = vectors.join(q, "model_id").select("query_id", "message_id", dot(F.col("_q"), F.col("vector")).alias("sim"))
+    scored = vectors.join(checked_broadcast(q), "model_id").select("query_id", "message_id", dot(F.col("_q"), F.col("vector")).alias("sim"))
     return top_per_query(scored, k, F.desc("sim"), "message_id")
 
 

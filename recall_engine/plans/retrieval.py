@@ -33,7 +33,7 @@ _WORDS = r"regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}_\-#@]+')"
 _TOKENS = f"SELECT revision_id, len(w) AS doc_len, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT revision_id, {_WORDS.format('text')} AS w FROM revisions)"
 _STATS = "SELECT (SELECT count(*) FROM revisions) AS n, (SELECT count(*) FROM tok)::DOUBLE / (SELECT count(*) FROM revisions) AS avg_len"
 _TERMS = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i) AS phrase, term, count(*) OVER (PARTITION BY query_id) AS phrases FROM (SELECT query_id, unnest(string_split(query, ' ')) AS term, unnest(range(len(string_split(query, ' ')))) AS i FROM queries)"
-_SCORED = """SELECT query_id, revision_id, -sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))) AS score
+_SCORED = """SELECT query_id, revision_id, -list_sum(list(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len)) ORDER BY phrase)) AS score
   FROM (SELECT *, count(*) OVER (PARTITION BY query_id, phrase) AS df FROM hits), stats GROUP BY query_id, revision_id, phrases HAVING count(*) = phrases"""
 _HITS = "SELECT query_id, phrase, phrases, revision_id, doc_len, count(*) AS tf FROM tok JOIN terms USING (term) GROUP BY ALL"
 _LEX = """SELECT query_id, message_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, message_id) AS rank
@@ -81,7 +81,7 @@ def phrase_search(spark: SparkSession, d: str) -> DataFrame:
     revs = Model(spark, d).revisions()
     index = lexical.postings(revs)
     asked = spark.sql("SELECT 1 AS query_id, 'of.the and' AS query")
-    return lexical.bm25(index, lexical.collection_stats(index, revs), asked).select("query_id", "revision_id", r6("score", "score"))
+    return lexical.bm25(index, lexical.collection_stats(revs), asked).select("query_id", "revision_id", r6("score", "score"))
 
 
 _TRI = ((1, "thre onanti"), (2, "license gnu"), (3, "éaux x"))

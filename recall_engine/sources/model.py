@@ -105,11 +105,11 @@ class Model:
 
     def queries(self) -> DataFrame:
         """query_id, query, model_id, vector of each request."""
-        q = self.spark.createDataFrame(list(QUERIES), "query_id int, query string, vec_id long")
+        q = self.spark.sql(f"SELECT * FROM VALUES {_values(QUERIES, spark=True)} AS q(query_id, query, vec_id)")
         return q.join(self.raw("embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left").withColumn("model_id", F.lit(MODEL))
 
     def views(self) -> DataFrame:
-        v = self.spark.createDataFrame([(a, b, c, d, list(t)) for a, b, c, d, t in VIEWS], "query_id int, view string, query string, vec_id long, topics array<string>")
+        v = self.spark.sql(f"SELECT * FROM VALUES {_values(VIEWS, spark=True)} AS v(query_id, view, query, vec_id, topics)")
         return v.join(self.raw("embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left").withColumn("model_id", F.lit(MODEL))
 
     def subscriptions(self) -> DataFrame:
@@ -124,8 +124,9 @@ class Model:
         return self.vectors().select("message_id", "topic_id", F.lit(False).alias("removed"))
 
 
-def _values(rows) -> str:
-    lit = lambda x: "NULL" if x is None else "'" + x + "'" if isinstance(x, str) else "[" + ", ".join(f"'{y}'" for y in x) + "]" if isinstance(x, tuple) else str(x)
+def _values(rows, spark: bool = False) -> str:
+    many = "array({})" if spark else "[{}]"
+    lit = lambda x: "NULL" if x is None else "'" + x + "'" if isinstance(x, str) else many.format(", ".join(f"'{y}'" for y in x)) if isinstance(x, tuple) else str(x)
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
 
