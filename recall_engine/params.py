@@ -1,4 +1,7 @@
-"""All constants of the engine, in one place. Times are hours unless a name says otherwise."""
+"""All constants of the engine, in one place. Times are hours unless a name says otherwise.
+
+The numbers are fixed values of the definition: weights, half-lives, caps, limits and thresholds.
+"""
 
 from __future__ import annotations
 
