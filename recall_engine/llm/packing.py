@@ -32,6 +32,8 @@ from recall_engine.llm.common import hold, plain, tokenizer_path
 
 #: The pre-token pattern of the word-end vocabulary, for lower-case words that ``plain`` admits.
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Marks other than commas and full stops, in lower-case text; next to one, these would be part of its pre-token.
+_MARKED = re.compile("[^a-z0-9ß-öø-ÿœ \n\t.,]")
 #: Words, and pre-tokens, that a worker remembers with their ids; those that come later are encoded again in each batch.
 MOST_WORDS, MOST_PIECES = 500_000, 500_000
 
@@ -86,7 +88,11 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     spans: list[tuple[int, int, int]] = []
     for i, text in enumerate(texts):
         if plain(text) and "<|" not in text:
-            words = text.lower().split()
+            low = text.lower()
+            if not (_MARKED.search(low) or ".." in low or "," in low and (",," in low or ",." in low or ".," in low)):
+                # lone commas and full stops are pre-tokens of their own: fewer different words
+                low = low.replace(",", " , ").replace(".", " . ")
+            words = low.split()
             spans.append((i, len(flat), len(flat) + len(words)))
             flat += words
         else:
