@@ -2,11 +2,14 @@
 
 A document is its token ids and one end id. Full windows are cut off long documents where they are tokenised, so
 only tails shorter than a window travel: as token ids, to shards of documents whose number follows from the number
-of rows, so a shard has a bounded number of tails of a bounded length. Each shard builds an inverted index over its
-tails, with token ids as terms and BM25 weights. The first unused document seeds a window; the index returns
-its unused neighbours, best first, and those that fit go in whole. What is left of the window takes the first part
-of the best neighbour that didn't fit, or of the next unused document, and its rest seeds the next window. A
-shard's last window is cut into sequences whose lengths are powers of two, so nothing is padded.
+of rows, so a shard has a bounded number of tails of a bounded length. Document frequencies and the mean length are
+counted over all tails. A tail's BM25 weights, projected to a few dimensions, lead it down a tree of splits along the
+main directions of a sample, so that tails with much weight in common meet in a shard. Each shard builds an inverted
+index over its tails, with token ids as terms and BM25 weights. The first unused document seeds a window; the index
+returns its unused neighbours by all of its terms, best first, and those that fit go in whole. What is left of the window
+takes the first part of the best neighbour that didn't fit, or of the next unused document, and its rest seeds the next
+window. A shard's last window is cut into sequences whose lengths are powers of two, so nothing is padded. A neighbour
+in another shard is not found; the README has the share that is.
 
 Defined results: null text counts as empty and has the end id alone; each row is packed, also where ids repeat or
 are null; ties in score go to the smaller place in the shard (order of id, then of text); an empty table gives no
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall_engine.llm.common import hold, plain, tokenizer_path
+from recall_engine.llm.common import checkpointed, hold, plain, tokenizer_path
 
 #: The pre-token pattern of the word-end vocabulary, for lower-case words that ``plain`` admits.
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -36,6 +39,9 @@ _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _MARKED = re.compile("[^a-z0-9ß-öø-ÿœ \n\t.,]")
 #: Words, and pre-tokens, that a worker remembers with their ids; those that come later are encoded again in each batch.
 MOST_WORDS, MOST_PIECES = 500_000, 500_000
+#: Dimensions of the projection, the units of a component, and the tails that the splits are learned from.
+DIMS, UNITS, SAMPLE = 64, 256, 65_536
+K1, B = 1.2, 0.75
 
 
 @functools.lru_cache(maxsize=2)
@@ -124,10 +130,27 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
+class Stats:
+    """How many tails there are, their mean length, and in how many each term stands."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean, self.df = n, mean, df
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Stats:
+        terms = np.concatenate([np.unique(d) for d in docs]).astype(np.int64) if docs else np.zeros(0, np.int64)
+        return cls(len(docs), sum(map(len, docs)) / max(1, len(docs)), np.bincount(terms))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | int, k1: float = K1, b: float = B) -> np.ndarray:
+        """BM25 weights of terms in tails of a length."""
+        df = self.df[term]
+        return np.log1p((self.n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(1.0, self.mean)))
+
+
 class Bm25:
-    """An inverted index over the documents of a shard: terms to places and weights."""
+    """An inverted index over the documents of a shard: terms to places and weights, by the statistics of all shards."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float, b: float):
+    def __init__(self, docs: list[np.ndarray], k1: float, b: float, stats: Stats | None = None):
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
         terms = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
@@ -135,26 +158,75 @@ class Bm25:
         term, self.place = np.divmod(key, max(self.n, 1))
         self.terms, at, df = np.unique(term, return_index=True, return_counts=True)
         self.at = np.append(at, len(term))
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * lengths[self.place] / max(1.0, lengths.mean() if self.n else 1.0))
-        self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm)
+        self.weight = (stats or Stats.of(docs)).weights(term, tf, lengths[self.place], k1, b)
         order = np.lexsort((-self.weight, self.place))
         self.best = np.repeat(np.arange(len(self.terms)), df)[order]
         self.of = np.append(np.searchsorted(self.place[order], np.arange(self.n)), len(order))
-
-    def neighbours(self, seed: int, free: np.ndarray, n_terms: int) -> np.ndarray:
-        """Places of unused documents that share any of the seed's n_terms weightiest terms, best first."""
+        # terms of an eighth of the documents or more: their weights by place, with no more room than eight times the postings
+        common = np.flatnonzero(df * 8 >= max(self.n, 1))
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), self.n))
+        for r, t in enumerate(common):
+            self.full[r, self.place[at[t] : at[t] + df[t]]] = self.weight[at[t] : at[t] + df[t]]
+
+    def neighbours(self, seed: int, free: np.ndarray, n_terms: int | None = None) -> np.ndarray:
+        """Places of unused documents that share any of the seed's terms, or of its n_terms weightiest, best first."""
         score = np.zeros(self.n)
-        for t in self.best[self.of[seed] : self.of[seed + 1]][:n_terms]:
-            span = slice(self.at[t], self.at[t + 1])
-            score[self.place[span]] += self.weight[span]
+        for t in self.best[self.of[seed] : self.of[seed + 1]][:n_terms].tolist():
+            if (r := self.row[t]) >= 0:
+                score += self.full[r]
+            else:
+                span = slice(self.at[t], self.at[t + 1])
+                score[self.place[span]] += self.weight[span]
         found = np.flatnonzero((score > 0) & free)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int, k1: float = 1.2, b: float = 0.75, n_terms: int = 16) -> list[list[tuple[int, int, int]]]:
+@functools.lru_cache(maxsize=1)
+def _signs(terms: int) -> np.ndarray:
+    return np.random.default_rng(6).choice(np.array([-1, 1], np.float32), (terms, DIMS))
+
+
+def project(ids: np.ndarray, stats: Stats) -> np.ndarray:
+    """A tail's BM25 weights in DIMS random directions, at length 1, in whole units: sums of these are exact in any order."""
+    term, tf = np.unique(ids, return_counts=True)
+    v = stats.weights(term, tf, len(ids)).astype(np.float32) @ _signs(len(stats.df))[term]
+    return np.rint(v * (UNITS / max(float(np.sqrt(v @ v)), 1e-9))).astype("<i2")
+
+
+def grow(x: np.ndarray, hashes: np.ndarray, shards: int):
+    """A tree that parts the sample evenly: (direction, where it is cut, hash at the cut, low side, high side), or None for a
+    shard. Equal tails are told apart by hash, so copies don't fill a shard."""
+    if shards < 2 or not len(x):
+        return None
+    low = shards // 2
+    y = x - x.mean(0)
+    v = np.linalg.eigh(y.T @ y)[1][:, -1]
+    v = np.rint(v * np.sign(v[np.argmax(np.abs(v))]) * UNITS)
+    along = x @ v
+    order = np.lexsort((hashes, along))
+    cut = len(x) * low // shards
+    first, rest = order[:cut], order[cut:]
+    return v, along[rest[0]], hashes[rest[0]], low, grow(x[first], hashes[first], low), grow(x[rest], hashes[rest], shards - low)
+
+
+def descend(tree, x: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The shard of each tail."""
+    out = np.zeros(len(x), np.int64)
+    if tree is None or not len(x):
+        return out
+    v, at, mark, low, left, right = tree
+    along = x @ v
+    high = (along > at) | (along == at) & (hashes >= mark)
+    out[~high] = descend(left, x[~high], hashes[~high])
+    out[high] = low + descend(right, x[high], hashes[high])
+    return out
+
+
+def pack_shard(docs: list[np.ndarray], window: int, k1: float = K1, b: float = B, stats: Stats | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (place, start, length) that hold each id of each document once."""
-    index, n = Bm25(docs, k1, b), len(docs)
+    index, n = Bm25(docs, k1, b, stats), len(docs)
     free, start = np.array([len(d) > 0 for d in docs], bool), np.zeros(n, np.int64)
     size = np.array([len(d) for d in docs], np.int64)
     sequences, begun, nxt = [], -1, 0
@@ -177,7 +249,7 @@ def pack_shard(docs: list[np.ndarray], window: int, k1: float = 1.2, b: float =
         room -= put(seed, room)
         late = -1
         if room:
-            for d in index.neighbours(seed, free, n_terms):
+            for d in index.neighbours(seed, free):
                 if size[d] - start[d] <= room:
                     room -= put(d, room)
                 elif late < 0:
@@ -219,14 +291,14 @@ def _powers(row: list[tuple[int, int, int]], filled: int) -> list[list[tuple[int
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", window: int = 4096, end_id: int = 2, docs_per_shard: int = 2048, n_terms: int = 16) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", window: int = 4096, end_id: int = 2, docs_per_shard: int = 2048) -> DataFrame:
     """One row a piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = tokenizer_path(vocabulary)
-    shards = max(1, -(-docs.count() // docs_per_shard))
     kind = docs.schema[id_col].dataType
-    narrow = "<u2" if _tokenizer(path)[0].get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+    n_ids = max(_tokenizer(path)[0].get_vocab_size(), end_id + 1)
+    narrow = "<u2" if n_ids <= 1 << 16 else "<u4"
     field = lambda n, t: T.StructField(n, t)
-    cut_schema = T.StructType([field("_shard", T.LongType()), field("_id", kind), field("_start", T.LongType()), field("_n", T.LongType()), field("_tokens", T.LongType()), field("_crc", T.LongType()), field("_ids", T.BinaryType())])
+    cut_schema = T.StructType([field("_hash", T.LongType()), field("_id", kind), field("_start", T.LongType()), field("_n", T.LongType()), field("_tokens", T.LongType()), field("_crc", T.LongType()), field("_ids", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Full windows, done, and the tail of each document with its ids."""
@@ -235,16 +307,45 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         for b in batches:
             rows: list[tuple] = []
             encoded = (ids for part in _slices(b.column(2)) for ids in token_ids(part, path))
-            for at, (shard, ids) in enumerate(zip(b.column(0).to_pylist(), encoded, strict=True)):
+            for at, (mark, ids) in enumerate(zip(b.column(0).to_pylist(), encoded, strict=True)):
                 ids = np.concatenate([ids, end])
                 whole = len(ids) - len(ids) % window
-                rows += [((shard + s // window) % shards, at, s, window, len(ids), _crc(ids[s : s + window]), None) for s in range(0, whole, window)]
+                rows += [(mark, at, s, window, len(ids), _crc(ids[s : s + window]), None) for s in range(0, whole, window)]
                 if whole < len(ids):
-                    rows.append((shard, at, whole, len(ids) - whole, len(ids), None, ids[whole:].astype(narrow).tobytes()))
-            shard, at, s, n, total, crc, tail = zip(*rows, strict=True) if rows else [()] * 7
-            cols = [pa.array(shard, pa.int64()), b.column(1).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (s, n, total, crc)), pa.array(tail, pa.binary())]
+                    rows.append((mark, at, whole, len(ids) - whole, len(ids), None, ids[whole:].astype(narrow).tobytes()))
+            mark, at, s, n, total, crc, tail = zip(*rows, strict=True) if rows else [()] * 7
+            cols = [pa.array(mark, pa.int64()), b.column(1).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (s, n, total, crc)), pa.array(tail, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=cut_schema.names)
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many tails each term stands; under -1 the tails, under -2 their ids."""
+        df, tails, length = np.zeros(n_ids, np.int64), 0, 0
+        for b in batches:
+            for ids in b.column(0).to_pylist():
+                ids = np.frombuffer(ids, narrow)
+                df[np.unique(ids)] += 1
+                tails, length = tails + 1, length + len(ids)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [tails, length]))], names=["term", "n"])
+
+    def vectors(b: pa.RecordBatch, ids: int) -> np.ndarray:
+        found = [project(np.frombuffer(x, narrow), stats) for x in b.column(ids).to_pylist()]
+        return np.stack(found).astype(np.float64) if found else np.zeros((0, DIMS))
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<i2").tobytes() for x in vectors(b, 1)], pa.binary())], names=["_hash", "x"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tails to the shards of their likely neighbours; full windows, which need none, evenly."""
+        for b in batches:
+            marks = b.column(0).to_numpy()
+            shard = (marks % shards + b.column(2).to_numpy() // window) % shards
+            tail = np.flatnonzero(b.column(6).is_valid().to_numpy(zero_copy_only=False))
+            if shards > 1 and len(tail):
+                shard[tail] = descend(tree, vectors(b.take(pa.array(tail)), 6), marks[tail])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *b.columns[1:]], names=["_shard", *cut_schema.names[1:]])
+
     def fill(t: pa.Table) -> pa.Table:
         """All pieces of a shard."""
         t = t.combine_chunks().sort_by([("_id", "ascending"), ("_start", "ascending"), ("_ids", "ascending")])
@@ -254,7 +355,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         open_ = [i for i, x in enumerate(tails) if x is not None]
         docs_ = [np.frombuffer(tails[i], narrow) for i in open_]
         out = [(i, first[i], n[i], crc[i], total[i], q, 0) for q, i in enumerate(done)]
-        for q, row in enumerate(pack_shard(docs_, window, n_terms=n_terms), len(done)):
+        for q, row in enumerate(pack_shard(docs_, window, stats=stats), len(done)):
             offset = 0
             for d, s, length in row:
                 i = open_[d]
@@ -266,5 +367,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     out_schema = T.StructType([field(id_col, kind)] + [field(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    given = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(shards)).alias("_shard"), F.col(id_col).alias("_id"), text.alias("_text"))
-    return given.mapInArrow(cut, cut_schema).groupBy("_shard").applyInArrow(fill, out_schema)
+    given = docs.select(F.xxhash64(F.col(id_col), text).alias("_hash"), F.col(id_col).alias("_id"), text.alias("_text"))
+    pieces = checkpointed(given.mapInArrow(cut, cut_schema))
+    tails = pieces.filter(F.col("_ids").isNotNull())
+    counts = {r["term"]: r["n"] for r in tails.select("_ids").mapInArrow(tally, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n_tails, length, df = counts.pop(-1, 0), counts.pop(-2, 0), np.zeros(n_ids, np.int64)
+    df[list(counts)] = list(counts.values())
+    stats = Stats(n_tails, length / max(1, n_tails), df)
+    shards, tree = max(1, -(-n_tails // docs_per_shard)), None
+    if shards > 1:
+        some = tails.filter(F.pmod(F.xxhash64("_hash"), F.lit(-(-n_tails // SAMPLE))) == 0).select("_hash", "_ids").mapInArrow(sampled, "_hash long, x binary").toArrow()
+        x = np.frombuffer(b"".join(some["x"].to_pylist()), "<i2").reshape(-1, DIMS).astype(np.float64)
+        marks = some["_hash"].to_numpy()
+        order = np.lexsort((*x.T, marks))
+        tree = grow(x[order], marks[order], shards)
+    shard_schema = T.StructType([field("_shard", T.LongType()), *cut_schema.fields[1:]])
+    return pieces.mapInArrow(deal, shard_schema).groupBy("_shard").applyInArrow(fill, out_schema)
