@@ -2,10 +2,14 @@
 
 A scan of the markup cuts a page into blocks at block-level tags. The first pass labels each block from where it
 stands and what it looks like: blocks inside menus, footers, asides, forms, adverts, notices and comments (by tag, role
-or the words of class and id) are out; blocks inside the article or main element are in; all others are judged by
-length, link density and the share of stop words, and short ones without links stay open. The second pass gives each
-open block the label of its nearest decided neighbours: in if both sides are in, or if the nearer one is; where no
-block is decided, all are in.
+or the words of class and id, also those of an article element) are out; all others are judged by length, link density
+and the share of stop words, and short ones without links stay open. The second pass gives each open block the label of
+its nearest decided neighbours: in if both sides are in, or if the nearer one is; where no block is decided, all are in.
+
+Standing inside an article or main element is only a leaning: there a block is out in the first pass only where more than
+half of it is links, headings stay open, long blocks are in whatever their stop words, and the rest stays open. An open
+one is out only if its nearest decided neighbours inside are out on both sides, or for a heading, if the next one is. Blocks outside
+are judged as on a page without such an element.
 
 Defined results: null html and pages without text give an empty string; character references are decoded once;
 white space inside a block becomes one space; nothing of a kept block is dropped or cut, however long; unclosed and
@@ -56,7 +60,9 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Parameters of the first pass: code points, shares of words and of letters in links.
-SHORT, LONG, STOP_LOW, STOP_HIGH, MAX_LINKS = 70, 200, 0.30, 0.32, 0.2
+SHORT, LONG, STOP_LOW, STOP_HIGH, MAX_LINKS, MAX_LINKS_INSIDE = 70, 200, 0.30, 0.32, 0.2, 0.5
+#: Class words that tell of a page's layout, not of the element that has them.
+_LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without|show|hide)-\S+", re.I)
 
 
 class Block:
@@ -78,11 +84,14 @@ def _place(tag: str, attrs: str, in_article: bool) -> str:
     role = said.get("role", "").lower()
     if role in _OUT_ROLES:
         return "out"
-    if tag in ("article", "main") or role in ("main", "article") or said.get("itemprop", "").lower() == "articlebody":
+    if tag == "main" or role == "main":
         return "in"
     names = f"{said.get('class', '')} {said.get('id', '')}"
-    if tag not in ("html", "body") and _OUT_WORDS.search(names):
+    article = tag == "article" or role == "article" or said.get("itemprop", "").lower() == "articlebody"
+    if tag not in ("html", "body") and _OUT_WORDS.search(_LAYOUT.sub("", names) if article else names):
         return "out"
+    if article:
+        return "in"
     return "in" if tag not in ("html", "body") and _IN_WORDS.search(names) else ""
 
 
@@ -170,14 +179,19 @@ def blocks_of(page: str) -> list[Block]:
 
 def classify(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text."""
-    framed = any(b.inside and not b.out for b in blocks)
-    first = [_first(b, framed) for b in blocks]
+    first = [_first(b) for b in blocks]
     decided = [i for i, x in enumerate(first) if x is not None]
-    out, j = [], 0
+    inside = [i for i in decided if blocks[i].inside and not blocks[i].out]
+    out, j, k = [], 0, 0
     for i, label in enumerate(first):
         while j < len(decided) and decided[j] < i:
             j += 1
-        if label is None:
+        while k < len(inside) and inside[k] < i:
+            k += 1
+        if label is None and blocks[i].inside:
+            before, after = k == 0 or bool(first[inside[k - 1]]), k == len(inside) or bool(first[inside[k]])
+            label = after if blocks[i].heading else before or after
+        elif label is None:
             left = decided[j - 1] if j else None
             right = decided[j] if j < len(decided) else None
             if left is None or right is None:
@@ -191,21 +205,26 @@ def classify(blocks: list[Block]) -> list[bool]:
     return out
 
 
-def _first(b: Block, framed: bool) -> bool | None:
+def _first(b: Block) -> bool | None:
     if b.out:
         return False
-    if framed:
-        return b.inside
     density = b.links / len(b.text)
-    if density > MAX_LINKS or "©" in b.text:
+    if b.inside:
+        if b.heading:
+            return None
+        if density > MAX_LINKS_INSIDE:
+            return False
+    elif density > MAX_LINKS or "©" in b.text:
         return False
     if len(b.text) < SHORT:
-        return False if density > 0 else None
+        return False if density > 0 and not b.inside else None
+    if b.inside and len(b.text) > LONG:
+        return True
     words = _WORD.findall(b.text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stop >= STOP_HIGH or len(b.text) > LONG and stop > STOP_LOW / 3:
         return True
-    return None if stop >= STOP_LOW or len(b.text) > LONG else False
+    return None if b.inside or stop >= STOP_LOW or len(b.text) > LONG else False
 
 
 def main_text(page: str | None) -> str:
