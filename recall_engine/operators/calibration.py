@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +59,59 @@ def found_ranks(eps: DataFrame, grid: DataFrame) -> DataFrame:
     return best.groupBy("grid_id", "episode").agg(F.when(F.max("_f").isNull(), 0).otherwise(F.count_if(before) + 1).alias("place"))
 
 
+def place_counts(eps: DataFrame, grid: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(grid_id, by, place, n): in how many episodes each place comes up, as ``found_ranks`` has them. An episode's candidates
+    meet all weight vectors in one task, so only counts are shuffled; the grid has a fixed size."""
+    held = grid.select("grid_id", *[f"w_{t}" for t in TERMS]).toPandas()
+    ids, w = held["grid_id"].to_numpy(np.int64), held[[f"w_{t}" for t in TERMS]].to_numpy(np.float64).T
+    own = F.coalesce(F.col("message_id") == F.col("found"), F.lit(False)).alias("own")
+    # place of a candidate's id among the episode's, so ids of any type compare alike
+    listed = eps.groupBy("episode", *by).agg(F.array_sort(F.collect_list(F.struct("message_id", own, *TERMS))).alias("c"))
+    flag = F.col(by[0]) if by else F.lit(False)
+    part = F.col("c").getField
+    listed = listed.select(flag.alias("_by"), F.transform(part("message_id"), lambda x: F.array_position(part("message_id"), x)).alias("order"), part("own").alias("own"), *[part(t).alias(t) for t in TERMS])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[bool, int], np.ndarray] = {}
+        for b in batches:
+            for e in b.to_pylist():
+                x = np.array([e[t] for t in TERMS], np.float64)
+                score = x[0][:, None] * w[0]
+                for i in range(1, len(TERMS)):
+                    score += x[i][:, None] * w[i]
+                own, order = np.array(e["own"], bool), np.array(e["order"])
+                place = np.zeros(len(ids), np.int64)
+                if own.any():
+                    f = score[own].max(0)
+                    before = (score > f) | (score == f) & (order < order[own][0])[:, None]
+                    place = before.sum(0) + 1
+                for k in np.unique(place).tolist():
+                    at = seen.setdefault((e["_by"], k), np.zeros(len(ids), np.int64))
+                    at += place == k
+        for (flag, k), n in seen.items():
+            has = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array([flag] * len(has), pa.bool_()), pa.array([k] * len(has), pa.int64()), pa.array(n[has])], names=["grid_id", "_by", "place", "n"])
+
+    counted = listed.mapInArrow(count, "grid_id long, _by boolean, place long, n long").groupBy("grid_id", "_by", "place").agg(F.sum("n").alias("n"))
+    return counted.withColumnRenamed("_by", by[0]) if by else counted.drop("_by")
+
+
+def evaluate_counts(counts: DataFrame) -> DataFrame:
+    """What ``evaluate`` gives, from counts of places, summed in order of place, so that equal counts tie."""
+    listed = counts.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("_c"), F.sum("n").alias("episodes"), F.sum(F.when(F.col("place").between(1, 5), F.col("n")).otherwise(0)).alias("_hit"))
+    gain = F.aggregate(F.filter("_c", lambda x: x["place"] > 0), F.lit(0.0), lambda a, x: a + x["n"] / x["place"])
+    return listed.select("grid_id", (F.col("_hit") / F.col("episodes")).alias("success_at_5"), (gain / F.col("episodes")).alias("mrr"), "episodes")
+
+
+def calibrate_fine(eps: DataFrame, grid: DataFrame, every: int = PARAMS.holdout_every) -> DataFrame:
+    """What ``calibrate`` gives, for grids of thousands of vectors."""
+    counts = place_counts(holdout(eps, every), grid, ("holdout",))
+    best = evaluate_counts(counts.filter(~F.col("holdout"))).orderBy(F.desc("success_at_5"), F.desc("mrr"), "grid_id").limit(1)
+    held = evaluate_counts(counts.filter("holdout")).select("grid_id", F.col("success_at_5").alias("holdout_success_at_5"), F.col("mrr").alias("holdout_mrr"))
+    enough = eps.agg(F.count_distinct("episode").alias("_n")).filter("_n >= 8")
+    return best.join(held, "grid_id", "left").join(grid, "grid_id").crossJoin(enough)
+
+
 def evaluate(ranks: DataFrame, by: tuple[str, ...] = ("grid_id",)) -> DataFrame:
     """(success_at_5, mrr): found among the first five, and the mean reciprocal rank; what isn't found counts as none."""
     hit = F.when(F.col("place").between(1, 5), 1.0).otherwise(0.0)
