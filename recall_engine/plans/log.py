@@ -39,10 +39,10 @@ def event_log(m: Model) -> DataFrame:
     documents; links, removals, pins, signals and subscriptions follow from ids. Every 50th event comes twice."""
     docs = m.raw("documents").select("doc_id", "text", "lang", "source", "n_chars")
     mid = F.concat(F.lit("m"), "doc_id").alias("message_id")
-    rev = lambda n: F.struct(F.concat(F.lit("r"), "doc_id", F.lit(f"-{n}")).alias("revision_id"), F.array(F.concat(F.lit("r"), "doc_id", F.lit("-0"))).alias("parents"), F.left("text", F.lit(50)).alias("body"))
+    rev = lambda n: F.struct(F.concat(F.lit("r"), "doc_id", F.lit(f"-{n}")).alias("revision_id"), F.array(F.concat(F.lit("r"), "doc_id", F.lit("-0"))).alias("parents"), F.col("text").alias("body"))
     first = docs.groupBy("lang").agg(F.min("doc_id").alias("doc_id")).withColumn("source", F.lit("0"))  # the first origin
     parts = [
-        _event(docs.filter("doc_id % 40 <> 39"), "message.publish", 1, mid, F.concat(F.lit("r"), "doc_id", F.lit("-0")).alias("revision_id"), F.left("text", F.lit(50)).alias("body"), F.lit("canonical").alias("text_class"), (F.col("doc_id") % 4).alias("declared_priority"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("ops"), F.lit("dev"))).alias("recipients")),
+        _event(docs.filter("doc_id % 40 <> 39"), "message.publish", 1, mid, F.concat(F.lit("r"), "doc_id", F.lit("-0")).alias("revision_id"), F.col("text").alias("body"), F.lit("canonical").alias("text_class"), (F.col("doc_id") % 4).alias("declared_priority"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("ops"), F.lit("dev"))).alias("recipients")),
         _event(docs.filter("doc_id % 5 = 0"), "message.revise_body", 2, mid, F.array(rev(1), rev(2)).alias("revisions")),
         _event(docs.filter("doc_id % 5 = 4"), "message.revise_body", 3, mid, F.array(rev(1)).alias("revisions")),
         _event(docs.filter("doc_id % 17 = 0"), "message.retract", 4, mid),
