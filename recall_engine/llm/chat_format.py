@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts, in DataFrame expressions only.
 
-A message is a row with a role and an array of typed parts. A visitor flattens each message: text parts are
-escaped, all other parts become ordered placeholders, with an attachment reference and the number of tokens that
+A message is a row with a role and an array of typed parts. A visitor flattens each message: runs of text parts
+are joined and escaped, all other parts become ordered placeholders, with an attachment reference and the number of tokens that
 the placeholder stands for. The messages of a conversation become one string and one span a turn, which says
 whether the turn's body lies under the loss mask.
 
@@ -53,6 +53,19 @@ def _tokens(p: Column, patch: int, audio_rate: float, page_tokens: int) -> Colum
     )
 
 
+def _runs(z: Column) -> Column:
+    """The body of parts whose places of other than text are ``stops``, with -1 before and their number after them."""
+
+    def run(k: Column) -> Column:
+        a, b = F.get(z["stops"], k), F.get(z["stops"], k + 1)
+        said = F.array_join(F.transform(F.slice(z["parts"], a + 2, b - a - 1), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        kind = F.get(z["parts"], b)["type"]
+        mark = F.when(b >= F.size(z["parts"]), "").when(kind.isin("image", "audio", "document"), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise("<|file|>")
+        return F.concat(escape(said), mark)
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(z["stops"]) - 2), run), "")
+
+
 def flatten_parts(parts: Column, patch: int = 28, audio_rate: float = 25.0, page_tokens: int = 1024) -> Column:
     """struct<text, attachments: array<struct<type, uri, tokens>>, tokens> of an array of parts.
 
@@ -60,19 +73,17 @@ def flatten_parts(parts: Column, patch: int = 28, audio_rate: float = 25.0, page
     a document for page_tokens a page. Attachments lie in the order of their placeholders.
     """
     known = F.filter(F.coalesce(parts, F.array().cast(PARTS)), lambda p: p.isNotNull())
-    shown = F.transform(
-        known,
-        lambda p: F.when(F.coalesce(p["type"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit(""))))
-        .when(p["type"].isin("image", "audio", "document"), F.concat(F.lit("<|"), p["type"], F.lit("|>")))
-        .otherwise(F.lit("<|file|>")),
-    )
-    others = F.filter(known, lambda p: F.coalesce(p["type"], F.lit("text")) != "text")
+    is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
+    stops = F.array_compact(F.transform(known, lambda p, i: F.when(~is_text(p), i)))
+    # Text parts that stand side by side are escaped as one text, so no control string can be put together from them.
+    body = F.transform(F.array(F.struct(known.alias("parts"), F.concat(F.array(F.lit(-1)), stops, F.array(F.size(known))).alias("stops"))), _runs)[0]
+    others = F.filter(known, lambda p: ~is_text(p))
     refs = F.transform(
         others,
         lambda p: F.struct(p["type"].alias("type"), p["uri"].alias("uri"), _tokens(p, patch, audio_rate, page_tokens).alias("tokens")),
     )
     total = F.aggregate(refs, F.lit(0).cast("long"), lambda a, r: a + r["tokens"])
-    return F.struct(F.array_join(shown, "").alias("text"), refs.alias("attachments"), total.alias("tokens"))
+    return F.struct(body.alias("text"), refs.alias("attachments"), total.alias("tokens"))
 
 
 def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", loss_roles: tuple[str, ...] = ("assistant",), **sizes) -> DataFrame:
