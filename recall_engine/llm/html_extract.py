@@ -12,8 +12,9 @@ one is out only if its nearest decided neighbours inside are out on both sides,
 are judged as on a page without such an element.
 
 Defined results: null html and pages without text give an empty string; character references are decoded once;
-white space inside a block becomes one space; nothing of a kept block is dropped or cut, however long; unclosed and
-stray tags are tolerated; ids and urls pass through as they are, also null or repeated ones; extra columns are
+white space inside a block becomes one space; nothing of a kept block is dropped or cut, however long; form controls, titles
+of drawings and what media elements hold for readers that can't show them are no text; unclosed and stray tags are tolerated,
+in time that grows with the page alone; ids and urls pass through as they are, also null or repeated ones; extra columns are
 ignored.
 """
 
@@ -39,7 +40,9 @@ STOP_WORDS = frozenset(
     al como con cuando del desde donde el ella entre era es esta este esto ha hasta hay lo los las más muy no nos o para pero
     por porque se sin sobre su sus también un una uno y ya""".split()
 )
-RAW = frozenset("script style noscript template svg math iframe object canvas head title textarea select option button audio video map datalist".split())
+#: Elements whose content a page doesn't show as text: scripts, styles, metadata, form controls, and what media elements have for
+#: readers that can't show them.
+RAW = frozenset("script style noscript template iframe canvas head title textarea select option button audio video datalist".split())
 OUT_TAGS = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -54,9 +57,11 @@ _OUT_WORDS = re.compile(
 )
 _IN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post-?(?:body|content)|entry-?content|story-?body|main-?content|main)(?=$|[\s_-])", re.I)
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+#: A tag after its "<": closing or not, name, attributes; values in quotes may hold ">". Nothing is read twice.
+_TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
+#: The same where a quote is never closed.
+_BROKEN_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_CUT = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Parameters of the first pass: code points, shares of words and of letters in links.
@@ -95,10 +100,60 @@ def _place(tag: str, attrs: str, in_article: bool) -> str:
     return "in" if tag not in ("html", "body") and _IN_WORDS.search(names) else ""
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each piece of markup, in one pass; comments, declarations and elements of RAW,
+    whole, have no name. The page's end comes last, from where a tag may be cut off. Between the pieces lies text.
+
+    Whatever is looked for and isn't there is not looked for again, so the time grows with the page alone.
+    """
+    at, last = 0, page.rfind(">")
+    tag_form, cdata, missing = _TAG, True, set()
+    while 0 <= (i := page.find("<", at)) < last:
+        head = page[i + 1 : i + 9]
+        if head.startswith("!--"):
+            end = page.find("-->", i + 2)
+            end = len(page) if end < 0 else end + 3
+            yield i, end, False, "", ""
+        elif cdata and head == "![CDATA[":
+            end = page.find("]]>", i)
+            cdata = end >= 0
+            if not cdata:
+                continue
+            end += 3
+            yield i, end, False, "", ""
+        elif head[:1] in ("!", "?") or head[:1] == "/" and not (head[1:2].isascii() and head[1:2].isalpha()):
+            end = page.find(">", i) + 1
+            yield i, end, False, "", ""
+        elif m := tag_form.match(page, i + 1):
+            end, tag, closing = m.end(), m[2].lower(), m[1] == "/"
+            if tag in RAW and not closing and not m[3].endswith("/"):
+                shut = None if tag in missing else re.compile(rf"</{tag}\s*+>", re.I).search(page, end)
+                if shut or tag in ("script", "style"):
+                    end = shut.end() if shut else len(page)
+                elif not shut:
+                    missing.add(tag)
+                tag = ""
+            yield i, end, closing, tag, m[3]
+        elif head[:1] == "/" or head[:1].isascii() and head[:1].isalpha():
+            tag_form = _BROKEN_TAG  # a quote that no other closes: from here on a tag ends at the next ">"
+            continue
+        else:
+            end = page.find("<", i + 1)  # a mere sign
+            at = i + 1 if end < 0 else end
+            continue
+        at = end
+    cut = _CUT.search(page, max(at, last + 1))
+    if cut:
+        yield cut.start(), len(page), False, "", ""
+    else:
+        yield len(page), len(page), False, "", ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in order."""
     found: list[Block] = []
     stack: list[tuple[str, str]] = []  # open elements that matter, and their places
+    opened: dict[str, int] = {}  # how many of each are open
     parts: list[str] = []
     state = {"out": 0, "in": 0, "a": 0, "links": 0, "head": 0, "br": False}
 
@@ -121,6 +176,7 @@ def blocks_of(page: str) -> list[Block]:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
                 for name, place in stack[i:]:
+                    opened[name] -= 1
                     state["out"] -= place == "out"
                     state["in"] -= place == "in"
                     state["a"] -= name == "a"
@@ -128,20 +184,13 @@ def blocks_of(page: str) -> list[Block]:
                 del stack[i:]
                 return
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    at_text = 0
+    for start, at, closing, tag, attrs in tags_of(page):
+        if start > at_text:
+            text(page[at_text:start])
+        at_text = at
         if not tag:
             continue
-        closing, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if not closing and tag in RAW and not attrs.endswith("/"):
-            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if shut or tag in ("script", "style"):
-                at = shut.end() if shut else len(page)
-            continue
         if tag == "br":
             if state["br"]:
                 end()
@@ -154,7 +203,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            pop(tag)
+            if opened.get(tag):
+                pop(tag)
             continue
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             pop(tag)
@@ -165,14 +215,11 @@ def blocks_of(page: str) -> list[Block]:
             while stack and state["out"]:
                 pop(stack[-1][0])
         stack.append((tag, place))
+        opened[tag] = opened.get(tag, 0) + 1
         state["out"] += place == "out"
         state["in"] += place == "in"
         state["a"] += tag == "a"
         state["head"] += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    if at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the page's end cuts off
-        text(rest[: cut.start()] if cut else rest)
     end()
     return found
 
