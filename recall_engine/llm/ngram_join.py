@@ -13,13 +13,15 @@ for copies, which share one node.
 3. The texts of each candidate group come together once. Shingles are hashed into 64 to 1024 groups; the counts of a set are
    a point, and an R-tree over the points bounds the overlap of a set with all sets below a node by the sum of the
    coordinate minima. Pairs that survive are verified on the shingle sets, unless links found before join them already.
-4. Candidate groups of more than LARGE sets are first held against one of their sets, row by row and without gathering
-   them: what links to it is settled, and by the triangle inequality only the sets that don't link, and the linked ones
-   far enough out to reach them, go to the tree.
+4. A candidate group of more than CELL sets, or of sets of more than CELL_SHINGLES shingles in all, never comes together. Its sets
+   are first held, row by row, against one of them, the head: what links to it is settled. The others, the open ones, are
+   dealt to cells of sets of like sizes, each with an R-tree. All open sets, and by the triangle inequality only those
+   settled ones that lie far enough out to reach an open one, stream past the cells of their own and the next sizes, in
+   parts of bounded length, and ask their trees. So a task holds a cell and a batch, however large the group.
 
 Words are runs of characters other than blanks, with A-Z in lower case; a document with fewer than ``width`` words but
-at least one has its whole sequence as its only shingle. Shingles are 64-bit hashes, sets are told apart by 64-bit
-digests.
+at least one has its whole sequence as its only shingle. Shingles are 64-bit hashes, sets are told apart by digests of 126
+bits, which travel as decimals.
 
 Defined results: null and empty texts, and texts of blanks, have no shingles, link with nothing and are their own
 component; rows with equal or null ids each count; a component of null ids alone has a null id; extra columns are
@@ -34,13 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recall_engine.llm.common import checkpointed, hold, restored, set_aside
 
-LARGE = 8192
+#: The most sets, and shingles of sets, that one task gathers; rows that stream past a cell in one task.
+CELL, CELL_SHINGLES, PART = 1024, 1 << 22, 1 << 16
+#: Nodes of more edges than this, and than a fixed share of all edges, are looked up by broadcast.
+HUB, MOST_HUBS = 10_000, 100_000
 #: Counters of the count table, and how many travel in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 10
 #: Parts that the rows of one key are dealt to (a power of two).
@@ -97,8 +102,39 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def set_digest(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+NODE = T.DecimalType(38, 0)
+
+
+def set_digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _digests(found: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests as pairs of 64-bit numbers, low one first, whose 126 bits are a decimal; and which are none."""
+    none = np.array([f is None for f in found], bool)
+    d = np.frombuffer(b"".join(f or bytes(16) for f in found), np.int64).reshape(-1, 2).copy()
+    d[:, 1] >>= 2
+    return d, none
+
+
+def _decimals(d: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
+    """Pairs of numbers as a column of decimals, without a copy a value."""
+    valid = None if none is None else pa.array(~none).buffers()[1]
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(d), [valid, pa.py_buffer(np.ascontiguousarray(d, np.int64).tobytes())])
+
+
+def _dense(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests as places among the distinct ones, and these."""
+    order = np.argsort(d[:, 0], kind="stable")
+    s = d[order]
+    if (s[1:, 1] != s[:-1, 1])[s[1:, 0] == s[:-1, 0]].any():  # equal in one half only
+        order = np.lexsort((d[:, 1], d[:, 0]))
+        s = d[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]).any(axis=1)
+    place = np.empty(len(s), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, s[new]
 
 
 def _slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
@@ -150,6 +186,20 @@ class CountTree:
             node[5], node[6] = self._split(a, mid), self._split(mid, b)
         return node
 
+    def asked(self, q: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
+        """Rows, in the tree's order, whose overlap with a set of counts q and size n may be enough."""
+        stack, found = [self.root], []
+        while stack:
+            a, b, top, least, most, left, right = stack.pop()
+            if most * den < n * num or least * num > n * den or (den + num) * int(np.minimum(q, top).sum()) < num * (n + least):
+                continue
+            if left is not None:
+                stack += [right, left]
+                continue
+            bounds = np.minimum(q, self.counts[a:b]).sum(axis=1, dtype=np.int64)
+            found.append(np.flatnonzero((den + num) * bounds >= num * (n + self.sizes[a:b])) + a)
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
     def candidates(self, i: int, group: np.ndarray, num: int, den: int) -> Iterator[int]:
         """Rows after i, in the tree's order, of other groups, whose overlap with i may be enough. group changes
         while the caller joins groups."""
@@ -172,18 +222,24 @@ class CountTree:
                     yield int(j)
 
 
-def join_group(sets: list[np.ndarray], joined: np.ndarray | None = None, num: int = 3, den: int = 4) -> np.ndarray:
-    """The components of the links among sets: for each its component, as a place. joined: sets known to be in one."""
+def _counts(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """The shingles of each set by group."""
+    k = len(sets)
+    key = np.repeat(np.arange(k), [len(s) for s in sets]) << bits | (_mix(np.concatenate(sets)) >> _U(64 - bits)).astype(np.int64)
+    return np.bincount(key, minlength=k << bits).reshape(k, -1).astype(np.int32)
+
+
+def _bits(sizes: np.ndarray) -> int:
+    return min(10, max(6, int(np.median(sizes)).bit_length() - 3))  # an eighth of the usual size, 64 to 1024
+
+
+def join_group(sets: list[np.ndarray], num: int = 3, den: int = 4) -> np.ndarray:
+    """The components of the links among sets: for each its component, as a place."""
     k = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    bits = min(10, max(6, int(np.median(sizes)).bit_length() - 3))  # an eighth of the usual size, 64 to 1024
-    key = np.repeat(np.arange(k), sizes) << bits | (_mix(np.concatenate(sets)) >> _U(64 - bits)).astype(np.int64)
-    counts = np.bincount(key, minlength=k << bits).reshape(k, -1).astype(np.int32)
+    counts = _counts(sets, _bits(sizes))
     tree = CountTree(counts, sizes)
     group = np.arange(k)
-    if joined is not None and joined.any():
-        known = np.flatnonzero(joined[tree.order])
-        group[known] = known[0]
     for i in range(k):
         own = sets[tree.order[i]]
         for j in tree.candidates(i, group, num, den):
@@ -195,9 +251,37 @@ def join_group(sets: list[np.ndarray], joined: np.ndarray | None = None, num: in
     return out
 
 
+class Cell:
+    """Open sets that others stream past. Links among them, and to the settled component, are remembered, so that no set is
+    verified against what it is known to be joined with."""
+
+    def __init__(self, nodes: list, sets: list[np.ndarray], num: int, den: int):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        self.bits = _bits(sizes)
+        self.tree = CountTree(_counts(sets, self.bits), sizes)
+        self.nodes = [nodes[i] for i in self.tree.order]
+        self.sets = [sets[i] for i in self.tree.order]
+        self.place = {n: i for i, n in enumerate(self.nodes)}
+        self.group = np.arange(len(sets) + 1)  # the last one is the settled component
+        self.num, self.den = num, den
+
+    def meet(self, node, s: np.ndarray, settled: bool) -> Iterator:
+        """Nodes of the cell that a set links with, as many as it takes to join all that it joins."""
+        own = len(self.sets) if settled else self.place.get(node, -1)
+        for j in self.tree.asked(_counts([s], self.bits)[0], len(s), self.num, self.den).tolist():
+            if own >= 0 and self.group[j] == self.group[own]:
+                continue
+            if _links(len(s), len(self.sets[j]), overlap(s, self.sets[j]), self.num, self.den):
+                if own < 0:
+                    own = j
+                else:
+                    self.group[self.group == self.group[j]] = self.group[own]
+                yield self.nodes[j]
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Rows of documents (id, text hash, set size, digest) and rows of the count table (chunk, counts)."""
-    fields = [T.StructField("_id", docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in ("_th", "_n", "_set")] + [T.StructField("_chunk", T.IntegerType()), T.StructField("_counts", T.BinaryType())]
+    fields = [T.StructField("_id", docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in ("_th", "_n")] + [T.StructField("_set", NODE), T.StructField("_chunk", T.IntegerType()), T.StructField("_counts", T.BinaryType())]
     schema = T.StructType(fields)
     kind = pa.null()
 
@@ -213,11 +297,11 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 n += [len(s) for s in sets]
                 digest += [set_digest(s) if len(s) else None for s in sets]
             k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), _decimals(*_digests(digest)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=schema.names)
         if seen.any():
             chunks = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in seen.reshape(-1, CHUNK)]
             k = len(chunks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(range(k), pa.int32()), pa.array(chunks, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.decimal128(38, 0))), pa.array(range(k), pa.int32()), pa.array(chunks, pa.binary())], names=schema.names)
 
     return docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.col(text_col)).mapInArrow(run, schema)
 
@@ -264,7 +348,8 @@ def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray, name: str, **fix
 
 def _unpacked(t: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
     kinds = dict(_ENTRY)
-    return [np.concatenate([np.frombuffer(x, kinds[n]) for x in t[n].to_pylist()]) for n in names]
+    out = [np.concatenate([np.frombuffer(x, kinds[n]) for x in t[n].to_pylist()]) for n in names]
+    return [x.reshape(-1, 2) if n == "_d" else x for n, x in zip(names, out, strict=True)]
 
 
 def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int, width: int, num: int, den: int) -> DataFrame:
@@ -279,14 +364,15 @@ def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int,
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        owner: list[np.ndarray] = []
+        owner: list[bytes] = []
         size: list[np.ndarray] = []
-        known: set[int] = set()
+        known: set[bytes] = set()
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate(held)
             bucket = ((h >> _U(32)) % _U(buckets)).astype(np.int64)
-            out = _packed({"_h": h.astype(np.uint32), "_d": np.concatenate(owner), "_n": np.concatenate(size)}, bucket, "_bucket")
+            d = np.repeat(_digests(owner)[0], [len(x) for x in held], axis=0)
+            out = _packed({"_h": h.astype(np.uint32), "_d": d, "_n": np.concatenate(size)}, bucket, "_bucket")
             held.clear()
             owner.clear()
             size.clear()
@@ -298,7 +384,7 @@ def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int,
                     if len(s) and (digest := set_digest(s)) not in known:
                         known.add(digest)
                         held.append(_mix(prefix(s, shared.value, num, den)))
-                        owner.append(np.full(len(held[-1]), digest, np.int64))
+                        owner.append(digest)
                         size.append(np.full(len(held[-1]), len(s), np.uint32))
                 if sum(map(len, held)) > 2_000_000:
                     yield flush()
@@ -310,29 +396,27 @@ def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int,
     def meet(t: pa.Table) -> pa.Table:
         """Entries whose shingle another set has too, once each."""
         h, d, n = _unpacked(t, ("_h", "_d", "_n"))
-        order = np.lexsort((d, h))
-        h, d, n = h[order], d[order], n[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d, n = h[new], d[new], n[new]
+        _, at = np.unique(h.astype(np.uint64) << _U(32) | _dense(d)[0].astype(np.uint64), return_index=True)
+        h, d, n = h[at], d[at], n[at]
         same = h[1:] == h[:-1]
         met = np.append(same, False) | np.append(False, same)
         h, d, n = h[met], d[met], n[met]
-        return pa.Table.from_batches([_packed({"_h": h, "_d": d, "_n": n}, (d % buckets).astype(np.int64), "_to", _bucket=t["_bucket"][0].as_py())])
+        return pa.Table.from_batches([_packed({"_h": h, "_d": d, "_n": n}, (d[:, 0] % buckets).astype(np.int64), "_to", _bucket=t["_bucket"][0].as_py())])
 
     def tally(t: pa.Table) -> pa.Table:
         """The same entries with the number of shingles of the set's prefix that none but it has."""
         h, d, n = _unpacked(t, ("_h", "_d", "_n"))
         bucket = np.repeat(t["_bucket"].to_numpy(), [len(x) // 4 for x in t["_h"].to_pylist()])
-        _, which, met = np.unique(d, return_inverse=True, return_counts=True)
+        which, _ = _dense(d)
         length = n.astype(np.int64)
-        unmet = length + (-(length * num) // den) + 1 - met[which.reshape(-1)]
+        unmet = length + (-(length * num) // den) + 1 - np.bincount(which)[which] if len(which) else length
         return pa.Table.from_batches([_packed({"_h": h, "_d": d, "_n": n, "_u": np.maximum(unmet, 0).astype(np.uint32)}, bucket, "_bucket")])
 
     def link(t: pa.Table) -> pa.Table:
         """A forest over the sets of each shingle, by the sizes that each may link with. Members lie in order of size, so
         whom a set may link with is a run of them, and joining neighbours in the run joins it all."""
         h, d, n, u = _unpacked(t, ("_h", "_d", "_n", "_u"))
+        d, digests = _dense(d)
         order = np.lexsort((d, n, h))
         h, d, n, u = h[order], d[order], n[order].astype(np.int64), u[order].astype(np.int64)
         block = np.cumsum(np.append(0, h[1:] != h[:-1])) << 33
@@ -349,12 +433,12 @@ def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int,
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         nodes, ends = np.unique(pairs, return_inverse=True)
         a, b = _forest(len(nodes), ends.reshape(-1, 2))
-        return pa.Table.from_pydict({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
+        return pa.Table.from_arrays([_decimals(digests[nodes[a]]), _decimals(digests[nodes[b]])], schema=pa.schema([("a", pa.decimal128(38, 0)), ("b", pa.decimal128(38, 0))]))
 
     entries = docs.select(F.col(text_col)).mapInArrow(send, "_bucket long, _h binary, _d binary, _n binary")
     met = entries.groupBy("_bucket").applyInArrow(meet, "_to long, _bucket long, _h binary, _d binary, _n binary")
     told = met.groupBy("_to").applyInArrow(tally, "_bucket long, _h binary, _d binary, _n binary, _u binary")
-    return told.groupBy("_bucket").applyInArrow(link, "a long, b long").distinct()
+    return told.groupBy("_bucket").applyInArrow(link, "a decimal(38,0), b decimal(38,0)").distinct()
 
 
 def _forest(n: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,85 +460,145 @@ def _forest(n: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return moved, least[moved]
 
 
+def _looked_up(edges: DataFrame, nodes: DataFrame, hub: int) -> DataFrame:
+    """(b, m) of edges (a, b) with the m of node a. nodes: a, m, k edges. Few nodes have more than ``hub`` edges; these are broadcast."""
+    hubs = F.broadcast(nodes.filter(F.col("k") > hub).select("a", "m"))
+    rest = edges.join(hubs.select("a"), "a", "left_anti").join(nodes.filter(F.col("k") <= hub).select("a", "m"), "a")
+    return rest.unionByName(edges.join(hubs, "a")).select("b", "m")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node of an undirected graph given as pairs (a, b), the root being the least node.
 
     Alternating stars: each round links every node to the least neighbour it knows of, in two joins; the rounds end
-    when nothing changes, after about the logarithm of the longest path. No component is gathered.
+    when nothing changes, after about the logarithm of the longest path. No component is gathered. Nodes with very many
+    neighbours, of which there are at most MOST_HUBS, are looked up by broadcast.
     """
     e = checkpointed(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
-    while True:
+    signed = lambda: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    sign, k = None, F.count(F.lit(1)).alias("k")
+    now = signed()
+    while now != sign:
+        sign, hub = now, max(HUB, 2 * now[0] // MOST_HUBS)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), k).select("a", F.least("a", "m").alias("m"), "k")
+        large = _looked_up(both.filter("b > a"), least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), k)
+        small = _looked_up(large, low, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         e = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == sign:
-            break
-        sign = now
+        now = signed()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+_SETS = "root decimal(38,0), node decimal(38,0)"
+_PAIR = pa.schema([("a", pa.decimal128(38, 0)), ("b", pa.decimal128(38, 0))])
+
+
+def _pairs(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.decimal128(38, 0)), pa.array([x for _, x in found], pa.decimal128(38, 0))], schema=_PAIR)
+
+
+def _numbers(n: Column) -> Column:
+    """0 to n - 1, one row each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
 def _against_head(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Rows of large groups (root, node, text) held against the set whose digest is the root: node, root, linked,
-    far (Jaccard distance)."""
+    """Rows of large groups (root, node, parts, text) held against the set whose digest is the root: root, node, linked,
+    far (Jaccard distance). A group's rows are dealt to its number of parts, and the head goes to each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[int, np.ndarray] = {}
+        heads: dict = {}
         for b in batches:
-            roots, nodes, texts, head_texts = (c.to_pylist() for c in b.columns)
-            for r, t in zip(roots, head_texts, strict=True):
-                if r not in heads:
-                    if len(heads) > 256:
-                        heads.clear()
-                    heads[r] = shingle_sets([t.encode()], width)[0]
+            roots, texts, head_texts = (b.column(i).to_pylist() for i in (0, 2, 3))
             linked, far = [], []
             for at, part in _slices(texts):
-                for r, s in zip(roots[at:], shingle_sets(part, width), strict=False):
-                    h = heads.get(r)
-                    h = shingle_sets([head_texts[roots.index(r)].encode()], width)[0] if h is None else h
+                for i, s in enumerate(shingle_sets(part, width), at):
+                    if roots[i] not in heads:
+                        heads = {roots[i]: shingle_sets([head_texts[i].encode()], width)[0]}
+                    h = heads[roots[i]]
                     both = overlap(s, h)
                     linked.append(_links(len(s), len(h), both, num, den))
                     far.append(1 - both / (len(s) + len(h) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], names=["root", "node", "linked", "far"])
 
-    heads = rows.filter("root = node").select("root", F.col("_text").alias("_head"))
-    return rows.join(heads, "root").select("root", "node", "_text", "_head").mapInArrow(run, "root long, node long, linked boolean, far double")
+    heads = rows.filter("root = node").select("root", _numbers(F.col("_parts")).alias("_part"), F.col("_text").alias("_head"))
+    dealt = rows.select("root", F.pmod(F.xxhash64("node"), "_parts").alias("_part"), "node", "_text")
+    return dealt.join(heads, ["root", "_part"]).select("root", "node", "_text", "_head").mapInArrow(run, _SETS + ", linked boolean, far double")
 
 
 def _resolve(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join the components within each candidate group; rows: root, node, linked, _text."""
+    """Links (a, b) that join the components within each candidate group of one cell; rows: root, node, _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, nodes, joined, sets = None, [], [], []
+        root, nodes, sets = None, [], []
 
-        def settle() -> list[tuple[int, int]]:
+        def settle() -> list[tuple]:
             if len(nodes) < 2:
                 return []
-            group = join_group(sets, np.array(joined), num, den)
-            return [(nodes[i], nodes[g]) for i, g in enumerate(group.tolist()) if nodes[i] != nodes[g]]
+            return [(nodes[i], nodes[g]) for i, g in enumerate(join_group(sets, num, den).tolist()) if i != g]
 
         for b in batches:
-            out: list[tuple[int, int]] = []
-            roots, own, linked = (b.column(i).to_pylist() for i in range(3))
-            for at, part in _slices(b.column(3).to_pylist()):
+            out: list[tuple] = []
+            roots, own = (b.column(i).to_pylist() for i in range(2))
+            for at, part in _slices(b.column(2).to_pylist()):
                 for i, s in enumerate(shingle_sets(part, width), at):
                     if roots[i] != root:
                         out += settle()
-                        root, nodes, joined, sets = roots[i], [], [], []
-                    if not nodes or nodes[-1] != own[i]:  # sorted by node: rows of one set are neighbours
-                        nodes.append(own[i])
-                        joined.append(linked[i])
+                        root, nodes, sets = roots[i], [], []
+                    nodes.append(own[i])
+                    sets.append(s)
+            yield _pairs(out)
+        yield _pairs(settle())
+
+    return rows.repartition("root").sortWithinPartitions("root").select("root", "node", "_text").mapInArrow(run, "a decimal(38,0), b decimal(38,0)")
+
+
+def _meet_cells(large: DataFrame, held: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join open sets with each other and with the settled ones of their groups.
+
+    large: root, node, _n, _parts, _text; held: root, node, linked, far."""
+    reach, runs = 1 - num / den + 1e-9, F.ceil(F.col("_parts") * CELL / PART).cast("long")
+    # Bands of sizes, a little wider than the ratio of sizes that may link: these are of one band or of neighbouring ones.
+    band = F.floor(F.log(F.col("_n").cast("double")) / F.lit(float(np.log(1.005 * den / num)))).cast("int")
+    rows = large.join(held.select("node", "linked", "far"), "node").withColumn("_band", band)
+    # By band of a group: how many cells, and how far from the head the open sets lie.
+    open_ = rows.filter(~F.col("linked"))
+    cells = open_.groupBy("root", "_band").agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_w"), F.min("far").alias("_near"), F.max("far").alias("_far"))
+    cells = checkpointed(cells.select("root", "_band", F.greatest(F.ceil(F.col("_k") / CELL), F.ceil(F.col("_w") / CELL_SHINGLES)).cast("long").alias("_cells"), "_near", "_far"))
+    # Bands are few; the rows of a very large one are dealt by part, which its cells go to each of.
+    dealt = lambda df: df.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
+    spread = cells.join(large.filter("root = node").select("root", "_parts"), "root").withColumn("_part", _numbers(F.col("_parts"))).drop("_parts")
+    own = dealt(open_).join(spread.select("root", "_band", "_part", "_cells"), ["root", "_band", "_part"])
+    own = own.select("root", "_band", F.pmod(F.xxhash64(F.lit(1), "node"), "_cells").alias("_cell"), _numbers(runs).alias("_at"), F.lit(0).alias("_asks"), "node", "linked", "_text")
+    asks = dealt(rows).withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1))).join(spread, ["root", "_band", "_part"])
+    asks = asks.filter((F.col("far") >= F.col("_near") - reach) & (F.col("far") <= F.col("_far") + reach))
+    asks = asks.select("root", "_band", _numbers(F.col("_cells")).alias("_cell"), F.pmod(F.xxhash64(F.lit(2), "node"), runs).alias("_at"), F.lit(1).alias("_asks"), "node", "linked", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets, cell = None, [], [], None
+        for b in batches:
+            out: list[tuple] = []
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+            kinds, own_, linked = (b.column(i).to_pylist() for i in (4, 5, 6))
+            for at, part in _slices(b.column(7).to_pylist()):
+                for i, s in enumerate(shingle_sets(part, width), at):
+                    if keys[i] != key:
+                        key, nodes, sets, cell = keys[i], [], [], None
+                    if not kinds[i]:
+                        nodes.append(own_[i])
                         sets.append(s)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-        out = settle()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+                        continue
+                    if cell is None and nodes:
+                        cell = Cell(nodes, sets, num, den)
+                        nodes, sets = [], []
+                    if cell is not None:
+                        out += [(key[0] if linked[i] else own_[i], other) for other in cell.meet(own_[i], s, linked[i])]
+            yield _pairs(out)
 
-    ordered = rows.repartition("root").sortWithinPartitions("root", "node").select("root", "node", "linked", "_text")
-    return ordered.mapInArrow(run, "a long, b long")
+    by = ["root", "_band", "_cell", "_at"]
+    dealt_ = own.unionByName(asks).repartition(*by).sortWithinPartitions(*by, "_asks")
+    return dealt_.select(*by, "_asks", "node", "linked", "_text").mapInArrow(run, "a decimal(38,0), b decimal(38,0)")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, docs_per_bucket: int = 4096, text_hash: bool = False) -> DataFrame:
@@ -466,30 +610,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(12, -(-rows.count() // docs_per_bucket))
     met = components(_meetings(docs, text_col, counts, buckets, width, num, den))
 
-    # One text for each set that met another: the one of the least id and text hash.
+    # One text for each set that met another: the one of the least id and text hash. Its group's number of parts goes along
+    # where the group is more than a cell; rows of one group are dealt to SALTS parts for that.
     key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_key")
-    chosen = rows.filter("_set IS NOT NULL").groupBy("_set").agg(F.min(F.struct("_id", "_th")).alias("_at"))
-    wanted = met.join(chosen, met["node"] == chosen["_set"]).select("root", "node", key(F.col("_at._id")), F.col("_at._th").alias("_th"))
+    chosen = rows.filter("_set IS NOT NULL").groupBy("_set").agg(F.min(F.struct("_id", "_th")).alias("_at"), F.min("_n").alias("_n"))
+    wanted = checkpointed(met.join(chosen, met["node"] == chosen["_set"]).select("root", "node", "_n", key(F.col("_at._id")), F.col("_at._th").alias("_th")))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("_n") / CELL_SHINGLES)).cast("long")
+    sizes = checkpointed(wanted.groupBy("root").agg(parts.alias("_parts")).filter("_parts > 1"))
     texts = docs.select(key(F.col(id_col)), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(text_col).alias("_text"))
-    groups = wanted.join(texts, ["_key", "_th"]).select("root", "node", "_text")
-
-    sizes = checkpointed(met.groupBy("root").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > LARGE))
+    once = lambda df, *also: df.join(texts, ["_key", "_th"]).groupBy("root", "node", *also).agg(F.first("_text").alias("_text"))
     if sizes.isEmpty():
-        links = checkpointed(_resolve(groups.withColumn("linked", F.lit(False)), width, num, den))
+        links = checkpointed(_resolve(once(wanted), width, num, den))
         final = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
-        groups = checkpointed(groups)
-        large = checkpointed(groups.join(sizes.select("root"), "root", "left_semi").dropDuplicates(["root", "node"]))
+        salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt")
+        marked = wanted.withColumn("_salt", F.xxhash64("node").bitwiseAND(F.lit(SALTS - 1))).join(sizes.select("root", "_parts", salts), ["root", "_salt"], "left")
+        marked = checkpointed(marked.drop("_salt"))
+        large = checkpointed(once(marked.filter("_parts IS NOT NULL"), "_n", "_parts"))
         held = checkpointed(_against_head(large, width, num, den))
-        # A set that links to the head is at most a quarter from it, one that doesn't is farther; both link only if
-        # their distances differ by no more than a quarter.
-        reach = 1 - num / den
-        open_ = held.filter(~F.col("linked")).groupBy("root").agg(F.min("far").alias("_nearest"))
-        again = held.join(open_, "root").filter(~F.col("linked") | (F.col("far") + reach + 1e-9 >= F.col("_nearest"))).select("node", "linked")
-        rest = large.join(again, "node").select("root", "node", "linked", "_text")
-        small = groups.join(sizes.select("root"), "root", "left_anti").withColumn("linked", F.lit(False)).select("root", "node", "linked", "_text")
-        links = _resolve(small.unionByName(rest), width, num, den).unionByName(held.filter("linked AND root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        final = components(links)
+        links = _resolve(once(marked.filter("_parts IS NULL")), width, num, den).unionByName(_meet_cells(large, held, width, num, den))
+        final = components(links.unionByName(held.filter("linked AND root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     # Documents by component; those of a very common component are dealt to SALTS parts.
     placed = rows.join(final.withColumnRenamed("node", "_set"), "_set", "left").withColumn("_comp", F.coalesce("root", "_set"))
