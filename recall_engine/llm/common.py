@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
-import tempfile
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +15,50 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The characters that contracts call white space: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 
-#: Texts made of these characters alone are split alike by Python's ``re`` and by the tokenizers' own engine;
-#: any other text goes to the library as a whole.
-_UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ–—‘-‟…€]")
 
 
-def plain(text: str) -> bool:
-    """True if the fast splitters below give the same pieces as the library."""
-    return _UNSURE.search(text) is None
+def _sure(c: str, folded: bool) -> bool:
+    """Characters whose class has been the same since Unicode 3.2 and is a letter, mark, decimal digit, punctuation or symbol: Python's
+    ``re`` and the tokenizers' own engine agree about them. Folded: those too that lower-casing one by one and composition
+    leave alone but for one other such character."""
+    old, new = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+    if old[0] != new[0] or not (old[0] in "LMPS" or old == "Nd" == new):
+        return False
+    return not folded or old[0] != "M" and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c != "\u03a3" and not "\u1100" <= c <= "\u11ff"
+
+
+@functools.lru_cache(maxsize=2)
+def _unsure(folded: bool) -> re.Pattern:
+    runs: list[list[int]] = []
+    for c in range(0x80, 0x30000):
+        if _sure(chr(c), folded):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[^\t\n\r\x20-\x7e" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
+
+
+def plain(text: str, folded: bool = False) -> bool:
+    """True if the fast splitters give the same pieces as the library; any other text goes to the library as a whole."""
+    return text.isascii() and not _CONTROL.search(text) or _unsure(folded).search(text) is None
+
+
+_CONTROL = re.compile("[^\t\n\r\x20-\x7e]")
+
+
+class ByteChars(dict):
+    """How the library's byte-level splitter writes characters: for ``str.translate``."""
+
+    def __missing__(self, c: int) -> str:
+        from tokenizers import pre_tokenizers
+
+        ((shown, _),) = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))
+        self[c] = shown
+        return shown
+
+
+BYTE_CHARS = ByteChars()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -61,11 +98,11 @@ def restored(inner: DataFrame, docs: DataFrame, **own: Column) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's, or one of our own only where none is set."""
+    """The folder that driver and executors share: the session's, or one in the warehouse only where none is set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "")
     if not named and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "recall_engine_checkpoints"))
+        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recall_engine_checkpoints")
     return named or sc.getCheckpointDir()
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from recall_engine.llm.common import hold, tokenizer_path
 
-MARK = "▁"
+MARK, LONGEST = "▁", 64
 _CHUNKS = re.compile(" (?: *)[^ ]*")
 
 
@@ -52,7 +52,8 @@ def splits_at_markers(path: str) -> bool:
 
 class Chunks(dict):
     """The distinct-chunk table: from a marked word, without its first marker, to its ids as text, their number and
-    what they decode to. It keeps the first ``most`` entries, among which the frequent ones are."""
+    what they decode to. It keeps the first ``most`` entries, among which the frequent ones are, but no long ones: a text without
+    spaces is one chunk, and the table is bounded in bytes too."""
 
     def __init__(self, sp, most: int = 400_000):
         super().__init__()
@@ -61,7 +62,7 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> tuple[str, int, str]:
         ids = self.sp.encode(chunk) if chunk else [self.sp.piece_to_id(MARK)]  # a lone marker: a space at the end
         found = (" ".join(map(str, ids)), len(ids), self.sp.decode(ids))
-        if len(self) < self.most:
+        if len(self) < self.most and len(chunk) <= LONGEST:
             self[chunk] = found
         return found
 

@@ -6,8 +6,8 @@ task sends its own most frequent ones, pre-summed) and broadcast; its size is a
 second tier is a cache in each worker: a pre-token that is in neither is encoded once and remembered. Pre-tokens
 are never shuffled one by one, and the tables change only the speed, never a count.
 
-Texts with characters that Python and the library might split differently, or with the library's special strings,
-go to the library as a whole.
+Texts with characters that Python and the library might split differently (controls, rare spaces, numbers that aren't decimal
+digits, what Unicode added after version 3.2), or with the library's special strings, go to the library as a whole.
 
 Defined results: null text counts as empty, with no bytes and no tokens; ids may be null or repeat, each row is
 counted; very long texts are whole; an empty table gives no rows; extra columns are ignored.
@@ -18,34 +18,46 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall_engine.llm.common import hold, plain, tokenizer_path
+from recall_engine.llm.common import BYTE_CHARS, hold, plain, tokenizer_path
 
+#: Longer pre-tokens are not remembered, so that a worker's tables are bounded in bytes too.
+LONGEST = 64
 #: The pre-token pattern of byte-level BPE, for the texts that ``plain`` admits.
 _PRE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 class Lengths(dict):
-    """Lengths of pre-tokens; what it lacks, it encodes and keeps, in at most ``most`` entries more."""
+    """Lengths of pre-tokens; what it lacks, it encodes and keeps, in at most ``most`` entries more, none of them long."""
 
     def __init__(self, encode, known: Iterable[tuple[str, int]] = (), most: int = 400_000):
         super().__init__(known)
         self.encode, self.left = encode, most
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.encode(piece, add_special_tokens=False).ids)
-        if self.left > 0:
+        n = len(self.encode(piece))
+        if self.left > 0 and len(piece) <= LONGEST:
             self.left -= 1
             self[piece] = n
         return n
 
 
+def piece_encoder(tokenizer) -> Callable[[str], list]:
+    """The tokens of one pre-token: by the library's merges alone where nothing else is done to a pre-token before them."""
+    from tokenizers import models, pre_tokenizers
+
+    if isinstance(tokenizer.model, models.BPE) and tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
+        model = tokenizer.model
+        return lambda piece: model.tokenize(piece.translate(BYTE_CHARS))
+    return lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids
+
+
 @functools.lru_cache(maxsize=4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -70,7 +82,7 @@ def _table(path: str, key: int, packed: tuple[str, bytes]) -> Lengths:
     """The worker's tables, built once for each broadcast."""
     if (path, key) not in _tables:
         _tables.clear()
-        _tables[path, key] = Lengths(_tokenizer(path)[0].encode, zip(packed[0].split("\0"), packed[1], strict=True) if packed[1] else ())
+        _tables[path, key] = Lengths(piece_encoder(_tokenizer(path)[0]), zip(packed[0].split("\0"), packed[1], strict=True) if packed[1] else ())
     return _tables[path, key]
 
 
@@ -88,7 +100,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str, size: int, each: int) ->
         for b in batches:
             for text in b.column(0).to_pylist():
                 if plain(text):
-                    seen.update(_PRE.findall(text))
+                    seen.update(p for p in _PRE.findall(text) if len(p) <= LONGEST)
             if len(seen) > 40 * each:
                 seen = Counter(dict(seen.most_common(20 * each)))
         top = seen.most_common(each)
@@ -104,7 +116,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer_path(vocabulary)
     tokenizer, _ = _tokenizer(path)
     pieces = frequent_pretokens(docs, text_col, table_size, table_size // 4)
-    packed = docs.sparkSession.sparkContext.broadcast(compact((p, len(tokenizer.encode(p, add_special_tokens=False).ids)) for p in pieces))
+    encode = piece_encoder(tokenizer)
+    packed = docs.sparkSession.sparkContext.broadcast(compact((p, len(encode(p))) for p in pieces))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("token_counts", _tables.clear)
