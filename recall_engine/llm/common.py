@@ -28,7 +28,8 @@ def _sure(c: str, folded: bool) -> bool:
 
 
 @functools.lru_cache(maxsize=2)
-def _unsure(folded: bool) -> re.Pattern:
+def unsure(folded: bool) -> re.Pattern:
+    """Finds a character that is not sure."""
     runs: list[list[int]] = []
     for c in range(0x80, 0x30000):
         if _sure(chr(c), folded):
@@ -41,7 +42,7 @@ def _unsure(folded: bool) -> re.Pattern:
 
 def plain(text: str, folded: bool = False) -> bool:
     """True if the fast splitters give the same pieces as the library; any other text goes to the library as a whole."""
-    return text.isascii() and not _CONTROL.search(text) or _unsure(folded).search(text) is None
+    return text.isascii() and not _CONTROL.search(text) or unsure(folded).search(text) is None
 
 
 _CONTROL = re.compile("[^\t\n\r\x20-\x7e]")

@@ -19,28 +19,35 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall_engine.llm.common import checkpointed, hold, plain, tokenizer_path
+from recall_engine.llm.common import BYTE_CHARS, checkpointed, hold, tokenizer_path, unsure
 
 #: The pre-token pattern of the word-end vocabulary, for lower-case words that ``plain`` admits.
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Marks other than commas and full stops, in lower-case text; next to one, these would be part of its pre-token.
-_MARKED = re.compile("[^a-z0-9ß-öø-ÿœ \n\t.,]")
+#: Marks other than commas and full stops, in lower-case text, and these side by side: next to one, they would be part of its pre-token.
+_MARKED = r"[^a-z0-9ß-öø-ÿœ \n\t.,]|[.,][.,]"
 #: Words, and pre-tokens, that a worker remembers with their ids; those that come later are encoded again in each batch.
 MOST_WORDS, MOST_PIECES = 500_000, 500_000
+#: Longer words are not remembered, so that a worker's tables are bounded in bytes too.
+LONGEST = 64
 #: Dimensions of the projection, the units of a component, and the tails that the splits are learned from.
 DIMS, UNITS, SAMPLE = 64, 256, 65_536
+#: Parts in which the tasks' counts are summed before they come to the driver.
+TALLIES = 16
 K1, B = 1.2, 0.75
 
 
@@ -54,75 +61,63 @@ def _tokenizer(path: str):
     return t, {}, {}
 
 
-def _encode_words(tokenizer, words: list[str], run: int = 64) -> dict[str, bytes]:
-    """The ids of pre-tokens as little-endian bytes. Runs of them are encoded as one text: white space parts them again, and
-    short texts cost the library less than long ones."""
-    ids: list[int] = []
-    owner: list[np.ndarray] = []
-    for at in range(0, len(words), run):
-        part = words[at : at + run]
-        enc = tokenizer.encode(" ".join(part), add_special_tokens=False)
-        own = np.array(enc.word_ids, np.int64)
-        if not len(own) or own[-1] != len(part) - 1 or (np.diff(own) > 1).any() or own[0]:  # not one for one
-            alone = [tokenizer.encode(w, add_special_tokens=False).ids for w in part]
-            ids += [i for x in alone for i in x]
-            own = np.repeat(np.arange(len(part)), [len(x) for x in alone])
-        else:
-            ids += enc.ids
-        owner.append(own + at)
-    ends = np.searchsorted(np.concatenate(owner), np.arange(len(words) + 1)).tolist()
-    data = np.array(ids, "<u4").tobytes()
-    return {w: data[4 * a : 4 * b] for w, a, b in zip(words, ends[:-1], ends[1:], strict=True)}
-
-
-def _from_pieces(tokenizer, words: list[str], pieces: dict[str, bytes]) -> dict[str, bytes]:
-    """The ids of words that aren't known, from those of their pre-tokens; new pre-tokens are encoded together."""
-    split = [_PRE.findall(w) for w in words]
-    new = list({p for s in split for p in s if p not in pieces})
-    here = _encode_words(tokenizer, new) if new else {}
-    if len(pieces) < MOST_PIECES:
-        pieces.update(here)
-    return {w: b"".join([pieces[p] if p in pieces else here[p] for p in s]) for w, s in zip(words, split, strict=True)}
-
-
-def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids that the library gives each text. Words of plain texts are looked up, those not yet known by their
-    pre-tokens. Other texts go to the library as a whole."""
+def _encode_words(tokenizer, words: list[str]) -> dict[str, bytes]:
+    """The ids of pre-tokens as little-endian bytes, by the library's merges."""
+    merge = tokenizer.model.tokenize
+    found = [[t.id for t in merge(w if w.isascii() else w.translate(BYTE_CHARS))] for w in words]
+    data, ends = np.array([i for f in found for i in f], "<u4").tobytes(), np.cumsum([0] + [4 * len(f) for f in found]).tolist()
+    return {w: data[a:b] for w, a, b in zip(words, ends[:-1], ends[1:], strict=True)}
+
+
+def _new_words(tokenizer, words: list[str], known: dict[str, bytes], pieces: dict[str, bytes]) -> dict[str, bytes]:
+    """The ids of words that aren't known: of letters alone, they are pre-tokens; others are put together from theirs."""
+    out = _encode_words(tokenizer, [w for w in words if w.isalpha()])
+    mixed = {w: _PRE.findall(w) for w in words if w not in out}
+    here = _encode_words(tokenizer, list({p for s in mixed.values() for p in s if p not in pieces and p not in known and p not in out}))
+    ids = lambda p: pieces.get(p) or known.get(p) or out.get(p) or here[p]
+    made = {w: b"".join(map(ids, s)) for w, s in mixed.items()}
+    pieces.update(islice(((p, x) for p, x in here.items() if len(p) <= LONGEST), max(0, MOST_PIECES - len(pieces))))
+    return out | made
+
+
+def token_ids(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """The ids that the library gives each text. Distinct words of plain texts are looked up once, those not yet known by
+    their pre-tokens. Other texts go to the library as a whole."""
     tokenizer, known, pieces = _tokenizer(path)
+    whole = pc.or_(pc.match_substring_regex(texts, unsure(folded=True).pattern), pc.match_substring(texts, "<|"))
     out: list[np.ndarray | None] = [None] * len(texts)
-    flat: list[str] = []
-    spans: list[tuple[int, int, int]] = []
-    for i, text in enumerate(texts):
-        if plain(text) and "<|" not in text:
-            low = text.lower()
-            if not (_MARKED.search(low) or ".." in low or "," in low and (",," in low or ",." in low or ".," in low)):
-                # lone commas and full stops are pre-tokens of their own: fewer different words
-                low = low.replace(",", " , ").replace(".", " . ")
-            words = low.split()
-            spans.append((i, len(flat), len(flat) + len(words)))
-            flat += words
-        else:
-            out[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-    found = list(map(known.get, flat))
+    for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+        out[i] = np.array(tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+    low = pc.utf8_lower(texts.filter(pc.invert(whole)))
+    # lone commas and full stops are pre-tokens of their own: fewer different words
+    parted = pc.replace_substring(pc.replace_substring(low, ",", " , "), ".", " . ")
+    words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, _MARKED), low, parted))
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    found = list(map(known.get, distinct))
     if None in found:
-        missing = dict.fromkeys(w for w, f in zip(flat, found, strict=True) if f is None)
-        new = _from_pieces(tokenizer, list(missing), pieces)
-        for i, f in enumerate(found):
-            if f is None:
-                found[i] = new[flat[i]]
-        known.update(islice(new.items(), max(0, MOST_WORDS - len(known))))
-    for i, a, b in spans:
-        out[i] = np.frombuffer(b"".join(found[a:b]), "<u4")
+        new = _new_words(tokenizer, [w for w, f in zip(distinct, found, strict=True) if f is None], known, pieces)
+        found = [new[w] if f is None else f for w, f in zip(distinct, found, strict=True)]
+        known.update(islice(((w, x) for w, x in new.items() if len(w) <= LONGEST), max(0, MOST_WORDS - len(known))))
+    size = np.array([len(f) // 4 for f in found], np.int64)
+    codes = coded.indices.to_numpy()
+    sizes = size[codes]
+    ends = np.append(0, np.cumsum(sizes))
+    place = np.repeat((np.cumsum(size) - size)[codes] - ends[:-1], sizes) + np.arange(ends[-1])
+    ids = np.frombuffer(b"".join(found), "<u4")[place]
+    bounds = ends[np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()))].tolist()
+    for i, a, b in zip(np.flatnonzero(~whole.to_numpy(zero_copy_only=False)).tolist(), bounds[:-1], bounds[1:], strict=True):
+        out[i] = ids[a:b]
     return out
 
 
-def _slices(col: pa.Array, most: int = 1_500_000) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` bytes; only one run at a time is turned into strings."""
+def _slices(col: pa.Array, most: int = 3_000_000) -> Iterator[pa.Array]:
+    """Runs of texts of about ``most`` bytes."""
     ends = np.cumsum(pc.binary_length(col).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(col):
         upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1
-        yield col.slice(at, upto - at).to_pylist()
+        yield col.slice(at, upto - at)
         at = upto
 
 
@@ -159,9 +154,9 @@ class Bm25:
         self.terms, at, df = np.unique(term, return_index=True, return_counts=True)
         self.at = np.append(at, len(term))
         self.weight = (stats or Stats.of(docs)).weights(term, tf, lengths[self.place], k1, b)
-        order = np.lexsort((-self.weight, self.place))
-        self.best = np.repeat(np.arange(len(self.terms)), df)[order]
-        self.of = np.append(np.searchsorted(self.place[order], np.arange(self.n)), len(order))
+        order = np.argsort(self.place.astype(np.uint16) if self.n < 1 << 16 else self.place, kind="stable")
+        self.terms_of = np.repeat(np.arange(len(self.terms)), df)[order]
+        self.of = np.append(0, np.cumsum(np.bincount(self.place, minlength=self.n)))
         # terms of an eighth of the documents or more: their weights by place, with no more room than eight times the postings
         common = np.flatnonzero(df * 8 >= max(self.n, 1))
         self.row = np.full(len(self.terms), -1)
@@ -170,15 +165,15 @@ class Bm25:
         for r, t in enumerate(common):
             self.full[r, self.place[at[t] : at[t] + df[t]]] = self.weight[at[t] : at[t] + df[t]]
 
-    def neighbours(self, seed: int, free: np.ndarray, n_terms: int | None = None) -> np.ndarray:
-        """Places of unused documents that share any of the seed's terms, or of its n_terms weightiest, best first."""
-        score = np.zeros(self.n)
-        for t in self.best[self.of[seed] : self.of[seed + 1]][:n_terms].tolist():
-            if (r := self.row[t]) >= 0:
-                score += self.full[r]
-            else:
-                span = slice(self.at[t], self.at[t + 1])
-                score[self.place[span]] += self.weight[span]
+    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
+        """Places of unused documents that share any of the seed's terms, best first."""
+        terms = self.terms_of[self.of[seed] : self.of[seed + 1]]
+        row = self.row[terms]
+        score = self.full[row[row >= 0]].sum(axis=0)
+        rare = terms[row < 0]
+        size = self.at[rare + 1] - self.at[rare]
+        posting = np.repeat(self.at[rare] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score += np.bincount(self.place[posting], self.weight[posting], minlength=self.n)
         found = np.flatnonzero((score > 0) & free)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -249,13 +244,16 @@ def pack_shard(docs: list[np.ndarray], window: int, k1: float = K1, b: float = B
         room -= put(seed, room)
         late = -1
         if room:
-            for d in index.neighbours(seed, free):
-                if size[d] - start[d] <= room:
-                    room -= put(d, room)
-                elif late < 0:
-                    late = int(d)
-                if not room:
-                    break
+            found = index.neighbours(seed, free)
+            left, at = size[found] - start[found], 0
+            while room and at < len(found):  # the next one that fits
+                fits = left[at:] <= room
+                j = at + int(fits.argmax()) if fits.any() else len(found)
+                if j > at and late < 0:
+                    late = int(found[at])
+                if j < len(found):
+                    room -= put(int(found[j]), room)
+                at = j + 1
         scan = nxt
         while room:
             if late < 0:
@@ -291,6 +289,18 @@ def _powers(row: list[tuple[int, int, int]], filled: int) -> list[list[tuple[int
     return out
 
 
+def _numbered(mark: int, seen: Counter) -> int:
+    """A row's hash; for rows that repeat one of the same task, mixed with the task and how often it came before, so that rows
+    that are equal in all, however many, are dealt to all shards as others are."""
+    seen[mark] += 1
+    if len(seen) > 1_000_000:
+        seen.clear()
+    if seen[mark] < 2:
+        return mark
+    own = f"{mark} {TaskContext.get().partitionId()} {seen[mark]}"
+    return int.from_bytes(hashlib.blake2b(own.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", window: int = 4096, end_id: int = 2, docs_per_shard: int = 2048) -> DataFrame:
     """One row a piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = tokenizer_path(vocabulary)
@@ -301,32 +311,39 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     cut_schema = T.StructType([field("_hash", T.LongType()), field("_id", kind), field("_start", T.LongType()), field("_n", T.LongType()), field("_tokens", T.LongType()), field("_crc", T.LongType()), field("_ids", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Full windows, done, and the tail of each document with its ids."""
+        """Full windows, done, and the tail of each document with its ids. At the end, without a hash, in how many tails of the task
+        each term stands, how many they are and how long together."""
         hold("packing", _tokenizer.cache_clear)
         end = np.array([end_id], "<u4")
+        seen: Counter = Counter()
+        kind_, df, n_tails, length = None, np.zeros(n_ids, np.int64), 0, 0
         for b in batches:
+            kind_ = b.column(1).type
+            marks = [_numbered(m, seen) for m in b.column(0).to_pylist()]
             rows: list[tuple] = []
             encoded = (ids for part in _slices(b.column(2)) for ids in token_ids(part, path))
-            for at, (mark, ids) in enumerate(zip(b.column(0).to_pylist(), encoded, strict=True)):
+            for at, (mark, ids) in enumerate(zip(marks, encoded, strict=True)):
                 ids = np.concatenate([ids, end])
                 whole = len(ids) - len(ids) % window
                 rows += [(mark, at, s, window, len(ids), _crc(ids[s : s + window]), None) for s in range(0, whole, window)]
                 if whole < len(ids):
+                    df[np.unique(ids[whole:])] += 1
+                    n_tails, length = n_tails + 1, length + len(ids) - whole
                     rows.append((mark, at, whole, len(ids) - whole, len(ids), None, ids[whole:].astype(narrow).tobytes()))
             mark, at, s, n, total, crc, tail = zip(*rows, strict=True) if rows else [()] * 7
             cols = [pa.array(mark, pa.int64()), b.column(1).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (s, n, total, crc)), pa.array(tail, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=cut_schema.names)
+        if n_tails:
+            counts = np.concatenate([df, [n_tails, length]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, kind_), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([zlib.compress(counts, 1)], pa.binary())], names=cut_schema.names)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In how many tails each term stands; under -1 the tails, under -2 their ids."""
-        df, tails, length = np.zeros(n_ids, np.int64), 0, 0
+        """The summed counts of tasks."""
+        total = np.zeros(n_ids + 2, np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                ids = np.frombuffer(ids, narrow)
-                df[np.unique(ids)] += 1
-                tails, length = tails + 1, length + len(ids)
-        term = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [tails, length]))], names=["term", "n"])
+            for x in b.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(x), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names=["_ids"])
 
     def vectors(b: pa.RecordBatch, ids: int) -> np.ndarray:
         found = [project(np.frombuffer(x, narrow), stats) for x in b.column(ids).to_pylist()]
@@ -368,11 +385,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     out_schema = T.StructType([field(id_col, kind)] + [field(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.xxhash64(F.col(id_col), text).alias("_hash"), F.col(id_col).alias("_id"), text.alias("_text"))
-    pieces = checkpointed(given.mapInArrow(cut, cut_schema))
+    cuts = checkpointed(given.mapInArrow(cut, cut_schema))
+    pieces = cuts.filter(F.col("_hash").isNotNull())
     tails = pieces.filter(F.col("_ids").isNotNull())
-    counts = {r["term"]: r["n"] for r in tails.select("_ids").mapInArrow(tally, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n_tails, length, df = counts.pop(-1, 0), counts.pop(-2, 0), np.zeros(n_ids, np.int64)
-    df[list(counts)] = list(counts.values())
+    counted = np.zeros(n_ids + 2, np.int64)
+    by_task = cuts.filter(F.col("_hash").isNull()).select("_ids")
+    for r in by_task.repartition(TALLIES, F.xxhash64("_ids")).mapInArrow(tally, "_ids binary").collect():  # TALLIES rows of the vocabulary's length
+        counted += np.frombuffer(zlib.decompress(r[0]), "<i8")
+    df, n_tails, length = counted[:-2], int(counted[-2]), int(counted[-1])
     stats = Stats(n_tails, length / max(1, n_tails), df)
     shards, tree = max(1, -(-n_tails // docs_per_shard)), None
     if shards > 1:
