@@ -43,7 +43,9 @@ from pyspark.sql import types as T
 from recall_engine.llm.common import checkpointed, hold, restored, set_aside
 
 #: The most sets, and shingles of sets, that one task gathers; rows that stream past a cell in one task.
-CELL, CELL_SHINGLES, PART = 1024, 1 << 22, 1 << 16
+CELL, CELL_SHINGLES, PART = 2048, 1 << 22, 1 << 16
+#: The most bytes, counted beforehand, that are broadcast.
+SMALL = 1 << 25
 #: Nodes of more edges than this, and than a fixed share of all edges, are looked up by broadcast.
 HUB, MOST_HUBS = 10_000, 100_000
 #: Counters of the count table, and how many travel in one row.
@@ -503,28 +505,40 @@ def _numbers(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
+def _beside(left: DataFrame, right: DataFrame, on: list[str], size: int) -> DataFrame:
+    """An inner join whose right side is broadcast where its size in bytes, which was counted, is small."""
+    return left.join(F.broadcast(right) if size <= SMALL else right, on)
+
+
 def _against_head(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Rows of large groups (root, node, parts, text) held against the set whose digest is the root: root, node, linked,
-    far (Jaccard distance). A group's rows are dealt to its number of parts, and the head goes to each."""
+    """Sets of large groups (root, node, _n, _parts, _text) held against the set whose digest is the root: root, node, _n, _parts,
+    linked, far (Jaccard distance). Where the heads are too many to be broadcast, a group's rows are dealt to its number of
+    parts, and the head goes to each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: dict = {}
         for b in batches:
-            roots, texts, head_texts = (b.column(i).to_pylist() for i in (0, 2, 3))
+            roots, texts, head_texts = (b.column(i).to_pylist() for i in (0, 4, 5))
             linked, far = [], []
             for at, part in _slices(texts):
                 for i, s in enumerate(shingle_sets(part, width), at):
                     if roots[i] not in heads:
-                        heads = {roots[i]: shingle_sets([head_texts[i].encode()], width)[0]}
+                        if len(heads) > 64:
+                            heads.clear()
+                        heads[roots[i]] = shingle_sets([head_texts[i].encode()], width)[0]
                     h = heads[roots[i]]
                     both = overlap(s, h)
                     linked.append(_links(len(s), len(h), both, num, den))
                     far.append(1 - both / (len(s) + len(h) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], names=["root", "node", "linked", "far"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], names=["root", "node", "_n", "_parts", "linked", "far"])
 
-    heads = rows.filter("root = node").select("root", _numbers(F.col("_parts")).alias("_part"), F.col("_text").alias("_head"))
-    dealt = rows.select("root", F.pmod(F.xxhash64("node"), "_parts").alias("_part"), "node", "_text")
-    return dealt.join(heads, ["root", "_part"]).select("root", "node", "_text", "_head").mapInArrow(run, _SETS + ", linked boolean, far double")
+    heads = rows.filter("root = node")
+    size = heads.agg(F.sum(F.octet_length("_text") + 64)).first()[0]
+    parted = (size or 0) > SMALL
+    part = F.pmod(F.xxhash64("node"), "_parts") if parted else F.lit(0).cast("long")
+    heads = heads.select("root", (_numbers(F.col("_parts")) if parted else part).alias("_part"), F.col("_text").alias("_head"))
+    beside = _beside(rows.withColumn("_part", part), heads, ["root", "_part"], size or 0)
+    return beside.select("root", "node", "_n", "_parts", "_text", "_head").mapInArrow(run, _SETS + ", _n long, _parts long, linked boolean, far double")
 
 
 def _resolve(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -557,23 +571,25 @@ def _resolve(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
 def _meet_cells(large: DataFrame, held: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that join open sets with each other and with the settled ones of their groups.
 
-    large: root, node, _n, _parts, _text; held: root, node, linked, far."""
+    large: node, _text; held: root, node, _n, _parts, linked, far."""
     reach, runs = 1 - num / den + 1e-9, F.ceil(F.col("_parts") * CELL / PART).cast("long")
     # Bands of sizes, a little wider than the ratio of sizes that may link: these are of one band or of neighbouring ones.
     band = F.floor(F.log(F.col("_n").cast("double")) / F.lit(float(np.log(1.005 * den / num)))).cast("int")
-    rows = large.join(held.select("node", "linked", "far"), "node").withColumn("_band", band)
-    # By band of a group: how many cells, and how far from the head the open sets lie.
+    rows = held.withColumn("_band", band)
+    # By band of a group: how many cells, and how far from the head the open sets lie. A group has a few dozens of bands.
     open_ = rows.filter(~F.col("linked"))
-    cells = open_.groupBy("root", "_band").agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_w"), F.min("far").alias("_near"), F.max("far").alias("_far"))
-    cells = checkpointed(cells.select("root", "_band", F.greatest(F.ceil(F.col("_k") / CELL), F.ceil(F.col("_w") / CELL_SHINGLES)).cast("long").alias("_cells"), "_near", "_far"))
-    # Bands are few; the rows of a very large one are dealt by part, which its cells go to each of.
-    dealt = lambda df: df.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
-    spread = cells.join(large.filter("root = node").select("root", "_parts"), "root").withColumn("_part", _numbers(F.col("_parts"))).drop("_parts")
-    own = dealt(open_).join(spread.select("root", "_band", "_part", "_cells"), ["root", "_band", "_part"])
-    own = own.select("root", "_band", F.pmod(F.xxhash64(F.lit(1), "node"), "_cells").alias("_cell"), _numbers(runs).alias("_at"), F.lit(0).alias("_asks"), "node", "linked", "_text")
-    asks = dealt(rows).withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1))).join(spread, ["root", "_band", "_part"])
-    asks = asks.filter((F.col("far") >= F.col("_near") - reach) & (F.col("far") <= F.col("_far") + reach))
-    asks = asks.select("root", "_band", _numbers(F.col("_cells")).alias("_cell"), F.pmod(F.xxhash64(F.lit(2), "node"), runs).alias("_at"), F.lit(1).alias("_asks"), "node", "linked", "_text")
+    bands = open_.groupBy("root", "_band", "_parts").agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_w"), F.min("far").alias("near"), F.max("far").alias("far"))
+    bands = bands.select("root", "_parts", F.struct(F.col("_band").alias("band"), F.greatest(F.ceil(F.col("_k") / CELL), F.ceil(F.col("_w") / CELL_SHINGLES)).cast("long").alias("cells"), "near", "far").alias("_b"))
+    cells = bands.groupBy("root", "_parts").agg(F.collect_list("_b").alias("_bands")).select("root", _numbers(F.col("_parts")).alias("_part"), "_bands")
+    # What goes where, without texts: an open set to a cell of its own band, in each run of those who ask, and all sets near enough
+    # to the cells of the three bands, to ask.
+    placed = rows.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts"))).join(cells, ["root", "_part"])
+    placed = placed.select("root", "node", "_band", "linked", "far", runs.alias("_runs"), F.explode("_bands").alias("_b"))
+    own = placed.filter((F.col("_b.band") == F.col("_band")) & ~F.col("linked"))
+    own = own.select("root", F.col("_b.band").alias("_band"), F.pmod(F.xxhash64(F.lit(1), "node"), "_b.cells").alias("_cell"), _numbers(F.col("_runs")).alias("_at"), F.lit(0).alias("_asks"), "node", "linked")
+    asks = placed.filter((F.abs(F.col("_b.band") - F.col("_band")) <= 1) & (F.col("far") >= F.col("_b.near") - reach) & (F.col("far") <= F.col("_b.far") + reach))
+    asks = asks.select("root", F.col("_b.band").alias("_band"), _numbers(F.col("_b.cells")).alias("_cell"), F.pmod(F.xxhash64(F.lit(2), "node"), "_runs").alias("_at"), F.lit(1).alias("_asks"), "node", "linked")
+    to = checkpointed(own.unionByName(asks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets, cell = None, [], [], None
@@ -597,8 +613,9 @@ def _meet_cells(large: DataFrame, held: DataFrame, width: int, num: int, den: in
             yield _pairs(out)
 
     by = ["root", "_band", "_cell", "_at"]
-    dealt_ = own.unionByName(asks).repartition(*by).sortWithinPartitions(*by, "_asks")
-    return dealt_.select(*by, "_asks", "node", "linked", "_text").mapInArrow(run, "a decimal(38,0), b decimal(38,0)")
+    texts = _beside(large.select("node", "_text"), to, ["node"], 100 * to.count())
+    dealt = texts.repartition(*by).sortWithinPartitions(*by, "_asks")
+    return dealt.select(*by, "_asks", "node", "linked", "_text").mapInArrow(run, "a decimal(38,0), b decimal(38,0)")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, docs_per_bucket: int = 4096, text_hash: bool = False) -> DataFrame:
@@ -618,17 +635,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("_n") / CELL_SHINGLES)).cast("long")
     sizes = checkpointed(wanted.groupBy("root").agg(parts.alias("_parts")).filter("_parts > 1"))
     texts = docs.select(key(F.col(id_col)), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(text_col).alias("_text"))
-    once = lambda df, *also: df.join(texts, ["_key", "_th"]).groupBy("root", "node", *also).agg(F.first("_text").alias("_text"))
     if sizes.isEmpty():
-        links = checkpointed(_resolve(once(wanted), width, num, den))
+        groups = wanted.join(texts, ["_key", "_th"]).groupBy("root", "node").agg(F.first("_text").alias("_text"))
+        links = checkpointed(_resolve(groups, width, num, den))
         final = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
         salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt")
         marked = wanted.withColumn("_salt", F.xxhash64("node").bitwiseAND(F.lit(SALTS - 1))).join(sizes.select("root", "_parts", salts), ["root", "_salt"], "left")
-        marked = checkpointed(marked.drop("_salt"))
-        large = checkpointed(once(marked.filter("_parts IS NOT NULL"), "_n", "_parts"))
+        groups = checkpointed(marked.join(texts, ["_key", "_th"]).groupBy("root", "node", "_n", "_parts").agg(F.first("_text").alias("_text")))
+        large = groups.filter("_parts IS NOT NULL")
         held = checkpointed(_against_head(large, width, num, den))
-        links = _resolve(once(marked.filter("_parts IS NULL")), width, num, den).unionByName(_meet_cells(large, held, width, num, den))
+        links = _resolve(groups.filter("_parts IS NULL"), width, num, den).unionByName(_meet_cells(large, held, width, num, den))
         final = components(links.unionByName(held.filter("linked AND root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     # Documents by component; those of a very common component are dealt to SALTS parts.
