@@ -1,15 +1,16 @@
 """Line deduplication by range-partitioned line hashes, in DataFrame expressions only.
 
-Every line of every document becomes a row of its key's 128-bit hash, the document and the position. These rows are
-range-partitioned by hash and document and sorted by hash, document and position within each partition, so a line
-that a third of all documents share spreads over many partitions. Streaming over a partition keeps the first
-occurrence of a key in a document; counts and first places of a key leave each partition as one row. What goes back to
-the documents is not text but a run-length bitmap for each document that loses lines: the runs of lines that stay.
+Every line of every document becomes a row of its key's 128-bit hash, the document and the position. Hashes are uniform, so
+the bounds of ranges are computed, not sampled: a range is a run of hashes and, within it, a run of the documents' own
+hashes, so a line that a third of all documents share spreads over DOC_RUNS ranges. Rows are sorted by hash, document and
+position within each range. Streaming over it keeps the first occurrence of a key in a document; counts and first places of
+a key leave each range as one row, and what is frequent goes back to just the ranges that hold it. What goes back to the
+documents is not text but a run-length bitmap for each document that loses lines: the runs of lines that stay.
 
 Defined results: null or empty text is one empty line; a key is the line without blanks at both ends, with A-Z in
-lower case; keys shorter than min_chars code points are never dropped; rows that share both id and text are one
-document, all others are documents of their own, also where ids repeat or are null; an empty table gives no rows; extra
-columns stay, whatever their names.
+lower case; keys shorter than min_chars code points are never dropped; each row is a document, also where ids repeat or are null, and
+rows that share both id and text keep or lose the same lines; an empty table gives no rows; extra columns stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from recall_engine.llm.common import BLANKS, ascii_lower, restored, set_aside
 
-#: The end of a run that reaches to the last line; parts that the rows of one key are dealt to (a power of two).
-OPEN, SALTS = (1 << 31) - 2, 8
+#: The end of a run that reaches to the last line; runs of line hashes and of document hashes (powers of two) that bound a range.
+OPEN, HASH_RUNS, DOC_RUNS = (1 << 31) - 2, 256, 256
 
 
 def lines_of(text: Column) -> Column:
@@ -37,10 +38,21 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
 
 
 def line_entries(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """Every line that has a key: _h1, _h2, _id, _th, _pos."""
+    """Every line that has a key: _range (the partition of its range), _h1, _h2, _id, _th, _pos."""
     keys = docs.select(*_identity(id_col, text_col), F.posexplode(lines_of(F.col(text_col))).alias("_pos", "_line")).withColumn("_key", line_key(F.col("_line")))
     hashed = keys.filter(F.char_length("_key") >= min_chars).select(F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("_h2"), "_id", "_th", "_pos")
-    return hashed.repartitionByRange("_h1", "_h2", "_id", "_th")
+    top = lambda c, runs: F.shiftrightunsigned(c, 65 - runs.bit_length())
+    place = top(F.col("_h1"), HASH_RUNS) * DOC_RUNS + top(F.xxhash64("_id", "_th"), DOC_RUNS)
+    return _by_range(hashed.select(F.coalesce(F.pmod(place, F.lit(_partitions(docs))), F.lit(0)).cast("int").alias("_range"), "*"))
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _by_range(df: DataFrame) -> DataFrame:
+    """Ranges are dealt to partitions in turn: _range says to which."""
+    return df.repartitionById(_partitions(df), F.col("_range"))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, first_stays: bool = False) -> DataFrame:
@@ -50,12 +62,15 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first_stays all but the first in order of document and position.
     """
     entries = line_entries(docs, id_col, text_col, min_chars)
-    within = Window.partitionBy("_h1", "_h2", "_id", "_th").orderBy("_pos")
-    firsts = entries.withColumn("_rn", F.row_number().over(within)).filter("_rn = 1")
-    frequent = firsts.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_th", "_pos")).alias("_first")).filter(F.col("_docs") >= min_docs)
-    # The rows of a very common key are dealt out by document too; each of the few frequent keys goes along with every part.
-    parts = frequent.select("_h1", "_h2", *(["_first"] if first_stays else []), F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt"))
-    hit = entries.withColumn("_salt", F.xxhash64("_id", "_th").bitwiseAND(F.lit(SALTS - 1))).join(parts, ["_h1", "_h2", "_salt"])
+    key = ["_range", "_h1", "_h2"]
+    within = Window.partitionBy(*key, "_id", "_th").orderBy("_pos")
+    firsts = entries.withColumn("_rank", F.rank().over(within)).filter("_rank = 1")  # one for each of rows that are equal in all
+    first = [F.min(F.struct("_id", "_th", "_pos")).alias("_first")] if first_stays else []
+    counts = firsts.groupBy(*key).agg(F.count(F.lit(1)).alias("_docs"), *first)
+    everywhere = Window.partitionBy("_h1", "_h2")
+    total = {"_docs": F.sum("_docs").over(everywhere)} | ({"_first": F.min("_first").over(everywhere)} if first_stays else {})
+    frequent = counts.withColumns(total).filter(F.col("_docs") >= min_docs).drop("_docs")
+    hit = entries.join(_by_range(frequent), key)
     if first_stays:
         hit = hit.filter(~F.struct("_id", "_th", "_pos").eqNullSafe(F.col("_first")))
     gone = hit.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
