@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import unicodedata
@@ -113,6 +114,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished steps go: Spark removes them once no plan refers to them, which only a collection of
+    garbage on the driver finds out."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; RECALL_TOKENIZERS overrides the installed folder."""
     folder = os.environ.get("RECALL_TOKENIZERS")

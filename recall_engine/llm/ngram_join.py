@@ -17,7 +17,8 @@ for copies, which share one node.
    are first held, row by row, against one of them, the head: what links to it is settled. The others, the open ones, are
    dealt to cells of sets of like sizes, each with an R-tree. All open sets, and by the triangle inequality only those
    settled ones that lie far enough out to reach an open one, stream past the cells of their own and the next sizes, in
-   parts of bounded length, and ask their trees. So a task holds a cell and a batch, however large the group.
+   parts of bounded length, and ask their trees: first with their points, and only those that some bound lets through with
+   their texts. So a task holds a cell and a batch, however large the group.
 
 Words are runs of characters other than blanks, with A-Z in lower case; a document with fewer than ``width`` words but
 at least one has its whole sequence as its only shingle. Shingles are 64-bit hashes, sets are told apart by digests of 126
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recall_engine.llm.common import checkpointed, hold, restored, set_aside
+from recall_engine.llm.common import checkpointed, hold, release, restored, set_aside
 
 #: The most sets, and shingles of sets, that one task gathers; rows that stream past a cell in one task.
 CELL, CELL_SHINGLES, PART = 2048, 1 << 22, 1 << 16
@@ -479,6 +480,8 @@ def components(pairs: DataFrame) -> DataFrame:
     e = checkpointed(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     signed = lambda: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     sign, k = None, F.count(F.lit(1)).alias("k")
+    del pairs
+    release(e.sparkSession)
     now = signed()
     while now != sign:
         sign, hub = now, max(HUB, 2 * now[0] // MOST_HUBS)
@@ -512,14 +515,15 @@ def _beside(left: DataFrame, right: DataFrame, on: list[str], size: int) -> Data
 
 def _against_head(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Sets of large groups (root, node, _n, _parts, _text) held against the set whose digest is the root: root, node, _n, _parts,
-    linked, far (Jaccard distance). Where the heads are too many to be broadcast, a group's rows are dealt to its number of
+    linked, far (Jaccard distance), _point (the counts of its shingles by group, of as many groups as half the head's shingles).
+    Where the heads are too many to be broadcast, a group's rows are dealt to its number of
     parts, and the head goes to each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: dict = {}
         for b in batches:
             roots, texts, head_texts = (b.column(i).to_pylist() for i in (0, 4, 5))
-            linked, far = [], []
+            linked, far, points = [], [], []
             for at, part in _slices(texts):
                 for i, s in enumerate(shingle_sets(part, width), at):
                     if roots[i] not in heads:
@@ -530,7 +534,8 @@ def _against_head(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     both = overlap(s, h)
                     linked.append(_links(len(s), len(h), both, num, den))
                     far.append(1 - both / (len(s) + len(h) - both))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], names=["root", "node", "_n", "_parts", "linked", "far"])
+                    points.append(zlib.compress(_counts([s], min(12, max(6, len(h).bit_length() - 1))).astype("<u4").tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(linked, pa.bool_()), pa.array(far, pa.float64()), pa.array(points, pa.binary())], names=["root", "node", "_n", "_parts", "linked", "far", "_point"])
 
     heads = rows.filter("root = node")
     size = heads.agg(F.sum(F.octet_length("_text") + 64)).first()[0]
@@ -538,7 +543,7 @@ def _against_head(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), "_parts") if parted else F.lit(0).cast("long")
     heads = heads.select("root", (_numbers(F.col("_parts")) if parted else part).alias("_part"), F.col("_text").alias("_head"))
     beside = _beside(rows.withColumn("_part", part), heads, ["root", "_part"], size or 0)
-    return beside.select("root", "node", "_n", "_parts", "_text", "_head").mapInArrow(run, _SETS + ", _n long, _parts long, linked boolean, far double")
+    return beside.select("root", "node", "_n", "_parts", "_text", "_head").mapInArrow(run, _SETS + ", _n long, _parts long, linked boolean, far double, _point binary")
 
 
 def _resolve(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -584,12 +589,48 @@ def _meet_cells(large: DataFrame, held: DataFrame, width: int, num: int, den: in
     # What goes where, without texts: an open set to a cell of its own band, in each run of those who ask, and all sets near enough
     # to the cells of the three bands, to ask.
     placed = rows.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts"))).join(cells, ["root", "_part"])
-    placed = placed.select("root", "node", "_band", "linked", "far", runs.alias("_runs"), F.explode("_bands").alias("_b"))
+    placed = placed.select("root", "node", "_band", "linked", "far", "_n", "_point", runs.alias("_runs"), F.explode("_bands").alias("_b"))
     own = placed.filter((F.col("_b.band") == F.col("_band")) & ~F.col("linked"))
-    own = own.select("root", F.col("_b.band").alias("_band"), F.pmod(F.xxhash64(F.lit(1), "node"), "_b.cells").alias("_cell"), _numbers(F.col("_runs")).alias("_at"), F.lit(0).alias("_asks"), "node", "linked")
+    own = own.select("root", F.col("_b.band").alias("_band"), F.pmod(F.xxhash64(F.lit(1), "node"), "_b.cells").alias("_cell"), _numbers(F.col("_runs")).alias("_at"), F.lit(0).alias("_asks"), "node", "linked", "_n", "_point")
     asks = placed.filter((F.abs(F.col("_b.band") - F.col("_band")) <= 1) & (F.col("far") >= F.col("_b.near") - reach) & (F.col("far") <= F.col("_b.far") + reach))
-    asks = asks.select("root", F.col("_b.band").alias("_band"), _numbers(F.col("_b.cells")).alias("_cell"), F.pmod(F.xxhash64(F.lit(2), "node"), "_runs").alias("_at"), F.lit(1).alias("_asks"), "node", "linked")
-    to = checkpointed(own.unionByName(asks))
+    asks = asks.select("root", F.col("_b.band").alias("_band"), _numbers(F.col("_b.cells")).alias("_cell"), F.pmod(F.xxhash64(F.lit(2), "node"), "_runs").alias("_at"), F.lit(1).alias("_asks"), "node", "linked", "_n", "_point")
+    by = ["root", "_band", "_cell", "_at"]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By their points alone: who asks and could link to a set of the cell, and which sets of it could be meant."""
+        key, nodes, held_, cell, meant = None, [], [], None, set()
+        for b in batches:
+            take: list[int] = []
+            extra: list[tuple] = []
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+            kinds, own_, sizes, points = (b.column(i).to_pylist() for i in (4, 5, 7, 8))
+            for i, (kind, point) in enumerate(zip(kinds, points, strict=True)):
+                q = np.frombuffer(zlib.decompress(point), "<u4").astype(np.int32)
+                if keys[i] != key:
+                    key, nodes, held_, cell, meant = keys[i], [], [], None, set()
+                if not kind:
+                    nodes.append(own_[i])
+                    held_.append((q, sizes[i]))
+                    continue
+                if cell is None and not held_:  # no open set was dealt here
+                    continue
+                if cell is None:
+                    cell = CountTree(np.stack([q for q, _ in held_]), np.array([n for _, n in held_], np.int64))
+                    held_ = []
+                other = [nodes[cell.order[j]] for j in cell.asked(q, sizes[i], num, den).tolist()]
+                other = [o for o in other if o != own_[i]]
+                if other:
+                    take.append(i)
+                    new = [o for o in other if o not in meant]
+                    meant.update(new)
+                    extra += [(key, o) for o in new]
+            found = [(*keys[i], 1, own_[i], b.column(6)[i].as_py()) for i in take] + [(*k, 0, o, False) for k, o in extra]
+            root, band_, cell_, at, asks_, node, linked = zip(*found, strict=True) if found else [()] * 7
+            cols = [pa.array(root, pa.decimal128(38, 0)), pa.array(band_, pa.int32()), pa.array(cell_, pa.int64()), pa.array(at, pa.int64()), pa.array(asks_, pa.int32()), pa.array(node, pa.decimal128(38, 0)), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*by, "_asks", "node", "linked"])
+
+    sorted_ = own.unionByName(asks).repartition(*by).sortWithinPartitions(*by, "_asks").select(*by, "_asks", "node", "linked", "_n", "_point")
+    to = checkpointed(sorted_.mapInArrow(near, "root decimal(38,0), _band int, _cell long, _at long, _asks int, node decimal(38,0), linked boolean"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets, cell = None, [], [], None
@@ -612,7 +653,6 @@ def _meet_cells(large: DataFrame, held: DataFrame, width: int, num: int, den: in
                         out += [(key[0] if linked[i] else own_[i], other) for other in cell.meet(own_[i], s, linked[i])]
             yield _pairs(out)
 
-    by = ["root", "_band", "_cell", "_at"]
     texts = _beside(large.select("node", "_text"), to, ["node"], 100 * to.count())
     dealt = texts.repartition(*by).sortWithinPartitions(*by, "_asks")
     return dealt.select(*by, "_asks", "node", "linked", "_text").mapInArrow(run, "a decimal(38,0), b decimal(38,0)")
@@ -643,6 +683,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt")
         marked = wanted.withColumn("_salt", F.xxhash64("node").bitwiseAND(F.lit(SALTS - 1))).join(sizes.select("root", "_parts", salts), ["root", "_salt"], "left")
         groups = checkpointed(marked.join(texts, ["_key", "_th"]).groupBy("root", "node", "_n", "_parts").agg(F.first("_text").alias("_text")))
+        release(docs.sparkSession)
         large = groups.filter("_parts IS NOT NULL")
         held = checkpointed(_against_head(large, width, num, den))
         links = _resolve(groups.filter("_parts IS NULL"), width, num, den).unionByName(_meet_cells(large, held, width, num, den))
