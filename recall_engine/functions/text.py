@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to; fixed values.
-ACCENTED = "àáâãäåāçćčèéêëēìíîïīñńòóôõöōøùúûüūýÿžźšśł"
-FOLDED = "aaaaaaaccceeeeeiiiiinnooooooouuuuuyyzzssl"
-WORD = r"[\p{L}\p{N}_\-#@]+"
+
+
+def _folded(c: str) -> str:
+    """A lower-case letter without its accent: Latin letters with one mark lose it, and letters that differ only in their
+    form are one."""
+    low = c.casefold() if len(c.casefold()) == 1 else c
+    parts = unicodedata.normalize("NFD", low)
+    return parts[0] if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() and unicodedata.combining(parts[1]) else low
+
+
+def _foldings() -> tuple[str, str]:
+    """Letters that fold to another, then the marks that fold to nothing; and what the letters fold to."""
+    letters = [c for c in map(chr, range(0x80, 0x2000)) if c.lower() == c and _folded(c) != c]
+    marks = sorted({d[1] for d in (unicodedata.normalize("NFD", c) for c in letters) if len(d) == 2 and d[0].isascii()})
+    return "".join([*letters, *marks]), "".join(map(_folded, letters))
+
+
+ACCENTED, FOLDED = _foldings()
+WORD = r"[\p{L}\p{N}\p{Co}_\-#@]+"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents; texts of ASCII alone have none."""
+    """Lower case without accents, whether they are part of a letter or stand after it; texts of ASCII alone have none."""
     low = F.lower(c)
     return F.when(F.octet_length(c) == F.char_length(c), low).otherwise(F.translate(low, ACCENTED, FOLDED))
 

@@ -29,7 +29,7 @@ def r6(c, name: str):
 
 
 _FOLD = f"translate(lower(coalesce({{}}, '')), '{ACCENTED}', '{FOLDED}')"
-_WORDS = r"regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}_\-#@]+')"
+_WORDS = r"regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}\p{{Co}}_\-#@]+')"
 _TOKENS = f"SELECT revision_id, len(w) AS doc_len, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT revision_id, {_WORDS.format('text')} AS w FROM revisions)"
 _STATS = "SELECT (SELECT count(*) FROM revisions) AS n, (SELECT count(*) FROM tok)::DOUBLE / (SELECT count(*) FROM revisions) AS avg_len"
 _TERMS = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i) AS phrase, term, count(*) OVER (PARTITION BY query_id) AS phrases FROM (SELECT query_id, unnest(string_split(query, ' ')) AS term, unnest(range(len(string_split(query, ' ')))) AS i FROM queries)"
