@@ -87,12 +87,13 @@ def substring_search(messages: DataFrame, revisions: DataFrame, queries: DataFra
     terms = queries.select("query_id", F.posexplode(F.filter(F.split(F.lower("query"), r"\s+", -1), lambda x: F.char_length(x) >= least)).alias("phrase", "term"))
     terms = terms.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     stats = texts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    found = texts.join(checked_broadcast(terms), F.contains("_low", "term"))
-    # occurrences may overlap, as those of a phrase of trigrams do
-    starts = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("_low") - F.char_length("term") + 1)), lambda i: F.substr(F.col("_low"), i, F.char_length("term")) == F.col("term")))
-    plain = F.floor((F.char_length("_low") - F.char_length(F.replace(F.col("_low"), F.col("term"), F.lit("")))) / F.char_length("term"))
+    # occurrences may overlap, as those of a phrase of trigrams do; only those of a term that ends as it begins can
     selfish = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("term") - 1)), lambda i: F.left("term", i) == F.right("term", i)) & (F.char_length("term") > 1)
-    tf = found.withColumn("tf", F.when(selfish, starts).otherwise(plain).cast("long"))
+    at_each = F.concat(F.lit("(?=\\Q"), F.replace(F.col("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    found = texts.join(checked_broadcast(terms.withColumns({"_selfish": selfish, "_at_each": at_each})), F.contains("_low", "term"))
+    plain = F.floor((F.octet_length("_low") - F.octet_length(F.replace(F.col("_low"), F.col("term"), F.lit("")))) / F.octet_length("term"))
+    tf = found.withColumn("tf", F.when(F.col("_selfish"), F.regexp_count("_low", F.col("_at_each"))).otherwise(plain).cast("long"))
+    tf = tf.select("query_id", "phrase", "phrases", "revision_id", "doc_len", "tf").repartition("revision_id")  # made once for both uses
     df = document_frequency(tf)
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(p.least_idf)).otherwise(raw)

@@ -16,21 +16,30 @@ from recall_engine.params import PARAMS, Params, Weights
 class Corpus:
     """The tables that retrieval reads. messages: message_id, event_id, head_revision_id, sender, thread_id, created_at,
     priority, retracted, pinned, confirmed; revisions: revision_id, message_id, text; vectors: message_id, model_id,
-    vector; salience (may be None): message_id, salience, novelty, impressions."""
+    vector; salience (may be None): message_id, salience, novelty, impressions; attachments: message_id, object_hash, and
+    derivatives: derivative_id, object_hash, status, invalidated, text (both may be None)."""
 
     messages: DataFrame
     revisions: DataFrame
     vectors: DataFrame | None = None
     salience: DataFrame | None = None
+    attachments: DataFrame | None = None
+    derivatives: DataFrame | None = None
 
 
 def relevance(c: Corpus, queries: DataFrame, scope: DataFrame | None = None, lexical_only: bool = False, p: Params = PARAMS) -> DataFrame:
-    """(query_id, message_id, lex_rank, vec_rank, rrf). A scope is applied after the lexical list is cut and before
+    """(query_id, message_id, lex_rank, vec_rank, rrf). The lexical list has messages that hold the words, then those whose
+    attachments do, then those that hold the terms anywhere. A scope is applied after the lexical list is cut and before
     the vector list is, as the store does. queries: query_id, query and, for vectors, model_id and vector."""
-    words = lexical.word_search(c.messages, c.revisions, queries, p.candidates, p=p)
+    sources = [lexical.word_search(c.messages, c.revisions, queries, p.candidates, p=p)]
+    if c.attachments is not None and c.derivatives is not None:
+        sources.append(lexical.derivative_search(c.messages, c.attachments, c.derivatives, queries, p.candidates))
+    sources.append(lexical.substring_search(c.messages, c.revisions, queries, p.candidates, p=p))
+    found = lexical.ordered_union(*sources, k=p.candidates)
     if scope is not None:
-        words = lexical.top_per_query(words.join(scope, "message_id", "left_semi").drop("rank"), p.candidates, "score", "message_id")
-    lists = {"lex_rank": words}
+        inside = found.join(scope, "message_id", "left_semi").withColumnRenamed("rank", "_of_all")
+        found = lexical.top_per_query(inside, p.candidates, "_of_all")
+    lists = {"lex_rank": found}
     if c.vectors is not None and not lexical_only:
         shown = c.messages.filter(~F.col("retracted")).select("message_id")
         known = c.vectors.join(shown if scope is None else shown.join(scope, "message_id", "left_semi"), "message_id", "left_semi")

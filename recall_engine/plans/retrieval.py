@@ -33,12 +33,29 @@ _WORDS = r"regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}\p{{Co}}_\-#@]+')"
 _TOKENS = f"SELECT revision_id, len(w) AS doc_len, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT revision_id, {_WORDS.format('text')} AS w FROM revisions)"
 _STATS = "SELECT (SELECT count(*) FROM revisions) AS n, (SELECT count(*) FROM tok)::DOUBLE / (SELECT count(*) FROM revisions) AS avg_len"
 _TERMS = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i) AS phrase, term, count(*) OVER (PARTITION BY query_id) AS phrases FROM (SELECT query_id, unnest(string_split(query, ' ')) AS term, unnest(range(len(string_split(query, ' ')))) AS i FROM queries)"
-_SCORED = """SELECT query_id, revision_id, -list_sum(list(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len)) ORDER BY phrase)) AS score
-  FROM (SELECT *, count(*) OVER (PARTITION BY query_id, phrase) AS df FROM hits), stats GROUP BY query_id, revision_id, phrases HAVING count(*) = phrases"""
+_SCORED_FROM = """SELECT query_id, revision_id, -list_sum(list(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len)) ORDER BY phrase)) AS score
+  FROM (SELECT *, count(*) OVER (PARTITION BY query_id, phrase) AS df FROM {hits}), {stats} GROUP BY query_id, revision_id, phrases HAVING count(*) = phrases"""
+_SCORED = _SCORED_FROM.format(hits="hits", stats="stats")
 _HITS = "SELECT query_id, phrase, phrases, revision_id, doc_len, count(*) AS tf FROM tok JOIN terms USING (term) GROUP BY ALL"
 _LEX = """SELECT query_id, message_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, message_id) AS rank
   FROM scored JOIN messages ON head_revision_id = revision_id WHERE NOT retracted QUALIFY rank <= 100"""
 _LEX_CTES = {"tok": _TOKENS, "stats": _STATS, "terms": _TERMS, "hits": _HITS, "scored": _SCORED, "lex": _LEX}
+_DERIV = f"""SELECT DISTINCT query_id, a.message_id FROM (SELECT query_id, derivative_id, phrases FROM (
+  SELECT DISTINCT query_id, phrases, term, derivative_id FROM terms JOIN (SELECT derivative_id, unnest({_WORDS.format("text")}) AS term FROM derivatives WHERE status = 'ok' AND NOT invalidated) USING (term))
+  GROUP BY ALL HAVING count(*) = phrases) h JOIN derivatives d USING (derivative_id) JOIN attachments a USING (object_hash) JOIN messages m ON m.message_id = a.message_id WHERE NOT m.retracted"""
+_DERIV_RANKED = "SELECT query_id, message_id, row_number() OVER (PARTITION BY query_id ORDER BY message_id) AS rank FROM deriv QUALIFY rank <= 100"
+_FULL_CTES = {
+    "tok": _TOKENS, "stats": _STATS, "terms": _TERMS, "hits": _HITS, "scored": _SCORED, "of_words": _LEX, "deriv": _DERIV, "dr": _DERIV_RANKED,
+    "t": "SELECT revision_id, lower(coalesce(text, '')) AS low, greatest(0, length(lower(coalesce(text, ''))) - 2) AS doc_len FROM revisions",
+    "tterms": "SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY i) AS phrase, count(*) OVER (PARTITION BY query_id) AS phrases FROM (SELECT query_id, unnest(string_split(lower(query), ' ')) AS term, unnest(range(len(string_split(query, ' ')))) AS i FROM queries) WHERE length(term) >= 3",
+    "tstats": "SELECT count(*) AS n, avg(doc_len) AS avg_len FROM t",
+    "thits": "SELECT query_id, phrase, phrases, revision_id, doc_len, (length(low) - length(replace(low, term, ''))) // length(term) AS tf FROM t, tterms WHERE contains(low, term)",
+    "tscored": _SCORED_FROM.format(hits="thits", stats="tstats"),
+    "tri": _LEX.replace("scored", "tscored"),
+    "every": """SELECT query_id, message_id, min(source) AS source, arg_min(rank, source) AS r FROM (SELECT query_id, message_id, rank, 0 AS source FROM of_words
+  UNION ALL SELECT query_id, message_id, rank, 1 FROM dr UNION ALL SELECT query_id, message_id, rank, 2 FROM tri) GROUP BY ALL""",
+    "lex": "SELECT query_id, message_id, source, row_number() OVER (PARTITION BY query_id ORDER BY source, r, message_id) AS rank FROM every QUALIFY rank <= 100",
+}
 _VEC = """SELECT q.query_id, v.message_id, list_inner_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS sim, row_number() OVER (PARTITION BY q.query_id ORDER BY sim DESC, v.message_id) AS rank
   FROM queries q, vectors v JOIN messages USING (message_id) WHERE NOT retracted AND q.vector IS NOT NULL QUALIFY rank <= 100"""
 _RRF = """SELECT query_id, message_id, l.rank AS lex_rank, v.rank AS vec_rank, coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0) AS rrf
@@ -57,7 +74,7 @@ def _ranked(half: float, w, source: str, uniform: bool = False) -> str:
 
 
 def corpus(m: Model, salient: DataFrame | None = None) -> retrieve.Corpus:
-    return retrieve.Corpus(m.messages(), m.revisions(), m.vectors(), salient)
+    return retrieve.Corpus(m.messages(), m.revisions(), m.vectors(), salient, m.attachments(), m.derivatives())
 
 
 @query(with_tables("messages revisions queries", "SELECT query_id, message_id, round(score, 6) AS score, rank FROM lex", **_LEX_CTES))
@@ -105,33 +122,20 @@ def trigram_search(spark: SparkSession, d: str) -> DataFrame:
     return lexical.substring_search(m.messages(), m.revisions(), asked).select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
 
 
-_DERIV = f"""SELECT DISTINCT query_id, a.message_id FROM (SELECT query_id, derivative_id, phrases FROM (
-  SELECT DISTINCT query_id, phrases, term, derivative_id FROM terms JOIN (SELECT derivative_id, unnest({_WORDS.format("text")}) AS term FROM derivatives WHERE status = 'ok' AND NOT invalidated) USING (term))
-  GROUP BY ALL HAVING count(*) = phrases) h JOIN derivatives d USING (derivative_id) JOIN attachments a USING (object_hash) JOIN messages m ON m.message_id = a.message_id WHERE NOT m.retracted"""
-_DERIV_RANKED = "SELECT query_id, message_id, row_number() OVER (PARTITION BY query_id ORDER BY message_id) AS rank FROM deriv QUALIFY rank <= 100"
-
-
 @query(with_tables("messages attachments derivatives queries", "SELECT * FROM dr", terms=_TERMS, deriv=_DERIV, dr=_DERIV_RANKED))
 def derivative_search(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     return lexical.derivative_search(m.messages(), m.attachments(), m.derivatives(), m.queries()).select("query_id", "message_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(
-    with_tables(
-        "messages revisions attachments derivatives queries",
-        """SELECT query_id, message_id, source, row_number() OVER (PARTITION BY query_id ORDER BY source, r, message_id) AS rank FROM (
-SELECT query_id, message_id, min(source) AS source, arg_min(rank, source) AS r FROM (SELECT query_id, message_id, rank, 0 AS source FROM lex UNION ALL SELECT query_id, message_id, rank, 1 FROM dr) GROUP BY ALL)
-QUALIFY rank <= 100""",
-        **_LEX_CTES, deriv=_DERIV, dr=_DERIV_RANKED,
-    )
-)
+@query(with_tables("messages revisions attachments derivatives queries", "SELECT query_id, message_id, source, rank FROM lex", **_FULL_CTES))
 def lexical_union(spark: SparkSession, d: str) -> DataFrame:
-    """Words first, then attachments' texts; at most a hundred a query."""
+    """Words first, then attachments' texts, then terms within words; at most a hundred a query."""
     m = Model(spark, d)
     a = lexical.word_search(m.messages(), m.revisions(), m.queries())
     b = lexical.derivative_search(m.messages(), m.attachments(), m.derivatives(), m.queries())
-    return lexical.ordered_union(a, b).select("query_id", "message_id", "source", F.col("rank").cast("long").alias("rank"))
+    c = lexical.substring_search(m.messages(), m.revisions(), m.queries())
+    return lexical.ordered_union(a, b, c).select("query_id", "message_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_tables("messages vectors queries", "SELECT query_id, message_id, round(sim, 6) AS sim, rank FROM vec", vec=_VEC))
@@ -141,7 +145,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.cosine_topk(shown, m.queries().filter("vector IS NOT NULL")).select("query_id", "message_id", r6("sim", "sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(with_tables("messages revisions vectors queries", "SELECT query_id, message_id, lex_rank, vec_rank, round(rrf, 9) AS rrf FROM fused", **_LEX_CTES, vec=_VEC, fused=_RRF))
+@query(with_tables("messages revisions attachments derivatives vectors queries", "SELECT query_id, message_id, lex_rank, vec_rank, round(rrf, 9) AS rrf FROM fused", **_FULL_CTES, vec=_VEC, fused=_RRF))
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     return retrieve.relevance(corpus(m), m.queries()).select("query_id", "message_id", F.col("lex_rank").cast("long").alias("lex_rank"), F.col("vec_rank").cast("long").alias("vec_rank"), F.round("rrf", 9).alias("rrf"))
@@ -177,14 +181,14 @@ def _shown(df: DataFrame, *more) -> DataFrame:
     return df.select("query_id", "message_id", F.col("final_rank").cast("long").alias("final_rank"), r6("r", "r"), r6("f", "f"), r6("p", "p"), *more, r6("score", "score"))
 
 
-@query(with_tables("messages revisions vectors queries", _SHOW, **_LEX_CTES, vec=_VEC, fused=_RRF, cand=_PLAIN, ranked=_ranked(2160.0, PARAMS.search_p0, "cand")))
+@query(with_tables("messages revisions attachments derivatives vectors queries", _SHOW, **_FULL_CTES, vec=_VEC, fused=_RRF, cand=_PLAIN, ranked=_ranked(2160.0, PARAMS.search_p0, "cand")))
 def search_p0(spark: SparkSession, d: str) -> DataFrame:
     """Words and vectors, fused and ranked: the first ten of each request."""
     m = Model(spark, d)
     return _shown(retrieve.search(corpus(m), m.queries(), now()))
 
 
-@query(with_tables("messages revisions vectors queries", _SHOW, **_LEX_CTES, fused="SELECT query_id, message_id, rank AS lex_rank, NULL AS vec_rank, 1.0::DOUBLE / (60 + rank) AS rrf FROM lex", cand=_PLAIN, ranked=_ranked(2160.0, PARAMS.search_p0, "cand")))
+@query(with_tables("messages revisions attachments derivatives vectors queries", _SHOW, **_FULL_CTES, fused="SELECT query_id, message_id, rank AS lex_rank, NULL AS vec_rank, 1.0::DOUBLE / (60 + rank) AS rrf FROM lex", cand=_PLAIN, ranked=_ranked(2160.0, PARAMS.search_p0, "cand")))
 def search_lexical_only(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     return _shown(retrieve.search(corpus(m), m.queries(), now(), lexical_only=True))
@@ -251,9 +255,9 @@ _P2 = "SELECT f.*, m.event_id, m.created_at, m.priority, m.pinned, m.confirmed,
 
 @query(
     with_tables(
-        _SAL_TABLES + " revisions vectors queries",
+        _SAL_TABLES + " revisions derivatives vectors queries",
         "SELECT query_id, message_id, final_rank, round(r, 6) AS r, round(f, 6) AS f, round(p, 6) AS p, round(s, 6) AS s, round(n, 6) AS n, round(score, 6) AS score FROM placed WHERE place <= 10",
-        **_LEX_CTES, vec=_VEC, fused=_RRF, **_SALIENCE, cand=_P2, ranked=_ranked(2160.0, PARAMS.search_p2, "cand"),
+        **_FULL_CTES, vec=_VEC, fused=_RRF, **_SALIENCE, cand=_P2, ranked=_ranked(2160.0, PARAMS.search_p2, "cand"),
         marked="SELECT *, final_rank > 9 AND coalesce(impressions, 0) < 5 AS fresh FROM ranked",
         counted="SELECT *, sum(fresh::INT) OVER (PARTITION BY query_id ORDER BY final_rank) AS nth FROM marked",
         placed="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN final_rank <= 9 THEN 0 WHEN fresh AND nth <= 1 THEN 1 ELSE 2 END, final_rank) AS place FROM counted",
@@ -300,9 +304,9 @@ def digest_mandatory(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_tables(
-        "messages revisions vectors links views",
+        "messages revisions attachments derivatives vectors links views",
         "SELECT query_id, message_id, final_rank, mandatory, round(r, 6) AS r, round(f, 6) AS f, round(score, 6) AS score FROM (SELECT * FROM ranked UNION ALL SELECT * FROM silent)",
-        queries="SELECT * FROM views WHERE query IS NOT NULL", **_LEX_CTES, vec=_VEC, fused=_RRF, members=_MEMBERS,
+        queries="SELECT * FROM views WHERE query IS NOT NULL", **_FULL_CTES, vec=_VEC, fused=_RRF, members=_MEMBERS,
         cand="SELECT b.*, coalesce(rrf, 0) AS rrf, m.event_id, m.created_at, m.priority, m.pinned, m.confirmed, 0.0 AS salience, 0.0 AS novelty FROM members b LEFT JOIN fused USING (query_id, message_id) JOIN messages m USING (message_id)",
         asked="SELECT * FROM cand WHERE query_id IN (SELECT query_id FROM queries)", quiet="SELECT * FROM cand WHERE query_id NOT IN (SELECT query_id FROM queries)",
         ranked=_ranked(72.0, PARAMS.digest_p0, "asked"), silent=_ranked(72.0, PARAMS.digest_p0, "quiet", uniform=True),
@@ -315,9 +319,9 @@ def digest_p0(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_tables(
-        _SAL_TABLES + " revisions vectors links views",
+        _SAL_TABLES + " revisions derivatives vectors links views",
         "SELECT query_id, message_id, final_rank, round(r, 6) AS r, round(s, 6) AS s, round(n, 6) AS n, round(score, 6) AS score FROM (SELECT * FROM ranked UNION ALL SELECT * FROM silent)",
-        queries="SELECT * FROM views WHERE query IS NOT NULL", **_LEX_CTES, vec=_VEC, fused=_RRF, members=_MEMBERS, **_SALIENCE,
+        queries="SELECT * FROM views WHERE query IS NOT NULL", **_FULL_CTES, vec=_VEC, fused=_RRF, members=_MEMBERS, **_SALIENCE,
         cand="SELECT b.*, coalesce(rrf, 0) AS rrf, m.event_id, m.created_at, m.priority, m.pinned, m.confirmed, salience, novelty FROM members b LEFT JOIN fused USING (query_id, message_id) JOIN messages m USING (message_id) LEFT JOIN sal USING (message_id)",
         asked="SELECT * FROM cand WHERE query_id IN (SELECT query_id FROM queries)", quiet="SELECT * FROM cand WHERE query_id NOT IN (SELECT query_id FROM queries)",
         ranked=_ranked(72.0, PARAMS.digest_p2, "asked"), silent=_ranked(72.0, PARAMS.digest_p2, "quiet", uniform=True),
@@ -337,7 +341,7 @@ def thread_expand(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.threads(t, roots).select("query_id", "message_id", F.col("final_rank").cast("long").alias("final_rank"))
 
 
-@query(with_tables("messages revisions vectors queries", "SELECT query_id, message_id, true AS exact, round(score, 6) AS score FROM ranked WHERE final_rank <= 10", **_LEX_CTES, vec=_VEC, fused=_RRF, cand=_PLAIN, ranked=_ranked(2160.0, PARAMS.search_p0, "cand")))
+@query(with_tables("messages revisions attachments derivatives vectors queries", "SELECT query_id, message_id, true AS exact, round(score, 6) AS score FROM ranked WHERE final_rank <= 10", **_FULL_CTES, vec=_VEC, fused=_RRF, cand=_PLAIN, ranked=_ranked(2160.0, PARAMS.search_p0, "cand")))
 def explain_recompute(spark: SparkSession, d: str) -> DataFrame:
     """Scores come back exactly from what was written down of them."""
     m = Model(spark, d)
@@ -345,7 +349,7 @@ def explain_recompute(spark: SparkSession, d: str) -> DataFrame:
     return ranking.recompute(hits.select("query_id", "message_id", "components")).select("query_id", "message_id", "exact", r6("recomputed", "score"))
 
 
-@query(with_tables("messages revisions vectors queries", "SELECT query_id, message_id, term, round(value, 6) AS value, round(value * weight, 6) AS product FROM (SELECT query_id, message_id, unnest([{'term': 'r', 'value': r, 'weight': 0.9::DOUBLE}, {'term': 's', 'value': 0.0, 'weight': 0.0}, {'term': 'f', 'value': f, 'weight': 0.07}, {'term': 'p', 'value': p, 'weight': 0.03}, {'term': 'i', 'value': i, 'weight': 0.0}, {'term': 'n', 'value': 0.0, 'weight': 0.0}], recursive := true) FROM ranked WHERE final_rank <= 10)", **_LEX_CTES, vec=_VEC, fused=_RRF, cand=_PLAIN, ranked=_ranked(2160.0, PARAMS.search_p0, "cand")))
+@query(with_tables("messages revisions attachments derivatives vectors queries", "SELECT query_id, message_id, term, round(value, 6) AS value, round(value * weight, 6) AS product FROM (SELECT query_id, message_id, unnest([{'term': 'r', 'value': r, 'weight': 0.9::DOUBLE}, {'term': 's', 'value': 0.0, 'weight': 0.0}, {'term': 'f', 'value': f, 'weight': 0.07}, {'term': 'p', 'value': p, 'weight': 0.03}, {'term': 'i', 'value': i, 'weight': 0.0}, {'term': 'n', 'value': 0.0, 'weight': 0.0}], recursive := true) FROM ranked WHERE final_rank <= 10)", **_FULL_CTES, vec=_VEC, fused=_RRF, cand=_PLAIN, ranked=_ranked(2160.0, PARAMS.search_p0, "cand")))
 def why_ranked(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     hits = retrieve.search(corpus(m), m.queries(), now()).withColumn("components", ranking.explanation(PARAMS.search_p0))
@@ -358,8 +362,7 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     return lookups.scope_messages(m.messages(), m.links(), ["en", "de"], "src1")
 
 
-@query(with_tables("messages revisions vectors queries", _SHOW, tok=_TOKENS, stats=_STATS, terms=_TERMS, hits=_HITS, scored=_SCORED,
-    wide=_LEX, lex="SELECT query_id, message_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, message_id) AS rank FROM wide JOIN messages USING (message_id) WHERE sender = 'src1'",
+@query(with_tables("messages revisions attachments derivatives vectors queries", _SHOW, **({"wide" if k == "lex" else k: v for k, v in _FULL_CTES.items()} | {"lex": "SELECT query_id, message_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM wide JOIN messages USING (message_id) WHERE sender = 'src1'"}),
     vec=_VEC.replace("NOT retracted AND", "NOT retracted AND sender = 'src1' AND"), fused=_RRF, cand=_PLAIN, ranked=_ranked(2160.0, PARAMS.search_p0, "cand")))
 def search_scoped(spark: SparkSession, d: str) -> DataFrame:
     """The scope cuts the word list after its first hundred, the vector list before."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = "2024-02-01 00:00:00"
-#: A few retrieval requests: words, and the vector of one message.
-QUERIES = ((1, "the of and", 3), (2, "with that", 10), (3, "le la des", 20), (4, "der die", 7), (5, "license", 40))
+#: A few retrieval requests: words, and the vector of one message. The last two are answered within words and by attachments alone.
+QUERIES = ((1, "the of and", 3), (2, "with that", 10), (3, "le la des", 20), (4, "der die", 7), (5, "license", 40), (6, "icens", 50), (7, "copy middot", 60))
 VIEWS = ((1, "src1", "the of", 3, ("en",)), (2, "src2", None, None, ("de", "fr")), (3, "src7", "le la", 20, ("es",)))
 MODEL = "unit64"
 
