@@ -66,7 +66,7 @@ def no_memory(queries: DataFrame) -> DataFrame:
 def _scan(items: DataFrame, queries: DataFrame, k: int, *order: Column) -> DataFrame:
     """Items with all terms of a query, in an order; where there is none, items with any."""
     asked = queries.select("query_id", split_terms(F.col("query")).alias("_terms"))
-    hits = items.crossJoin(checked_broadcast(asked)).filter(contains_any(F.col("text"), F.col("_terms"))).withColumn("_all", contains_all(F.col("text"), F.col("_terms")))
+    hits = items.crossJoin(checked_broadcast(asked)).filter(contains_any(F.col("text"), F.col("_terms"))).withColumn("_all", contains_all(F.col("text"), F.col("_terms"))).drop("text", "_terms")
     best = hits.withColumn("_some", F.bool_or("_all").over(Window.partitionBy("query_id"))).filter(F.col("_all") | ~F.col("_some"))
     w = Window.partitionBy("query_id").orderBy(*order)
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recall_engine.operators import calibration, checks, corpora, extraction, subscriptions
+from recall_engine.operators.lexical import checked_broadcast
 from recall_engine.sources.model import MODEL, Model, now, with_tables
 
 QUERIES: dict = {}
@@ -217,15 +218,14 @@ def hash_split(spark: SparkSession, d: str) -> DataFrame:
     return corpora.assign_splits(q, "salt")
 
 
-_ASKED = "SELECT item_id AS query_id, list_filter(string_split_regex(lower(left(text, 30)), '[^\\p{L}\\p{Nd}]+'), lambda x: strlen(x) >= 2)[1:3] AS terms FROM benchmark WHERE item_id < 10"
+_ASKED = "SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: strlen(x) >= 2)) AS terms FROM benchmark"
 _GREP = """SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {}) AS rank FROM (SELECT *, bool_or(every) OVER (PARTITION BY query_id) AS full_hit FROM (
   SELECT query_id, doc_id AS id, len(list_filter(terms, lambda t: contains(lower(text), t))) AS hit, hit = len(terms) AS every FROM documents, asked WHERE hit > 0)) WHERE every OR NOT full_hit QUALIFY rank <= 10"""
 
 
 def _asked(m: Model) -> DataFrame:
-    from recall_engine.functions.text import split_terms
-
-    return m.raw("benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(split_terms(F.left("text", F.lit(30))), 1, 3), " ").alias("query"))
+    """All benchmark items, with their whole texts as requests."""
+    return m.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"WITH asked AS ({_ASKED}) " + _GREP.format("id"))
@@ -264,7 +264,8 @@ def mine_questions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'notes/' || (doc_id % 50 + 1) || '.md' AS target, count(*) AS n FROM documents WHERE 'notes/' || (doc_id % 50 + 1) || '.md' <> 'notes/' || doc_id || '.md' AND doc_id % 50 + 1 IN (SELECT doc_id FROM documents) GROUP BY 1")
 def mine_links(spark: SparkSession, d: str) -> DataFrame:
-    docs = Model(spark, d).raw("documents").selectExpr("concat('notes/', doc_id, '.md') AS path", "concat('see [a longer name](', doc_id % 50 + 1, '.md) and [short](1.md)') AS text")
+    """Links in whole texts; the test texts have none of their own, so each gets two by rule."""
+    docs = Model(spark, d).raw("documents").selectExpr("concat('notes/', doc_id, '.md') AS path", "concat(coalesce(text, ''), ' see [a longer name](', doc_id % 50 + 1, '.md) and [short](1.md)') AS text")
     return corpora.mine_links(docs).select(F.element_at("relevant", 1).alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -277,10 +278,20 @@ def corpus_validate(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 10::BIGINT AS queries, avg((f IS NOT NULL)::INT::DOUBLE) AS success, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS mrr, round(avg(coalesce(h / 2.0::DOUBLE, 0)), 6) AS recall FROM (SELECT q, min(r) AS f, nullif(count(r), 0) AS h FROM (SELECT q, CASE WHEN (q * 3 + r) % 11 IN (1, 2) THEN r END AS r FROM range(10) a(q), range(1, 6) b(r)) GROUP BY 1)")
+_JUDGED = "SELECT item_id AS query_id, list(doc_id) AS relevant FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1"
+
+
+@query(
+    f"WITH asked AS ({_ASKED}), found AS ({_GREP.format('id')}), judged AS ({_JUDGED}), hits AS (SELECT query_id, min(rank) AS f, count(*) AS h FROM found JOIN judged USING (query_id) WHERE rank <= 5 AND list_contains(relevant, id) GROUP BY 1) "
+    "SELECT count(*) AS queries, avg((f IS NOT NULL)::INT::DOUBLE) AS success, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS mrr, round(avg(coalesce(h::DOUBLE / len(relevant), 0)), 6) AS recall FROM judged LEFT JOIN hits USING (query_id)"
+)
 def retrieval_scores(spark: SparkSession, d: str) -> DataFrame:
-    results = spark.range(10).selectExpr("id AS query_id", "explode(sequence(1, 8)) AS rank").selectExpr("query_id", "rank", "(query_id * 3 + rank) % 11 AS id")
-    return corpora.scores(results, spark.range(10).selectExpr("id AS query_id", "array(1L, 2L) AS relevant")).select("queries", "success", r6("mrr"), r6("recall"))
+    """The file search, judged: an item's relevant documents are those that hold its whole text."""
+    m = Model(spark, d)
+    docs = m.raw("documents").select(F.col("doc_id").alias("id"), "text")
+    items = m.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("_item"))
+    judged = docs.join(checked_broadcast(items), F.contains("text", "_item")).groupBy("query_id").agg(F.collect_list("id").alias("relevant"))
+    return corpora.scores(corpora.grep(docs, _asked(m)), judged).select("queries", "success", r6("mrr"), r6("recall"))
 
 
 @query("SELECT event_id, event_type <> 'click' OR event_id % 600 <= 300 AS body_kept FROM events")
