@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall_engine.functions.text import contains_all, contains_any, split_terms
+from recall_engine.functions.text import split_terms
 from recall_engine.functions.values import in_holdout
 from recall_engine.operators.lexical import checked_broadcast
 from recall_engine.params import PARAMS, Params
@@ -66,7 +66,10 @@ def no_memory(queries: DataFrame) -> DataFrame:
 def _scan(items: DataFrame, queries: DataFrame, k: int, *order: Column) -> DataFrame:
     """Items with all terms of a query, in an order; where there is none, items with any."""
     asked = queries.select("query_id", split_terms(F.col("query")).alias("_terms"))
-    hits = items.crossJoin(checked_broadcast(asked)).filter(contains_any(F.col("text"), F.col("_terms"))).withColumn("_all", contains_all(F.col("text"), F.col("_terms"))).drop("text", "_terms")
+    low = items.withColumn("_low", F.lower("text")).drop("text")  # once a text, not once a term
+    holds = lambda t: F.contains(F.col("_low"), t)
+    every = F.forall("_terms", holds) & (F.size("_terms") > 0)
+    hits = low.crossJoin(checked_broadcast(asked)).filter(F.exists("_terms", holds)).withColumn("_all", every).drop("_low", "_terms")
     best = hits.withColumn("_some", F.bool_or("_all").over(Window.partitionBy("query_id"))).filter(F.col("_all") | ~F.col("_some"))
     w = Window.partitionBy("query_id").orderBy(*order)
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "rank")

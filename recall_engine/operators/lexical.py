@@ -21,7 +21,9 @@ def checked_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
 
 def postings(texts: DataFrame, id_col: str = "revision_id", text_col: str = "text") -> DataFrame:
     """(id_col, doc_len, pos, term): every word of every text. Written out sorted by term, it is the index."""
-    return texts.select(id_col, words(F.col(text_col)).alias("_w")).select(id_col, F.size("_w").alias("doc_len"), F.posexplode("_w").alias("pos", "term"))
+    each = texts.select(id_col, words(F.col(text_col)).alias("_w"))
+    # the outer form, since for the other one Spark would find the words once more to filter by their number
+    return each.select(id_col, F.size("_w").alias("doc_len"), F.posexplode_outer("_w").alias("pos", "term")).filter("term IS NOT NULL")
 
 
 def collection_stats(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -36,10 +38,11 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return phrases.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).select("query_id", "phrase", F.size("_w").alias("phrase_len"), "phrases", F.posexplode("_w").alias("offset", "term"))
 
 
-def document_frequency(tf: DataFrame) -> DataFrame:
+def document_frequency(tf: DataFrame, id_col: str) -> DataFrame:
     """(query_id, phrase, df). It reads all columns of the counts, so that Spark makes them once for both their uses."""
-    counted = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"), F.min("tf").alias("_least"), F.max("phrases").alias("_phrases"))
-    return counted.filter("_least > 0 AND _phrases > 0").select("query_id", "phrase", "df")
+    read = [F.min("tf").alias("_least"), F.max("phrases").alias("_phrases"), F.max("doc_len").alias("_len"), F.max(id_col).alias("_id")]
+    counted = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"), *read)
+    return counted.filter("_least > 0 AND _phrases > 0 AND _len >= 0 AND (_id IS NOT NULL OR df > 0)").select("query_id", "phrase", "df")
 
 
 def summed(scored: DataFrame, id_col: str) -> DataFrame:
@@ -54,8 +57,8 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, id_col: str = "
     wanted = query_phrases(queries)
     hits = index.join(checked_broadcast(wanted), "term").withColumn("_start", F.col("pos") - F.col("offset"))
     runs = hits.groupBy("query_id", "phrase", "phrase_len", "phrases", id_col, "doc_len", "_start").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == F.col("phrase_len"))
-    tf = runs.groupBy("query_id", "phrase", "phrases", id_col, "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-    df = document_frequency(tf)
+    tf = runs.groupBy("query_id", "phrase", "phrases", id_col, "doc_len").agg(F.count(F.lit(1)).alias("tf")).repartition(id_col)
+    df = document_frequency(tf, id_col)
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(p.least_idf)).otherwise(raw)
     norm = F.col("tf") + F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * F.col("doc_len") / F.col("avg_len"))
@@ -94,7 +97,7 @@ def substring_search(messages: DataFrame, revisions: DataFrame, queries: DataFra
     plain = F.floor((F.octet_length("_low") - F.octet_length(F.replace(F.col("_low"), F.col("term"), F.lit("")))) / F.octet_length("term"))
     tf = found.withColumn("tf", F.when(F.col("_selfish"), F.regexp_count("_low", F.col("_at_each"))).otherwise(plain).cast("long"))
     tf = tf.select("query_id", "phrase", "phrases", "revision_id", "doc_len", "tf").repartition("revision_id")  # made once for both uses
-    df = document_frequency(tf)
+    df = document_frequency(tf, "revision_id")
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(p.least_idf)).otherwise(raw)
     norm = F.col("tf") + F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * F.col("doc_len") / F.col("avg_len"))

@@ -113,8 +113,8 @@ class Model:
         return v.join(self.raw("embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left").withColumn("model_id", F.lit(MODEL))
 
     def subscriptions(self) -> DataFrame:
-        """Ten standing interests, each the vector of one message, by rule."""
-        s = self.raw("embeddings").filter("vec_id % 50 = 7 AND vec_id < 500")
+        """Standing interests, each the vector of one message, by rule."""
+        s = self.raw("embeddings").filter("vec_id % 50 = 7")
         return s.selectExpr(
             "vec_id AS subscription_id", "CASE WHEN vec_id % 100 = 7 THEN 'percentile' ELSE 'top_n' END AS mode", "90 AS percentile", "5 AS top_n", "72 AS window_hours", "CAST(vec_id % 4 AS INT) AS cap_per_day",
             "CASE WHEN vec_id % 150 = 7 THEN array('c1', 'c2', 'c3') ELSE array() END AS topics", "embedding AS vector",
@@ -159,7 +159,7 @@ SQL = {
     "queries": f"SELECT q.*, e.embedding AS vector FROM (VALUES {_values(QUERIES)}) AS q(query_id, query, vec_id) LEFT JOIN embeddings e USING (vec_id)",
     "views": f"SELECT v.*, e.embedding AS vector FROM (VALUES {_values(VIEWS)}) AS v(query_id, view, query, vec_id, topics) LEFT JOIN embeddings e USING (vec_id)",
     "subs": """SELECT vec_id AS subscription_id, CASE WHEN vec_id % 100 = 7 THEN 'percentile' ELSE 'top_n' END AS mode, 90 AS percentile, 5 AS top_n, 72 AS window_hours,
-  CAST(vec_id % 4 AS INTEGER) AS cap_per_day, CASE WHEN vec_id % 150 = 7 THEN ['c1', 'c2', 'c3'] ELSE [] END AS topics, embedding AS vector FROM embeddings WHERE vec_id % 50 = 7 AND vec_id < 500""",
+  CAST(vec_id % 4 AS INTEGER) AS cap_per_day, CASE WHEN vec_id % 150 = 7 THEN ['c1', 'c2', 'c3'] ELSE [] END AS topics, embedding AS vector FROM embeddings WHERE vec_id % 50 = 7""",
 }
 _NEEDS = {"impressions": ("interactions",), "fetches": ("interactions",)}
 
