@@ -674,15 +674,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = checkpointed(met.join(chosen, met["node"] == chosen["_set"]).select("root", "node", "_n", key(F.col("_at._id")), F.col("_at._th").alias("_th")))
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("_n") / CELL_SHINGLES)).cast("long")
     sizes = checkpointed(wanted.groupBy("root").agg(parts.alias("_parts")).filter("_parts > 1"))
+    # Rows that repeat both id and text are made one before the shuffle, and what joins lies as it must; texts travel once.
     texts = docs.select(key(F.col(id_col)), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(text_col).alias("_text"))
+    texts = texts.groupBy("_key", "_th").agg(F.first("_text").alias("_text"))
     if sizes.isEmpty():
-        groups = wanted.join(texts, ["_key", "_th"]).groupBy("root", "node").agg(F.first("_text").alias("_text"))
+        groups = wanted.join(texts, ["_key", "_th"]).select("root", "node", "_text")
         links = checkpointed(_resolve(groups, width, num, den))
         final = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
         salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt")
         marked = wanted.withColumn("_salt", F.xxhash64("node").bitwiseAND(F.lit(SALTS - 1))).join(sizes.select("root", "_parts", salts), ["root", "_salt"], "left")
-        groups = checkpointed(marked.join(texts, ["_key", "_th"]).groupBy("root", "node", "_n", "_parts").agg(F.first("_text").alias("_text")))
+        groups = checkpointed(marked.join(texts, ["_key", "_th"]).select("root", "node", "_n", "_parts", "_text"))
         release(docs.sparkSession)
         large = groups.filter("_parts IS NOT NULL")
         held = checkpointed(_against_head(large, width, num, den))
