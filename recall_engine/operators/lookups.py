@@ -53,8 +53,9 @@ def scope_messages(messages: DataFrame, links: DataFrame, topics: list | None =
 
 
 def messages_in_topics(messages: DataFrame, links: DataFrame, topics: list) -> DataFrame:
-    """Messages with a live link to any of the topics; all messages for no topics."""
-    return messages if not topics else messages.join(live_links(links).filter(F.col("topic_id").isin(topics)).select("message_id"), "message_id", "left_semi")
+    """Messages, not retracted, with a live link to any of the topics; all of them for no topics."""
+    shown = messages.filter(~F.col("retracted"))
+    return shown if not topics else shown.join(live_links(links).filter(F.col("topic_id").isin(topics)).select("message_id"), "message_id", "left_semi")
 
 
 def object_refs(attachments: DataFrame, messages: DataFrame, pins: DataFrame) -> DataFrame:
@@ -105,9 +106,55 @@ def rank_rows(messages: DataFrame, revisions: DataFrame, pins: DataFrame, signal
     return out.select("message_id", "event_id", "head_revision_id", F.col("head_at").alias("created_at"), "priority", false("pinned"), false("confirmed"), false("has_attachment"))
 
 
-def interactions_list(interactions: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest interactions."""
-    return interactions.orderBy(F.desc("created_at"), F.desc("interaction_id")).limit(limit)
+def interactions_list(interactions: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The newest interactions, after the first ``offset`` ones."""
+    return interactions.orderBy(F.desc("created_at"), F.desc("interaction_id")).offset(offset).limit(limit)
+
+
+def record_outcomes(interactions: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(interactions with their outcomes, outcomes of interactions that aren't there). given: interaction_id, outcome (found,
+    not_found or workaround), outcome_message_id, outcome_at; of several for one interaction the last counts."""
+    last = given.groupBy("interaction_id").agg(F.max_by(F.struct("outcome", "outcome_message_id", "outcome_at"), F.struct("outcome_at", "outcome", "outcome_message_id")).alias("_o"))
+    known = F.col("_o.outcome").isin("found", "not_found", "workaround")
+    own = [c for c in interactions.columns if c not in ("outcome", "outcome_message_id", "outcome_at")]
+    held = interactions.join(last.filter(known), "interaction_id", "left")
+    at = lambda c: F.coalesce(F.col(f"_o.{c}"), F.col(c)) if c in interactions.columns else F.col(f"_o.{c}")
+    # an outcome takes all of its three fields along, nulls included
+    new = [F.when(F.col("_o").isNotNull(), F.col(f"_o.{c}")).otherwise(F.col(c) if c in interactions.columns else F.lit(None)).alias(c) if c != "outcome" else at(c).alias(c) for c in ("outcome", "outcome_message_id", "outcome_at")]
+    lost = given.join(interactions.select("interaction_id"), "interaction_id", "left_anti")
+    return held.select(*own, *new), lost
+
+
+def topic_ids(topics: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, topic_id) of the names asked for; null where there is no such topic."""
+    return names.select("name").join(topics.select("name", "topic_id"), "name", "left")
+
+
+def topic_names(topics: DataFrame, ids: DataFrame) -> DataFrame:
+    """(topic_id, name) of the ids asked for; null where there is no such topic."""
+    return ids.select("topic_id").join(topics.select("topic_id", "name"), "topic_id", "left")
+
+
+def source_messages(source_refs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, message_id): the message that a file was last published as; null for a file that never was."""
+    return paths.select("path").join(source_refs.select("path", "message_id"), "path", "left")
+
+
+def derivative_by_id(derivatives: DataFrame, ids: DataFrame) -> DataFrame:
+    """The derivatives asked for, invalidated ones included."""
+    return derivatives.join(ids.select("derivative_id"), "derivative_id", "left_semi")
+
+
+def attachment_objects(attachments: DataFrame) -> DataFrame:
+    """(object_hash, message_id, durability): each pair of an object and a message, in order; the stronger class of an
+    object that several messages share is left to the caller."""
+    return attachments.select("object_hash", "message_id", "durability").orderBy("object_hash", "message_id", "durability")
+
+
+def subscriptions_list(subscriptions: DataFrame, owner: str | None = None, active_only: bool = False) -> DataFrame:
+    """Subscriptions in order of their ids, of one owner or of all; active_only leaves disabled ones out."""
+    found = subscriptions if owner is None else subscriptions.filter(F.col("owner") == owner)
+    return (found.filter(~F.col("disabled")) if active_only else found).orderBy("subscription_id")
 
 
 def outcomes(interactions: DataFrame, kind: str = "found") -> DataFrame:

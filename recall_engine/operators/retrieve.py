@@ -140,6 +140,11 @@ def save_search(saved: DataFrame, name: str, query: str) -> DataFrame:
     return saved.filter(F.col("name") != name).unionByName(new).orderBy("name")
 
 
+def remove_search(saved: DataFrame, name: str) -> DataFrame:
+    """The saved searches without one; unchanged if there is none of that name."""
+    return saved.filter(F.col("name") != name).orderBy("name")
+
+
 def saved_queries(saved: DataFrame) -> DataFrame:
     """Saved searches as a table of queries."""
     return saved.select(F.col("name").alias("query_id"), "query").orderBy("name")

@@ -42,7 +42,21 @@ def hash_embed(texts: DataFrame, id_col: str, text_col: str, dims: int = 384) ->
     return maps.select(id_col, normalise(dense).alias("vector"))
 
 
-def pending_embeddings(messages: DataFrame, vectors: DataFrame, model_id: str) -> DataFrame:
-    """Head revisions without a vector of this model, in order of their ids."""
-    done = vectors.filter(F.col("model_id") == model_id).select(F.col("message_id"))
-    return messages.join(done, "message_id", "left_anti").select("message_id", "head_revision_id").orderBy("head_revision_id")
+def pending_embeddings(revisions: DataFrame, vectors: DataFrame, model_id: str) -> DataFrame:
+    """Revisions without a vector of this model, oldest first; a vector of another revision of the message doesn't count.
+    vectors: revision_id, model_id."""
+    done = vectors.filter(F.col("model_id") == model_id).select("revision_id")
+    return revisions.join(done, "revision_id", "left_anti").select("revision_id", "message_id", "created_at").orderBy("created_at", "revision_id")
+
+
+def head_vectors(vectors: DataFrame, messages: DataFrame, model_id: str, include_retracted: bool = False) -> DataFrame:
+    """(message_id, model_id, vector) of each message's head revision; vectors of superseded revisions are left out.
+    vectors: revision_id, model_id, vector."""
+    shown = messages if include_retracted else messages.filter(~F.col("retracted"))
+    own = vectors.filter(F.col("model_id") == model_id).select(F.col("revision_id").alias("head_revision_id"), "model_id", "vector")
+    return own.join(shown.select("message_id", "head_revision_id"), "head_revision_id").select("message_id", "model_id", "vector")
+
+
+def migrate(vectors: DataFrame, keep: str) -> DataFrame:
+    """The vectors of one model alone: those of others go, and their revisions are pending again."""
+    return vectors.filter(F.col("model_id") == keep)

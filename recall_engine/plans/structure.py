@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recall_engine.functions import text as tx
 from recall_engine.functions import values as vx
-from recall_engine.operators import checks, fold, ingest, lookups, rollups, vectors
+from recall_engine.operators import checks, events, fold, ingest, lookups, rollups, vectors
 from recall_engine.sources.model import MODEL, Model, now, with_tables
 
 QUERIES: dict = {}
@@ -139,10 +139,71 @@ def derivatives_for_messages(spark: SparkSession, d: str) -> DataFrame:
     return lookups.derivatives_for(m.derivatives(), m.attachments(), m.messages()).select("derivative_id", "object_hash", "status")
 
 
-@query(with_tables("messages vectors", "SELECT message_id, head_revision_id FROM messages WHERE message_id NOT IN (SELECT message_id FROM vectors)"))
+@query(with_tables("revisions vectors", "SELECT revision_id, message_id, created_at FROM revisions WHERE revision_id NOT IN (SELECT revision_id FROM vectors)"))
 def pending_embeddings(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
-    return vectors.pending_embeddings(m.messages(), m.vectors(), MODEL)
+    return vectors.pending_embeddings(m.revisions(), m.vectors(), MODEL)
+
+
+@query(with_tables("messages vectors", "SELECT m.message_id, round(list_sum(v.vector::DOUBLE[]), 6) AS total FROM messages m JOIN vectors v ON v.revision_id = m.head_revision_id WHERE NOT retracted"))
+def head_vectors(spark: SparkSession, d: str) -> DataFrame:
+    m = Model(spark, d)
+    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return vectors.head_vectors(m.vectors(), m.messages(), MODEL).select("message_id", F.round(total, 6).alias("total"))
+
+
+_CHAIN = "SELECT DISTINCT l_orderkey AS device_id, l_linenumber::BIGINT AS sequence, l_partkey::VARCHAR AS event_id, CASE WHEN l_linenumber > 1 THEN coalesce((SELECT min(p.l_partkey)::VARCHAR FROM lineitem p WHERE p.l_orderkey = l.l_orderkey AND p.l_linenumber = l.l_linenumber - 1 AND l.l_returnflag <> 'R'), 'x') ELSE '' END AS previous_event_id FROM lineitem l"
+
+
+def _chain(m: Model) -> DataFrame:
+    """Lines of an order as a chain of events; returned ones name a wrong event before them."""
+    lines = m.raw("lineitem")
+    before = lines.groupBy("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber")).agg(F.min("l_partkey").cast("string").alias("_p"))
+    named = F.when(F.col("l_linenumber") > 1, F.coalesce(F.when(F.col("l_returnflag") != "R", F.col("_p")), F.lit("x"))).otherwise("")
+    return lines.join(before, ["l_orderkey", "l_linenumber"], "left").select(F.col("l_orderkey").alias("device_id"), F.col("l_linenumber").cast("long").alias("sequence"), F.col("l_partkey").cast("string").alias("event_id"), named.alias("previous_event_id")).distinct()
+
+
+@query(f"""WITH e AS ({_CHAIN}), j AS (SELECT e.*, EXISTS (SELECT 1 FROM e p WHERE p.device_id = e.device_id AND p.sequence = e.sequence - 1) AS has, EXISTS (SELECT 1 FROM e p WHERE p.device_id = e.device_id AND p.sequence = e.sequence - 1 AND p.event_id = e.previous_event_id) AS good FROM e)
+SELECT device_id, sequence, event_id, CASE WHEN has THEN 'previous' ELSE 'gap' END AS defect FROM j WHERE sequence > 1 AND NOT good""")
+def chain_walk(spark: SparkSession, d: str) -> DataFrame:
+    return events.walk(_chain(Model(spark, d)), ("device_id",))
+
+
+@query(f"""WITH e AS ({_CHAIN}), b AS (SELECT device_id, min(sequence) AS bad FROM e WHERE sequence > 1 AND NOT EXISTS (SELECT 1 FROM e p WHERE p.device_id = e.device_id AND p.sequence = e.sequence - 1 AND p.event_id = e.previous_event_id) GROUP BY 1)
+SELECT device_id, sequence, event_id FROM e LEFT JOIN b USING (device_id) WHERE bad IS NULL OR sequence < bad""")
+def verified_walk(spark: SparkSession, d: str) -> DataFrame:
+    return events.verified(_chain(Model(spark, d)), ("device_id",)).select("device_id", "sequence", "event_id")
+
+
+@query("SELECT l_orderkey AS device_id, count(*) AS events, min(l_linenumber)::BIGINT AS first, max(l_linenumber)::BIGINT AS last, arg_max(l_partkey, (l_linenumber, l_partkey)) AS head FROM lineitem GROUP BY 1")
+def origin_list(spark: SparkSession, d: str) -> DataFrame:
+    e = Model(spark, d).raw("lineitem").selectExpr("l_orderkey AS device_id", "l_linenumber AS sequence", "l_partkey AS event_id")
+    return events.origins(e, ("device_id",))
+
+
+@query(with_tables("attachments", "SELECT object_hash, message_id, durability FROM attachments"))
+def attachment_objects(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.attachment_objects(Model(spark, d).attachments())
+
+
+@query(with_tables("messages links", "SELECT message_id FROM messages m WHERE NOT retracted AND EXISTS (SELECT 1 FROM links l WHERE l.message_id = m.message_id AND NOT l.removed AND l.topic_id IN ('de', 'fr'))"))
+def messages_in_topics(spark: SparkSession, d: str) -> DataFrame:
+    m = Model(spark, d)
+    return lookups.messages_in_topics(m.messages(), m.links(), ["de", "fr"]).select("message_id")
+
+
+@query(with_tables("topics", "SELECT a.name, topic_id FROM (SELECT name FROM topics UNION ALL SELECT 'lang/none') a LEFT JOIN topics USING (name)"))
+def topic_ids(spark: SparkSession, d: str) -> DataFrame:
+    t = Model(spark, d).topics()
+    return lookups.topic_ids(t, t.select("name").union(spark.sql("SELECT 'lang/none'")))
+
+
+@query("SELECT event_id AS interaction_id, CASE WHEN event_type = 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'found' ELSE 'workaround' END END AS outcome FROM events")
+def record_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of all clicks, told after them."""
+    e = Model(spark, d).raw("events").select(F.col("event_id").alias("interaction_id"), "event_type", F.lit(None).cast("string").alias("outcome"))
+    given = e.filter("event_type = 'click'").selectExpr("interaction_id", "CASE WHEN interaction_id % 2 = 0 THEN 'found' ELSE 'workaround' END AS outcome", "interaction_id AS outcome_message_id", "timestamp'2024-02-01' AS outcome_at")
+    return lookups.record_outcomes(e, given)[0].select("interaction_id", "outcome")
 
 
 @query(with_tables("messages links", "SELECT l.topic_id AS topic_id, sender, arg_max(m.message_id, (created_at, m.message_id)) AS message_id FROM links l JOIN messages m USING (message_id) WHERE NOT removed AND NOT retracted GROUP BY ALL"))

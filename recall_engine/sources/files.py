@@ -7,14 +7,17 @@ import json
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall_engine.schemas import CORPUS_ITEMS, CORPUS_QUERIES
 
-MAGIC, VERSION = b"REvt", 1
-_HEAD = struct.Struct(">4sBQ")
+#: Fixed values of the frame format: magic, version, length of the record (64 bits, little-endian), record, CRC-32C of the record
+#: (32 bits, little-endian); a longer record than LIMIT is a broken length.
+MAGIC, VERSION, LIMIT = b"CRNF", 1, 16 << 20
+_HEAD, _CRC = struct.Struct("<4sBQ"), struct.Struct("<I")
 #: The reflected polynomial of CRC-32C (Castagnoli); a fixed value.
 CASTAGNOLI = 0x82F63B78
 
@@ -29,18 +32,51 @@ def _crc_table() -> list[int]:
 
 
 _TABLE = _crc_table()
+_TABLE_U = np.array(_TABLE, np.uint32)
+#: Bytes of a row where a long record is taken as many rows at once, and from which length on that pays.
+_ROW, _LONG = 256, 1 << 14
+
+
+def _apply(op: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A linear map of 32 bits, given by what it makes of each bit, on every number."""
+    out = np.zeros_like(x)
+    for i in range(32):
+        out ^= op[i] * (x >> np.uint32(i) & np.uint32(1))
+    return out
+
+
+def _past(n: int) -> np.ndarray:
+    """The map that n zero bytes make of a checksum, by repeated squaring."""
+    bit = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    out, step = bit, bit >> np.uint32(8) ^ _TABLE_U[bit & np.uint32(0xFF)]
+    while n:
+        out = _apply(step, out) if n & 1 else out
+        step, n = _apply(step, step), n >> 1
+    return out
 
 
 def crc32c(data: bytes) -> int:
-    c = 0xFFFFFFFF
-    for b in data:
-        c = c >> 8 ^ _TABLE[(c ^ b) & 0xFF]
-    return c ^ 0xFFFFFFFF
+    """Short records byte by byte; long ones as rows of bytes, all at once, whose checksums are joined in pairs."""
+    if len(data) < _LONG:
+        c = 0xFFFFFFFF
+        for b in data:
+            c = c >> 8 ^ _TABLE[(c ^ b) & 0xFF]
+        return c ^ 0xFFFFFFFF
+    rows = 1 << (-(-len(data) // _ROW) - 1).bit_length()
+    cells = np.zeros(rows * _ROW, np.uint8)  # zeros in front don't change a checksum that starts at zero
+    cells[len(cells) - len(data) :] = np.frombuffer(data, np.uint8)
+    c = np.zeros(rows, np.uint32)
+    for column in np.ascontiguousarray(cells.reshape(rows, _ROW).T):
+        c = c >> np.uint32(8) ^ _TABLE_U[(c ^ column) & np.uint32(0xFF)]
+    op = _past(_ROW)
+    while len(c) > 1:
+        c, op = _apply(op, c[0::2]) ^ c[1::2], _apply(op, op)
+    return int(c[0]) ^ int(_apply(_past(len(data)), np.array([0xFFFFFFFF], np.uint32))[0]) ^ 0xFFFFFFFF
 
 
 def encode_frame(record: bytes) -> bytes:
     """Magic, version, length, record, checksum."""
-    return _HEAD.pack(MAGIC, VERSION, len(record)) + record + struct.pack(">I", crc32c(record))
+    return _HEAD.pack(MAGIC, VERSION, len(record)) + record + _CRC.pack(crc32c(record))
 
 
 def decode_frames(data: bytes, mode: str = "permissive") -> Iterator[tuple[int, bytes | None, str]]:
@@ -55,11 +91,13 @@ def decode_frames(data: bytes, mode: str = "permissive") -> Iterator[tuple[int,
             magic, version, size = _HEAD.unpack_from(data, at)
             if magic != MAGIC or version != VERSION:
                 error = "not a frame"
+            elif size > LIMIT:
+                error = "length"
             elif len(data) - at < _HEAD.size + size + 4:
                 error = "short record"
             else:
                 record = data[at + _HEAD.size : at + _HEAD.size + size]
-                if crc32c(record) != struct.unpack_from(">I", data, at + _HEAD.size + size)[0]:
+                if crc32c(record) != _CRC.unpack_from(data, at + _HEAD.size + size)[0]:
                     error, record = "checksum", None
         if error and mode == "failfast":
             raise ValueError(f"{error} at {at}")
@@ -70,7 +108,52 @@ def decode_frames(data: bytes, mode: str = "permissive") -> Iterator[tuple[int,
         at += _HEAD.size + size + 4
 
 
-def read_segments(spark: SparkSession, path: str, mode: str = "permissive", verify: bool = True) -> DataFrame:
+def segment_state(data: bytes) -> tuple[int, str]:
+    """How many bytes of a segment are sound, and whether it is clean, torn (nothing sound follows the break: the tail of an append
+    that broke off, which may be cut) or corrupt (a sound frame follows, so something inside was damaged)."""
+    good = 0
+    for at, record, error in decode_frames(data):
+        if error:
+            start = data.find(MAGIC, at + 1)
+            while start >= 0:
+                if not next(decode_frames(data[start:]))[2]:
+                    return at, "corrupt"
+                start = data.find(MAGIC, start + 1)
+            return at, "torn"
+        good = at + _HEAD.size + len(record) + _CRC.size
+    return good, "clean"
+
+
+def repaired(data: bytes) -> bytes:
+    """A segment without its torn tail; a corrupt one is refused."""
+    good, state = segment_state(data)
+    if state == "corrupt":
+        raise ValueError(f"corrupt at {good}")
+    return data[:good]
+
+
+def segment_states(spark: SparkSession, path: str) -> DataFrame:
+    """(segment, size, good, state) of all segment files: what a recovery would keep of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(len(d), *segment_state(d)) for d in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["segment", "size", "good", "state"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "segment string, size long, good long, state string")
+
+
+def log_origins(spark: SparkSession, folder: str) -> DataFrame:
+    """(device_id, generation, segments, first, bytes) of each origin that has segments in a log's folder, from the names of its
+    files alone: device/generation/seg_<first sequence>.seg."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "seg_*.seg").load(folder).select("path", "length")
+    part = lambda i: F.regexp_extract("path", r"/([^/]+)/(\d+)/seg_(\d+)\.seg$", i)
+    named = files.select(part(1).alias("device_id"), part(2).try_cast("int").alias("generation"), part(3).try_cast("long").alias("_first"), "length").filter("generation IS NOT NULL")
+    return named.groupBy("device_id", "generation").agg(F.count(F.lit(1)).alias("segments"), F.min("_first").alias("first"), F.sum("length").alias("bytes"))
+
+
+def read_segments(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
     """(segment, offset, record, error) of all segment files, one task or more a file; records are JSON text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

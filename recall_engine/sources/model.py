@@ -85,7 +85,8 @@ class Model:
         return self.interactions().filter("kind = 'purchase'").select("interaction_id", "message_id", "task_id", "principal")
 
     def vectors(self) -> DataFrame:
-        return self.raw("embeddings").select(F.col("vec_id").alias("message_id"), F.lit(MODEL).alias("model_id"), F.col("embedding").alias("vector"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("topic_id"))
+        """Every third vector is that of an older revision."""
+        return self.raw("embeddings").select(F.col("vec_id").alias("message_id"), (F.col("vec_id") * 10 + F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1)).alias("revision_id"), F.lit(MODEL).alias("model_id"), F.col("embedding").alias("vector"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("topic_id"))
 
     def attachments(self) -> DataFrame:
         """Pages hang on messages; every third page is shared by the next message."""
@@ -149,7 +150,7 @@ SQL = {
   CAST(props->>'$.k' AS BIGINT) AS k FROM events""",
     "impressions": "SELECT interaction_id, message_id, final_rank FROM interactions WHERE kind = 'view'",
     "fetches": "SELECT interaction_id, message_id, task_id, principal FROM interactions WHERE kind = 'purchase'",
-    "vectors": "SELECT vec_id AS message_id, 'unit64' AS model_id, embedding AS vector, 'c' || label AS topic_id FROM embeddings",
+    "vectors": "SELECT vec_id AS message_id, vec_id * 10 + CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS revision_id, 'unit64' AS model_id, embedding AS vector, 'c' || label AS topic_id FROM embeddings",
     "attachments": """SELECT page_id AS message_id, page_id AS object_hash, CASE page_id % 4 WHEN 0 THEN 'normal' WHEN 1 THEN 'important' WHEN 2 THEN 'pinned' ELSE 'ephemeral' END AS durability FROM pages
   UNION ALL SELECT page_id + 1, page_id, 'normal' FROM pages WHERE page_id % 3 = 0""",
     "pins": "SELECT page_id AS pin_id, 'p' || (page_id % 3) AS principal, page_id AS object_hash, page_id % 12 = 0 AS removed FROM pages WHERE page_id % 6 = 0",
