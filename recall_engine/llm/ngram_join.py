@@ -48,7 +48,7 @@ CELL, CELL_SHINGLES, PART = 2048, 1 << 22, 1 << 16
 #: The most bytes, counted beforehand, that are broadcast.
 SMALL = 1 << 25
 #: Nodes of more edges than this, and than a fixed share of all edges, are looked up by broadcast.
-HUB, MOST_HUBS = 10_000, 100_000
+HUB, MOST_HUBS = 1_000, 100_000
 #: Counters of the count table, and how many travel in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 10
 #: Parts that the rows of one key are dealt to (a power of two).
