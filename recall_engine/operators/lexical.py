@@ -6,12 +6,17 @@ not a head, or is retracted, is left out afterwards by a semi join, as a store d
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_engine.functions.text import words
 from recall_engine.params import PARAMS, Params
 
+if TYPE_CHECKING:
+    from recall_engine.operators.index import Index
+
 
 def checked_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
     """A stated, small table marked for broadcast, if it has no more rows than that; else as it is. Spark's own estimate
@@ -72,28 +77,33 @@ def top_per_query(scored: DataFrame, k: int, *order) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def word_search(messages: DataFrame, revisions: DataFrame, queries: DataFrame, k: int = PARAMS.candidates, include_retracted: bool = False, p: Params = PARAMS) -> DataFrame:
+def word_search(messages: DataFrame, revisions: DataFrame, queries: DataFrame, k: int = PARAMS.candidates, include_retracted: bool = False, p: Params = PARAMS, index: Index | None = None) -> DataFrame:
     """(query_id, message_id, score, rank) over head revisions. messages: message_id, head_revision_id, retracted;
-    revisions: revision_id, message_id, text."""
-    index = postings(revisions)
-    scored = bm25(index, collection_stats(revisions), queries, p=p)
+    revisions: revision_id, message_id, text. A stored index of the revisions is asked in place of their texts."""
+    held, stats = (postings(revisions), collection_stats(revisions)) if index is None else (index.postings(queries), index.word_stats())
+    scored = bm25(held, stats, queries, p=p)
     heads = messages if include_retracted else messages.filter(~F.col("retracted"))
     heads = heads.select("message_id", F.col("head_revision_id").alias("revision_id"))
     return top_per_query(scored.join(heads, "revision_id"), k, "score", "message_id").select("query_id", "message_id", "score", "rank")
 
 
-def substring_search(messages: DataFrame, revisions: DataFrame, queries: DataFrame, k: int = PARAMS.candidates, include_retracted: bool = False, least: int = 3, p: Params = PARAMS) -> DataFrame:
+def substring_search(messages: DataFrame, revisions: DataFrame, queries: DataFrame, k: int = PARAMS.candidates, include_retracted: bool = False, least: int = 3, p: Params = PARAMS, index: Index | None = None) -> DataFrame:
     """(query_id, message_id, score, rank): every term of at least three code points occurs in the text, whatever
-    the case; BM25 over occurrences, with the number of trigrams as length. Accents count."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    texts = revisions.select("revision_id", low.alias("_low"), F.greatest(F.lit(0), F.char_length(low) - 2).alias("doc_len"))
+    the case; BM25 over occurrences, with the number of trigrams as length. Accents count. A stored index of the revisions
+    finds the texts that have a term's trigrams; without one, every text is searched."""
     terms = queries.select("query_id", F.posexplode(F.filter(F.split(F.lower("query"), r"\s+", -1), lambda x: F.char_length(x) >= least)).alias("phrase", "term"))
     terms = terms.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    stats = texts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     # occurrences may overlap, as those of a phrase of trigrams do; only those of a term that ends as it begins can
     selfish = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("term") - 1)), lambda i: F.left("term", i) == F.right("term", i)) & (F.char_length("term") > 1)
     at_each = F.concat(F.lit("(?=\\Q"), F.replace(F.col("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    found = texts.join(checked_broadcast(terms.withColumns({"_selfish": selfish, "_at_each": at_each})), F.contains("_low", "term"))
+    terms = terms.withColumns({"_selfish": selfish, "_at_each": at_each})
+    if index is None:
+        low = F.lower(F.coalesce("text", F.lit("")))
+        texts = revisions.select("revision_id", low.alias("_low"), F.greatest(F.lit(0), F.char_length(low) - 2).alias("doc_len"))
+        stats = texts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+        found = texts.join(checked_broadcast(terms), F.contains("_low", "term"))
+    else:
+        stats, found = index.text_stats(), index.candidates(terms).filter(F.contains("_low", "term"))
     plain = F.floor((F.octet_length("_low") - F.octet_length(F.replace(F.col("_low"), F.col("term"), F.lit("")))) / F.octet_length("term"))
     tf = found.withColumn("tf", F.when(F.col("_selfish"), F.regexp_count("_low", F.col("_at_each"))).otherwise(plain).cast("long"))
     tf = tf.select("query_id", "phrase", "phrases", "revision_id", "doc_len", "tf").repartition("revision_id")  # made once for both uses

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recall_engine.functions.text import quote_lines, snippet
 from recall_engine.operators import lexical, lookups, ranking, vectors
+from recall_engine.operators.index import Index
 from recall_engine.params import PARAMS, Params, Weights
 
 
@@ -17,7 +18,8 @@ class Corpus:
     """The tables that retrieval reads. messages: message_id, event_id, head_revision_id, sender, thread_id, created_at,
     priority, retracted, pinned, confirmed; revisions: revision_id, message_id, text; vectors: message_id, model_id,
     vector; salience (may be None): message_id, salience, novelty, impressions; attachments: message_id, object_hash, and
-    derivatives: derivative_id, object_hash, status, invalidated, text (both may be None)."""
+    derivatives: derivative_id, object_hash, status, invalidated, text (both may be None); index: a stored index of the
+    revisions, asked in place of their texts (may be None)."""
 
     messages: DataFrame
     revisions: DataFrame
@@ -25,16 +27,17 @@ class Corpus:
     salience: DataFrame | None = None
     attachments: DataFrame | None = None
     derivatives: DataFrame | None = None
+    index: Index | None = None
 
 
 def relevance(c: Corpus, queries: DataFrame, scope: DataFrame | None = None, lexical_only: bool = False, p: Params = PARAMS) -> DataFrame:
     """(query_id, message_id, lex_rank, vec_rank, rrf). The lexical list has messages that hold the words, then those whose
     attachments do, then those that hold the terms anywhere. A scope is applied after the lexical list is cut and before
     the vector list is, as the store does. queries: query_id, query and, for vectors, model_id and vector."""
-    sources = [lexical.word_search(c.messages, c.revisions, queries, p.candidates, p=p)]
+    sources = [lexical.word_search(c.messages, c.revisions, queries, p.candidates, p=p, index=c.index)]
     if c.attachments is not None and c.derivatives is not None:
         sources.append(lexical.derivative_search(c.messages, c.attachments, c.derivatives, queries, p.candidates))
-    sources.append(lexical.substring_search(c.messages, c.revisions, queries, p.candidates, p=p))
+    sources.append(lexical.substring_search(c.messages, c.revisions, queries, p.candidates, p=p, index=c.index))
     found = lexical.ordered_union(*sources, k=p.candidates)
     if scope is not None:
         inside = found.join(scope, "message_id", "left_semi").withColumnRenamed("rank", "_of_all")

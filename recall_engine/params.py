@@ -64,6 +64,7 @@ class Params:
     holdout_every: int = 4
     split_share: int = 19660
     map_top: int = 20
+    index_buckets: int = 64
     body_limit: int = 1 << 20
     canonical_limit: int = 1 << 20
     backlog_steps: tuple[int, ...] = (200, 1000, 5000, 20000)

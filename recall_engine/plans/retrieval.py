@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall_engine.functions.text import ACCENTED, FOLDED, snippet
-from recall_engine.operators import lexical, lookups, ranking, retrieve, salience, vectors
+from recall_engine.operators import index, lexical, lookups, ranking, retrieve, salience, vectors
 from recall_engine.params import PARAMS
+from recall_engine.sources.files import shared_folder
 from recall_engine.sources.model import Model, now, with_tables
 
 QUERIES: dict = {}
@@ -138,6 +141,35 @@ def lexical_union(spark: SparkSession, d: str) -> DataFrame:
     return lexical.ordered_union(a, b, c).select("query_id", "message_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
+def stored(m: Model) -> index.Index:
+    """An index of the revisions, written in two batches: older revisions came first."""
+    folder = f"{shared_folder(m.spark)}/index-{uuid.uuid4().hex}"
+    revisions = m.revisions()
+    index.write(revisions.filter("revision_id % 10 = 0"), folder, 0)
+    index.write(revisions.filter("revision_id % 10 <> 0"), folder, 1)
+    return index.read(m.spark, folder)
+
+
+@query(with_tables("messages revisions attachments derivatives queries", "SELECT query_id, message_id, source, rank FROM lex", **_FULL_CTES))
+def lexical_union_stored(spark: SparkSession, d: str) -> DataFrame:
+    """As lexical_union, from a stored index."""
+    m = Model(spark, d)
+    held = stored(m)
+    a = lexical.word_search(m.messages(), m.revisions(), m.queries(), index=held)
+    b = lexical.derivative_search(m.messages(), m.attachments(), m.derivatives(), m.queries())
+    c = lexical.substring_search(m.messages(), m.revisions(), m.queries(), index=held)
+    return lexical.ordered_union(a, b, c).select("query_id", "message_id", "source", F.col("rank").cast("long").alias("rank"))
+
+
+@query(SQL["trigram_search"])
+def trigram_search_stored(spark: SparkSession, d: str) -> DataFrame:
+    """As trigram_search, from a stored index."""
+    m = Model(spark, d)
+    asked = spark.createDataFrame(list(_TRI), "query_id int, query string")
+    found = lexical.substring_search(m.messages(), m.revisions(), asked, index=stored(m))
+    return found.select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(with_tables("messages vectors queries", "SELECT query_id, message_id, round(sim, 6) AS sim, rank FROM vec", vec=_VEC))
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)

@@ -227,3 +227,11 @@ def canonical_json(value) -> str:
         return "[" + ",".join(map(canonical_json, value)) + "]"
     keys = sorted(value, key=lambda k: k.encode("utf-16-be"))
     return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + canonical_json(value[k]) for k in keys) + "}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where the cluster keeps what executors share: ``spark.checkpoint.dir``, else the checkpoint folder set in the session,
+    else a folder in the warehouse."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/shared").rstrip("/")
