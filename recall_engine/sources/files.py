@@ -235,3 +235,11 @@ def shared_folder(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/shared").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that driver and executors share, without the plan that made them."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
