@@ -1,4 +1,4 @@
-"""The queries of the ten text-preparation operators, each over its whole table, and SQL where SQL can say them."""
+"""The queries of the text-preparation operators, each over its whole table, and SQL where SQL can say them."""
 
 from __future__ import annotations
 
@@ -75,6 +75,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm import conversation_repair as repair
+
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_report(repair.damaged(said), said)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm.importance import resample
+
+    found = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +102,8 @@ QUERIES = {
         op8_token_counts,
         op9_nearest_neighbours,
         op10_ngram_jaccard_join,
+        op11_conversation_repair,
+        op12_importance_resampling,
     )
 }
 
