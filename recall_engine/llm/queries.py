@@ -89,6 +89,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recall_engine.llm.minhash_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -104,6 +110,7 @@ QUERIES = {
         op10_ngram_jaccard_join,
         op11_conversation_repair,
         op12_importance_resampling,
+        op13_minhash_near_dedup,
     )
 }
 
