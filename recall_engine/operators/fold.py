@@ -20,15 +20,32 @@ def ordered(c: str = "") -> Column:
     return F.struct(*[F.col(f"{c}{x}") for x in ORDER])
 
 
-def accepted(events: DataFrame) -> DataFrame:
+class Decoded:
+    """A log whose events are known to be accepted and whose payloads are stored decoded, one table a kind."""
+
+    def __init__(self, events: DataFrame, kinds: dict[str, DataFrame]) -> None:
+        self.events, self.kinds = events, kinds
+
+    def groupBy(self, *by):
+        return self.events.groupBy(*by)
+
+
+Log = DataFrame | Decoded
+
+
+def accepted(events: Log) -> Log:
     """Each event once, and of each coordinate the first event id."""
+    if isinstance(events, Decoded):
+        return events
     once = events.dropDuplicates(["event_id"])
     w = Window.partitionBy(*ORDER).orderBy("event_id")
     return once.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def decoded(events: DataFrame, kind: str) -> DataFrame:
+def decoded(events: Log, kind: str) -> DataFrame:
     """Events of one kind with their payload's fields; what can't be read has nulls."""
+    if isinstance(events, Decoded):
+        return events.kinds[kind]
     own = events.filter(F.col("event_type") == kind)
     return own.withColumn("_p", F.from_json("payload", PAYLOADS[kind])).withColumn("_at", ordered()).select("event_id", "actor", "task_id", F.col("wall_time").cast("timestamp").alias("created_at"), "_at", "_p.*")
 
@@ -43,7 +60,7 @@ def last_by(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def messages_and_revisions(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def messages_and_revisions(events: Log) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(messages, revisions, revision_parents). The head is the last revision of the last revise event."""
     published = first_by(decoded(events, "message.publish"), "message_id")
     revised = decoded(events, "message.revise_body").join(published.select("message_id"), "message_id", "left_semi")
@@ -61,23 +78,23 @@ def messages_and_revisions(events: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return messages, revisions.select("revision_id", "message_id", "created_at", "body_hash", "body", "body_len"), parents
 
 
-def recipients(events: DataFrame) -> DataFrame:
+def recipients(events: Log) -> DataFrame:
     return first_by(decoded(events, "message.publish"), "message_id").select("message_id", F.explode("recipients").alias("view")).distinct()
 
 
-def attachments(events: DataFrame) -> DataFrame:
+def attachments(events: Log) -> DataFrame:
     """One row for each message and object; no durability counts as normal."""
     each = first_by(decoded(events, "message.publish"), "message_id").select("message_id", F.posexplode("attachments").alias("_i", "_a")).select("message_id", "_i", "_a.*")
     w = Window.partitionBy("message_id", "object_hash").orderBy("_i")
     return each.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("message_id", "object_hash", "byte_len", "mime", "filename", F.coalesce("durability", F.lit("normal")).alias("durability"))
 
 
-def source_refs(events: DataFrame) -> DataFrame:
+def source_refs(events: Log) -> DataFrame:
     """(path, message_id): the last event of a path wins."""
     return last_by(decoded(events, "message.publish").filter(F.col("source_path").isNotNull()), "source_path").select(F.col("source_path").alias("path"), "message_id", "body_hash")
 
 
-def topics(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def topics(events: Log) -> tuple[DataFrame, DataFrame]:
     """(topics, parked creations): names must be valid; the first creation of a name or id wins."""
     made = decoded(events, "topic.create").withColumn("_ok", topic_name_ok(F.col("name")))
     by_name, by_id = Window.partitionBy("name").orderBy("_at"), Window.partitionBy("topic_id").orderBy("_at")
@@ -85,7 +102,7 @@ def topics(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.filter("_in").select("topic_id", "name", "event_id"), placed.filter("NOT _in").select("event_id", F.lit(False).alias("retryable"), F.lit("topic name").alias("reason"))
 
 
-def topic_links(events: DataFrame, messages: DataFrame, topics_: DataFrame) -> tuple[DataFrame, DataFrame]:
+def topic_links(events: Log, messages: DataFrame, topics_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links with removed, parked additions). Only listed links go; a protected one goes only by the operator."""
     added = first_by(decoded(events, "topic.link.add"), "link_id")
     held = added.join(messages.select("message_id"), "message_id", "left_semi").join(topics_.select("topic_id"), "topic_id", "left_semi")
@@ -101,17 +118,17 @@ def or_set(adds: DataFrame, removes: DataFrame, key: str) -> DataFrame:
     return adds.join(gone, key, "left").withColumn("removed", F.coalesce("_gone", F.lit(False))).drop("_gone")
 
 
-def pins(events: DataFrame) -> DataFrame:
+def pins(events: Log) -> DataFrame:
     added = first_by(decoded(events, "blob.pin"), "pin_id").select("pin_id", "principal", "object_hash")
     return or_set(added, decoded(events, "blob.unpin").select(F.explode("pin_ids").alias("pin_id")), "pin_id")
 
 
-def signals(events: DataFrame) -> DataFrame:
+def signals(events: Log) -> DataFrame:
     """Signals never park; they may name messages that aren't there."""
     return decoded(events, "signal.emit").select("event_id", "message_id", F.col("actor").alias("principal"), "kind", "weight", "created_at")
 
 
-def derivatives(events: DataFrame) -> DataFrame:
+def derivatives(events: Log) -> DataFrame:
     """(derivative_id, object_hash, derivative_type, status, text, invalidated): the last publication or failure counts."""
     ok = decoded(events, "derivative.publish").select("derivative_id", "blob_hash", "derivative_type", "_at", F.lit("ok").alias("status"), "text")
     bad = decoded(events, "derivative.fail").select("derivative_id", "blob_hash", "derivative_type", "_at", F.lit("failed").alias("status"), F.lit(None).cast("string").alias("text"))
@@ -123,7 +140,7 @@ def derivatives(events: DataFrame) -> DataFrame:
 FIELDS = ("query", "topics", "mode", "top_n", "window_hours", "percentile", "cap_per_day")
 
 
-def subscriptions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def subscriptions(events: Log) -> tuple[DataFrame, DataFrame]:
     """(subscriptions, parked updates): a fold in order over each subscription's own events.
 
     create gives revision 1; update must name the current revision and changes the fields it has; disable counts as a
@@ -160,7 +177,7 @@ def _type(c: str) -> str:
     return {"topics": "array<string>", "query": "string", "mode": "string", "owner": "string"}.get(c, "int")
 
 
-def parked(events: DataFrame, messages: DataFrame, *others: DataFrame) -> DataFrame:
+def parked(events: Log, messages: DataFrame, *others: DataFrame) -> DataFrame:
     """(event_id, retryable, reason): revisions of messages that aren't there, and what the other folds parked."""
     lost = decoded(events, "message.revise_body").join(messages.select("message_id"), "message_id", "left_anti").select("event_id", F.lit(True).alias("retryable"), F.lit("missing message").alias("reason"))
     double = decoded(events, "message.publish").join(messages.select("message_id", F.col("event_id").alias("_first")), "message_id").filter(F.col("event_id") != F.col("_first")).select("event_id", F.lit(False).alias("retryable"), F.lit("message exists").alias("reason"))
@@ -170,7 +187,7 @@ def parked(events: DataFrame, messages: DataFrame, *others: DataFrame) -> DataFr
     return out
 
 
-def checkpoints(events: DataFrame) -> DataFrame:
+def checkpoints(events: Log) -> DataFrame:
     """(origin, checkpoint): the last sequence folded."""
     return events.groupBy("device_id", "generation").agg(F.max("sequence").alias("checkpoint"))
 
@@ -184,7 +201,7 @@ def index_texts(revisions: DataFrame, objects: DataFrame | None = None) -> DataF
     return found.select("revision_id", text.alias("text"), text.isNotNull().alias("lexical_indexed"))
 
 
-def project(events: DataFrame, objects: DataFrame | None = None) -> dict[str, DataFrame]:
+def project(events: Log, objects: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a log."""
     log = accepted(events)
     messages, revisions, parents = messages_and_revisions(log)
@@ -192,7 +209,7 @@ def project(events: DataFrame, objects: DataFrame | None = None) -> dict[str, Da
     links, bad_links = topic_links(log, messages, made)
     subs, bad_subs = subscriptions(log)
     return {
-        "events": log,
+        "events": log.events if isinstance(log, Decoded) else log,
         "messages": messages,
         "revisions": revisions,
         "revision_parents": parents,

@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.operators import fold
+from recall_engine.operators import closure, fold
+from recall_engine.operators.incremental import Store
+from recall_engine.operators.order import numbered
+from recall_engine.sources.files import checkpointed, shared_folder
 from recall_engine.sources.model import Model
 from recall_engine.streaming import log_stream
 
@@ -89,6 +92,44 @@ def fold_recipients(spark: SparkSession, d: str) -> DataFrame:
     return fold.project(event_log(Model(spark, d)))["recipients"].groupBy("view").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _in_batches(m: Model) -> Store:
+    """The same log without gaps in its sequences, applied to a store in three batches that are cut by hash, so that most events
+    of a batch come before those they follow, and the second batch twice."""
+    log = checkpointed(numbered(event_log(m).dropDuplicates(["event_id"]), ["sequence"], ["device_id"], "_to").withColumn("sequence", F.col("_to").cast("long")).drop("_to"))
+    store = Store.create(m.spark, f"{shared_folder(m.spark)}/store-{uuid.uuid4().hex}", fan=2)
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for n, k in enumerate((2, 1, 1, 0)):
+        store.apply(log.filter(part == k), max(0, n - (n > 1)))
+    return store
+
+
+@query("SELECT 'm' || doc_id AS message_id, CASE WHEN doc_id % 5 = 0 THEN 'r' || doc_id || '-2' WHEN doc_id % 5 = 4 THEN 'r' || doc_id || '-1' ELSE 'r' || doc_id || '-0' END AS head_revision_id, doc_id % 17 = 0 AS retracted FROM documents WHERE doc_id % 40 <> 39")
+def incremental_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of a store that was filled batch by batch."""
+    return _in_batches(Model(spark, d)).tables()["messages"].select("message_id", "head_revision_id", "retracted")
+
+
+@query("SELECT reason, retryable, count(*) AS n FROM (SELECT 'topic name' AS reason, false AS retryable FROM documents WHERE doc_id % 30 = 7 UNION ALL SELECT 'missing message or topic', true FROM documents WHERE doc_id % 40 = 39 UNION ALL SELECT 'missing message', true FROM documents WHERE doc_id % 40 = 39 AND doc_id % 5 = 4 UNION ALL SELECT 'subscription revision', false FROM documents WHERE doc_id % 20 = 0 AND doc_id % 40 <> 0) GROUP BY ALL")
+def incremental_parked(spark: SparkSession, d: str) -> DataFrame:
+    """What such a store has parked."""
+    return _in_batches(Model(spark, d)).tables()["parked_events"].groupBy("reason", "retryable").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HELD = "SELECT conv_id, turn, min(turn) FILTER ((conv_id * 7 + turn) % 11 = 0) OVER (PARTITION BY conv_id) AS cut, (conv_id * 7 + turn) % 11 = 0 AS lost FROM conversations"
+
+
+@query(f"SELECT conv_id, count(*) FILTER (cut IS NULL OR turn < cut) AS ready, count(*) FILTER (turn >= cut) AS parked, coalesce(max(turn) FILTER (cut IS NULL OR turn < cut), -1)::BIGINT AS last_round FROM ({_HELD}) WHERE NOT lost GROUP BY conv_id")
+def dependency_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that need the turn before them, of which some are lost: what is ready, in how many rounds, and what stays parked."""
+    said = Model(spark, d).raw("conversations").select("conv_id", "turn").filter("(conv_id * 7 + turn) % 11 <> 0")
+    name = lambda t: F.array(F.concat_ws("/", "conv_id", t))
+    events = said.select(F.concat_ws("/", "conv_id", "turn").alias("event_id"), name(F.col("turn")).alias("makes"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("needs"))
+    ready, parked = closure.settle(events)
+    conv = F.split("event_id", "/")[0].cast("long").alias("conv_id")
+    every = ready.select(conv, "round").unionByName(parked.select(conv, F.lit(None).cast("int").alias("round")))
+    return every.groupBy("conv_id").agg(F.count("round").alias("ready"), F.count_if(F.col("round").isNull()).alias("parked"), F.coalesce(F.max("round"), F.lit(-1)).cast("long").alias("last_round"))
+
+
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return log_stream.read_log(spark, d, spark.read.parquet(f"{d}/{name}.parquet").schema, f"{name}.parquet")
 
