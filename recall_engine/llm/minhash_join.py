@@ -328,8 +328,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts.groupBy("_key", "_th").agg(F.first("_text").alias("_text"))
     salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(nj.SALTS)])).alias("_salt")
     if sizes.isEmpty():
+        # each link leads to the one set that stands for its component
         links = checkpointed(_confirmed(wanted.join(texts, ["_key", "_th"]), width, num, den, scheme))
-        final = nj.components(links)
+        final = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
         marked = wanted.withColumn("_salt", F.xxhash64("node").bitwiseAND(F.lit(nj.SALTS - 1))).join(sizes.select("root", "_parts", salts), ["root", "_salt"], "left")
         groups = checkpointed(marked.join(texts, ["_key", "_th"]).select("root", "node", "_n", "_parts", "_sig", "_text"))

@@ -49,6 +49,8 @@ CELL, CELL_SHINGLES, PART = 2048, 1 << 22, 1 << 16
 SMALL = 1 << 25
 #: Nodes of more edges than this, and than a fixed share of all edges, are looked up by broadcast.
 HUB, MOST_HUBS = 1_000, 100_000
+#: The most edges of a graph that one task settles; a graph of more goes in rounds.
+LOCAL_EDGES = 1 << 18
 #: Counters of the count table, and how many travel in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 10
 #: Parts that the rows of one key are dealt to (a power of two).
@@ -470,12 +472,36 @@ def _looked_up(edges: DataFrame, nodes: DataFrame, hub: int) -> DataFrame:
     return rest.unionByName(edges.join(hubs, "a")).select("b", "m")
 
 
+def _settled_locally(edges: DataFrame) -> DataFrame:
+    """What ``components`` gives, of few edges between digests, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.concatenate([np.frombuffer(b.column(i).buffers()[1], np.int64).reshape(-1, 2)[b.column(i).offset :][: b.num_rows] for i in range(2)]) for b in batches if b.num_rows]
+        if not ends:
+            return
+        sizes = [len(x) // 2 for x in ends]
+        both = np.concatenate([x[:n] for x, n in zip(ends, sizes, strict=True)] + [x[n:] for x, n in zip(ends, sizes, strict=True)])
+        place, nodes = _dense(both)
+        # digests are positive numbers, whose high half decides; the least of a component is its root
+        rank = np.empty(len(nodes), np.int64)
+        order = np.lexsort((nodes[:, 0].view(np.uint64), nodes[:, 1]))
+        rank[order] = np.arange(len(nodes))
+        a, b = _forest(len(nodes), rank[place].reshape(2, -1).T)
+        root = np.arange(len(nodes))
+        root[a] = b
+        nodes = nodes[order]
+        yield pa.RecordBatch.from_arrays([_decimals(nodes), _decimals(nodes[root])], names=["node", "root"])
+
+    return checkpointed(edges.select("a", "b").coalesce(1).mapInArrow(run, "node decimal(38,0), root decimal(38,0)"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node of an undirected graph given as pairs (a, b), the root being the least node.
 
     Alternating stars: each round links every node to the least neighbour it knows of, in two joins; the rounds end
     when nothing changes, after about the logarithm of the longest path. No component is gathered. Nodes with very many
-    neighbours, of which there are at most MOST_HUBS, are looked up by broadcast.
+    neighbours, of which there are at most MOST_HUBS, are looked up by broadcast. A graph of at most LOCAL_EDGES edges, which are
+    counted first, is settled by one task instead, where rounds would cost more than the work.
     """
     e = checkpointed(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     signed = lambda: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -483,6 +509,8 @@ def components(pairs: DataFrame) -> DataFrame:
     del pairs
     release(e.sparkSession)
     now = signed()
+    if now[0] <= LOCAL_EDGES and isinstance(e.schema["a"].dataType, T.DecimalType):
+        return _settled_locally(e)
     while now != sign:
         sign, hub = now, max(HUB, 2 * now[0] // MOST_HUBS)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
