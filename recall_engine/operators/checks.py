@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recall_engine.functions.values import overdue
 from recall_engine.operators import rollups
+from recall_engine.operators.events import walk
 from recall_engine.params import PARAMS, Params
 
 
@@ -53,8 +54,9 @@ def gate_verdicts(counters: DataFrame, success: DataFrame, p: Params = PARAMS) -
     return both.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
-def doctor(events: DataFrame, tables: dict[str, DataFrame], objects: DataFrame, now: Column, p: Params = PARAMS) -> DataFrame:
-    """(severity, check, detail): gaps, forks, drift, parks past their grace, attached objects that aren't held."""
+def doctor(events: DataFrame, tables: dict[str, DataFrame], objects: DataFrame, now: Column, p: Params = PARAMS, deep: bool = False) -> DataFrame:
+    """(severity, check, detail): gaps, forks, drift, parks past their grace, attached objects that aren't held. deep also computes
+    every event's id anew and follows the chain by names, and hashes the objects held, if they come with their data."""
     origin = ["device_id", "generation"]
     say = lambda df, severity, name, text: df.select(F.lit(severity).alias("severity"), F.lit(name).alias("check"), text.alias("detail"))
     at = F.concat_ws("/", "device_id", F.col("generation").cast("string"))
@@ -66,7 +68,14 @@ def doctor(events: DataFrame, tables: dict[str, DataFrame], objects: DataFrame,
     late = overdue(F.col("wall_time"), now, p.park_grace)
     parks = stamps.select(F.when(late | ~F.col("retryable"), "problem").otherwise("info").alias("severity"), F.lit("parked").alias("check"), F.col("event_id").alias("detail"))
     lost = say(rollups.missing_objects(tables["attachments"], objects), "info", "missing object", F.col("object_hash"))
-    return gaps.unionByName(forks).unionByName(behind).unionByName(parks).unionByName(lost)
+    out = gaps.unionByName(forks).unionByName(behind).unionByName(parks).unionByName(lost)
+    if deep:
+        broken = walk(events).filter("defect <> 'gap'")
+        out = out.unionByName(say(broken, "problem", "chain", F.concat_ws(" ", at, F.col("sequence"), "defect")))
+        if "data" in objects.columns:
+            spoilt = objects.filter(~F.col("object_hash").eqNullSafe(F.sha2("data", 256)))
+            out = out.unionByName(say(spoilt, "problem", "object", F.col("object_hash")))
+    return out
 
 
 def fetch_states(wanted: DataFrame, objects: DataFrame) -> DataFrame:

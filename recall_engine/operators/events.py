@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recall_engine.operators.chain import identified, with_own_id
 from recall_engine.schemas import PAYLOADS
 
 #: The version of the folded tables; stored tables of another version must be folded anew.
@@ -29,8 +30,8 @@ def build(requests: dict[str, DataFrame], heads: DataFrame, device: str, generat
     """Events of one origin, to be appended: publish, revise, retract, link, unlink, pin, unpin, signal and all other kinds.
 
     requests: for each kind a table with the columns of its payload, actor, task_id (may be absent) and at, the order of
-    the requests. They follow the origin's head (device_id, generation, sequence, event_id; none starts the log). An id
-    is the hash of what the event says and where it stands. Requests without an order come first; ties go by payload.
+    the requests. They follow the origin's head (device_id, generation, sequence, event_id; none starts the log). Ids
+    commit to the whole event and to the one before it, see ``chain``. Requests without an order come first; ties go by payload.
     """
     every = None
     for kind, df in requests.items():
@@ -42,12 +43,11 @@ def build(requests: dict[str, DataFrame], heads: DataFrame, device: str, generat
     head = heads.filter((F.col("device_id") == device) & (F.col("generation") == generation)).agg(F.max("sequence").alias("_last"), F.max_by("event_id", "sequence").alias("_last_id"))
     # One origin has one writer, and a batch of its requests has one order: this window holds the batch, not the log.
     w = Window.partitionBy("device_id", "generation").orderBy("_order", "event_type", "payload")
-    placed = every.withColumns({"device_id": F.lit(device), "generation": F.lit(generation)}).crossJoin(F.broadcast(head))
+    placed = every.withColumns({"device_id": F.lit(device), "generation": F.lit(generation), "schema_version": F.lit(1), "wall_time": wall}).crossJoin(F.broadcast(head))
     placed = placed.withColumn("sequence", (F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).cast("long"))
-    said = F.concat_ws("\x1f", "device_id", F.col("generation").cast("string"), F.col("sequence").cast("string"), "event_type", "actor", "payload")
-    placed = placed.withColumn("event_id", F.sha2(said, 256))
-    placed = placed.withColumn("previous_event_id", F.coalesce(F.lag("event_id").over(w), F.col("_last_id"), F.lit("")))
-    return placed.select(F.lit(1).alias("schema_version"), "event_id", "event_type", "device_id", "generation", "sequence", "previous_event_id", "actor", "task_id", wall.alias("wall_time"), "payload")
+    last = head.select(F.lit(device).alias("device_id"), F.lit(generation).alias("generation"), F.col("_last_id").alias("event_id"))
+    made = identified(placed.select("schema_version", "event_type", "device_id", "generation", "sequence", "actor", "task_id", "wall_time", "payload"), last)
+    return made.select("schema_version", "event_id", "event_type", "device_id", "generation", "sequence", "previous_event_id", "actor", "task_id", "wall_time", "payload")
 
 
 def origins(events: DataFrame, origin: tuple[str, ...] = ORIGIN) -> DataFrame:
@@ -61,31 +61,41 @@ def _with_previous(events: DataFrame, known: DataFrame, origin: tuple[str, ...])
     return events.join(before, [*origin, "sequence"], "left")
 
 
-def walk(events: DataFrame, origin: tuple[str, ...] = ORIGIN) -> DataFrame:
-    """(origin, sequence, event_id, defect) where a chain is broken: gap (what comes before isn't there), previous (another
-    event comes before than the one that is named) or start (the first event names one). Nothing for a sound log."""
+def _with_sound(events: DataFrame, ids: bool) -> DataFrame:
+    """Events with _sound: the id is the one that follows from what the event says. Without ids, that isn't asked."""
+    if not ids:
+        return events.withColumn("_sound", F.lit(True))
+    return with_own_id(events, "_own").withColumn("_sound", F.col("_own").eqNullSafe(F.col("event_id"))).drop("_own")
+
+
+def walk(events: DataFrame, origin: tuple[str, ...] = ORIGIN, ids: bool = True) -> DataFrame:
+    """(origin, sequence, event_id, defect) where a chain is broken: gap (what comes before isn't there), previous (another event
+    comes before than the one that is named), start (the first event names one) or id (the event doesn't say what its id
+    commits to). Nothing for a sound log. Without ids, names alone are compared, for logs whose ids are just names."""
     named = F.coalesce("previous_event_id", F.lit(""))
-    found = _with_previous(events, events, origin)
-    defect = F.when(F.col("sequence") <= 1, F.when(named != "", "start")).when(F.col("_p").isNull(), "gap").when(~F.array_contains("_p", named), "previous")
+    found = _with_previous(_with_sound(events, ids), events, origin)
+    link = F.when(F.col("sequence") <= 1, F.when(named != "", "start")).when(F.col("_p").isNull(), "gap").when(~F.array_contains("_p", named), "previous")
+    defect = F.coalesce(link, F.when(~F.col("_sound"), "id"))
     return found.withColumn("defect", defect).filter("defect IS NOT NULL").select(*origin, "sequence", "event_id", "defect")
 
 
-def verified(events: DataFrame, origin: tuple[str, ...] = ORIGIN) -> DataFrame:
+def verified(events: DataFrame, origin: tuple[str, ...] = ORIGIN, ids: bool = True) -> DataFrame:
     """The events of each origin up to its first defect: what follows it can't be trusted."""
-    first = walk(events, origin).groupBy(*origin).agg(F.min("sequence").alias("_bad"))
+    first = walk(events, origin, ids).groupBy(*origin).agg(F.min("sequence").alias("_bad"))
     return events.join(first, list(origin), "left").filter(F.col("_bad").isNull() | (F.col("sequence") < F.col("_bad"))).drop("_bad")
 
 
-def appendable(batch: DataFrame, heads: DataFrame, origin: tuple[str, ...] = ORIGIN) -> DataFrame:
-    """The batch with ok: whether an event may be appended. It must have the next sequence of its origin and name
-    the event before it, in the log's heads or in the batch; nothing after one that may not be appended is ok."""
+def appendable(batch: DataFrame, heads: DataFrame, origin: tuple[str, ...] = ORIGIN, ids: bool = True) -> DataFrame:
+    """The batch with ok: whether an event may be appended. It must have the next sequence of its origin, name the event
+    before it, in the log's heads or in the batch, and have the id of what it says; nothing after one that may not be
+    appended is ok."""
     known = batch.select(*origin, "sequence", "event_id").unionByName(heads.select(*origin, "sequence", "event_id"))
     last = heads.groupBy(*origin).agg(F.max("sequence").alias("_last"))
     named = F.coalesce("previous_event_id", F.lit(""))
-    held = _with_previous(batch, known, origin).join(last, list(origin), "left")
+    held = _with_previous(_with_sound(batch, ids), known, origin).join(last, list(origin), "left")
     starts = (F.col("sequence") == 1) & F.col("_last").isNull() & (named == "")
     follows = (F.col("sequence") > F.coalesce("_last", F.lit(0))) & F.coalesce(F.array_contains("_p", named), F.lit(False))
-    held = held.withColumn("_good", starts | follows)
+    held = held.withColumn("_good", (starts | follows) & F.col("_sound"))
     bad = held.groupBy(*origin).agg(F.min(F.when(~F.col("_good"), F.col("sequence"))).alias("_bad"))
     out = held.join(bad, list(origin), "left").withColumn("ok", F.col("_bad").isNull() | (F.col("sequence") < F.col("_bad")))
     return out.select(*batch.columns, "ok")

@@ -19,13 +19,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recall_engine.operators.chain import with_own_id
 from recall_engine.operators.fold import ORDER, Decoded, ordered, project
-from recall_engine.schemas import PAYLOADS
+from recall_engine.schemas import ENVELOPE, PAYLOADS
 
 ORIGIN = ("device_id", "generation")
-#: What an event needs to be folded, in the order stored; all else of an envelope comes along as it is.
-NEEDED = "event_id string, event_type string, device_id string, generation int, sequence bigint, actor string, task_id string, wall_time string, payload string"
-_COMMIT = "batch bigint, runs array<string>, applied bigint, waiting bigint"
+_COMMIT = "batch bigint, runs array<string>, applied bigint, waiting bigint, refused bigint"
+#: What becomes of an event of a batch.
+READY, WAITING, REFUSED = "ready", "waiting", "refused"
+#: What an event can't do without.
+NEEDED = ("event_id", "event_type", "device_id", "generation", "sequence", "payload")
 
 #: How each kind may be thinned: its key, and which of the rows of one key count. Kinds that aren't named keep all rows.
 FIRST, LAST, ANY = "first", "last", "any"
@@ -84,15 +87,15 @@ class Store:
     def create(cls, spark: SparkSession, folder: str, fan: int = 8) -> Store:
         """A new, empty store; the commit before the first batch."""
         own = cls(spark, folder, fan)
-        none = spark.createDataFrame([], NEEDED)
+        none = spark.createDataFrame([], ENVELOPE)
         own._write_origins(none.groupBy(*ORIGIN).agg(F.max("sequence").alias("last"), F.max("event_id").alias("head")), -1)
-        own._commit(-1, [], 0, 0)
+        own._commit(-1, [], 0, 0, 0)
         return own
 
     # Commits
 
-    def _commit(self, batch: int, runs: list[str], applied: int, waiting: int) -> None:
-        self.spark.createDataFrame([(batch, runs, applied, waiting)], _COMMIT).coalesce(1).write.mode("overwrite").json(f"{self.folder}/commits/n={batch}")
+    def _commit(self, batch: int, runs: list[str], applied: int, waiting: int, refused: int) -> None:
+        self.spark.createDataFrame([(batch, runs, applied, waiting, refused)], _COMMIT).coalesce(1).write.mode("overwrite").json(f"{self.folder}/commits/n={batch}")
 
     def commit(self, before: int | None = None) -> T.Row | None:
         """The last commit, or the last one before a batch."""
@@ -105,64 +108,70 @@ class Store:
 
     # Applying
 
-    def apply(self, batch: DataFrame, n: int, on_gap: str = "wait") -> dict[str, int]:
-        """Applies a batch of events as number n; returns how many were applied and how many wait. A batch before the last one has
-        been applied for good and is skipped. on_gap: wait, or fail, which changes nothing."""
+    def apply(self, batch: DataFrame, n: int, on_gap: str = "wait", verify: bool = False) -> dict[str, int]:
+        """Applies a batch of events as number n; returns how many were applied, wait or were refused. A batch before the last one has
+        been applied for good and is skipped. on_gap: wait, or fail, which changes nothing. verify refuses an event that doesn't name
+        the one before it, or whose id doesn't commit to what it says, and what follows it in its origin's batch; the
+        origin's checkpoint stays before it, so a sound event may still take its place."""
         if on_gap not in ("wait", "fail"):
             raise ValueError(f"on_gap must be wait or fail, not {on_gap!r}")
         last = self.commit()
         if last is None:
             raise ValueError("not a store: create it first")
         if n < last.batch:
-            return {"applied": 0, "waiting": last.waiting}
+            return {"applied": 0, "waiting": last.waiting, "refused": 0}
         if n < 0:
             raise ValueError("batches are numbered from 0")
         before = last if last.batch < n else self.commit(n)
         origins = self.origins(before.batch)
         came = self._known(batch)
         if before.waiting:
-            came = came.unionByName(self._staged(before.batch, False), allowMissingColumns=True)
+            came = came.unionByName(self._staged(before.batch, WAITING))
+        came = with_own_id(came, "_own") if verify else came.withColumn("_own", F.col("event_id"))
         new = came.join(origins, list(ORIGIN), "left").filter(F.col("last").isNull() | (F.col("sequence") > F.col("last")))
-        # One of each coordinate; then those that follow the checkpoint one by one are ready. The windows hold a batch's events of one origin.
-        once = new.withColumn("_rn", F.row_number().over(Window.partitionBy(*ORDER).orderBy("event_id"))).filter("_rn = 1")
-        nth = F.row_number().over(Window.partitionBy(*ORIGIN).orderBy("sequence"))
-        ready = once.withColumn("ready", F.col("sequence") == F.coalesce("last", F.lit(0)) + nth).drop("_rn", "last", "head")
-        _decoded(ready).write.mode("overwrite").partitionBy("ready", "event_type").parquet(f"{self.folder}/staged/n={n}")
-        counts = {r.ready: r["count"] for r in self._staged(n).groupBy("ready").count().collect()}
-        applied, waiting = counts.get(True, 0), counts.get(False, 0)
+        # One of each coordinate, a sound one if there is one; then those that follow the checkpoint one by one are ready. The windows
+        # hold a batch's events of one origin.
+        sound = F.col("_own").eqNullSafe(F.col("event_id"))
+        once = new.withColumn("_rn", F.row_number().over(Window.partitionBy(*ORDER).orderBy(F.desc(sound.cast("int")), "event_id"))).filter("_rn = 1")
+        w = Window.partitionBy(*ORIGIN).orderBy("sequence")
+        follows = F.col("sequence") == F.coalesce("last", F.lit(0)) + F.row_number().over(w)
+        named = F.coalesce("previous_event_id", F.lit("")) == F.coalesce(F.lag("event_id").over(w), F.col("head"), F.lit(""))
+        placed = once.withColumns({"_follows": follows, "_bad": follows & ~(sound & named) if verify else F.lit(False)})
+        broken = F.bool_or("_bad").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        state = F.when(broken, REFUSED).when(F.col("_follows"), READY).otherwise(WAITING)
+        ready = placed.withColumn("state", state).drop("_rn", "_own", "_follows", "_bad", "last", "head")
+        _decoded(ready).write.mode("overwrite").partitionBy("state", "event_type").parquet(f"{self.folder}/staged/n={n}")
+        counts = {r.state: r["count"] for r in self._staged(n).groupBy("state").count().collect()}
+        applied, waiting, refused = (counts.get(k, 0) for k in (READY, WAITING, REFUSED))
         if waiting and on_gap == "fail":
-            gaps = self._staged(n, False).groupBy(*ORIGIN).agg(F.min("sequence").alias("first")).limit(5).collect()
+            gaps = self._staged(n, WAITING).groupBy(*ORIGIN).agg(F.min("sequence").alias("first")).limit(5).collect()
             raise GapError("; ".join(f"{r.device_id}/{r.generation}: {r.first} came too early" for r in gaps))
-        heads = self._staged(n, True).groupBy(*ORIGIN).agg(F.max("sequence").alias("last"), F.max_by("event_id", "sequence").alias("head"))
+        heads = self._staged(n, READY).groupBy(*ORIGIN).agg(F.max("sequence").alias("last"), F.max_by("event_id", "sequence").alias("head"))
         every = origins.unionByName(heads).groupBy(*ORIGIN).agg(F.max_by("head", "last").alias("head"), F.max("last").alias("last"))
-        self._write_origins(every.select(*ORIGIN, "last", "head").coalesce(1), n)
-        runs = [*before.runs, f"staged/n={n}/ready=true"] if applied else list(before.runs)
-        self._commit(n, self._merged(runs, n), applied, waiting)
-        return {"applied": applied, "waiting": waiting}
+        self._write_origins(every.select(*ORIGIN, "last", "head"), n)
+        runs = [*before.runs, f"staged/n={n}/state={READY}"] if applied else list(before.runs)
+        self._commit(n, self._merged(runs, n), applied, waiting, refused)
+        return {"applied": applied, "waiting": waiting, "refused": refused}
 
-    def writer(self, stream: DataFrame, checkpoint: str, on_gap: str = "wait"):
+    def writer(self, stream: DataFrame, checkpoint: str, on_gap: str = "wait", verify: bool = False):
         """A stream writer that applies each batch."""
-        return stream.writeStream.foreachBatch(lambda df, n: self.apply(df, n, on_gap) and None).option("checkpointLocation", checkpoint)
+        return stream.writeStream.foreachBatch(lambda df, n: self.apply(df, n, on_gap, verify) and None).option("checkpointLocation", checkpoint)
 
     def _known(self, events: DataFrame) -> DataFrame:
-        """The events in the stored columns, in order; those of an envelope that are missing are null."""
-        fields = T.StructType.fromDDL(NEEDED).fields
+        """The events in the columns of an envelope, those that are missing null."""
         have = set(events.columns)
-        if missing := {"event_id", "event_type", "device_id", "generation", "sequence", "payload"} - have:
+        if missing := set(NEEDED) - have:
             raise ValueError(f"events lack {sorted(missing)}")
-        own = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
-        more = [F.coalesce(F.col("previous_event_id"), F.lit("")) if "previous_event_id" in have else F.lit("")]
-        return events.select(*own, more[0].alias("previous_event_id")).filter("event_id IS NOT NULL AND device_id IS NOT NULL AND sequence IS NOT NULL AND generation IS NOT NULL")
+        own = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ENVELOPE).fields]
+        return events.select(*own).filter("event_id IS NOT NULL AND device_id IS NOT NULL AND sequence IS NOT NULL AND generation IS NOT NULL")
 
     def _schema(self) -> str:
         kinds = ", ".join(f"{_column(k)} struct<{T.StructType.fromDDL(d).simpleString()[7:-1]}>" for k, d in PAYLOADS.items())
-        return f"{NEEDED}, previous_event_id string, {kinds}"
+        return f"{ENVELOPE}, {kinds}"
 
-    def _staged(self, n: int, ready: bool | None = None) -> DataFrame:
-        held = self.spark.read.schema(f"{self._schema()}, ready boolean").parquet(f"{self.folder}/staged/n={n}")
-        if ready is None:
-            return held
-        return held.filter(F.col("ready") == ready).select(*[f.name for f in T.StructType.fromDDL(NEEDED).fields], "previous_event_id")
+    def _staged(self, n: int, state: str | None = None) -> DataFrame:
+        held = self.spark.read.schema(f"{self._schema()}, state string").parquet(f"{self.folder}/staged/n={n}")
+        return held if state is None else held.filter(F.col("state") == state).select(*[f.name for f in T.StructType.fromDDL(ENVELOPE).fields])
 
     # Runs and levels
 
@@ -189,13 +198,13 @@ class Store:
 
     def _events(self, runs: list[str]) -> DataFrame:
         """The events of runs, as they came."""
-        out = self.spark.createDataFrame([], f"{NEEDED}, previous_event_id string")
+        out = self.spark.createDataFrame([], ENVELOPE)
         columns = out.columns
         for r in runs:
             if self._level(r):
                 out = out.unionByName(self.spark.read.parquet(f"{self.folder}/{r}/events").select(columns))
             else:
-                out = out.unionByName(self.spark.read.schema(f"{NEEDED}, previous_event_id string").option("basePath", f"{self.folder}/{r}").parquet(f"{self.folder}/{r}").select(columns))
+                out = out.unionByName(self.spark.read.schema(ENVELOPE).option("basePath", f"{self.folder}/{r}").parquet(f"{self.folder}/{r}").select(columns))
         return out
 
     def _kind(self, runs: list[str], kind: str) -> DataFrame:
@@ -220,7 +229,11 @@ class Store:
 
     def waiting(self) -> DataFrame:
         """The events that wait for those before them."""
-        return self._staged(self.commit().batch, False)
+        return self._staged(self.commit().batch, WAITING)
+
+    def refused(self, n: int) -> DataFrame:
+        """The events of batch n that were refused."""
+        return self._staged(n, REFUSED)
 
     def log(self) -> Decoded:
         """All applied events, decoded, for the functions of ``fold``."""

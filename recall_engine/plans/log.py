@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.operators import closure, fold
+from recall_engine.operators import chain, closure, events, fold
 from recall_engine.operators.incremental import Store
 from recall_engine.operators.order import numbered
 from recall_engine.sources.files import checkpointed, shared_folder
@@ -115,6 +115,45 @@ def incremental_parked(spark: SparkSession, d: str) -> DataFrame:
     return _in_batches(Model(spark, d)).tables()["parked_events"].groupBy("reason", "retryable").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _chained(m: Model) -> DataFrame:
+    """Turns as events of their conversation's origin, with ids that commit to them."""
+    said = m.raw("conversations").dropDuplicates(["conv_id", "turn"])
+    payload = F.to_json(F.struct(F.col("text").alias("body"), F.concat_ws("-", "conv_id", "turn").alias("message_id")))
+    return chain.identified(said.select(F.col("conv_id").cast("string").alias("device_id"), F.lit(1).alias("generation"), (F.col("turn") + 1).alias("sequence"), F.lit("message.publish").alias("event_type"), F.col("role").alias("actor"), F.lit("2024-01-01 00:00:00").alias("wall_time"), payload.alias("payload")))
+
+
+def _altered(log: DataFrame) -> DataFrame:
+    """The log with every 13th event said by another, and every 13th left out, by rule."""
+    k = (F.col("device_id").cast("long") + F.col("sequence")) % 13
+    return log.filter(k != 1).withColumn("actor", F.when(k == 0, "nobody").otherwise(F.col("actor")))
+
+
+_TURNS = "SELECT DISTINCT conv_id, turn + 1 AS sequence, (conv_id + turn + 1) % 13 AS k FROM conversations"
+
+
+@query("SELECT conv_id::VARCHAR AS device_id, count(DISTINCT turn) AS events, 0::BIGINT AS defects FROM conversations GROUP BY 1")
+def chain_intact(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each origin, and what a walk that computes all ids anew finds wrong with them."""
+    log = checkpointed(_chained(Model(spark, d)))
+    bad = events.walk(log).groupBy("device_id").agg(F.count(F.lit(1)).alias("defects"))
+    return log.groupBy("device_id").agg(F.count(F.lit(1)).alias("events")).join(bad, "device_id", "left").select("device_id", "events", F.coalesce("defects", F.lit(0)).alias("defects"))
+
+
+@query(f"WITH t AS ({_TURNS}), g AS (SELECT t.*, EXISTS (SELECT 1 FROM t p WHERE p.conv_id = t.conv_id AND p.sequence = t.sequence - 1 AND p.k <> 1) AS has FROM t WHERE k <> 1) SELECT conv_id::VARCHAR AS device_id, sequence, CASE WHEN sequence > 1 AND NOT has THEN 'gap' ELSE 'id' END AS defect FROM g WHERE (sequence > 1 AND NOT has) OR k = 0")
+def chain_altered(spark: SparkSession, d: str) -> DataFrame:
+    """What such a walk finds in a log that was tampered with."""
+    return events.walk(_altered(checkpointed(_chained(Model(spark, d))))).select("device_id", "sequence", "defect")
+
+
+@query(f"WITH t AS ({_TURNS}), b AS (SELECT conv_id, min(sequence) FILTER (k = 0) AS bad, min(sequence) FILTER (k = 1) AS gap FROM t GROUP BY 1) SELECT CASE WHEN sequence >= coalesce(bad, 1000000) AND coalesce(bad, 1000000) < coalesce(gap, 1000000) THEN 'refused' WHEN sequence > coalesce(gap, 1000000) THEN 'waiting' ELSE 'applied' END AS state, count(*) AS n FROM t JOIN b USING (conv_id) WHERE k <> 1 GROUP BY 1")
+def append_verified(spark: SparkSession, d: str) -> DataFrame:
+    """What a store that verifies makes of that log: applied, waiting for a gap to close, refused."""
+    m = Model(spark, d)
+    store = Store.create(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    got = store.apply(_altered(checkpointed(_chained(m))), 0, verify=True)
+    return spark.createDataFrame([(k, v) for k, v in got.items() if v], "state string, n long")
+
+
 _HELD = "SELECT conv_id, turn, min(turn) FILTER ((conv_id * 7 + turn) % 11 = 0) OVER (PARTITION BY conv_id) AS cut, (conv_id * 7 + turn) % 11 = 0 AS lost FROM conversations"
 
 

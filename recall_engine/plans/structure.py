@@ -166,13 +166,13 @@ def _chain(m: Model) -> DataFrame:
 @query(f"""WITH e AS ({_CHAIN}), j AS (SELECT e.*, EXISTS (SELECT 1 FROM e p WHERE p.device_id = e.device_id AND p.sequence = e.sequence - 1) AS has, EXISTS (SELECT 1 FROM e p WHERE p.device_id = e.device_id AND p.sequence = e.sequence - 1 AND p.event_id = e.previous_event_id) AS good FROM e)
 SELECT device_id, sequence, event_id, CASE WHEN has THEN 'previous' ELSE 'gap' END AS defect FROM j WHERE sequence > 1 AND NOT good""")
 def chain_walk(spark: SparkSession, d: str) -> DataFrame:
-    return events.walk(_chain(Model(spark, d)), ("device_id",))
+    return events.walk(_chain(Model(spark, d)), ("device_id",), ids=False)
 
 
 @query(f"""WITH e AS ({_CHAIN}), b AS (SELECT device_id, min(sequence) AS bad FROM e WHERE sequence > 1 AND NOT EXISTS (SELECT 1 FROM e p WHERE p.device_id = e.device_id AND p.sequence = e.sequence - 1 AND p.event_id = e.previous_event_id) GROUP BY 1)
 SELECT device_id, sequence, event_id FROM e LEFT JOIN b USING (device_id) WHERE bad IS NULL OR sequence < bad""")
 def verified_walk(spark: SparkSession, d: str) -> DataFrame:
-    return events.verified(_chain(Model(spark, d)), ("device_id",)).select("device_id", "sequence", "event_id")
+    return events.verified(_chain(Model(spark, d)), ("device_id",), ids=False).select("device_id", "sequence", "event_id")
 
 
 @query("SELECT l_orderkey AS device_id, count(*) AS events, min(l_linenumber)::BIGINT AS first, max(l_linenumber)::BIGINT AS last, arg_max(l_partkey, (l_linenumber, l_partkey)) AS head FROM lineitem GROUP BY 1")
