@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recall_engine.operators.lexical import checked_broadcast
+from recall_engine.operators.order import numbered, running
 from recall_engine.operators.ranking import TERMS
 from recall_engine.params import PARAMS, Params
 
@@ -37,8 +38,8 @@ def simplex(spark: SparkSession, step: float, terms: tuple[str, ...] = TERMS) ->
 
 
 def holdout(eps: DataFrame, every: int = PARAMS.holdout_every) -> DataFrame:
-    """Episodes with holdout: every n-th task in sorted order. Only the distinct tasks are put in order."""
-    tasks = eps.select("task_id").distinct().withColumn("holdout", F.row_number().over(Window.orderBy("task_id")) % every == 0)
+    """Episodes with holdout: every n-th task in sorted order. Only the distinct tasks are put in order, by ranges."""
+    tasks = numbered(eps.select("task_id").distinct(), ["task_id"], name="_nth").select("task_id", (F.col("_nth") % every == 0).alias("holdout"))
     marked = eps.join(tasks.withColumnRenamed("task_id", "_task"), F.col("task_id").eqNullSafe(F.col("_task")))
     return marked.drop("_task")
 
@@ -131,11 +132,10 @@ def calibrate(eps: DataFrame, grid: DataFrame, every: int = PARAMS.holdout_every
 
 def rank_stats(explained: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(term, n, least, median, most, mean) of weight times value; the median is the element at half the count. Equal
-    values are counted before the shuffle."""
+    values are counted before the shuffle, and the distinct ones placed by ranges."""
     each = F.array(*[F.struct(F.lit(t).alias("term"), (F.col(t) * float(weights.get(t, 0.0))).alias("x")) for t in TERMS])
     counted = explained.select(F.explode(each).alias("_t")).select("_t.*").groupBy("term", "x").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("term")
-    placed = counted.withColumn("_n", F.sum("_c").over(w)).withColumn("_to", F.sum("_c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = running(counted, "_c", ["x"], ["term"], "_to", "_n")
     middle = (F.expr("_n div 2") < F.col("_to")) & (F.expr("_n div 2") >= F.col("_to") - F.col("_c"))
     return placed.groupBy("term").agg(
         F.max("_n").cast("long").alias("n"), F.min("x").alias("least"), F.max(F.when(middle, F.col("x"))).alias("median"), F.max("x").alias("most"), (F.sum(F.col("x") * F.col("_c")) / F.sum("_c")).alias("mean")

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recall_engine.functions.values import overdue
 from recall_engine.operators import rollups
 from recall_engine.operators.events import walk
+from recall_engine.operators.order import element_at
 from recall_engine.params import PARAMS, Params
 
 
 def percentile_by_offset(samples: DataFrame, value: str, percent: int, by: list[str]) -> DataFrame:
     """(by, n, picked): the element at n * percent / 100 of the sorted values, without interpolation.
 
-    Equal values are counted before the shuffle, so what is sorted is one row for each distinct value.
+    Equal values are counted before the shuffle, and the distinct ones are placed by ranges, so no task holds a group.
     """
-    counted = samples.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by)
-    placed = counted.withColumn("_n", F.sum("_c").over(w)).withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    at = F.expr(f"least(_n * {percent} div 100, _n - 1)")
-    return placed.filter((at < F.col("_to")) & (at >= F.col("_to") - F.col("_c"))).select(*by, F.col("_n").cast("long").alias("n"), F.col(value).alias("picked"))
+    at = F.expr(f"least(total * {percent} div 100, total - 1)")
+    return element_at(samples, value, at, by).select(*by, F.col("total").cast("long").alias("n"), F.col(value).alias("picked"))
 
 
 def gate_counters(interactions: DataFrame, latencies: DataFrame) -> DataFrame:

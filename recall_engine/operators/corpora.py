@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recall_engine.functions.text import split_terms
 from recall_engine.functions.values import in_holdout
 from recall_engine.operators.lexical import checked_broadcast
+from recall_engine.operators.order import running
 from recall_engine.params import PARAMS, Params
 
 
@@ -87,11 +88,9 @@ def notes(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def notes_tail(items: DataFrame, budget: int) -> DataFrame:
     """The newest notes that fit the budget, read as one file from its end: id, created_at, running. items: id, title, text,
-    created_at. Each note takes one character at least, so no more notes than that are ever needed."""
-    items = items.orderBy(F.desc("created_at"), F.desc("id")).limit(budget)
-    w = Window.orderBy(F.desc("created_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    created_at. What is put in order, by ranges, are ids, times and lengths."""
     cost = F.char_length(F.concat(F.col("id").cast("string"), F.lit(": "), "title", F.lit("\n"), "text", F.lit("\n\n")))
-    sized = items.withColumn("running", F.sum(cost).over(w).cast("long"))
+    sized = running(items.select("id", "created_at", cost.alias("_cost")), "_cost", [F.desc("created_at"), F.desc("id")], name="running")
     return sized.filter(F.col("running") <= budget).select("id", "created_at", "running")
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import re
+import signal
+import threading
 import zipfile
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_IN, MOST_OUT = 16 << 20, 1 << 20
+from recall_engine.sources.files import checkpointed
+
+#: Limits of an extraction: bytes in, bytes of text out, seconds. Fixed values of the definition.
+MOST_IN, MOST_OUT, MOST_SECONDS = 16 << 20, 1 << 20, 10.0
 _BLOCK = frozenset("p div br li tr h1 h2 h3 h4 h5 h6".split())
 _SKIP = frozenset(("script", "style", "noscript"))
 _DOCX_TEXT = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -29,36 +35,74 @@ def sniff(data: Column) -> Column:
     return F.when(F.hex(F.substring(data, 1, 5)) == "255044462D", "pdf").when(docx, "docx").when(html, "html").when(text, "text").otherwise("")
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.skipping = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.skipping += 1
-        elif tag in _BLOCK:
-            self.parts.append("\n")
-
-    def handle_startendtag(self, tag, attrs):
-        pass  # a tag that closes itself starts no line
+#: Elements whose content isn't markup, up to their end tag.
+_RAW = frozenset("script style noscript iframe noembed noframes xmp title textarea".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: In a tag, up to what ends it, or to a quote that a value begins with.
+_IN_TAG = re.compile(r"""[^>"'=]*(?:=[\s]*["']|[>"'=])""")
 
-    def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skipping = max(0, self.skipping - 1)
 
-    def handle_data(self, data):
-        if not self.skipping:
-            self.parts.append(data)
+def _tag_end(html: str, at: int) -> int:
+    """The place after the > that ends a tag, or -1; quotes count where a value begins. Every character is looked at once."""
+    while True:
+        m = _IN_TAG.match(html, at)
+        if m is None:
+            return -1
+        at, last = m.end(), m.group()[-1]
+        if last == ">":
+            return at
+        if last in "\"'" and "=" in m.group():
+            at = html.find(last, at) + 1
+            if not at:
+                return -1
 
 
 def html_text(html: str) -> str:
-    """The text, with a line feed where a block starts; no scripts, styles or fallbacks."""
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    return "".join(parser.parts).strip()
+    """The text, with a line feed where a block starts; no scripts, styles or fallbacks. One pass forward: what isn't closed
+    reaches to the end and ends it."""
+    parts: list[str] = []
+    at = skipping = 0
+    show = lambda text: parts.append(unescape(text) if "&" in text else text)
+    while at < len(html):
+        tag = html.find("<", at)
+        if tag < 0:
+            tag = len(html)
+        if tag > at and not skipping:
+            show(html[at:tag])
+        at = tag
+        if at + 1 >= len(html):
+            if at < len(html) and not skipping:
+                parts.append("<")
+            break
+        kind = html[at + 1]
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = len(html) if end < 0 else end + 3
+        elif kind in "!?" or kind == "/" and not _NAME.match(html, at + 2):
+            end = html.find(">", at)
+            at = len(html) if end < 0 else end + 1
+        elif m := _NAME.match(html, at + 1 + (kind == "/")):
+            end = _tag_end(html, m.end())
+            if end < 0:
+                break
+            name, at = m.group().lower(), end
+            if kind == "/":
+                skipping = max(0, skipping - (name in _SKIP))
+            elif html[end - 2] != "/":  # a tag that closes itself starts no line
+                skipping += name in _SKIP
+                if name in _BLOCK and not skipping:
+                    parts.append("\n")
+                if name in _RAW:
+                    close = re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE).search(html, at)
+                    stop = close.start() if close else len(html)
+                    if not skipping:
+                        show(html[at:stop])
+                    at = stop
+        else:
+            if not skipping:
+                parts.append("<")
+            at += 1
+    return "".join(parts).strip()
 
 
 def docx_text(data: bytes) -> str:
@@ -72,26 +116,57 @@ def docx_text(data: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def extract(kind: str, data: bytes | None) -> tuple[bool, str, str]:
-    """(ok, text, error) of one object; never raises."""
+class _TimedOut(Exception):
+    pass
+
+
+@contextlib.contextmanager
+def limited(seconds: float) -> Iterator[None]:
+    """Raises in the block once so many seconds are over. Signals reach the main thread alone, where Spark's workers run tasks; in
+    any other thread there is no limit."""
+    if threading.current_thread() is not threading.main_thread() or seconds <= 0:
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise _TimedOut
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
     try:
-        if data is None or len(data) > MOST_IN:
-            return False, "", "no data" if data is None else "too large"
-        if kind == "html":
-            text = html_text(data.decode("utf-8", "replace"))
-        elif kind == "docx":
-            text = docx_text(data)
-        elif kind == "text":
-            text = data.decode("utf-8").strip()
-        else:
-            return False, "", f"no extractor for {kind or 'unknown data'}"
-        while len(text.encode()) > MOST_OUT:
-            text = text.encode()[:MOST_OUT].decode("utf-8", "ignore")
-        return (True, text, "") if text else (False, "", "no text")
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract(kind: str, data: bytes | None, seconds: float = MOST_SECONDS) -> tuple[bool, str, str]:
+    """(ok, text, error) of one object, within so many seconds; never raises."""
+    try:
+        with limited(seconds):
+            return _extracted(kind, data)
+    except _TimedOut:
+        return False, "", f"no end after {seconds:g} s"
     except Exception as e:  # one bad object must not end the job
         return False, "", f"{type(e).__name__}: {e}"[:200]
 
 
+def _extracted(kind: str, data: bytes | None) -> tuple[bool, str, str]:
+    if data is None or len(data) > MOST_IN:
+        return False, "", "no data" if data is None else "too large"
+    if kind not in EXTRACTORS:
+        return False, "", f"no extractor for {kind or 'unknown data'}"
+    text = EXTRACTORS[kind](data)
+    while len(text.encode()) > MOST_OUT:
+        text = text.encode()[:MOST_OUT].decode("utf-8", "ignore")
+    return (True, text, "") if text else (False, "", "no text")
+
+
+#: How each kind of data becomes text, and what that is called.
+EXTRACTORS = {"html": lambda d: html_text(d.decode("utf-8", "replace")), "docx": docx_text, "text": lambda d: d.decode("utf-8").strip()}
+TYPES = {"html": "sanitized_html", "docx": "office_text", "text": "plain", "pdf": "text_layer"}
+
+
 def extract_all(objects: DataFrame, id_col: str = "object_hash", data_col: str = "data") -> DataFrame:
     """(id_col, kind, ok, text, error) of every object; the kind is told by expressions, the text by Arrow batches."""
     given = objects.select(id_col, F.col(data_col).cast("binary").alias("_d")).withColumn("kind", sniff(F.col("_d"))).select(id_col, "kind", "_d")
@@ -115,12 +190,25 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-def work_queue(attachments: DataFrame, derivatives: DataFrame, objects: DataFrame) -> DataFrame:
-    """Objects still without an outcome, with their data: what the next extraction run works on."""
-    done = derivatives.filter(~F.col("invalidated")).select("object_hash")
+def work_queue(attachments: DataFrame, derivatives: DataFrame, objects: DataFrame, retry_failed: bool = False) -> DataFrame:
+    """Objects still without an outcome, with their data: what the next extraction run works on. A failure is an outcome, unless it
+    is to be tried again."""
+    kept = ~F.col("invalidated")
+    done = derivatives.filter(kept & (F.col("status") == "ok") if retry_failed else kept).select("object_hash")
     return attachments.select("object_hash").distinct().join(done, "object_hash", "left_anti").join(objects, "object_hash")
 
 
+def extraction_requests(queue: DataFrame, version: str = "1", actor: str = "enricher") -> dict[str, DataFrame]:
+    """Requests for ``events.build`` that record the outcome of every object of a queue once: a text, or a failure with its reason. Objects
+    are worked on where they lie. A derivative's id follows from object, type and version, so a run that is repeated asks for the same
+    events, and what is folded in leaves the queue."""
+    done = checkpointed(extract_all(queue))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])[F.col("kind")], F.lit("unknown"))
+    named = done.select(F.lit(actor).alias("actor"), F.xxhash64("object_hash").alias("at"), F.left(F.sha2(F.concat_ws("\x1f", F.col("object_hash").cast("string"), kind, F.lit(version)), 256), F.lit(32)).alias("derivative_id"), F.col("object_hash").cast("string").alias("blob_hash"), kind.alias("derivative_type"), "ok", "text", "error")
+    good = named.filter("ok").drop("ok", "error").withColumn("extractor", F.concat(F.col("derivative_type"), F.lit(f"/{version}")))
+    return {"derivative.publish": good, "derivative.fail": named.filter("NOT ok").drop("ok", "text")}
+
+
 def check_summaries(summaries: DataFrame, bodies: DataFrame, least: float = 0.5) -> DataFrame:
     """(message_id, sim_bp, agrees): a sender's summary against the body, by the cosine of their vectors.
     summaries and bodies: message_id, vector."""

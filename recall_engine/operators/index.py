@@ -2,25 +2,41 @@
 
 Layout under a folder, each part with a folder for each batch, which running a batch again replaces:
 
-* ``words``: the rows of ``lexical.postings``, in buckets of a term's hash, sorted by term
-* ``grams``: (id, term) for each different trigram of a lower-cased text, laid out alike
-* ``texts``: (id, low, doc_len), what a substring is verified against
-* ``stats``: a row for each batch with the numbers of texts, words and trigrams
+* ``words``: (term, block): block is a list of (id, doc_len, pos), pos the places of the term in the text; a row holds the texts of
+  one run of a task that have the term, so a term has one entry a text and few rows
+* ``grams``: (term, n, ids) for each trigram of lower-cased texts, laid out alike
+* ``texts``: (id, low, doc_len, n_words), what a substring is verified against
+* ``removed``: (id) of texts that are no longer there
+* ``stats``: a row for each batch with the numbers of texts, words and trigrams, and the batches that it stands for
 
-Reading takes the buckets of the terms asked for and leaves the others out. A frequent term's rows are spread over as many
-files as their size asks for. A null text counts as empty; a null id has no place in an index and is left out.
+Words and trigrams lie in buckets of the term's hash, sorted by term. Reading takes the buckets of the terms asked for and,
+where these are few, pushes them down to the files, which skip the row groups that don't have them. Batches are merged
+into one, which may have more buckets; until its row in ``stats`` is written, the old ones count. A removal is a batch of
+marks; a merge takes the removed texts out.
+
+A null text counts as empty; a null id has no place in an index and is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from recall_engine.operators.lexical import checked_broadcast, postings, query_phrases
+from recall_engine.functions.text import words
+from recall_engine.operators.lexical import checked_broadcast, phrase_counts, query_phrases
 from recall_engine.params import PARAMS
 
+#: Words or characters that a task turns into lists at once; texts of one row of a list, at most; terms that are pushed down.
+RUN, BLOCK, PUSHED = 2_000_000, 4096, 512
+_STATS = "n bigint, grams bigint, words bigint, buckets int, covers array<bigint>"
+
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
@@ -35,46 +51,264 @@ def with_grams(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn("_chars", F.split(text, "")).withColumn(name, F.array_distinct(F.when(F.size(c) >= 3, each).otherwise(none))).drop("_chars")
 
 
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
+def _blocks(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs sorted by key and document: where entries (a key's document) begin, where rows (at most BLOCK entries of a key) begin
+    among the entries, and the entry of each pair."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    own = key[first]
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    nth = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+    return first, np.flatnonzero(nth % BLOCK == 0), np.cumsum(new) - 1
+
+
+def _word_rows(ids: pa.Array, listed: pa.ListArray) -> pa.RecordBatch | None:
+    """(term, block) of texts given by their lists of words."""
+    flat = listed.flatten()
+    if not len(flat):
+        return None
+    sizes = np.diff(np.asarray(listed.offsets))
+    doc = np.repeat(np.arange(len(listed)), sizes)
+    pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    coded = flat.dictionary_encode()
+    key = np.asarray(coded.indices)
+    order = np.argsort(key, kind="stable")
+    key, doc, pos = key[order], doc[order], pos[order]
+    first, rows, _ = _blocks(key, doc)
+    places = pa.ListArray.from_arrays(_offsets(np.diff(np.append(first, len(key)))), pa.array(pos.astype(np.int32)))
+    own = doc[first]
+    entry = pa.StructArray.from_arrays([ids.take(pa.array(own)), pa.array(sizes[own].astype(np.int32)), places], names=["id", "doc_len", "pos"])
+    block = pa.ListArray.from_arrays(_offsets(np.diff(np.append(rows, len(first)))), entry)
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key[first[rows]])), block], names=["term", "block"])
+
+
+def _gram_rows(ids: pa.Array, texts: list[str]) -> pa.RecordBatch | None:
+    """(term, n, ids) of lower-cased texts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < 3:
+        return None
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.flatnonzero(doc[2:] == doc[:-2])
+    p = points.astype(np.uint64)
+    key = (p[:-2] << np.uint64(42) | p[1:-1] << np.uint64(21) | p[2:])[inside]  # a code point has 21 bits
+    if not len(key):
+        return None
+    doc = doc[inside]
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    first, rows, _ = _blocks(key, doc)
+    own = key[first[rows]]
+    mask = np.uint64((1 << 21) - 1)
+    spelled = np.stack([own >> np.uint64(42), own >> np.uint64(21) & mask, own & mask], axis=1).astype("<u4")
+    terms = [spelled[i].tobytes().decode("utf-32-le", "surrogatepass") for i in range(len(own))]
+    n = np.diff(np.append(rows, len(first)))
+    held = pa.ListArray.from_arrays(_offsets(n), ids.take(pa.array(doc[first])))
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(n.astype(np.int32)), held], names=["term", "n", "ids"])
+
+
+def _inverted(rows: DataFrame, schema: str, make) -> DataFrame:
+    """Runs of rows (id, a text or its words) turned into lists, each run within one task. A run has about RUN words or characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            if t.num_rows:
+                got = make(*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in t.columns[:2]))
+                if got is not None:
+                    yield got
+
+        for b in batches:
+            at = 0
+            sizes = b.column(2).to_numpy()
+            for i, n in enumerate(sizes.tolist()):
+                size += n
+                if size >= RUN:
+                    held.append(b.slice(at, i + 1 - at))
+                    yield from flush()
+                    at, size = i + 1, 0
+            if at < b.num_rows:
+                held.append(b.slice(at))
+        if held:
+            yield from flush()
+
+    return rows.mapInArrow(run, schema)
+
+
 def _laid_out(rows: DataFrame, buckets: int) -> DataFrame:
     """Rows by bucket, in files of about one size: adaptive execution splits a frequent term's and joins those of small buckets."""
-    return rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
+    return rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+
+
+def _word_schema(kind: str) -> str:
+    return f"term string, block array<struct<id:{kind},doc_len:int,pos:array<int>>>"
 
 
 def write(texts: DataFrame, folder: str, batch: int = 0, id_col: str = "revision_id", text_col: str = "text", buckets: int = PARAMS.index_buckets) -> None:
     """Adds texts to the index as one batch; the same batch again replaces it. Ids must not be in another batch."""
-    given = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    lowered = given.select("id", low.alias("low")).withColumn("doc_len", F.greatest(F.lit(0), F.char_length("low") - 2))
-    # the outer form, since for the other one Spark would push a filter by the number of runs below, and split characters within it
-    runs = with_grams(lowered, "low", "_grams").select("id", F.explode_outer("_grams").alias("term")).filter("term IS NOT NULL")
+    spark = texts.sparkSession
     at = lambda part: f"{folder}/{part}/batch={batch}"
-    _laid_out(postings(given, "id"), buckets).write.mode("overwrite").partitionBy("bucket").parquet(at("words"))
-    _laid_out(runs, buckets).write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
+    given = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
+    kind = given.schema["id"].dataType.simpleString()
+    lowered = given.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"), words(F.col("text")).alias("_w"))
+    lowered = lowered.select("id", "low", F.greatest(F.lit(0), F.char_length("low") - 2).alias("doc_len"), F.size("_w").alias("n_words"), "_w")
+    # the texts are cut into words once; what is stored is read for the rest
     lowered.write.mode("overwrite").parquet(at("texts"))
-    # the words are counted as they were stored, so that no text is cut into words again
-    spark = texts.sparkSession
-    n_words = spark.read.schema("term string, bucket int").parquet(at("words")).agg(F.count(F.lit(1)).alias("words"))
-    counts = spark.read.parquet(at("texts")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("grams"))
-    counts.crossJoin(n_words).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(at("stats"))
+    stored = spark.read.schema(f"id {kind}, low string, doc_len int, n_words int, _w array<string>").parquet(at("texts"))
+    said = _inverted(stored.select("id", "_w", "n_words"), _word_schema(kind), _word_rows)
+    runs = _inverted(stored.select("id", "low", "doc_len"), f"term string, n int, ids array<{kind}>", lambda ids, low: _gram_rows(ids, low.to_pylist()))
+    _laid_out(said, buckets).write.mode("overwrite").partitionBy("bucket").parquet(at("words"))
+    _laid_out(runs, buckets).write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
+    counts = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("grams"), F.coalesce(F.sum("n_words"), F.lit(0)).cast("long").alias("words"))
+    _write_stats(counts, folder, batch, buckets, [])
+
+
+def _write_stats(counts: DataFrame, folder: str, batch: int, buckets: int, covers: list[int]) -> None:
+    own = counts.withColumns({"buckets": F.lit(buckets), "covers": F.lit(covers).cast("array<bigint>") if covers else F.array().cast("array<bigint>")})
+    own.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats/batch={batch}")
 
 
 def append(texts: DataFrame, folder: str, batch: int, id_col: str = "revision_id", text_col: str = "text", buckets: int = PARAMS.index_buckets) -> None:
     """``write`` for texts of which some may be in other batches: those are left out. Of the batches before, ids alone are read."""
     new = texts.dropDuplicates([id_col])
-    if _exists(texts.sparkSession, f"{folder}/texts"):
-        known = texts.sparkSession.read.parquet(f"{folder}/texts").filter(F.col("batch") != batch).select(F.col("id").alias(id_col))
-        new = new.join(known, id_col, "left_anti")
+    if (known := _parts(texts.sparkSession, folder)) is not None:
+        ids = known["texts"].filter(F.col("batch") != batch).select(F.col("id").alias(id_col))
+        new = new.join(ids, id_col, "left_anti")
     write(new, folder, batch, id_col, text_col, buckets)
 
 
-def maintain(stream: DataFrame, folder: str, checkpoint: str, id_col: str = "revision_id", text_col: str = "text", buckets: int = PARAMS.index_buckets):
-    """A stream writer that keeps an index up to date: one batch of it for each batch of the stream, each id once."""
-    return stream.writeStream.foreachBatch(lambda df, n: append(df, folder, n, id_col, text_col, buckets)).option("checkpointLocation", checkpoint)
+def remove(ids: DataFrame, folder: str, batch: int, id_col: str = "revision_id") -> None:
+    """Takes texts out of the index as one batch of marks; unknown ids do nothing. The same batch again replaces it. A removed
+    text can be added again after the next merge."""
+    spark = ids.sparkSession
+    held = _parts(spark, folder)
+    if held is None:
+        raise ValueError("no index there")
+    texts = held["texts"]
+    if held["marks"] is not None:
+        texts = texts.join(held["marks"].filter(F.col("batch") != batch).select("id"), "id", "left_anti")
+    gone = texts.join(ids.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    gone.select("id", "doc_len", "n_words").write.mode("overwrite").parquet(f"{folder}/removed/batch={batch}")
+    marks = spark.read.parquet(f"{folder}/removed/batch={batch}")
+    less = lambda c: (-F.coalesce(F.sum(c), F.lit(0))).cast("long")
+    _write_stats(marks.agg((-F.count(F.lit(1))).alias("n"), less("doc_len").alias("grams"), less("n_words").alias("words")), folder, batch, held["buckets"][0], [])
+
+
+def merge(spark: SparkSession, folder: str, batch: int, id_col: str = "revision_id", buckets: int | None = None) -> None:
+    """All batches as one, with the removed texts taken out, in as many buckets as asked, and lists joined to longer ones. Readers
+    see the old batches until it is complete. The old ones may be deleted when no reader uses them any more."""
+    held = read(spark, folder, id_col)
+    buckets = buckets or held.buckets
+    if batch in held.batches:
+        raise ValueError(f"batch {batch} is in use")
+    at = lambda part: f"{folder}/{part}/batch={batch}"
+    held.texts.drop("batch").write.mode("overwrite").parquet(at("texts"))
+    stored = spark.read.parquet(at("texts"))
+    for part, rows, listed in (("words", held.words, "block"), ("grams", held.grams, "ids")):
+        columns = ["term", *(["n"] if part == "grams" else []), listed]
+        if held.removed is not None:
+            each = rows.select("term", F.explode(listed).alias("_e")).withColumn("id", F.col("_e.id") if part == "words" else F.col("_e"))
+            rows = each.join(held.removed, "id", "left_anti").select("term", F.array("_e").alias(listed), F.lit(1).alias("n"))
+        _joined(_laid_out(rows.select(*columns), buckets), listed).write.mode("overwrite").partitionBy("bucket").parquet(at(part))
+    counts = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("grams"), F.coalesce(F.sum("n_words"), F.lit(0)).cast("long").alias("words"))
+    _write_stats(counts, folder, batch, buckets, sorted(held.batches))
+
+
+def _joined(rows: DataFrame, listed: str) -> DataFrame:
+    """Rows in order of bucket and term, of which neighbours of one term become one, up to BLOCK entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        for b in batches:
+            whole = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
+            b = whole.to_batches()[0] if whole.num_rows else b
+            if not b.num_rows:
+                continue
+            # the last term may go on in the next batch
+            terms = b.column("term").to_pylist()
+            cut = len(terms)
+            while cut and terms[cut - 1] == terms[-1]:
+                cut -= 1
+            if cut == 0 and len(terms) > BLOCK:
+                cut = len(terms)
+            last = b.slice(cut) if cut < len(terms) else None
+            if cut:
+                yield _with_neighbours(b.slice(0, cut), terms[:cut], listed)
+        if last is not None:
+            yield _with_neighbours(last, last.column("term").to_pylist(), listed)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _with_neighbours(b: pa.RecordBatch, terms: list[str], listed: str) -> pa.RecordBatch:
+    lists = b.column(listed)
+    sizes = np.diff(np.asarray(lists.offsets)[: len(lists) + 1])
+    begin, n = [], 0
+    for i, size in enumerate(sizes.tolist()):
+        if not begin or terms[i] != terms[i - 1] or n + size > BLOCK:
+            begin.append(i)
+            n = 0
+        n += size
+    at = np.array(begin)
+    held = np.add.reduceat(sizes, at)
+    joined = pa.ListArray.from_arrays(_offsets(held), lists.flatten())
+    cols = {c: b.column(c).take(pa.array(at)) for c in b.schema.names}
+    cols[listed] = joined
+    if "n" in cols:
+        cols["n"] = pa.array(held.astype(np.int32))
+    return pa.RecordBatch.from_arrays([cols[c].cast(b.schema.field(c).type) if c == listed else cols[c] for c in b.schema.names], names=b.schema.names)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+def maintain(stream: DataFrame, folder: str, checkpoint: str, id_col: str = "revision_id", text_col: str = "text", buckets: int = PARAMS.index_buckets, merge_every: int = 0):
+    """A stream writer that keeps an index up to date: one batch of it for each batch of the stream, each id once; with merge_every
+    all batches become one after so many. Merged batches are numbered below zero."""
+
+    def add(df: DataFrame, n: int) -> None:
+        append(df, folder, n, id_col, text_col, buckets)
+        if merge_every and (n + 1) % merge_every == 0:
+            held = read(df.sparkSession, folder, id_col)
+            if -(n + 1) not in held.batches and len(held.batches) > 1:
+                merge(df.sparkSession, folder, -(n + 1), id_col)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def _parts(spark: SparkSession, folder: str) -> dict | None:
+    """The parts of the batches that count; none if there is no index."""
+    try:
+        stats = spark.read.schema(f"{_STATS}, batch bigint").option("basePath", f"{folder}/stats").parquet(f"{folder}/stats")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    known = [(r.batch, r.buckets, list(r.covers or []), r.n) for r in stats.select("batch", "buckets", "covers", "n").collect()]  # one row a batch
+    covered = {c for _, _, covers, _ in known for c in covers}
+    live = sorted(b for b, _, _, _ in known if b not in covered)
+    stats = stats.filter(F.col("batch").isin(live))
+    kept = [b for b, _, _, _ in known if b in live]
+    part = lambda name, schema: spark.read.schema(f"{schema}, batch bigint").option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").filter(F.col("batch").isin(kept))
+    held = spark.read.parquet(f"{folder}/texts")
+    kind = held.schema["id"].dataType.simpleString()
+    out = {"stats": stats, "batches": live, "buckets": sorted({k for b, k, _, _ in known if b in live}), "kind": kind}
+    out["texts"] = part("texts", f"id {kind}, low string, doc_len int, n_words int")
+    out["words"] = part("words", f"{_word_schema(kind)}, bucket int")
+    out["grams"] = part("grams", f"term string, n int, ids array<{kind}>, bucket int")
+    try:
+        marks = part("removed", f"id {kind}").select("id", "batch")
+        out["marks"] = None if marks.isEmpty() else marks
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        out["marks"] = None
+    return out
 
 
 @dataclass(frozen=True)
@@ -87,11 +321,31 @@ class Index:
     stats: DataFrame
     id_col: str
     buckets: int
+    batches: tuple[int, ...] = ()
+    removed: DataFrame | None = None
+
+    def entries(self, queries: DataFrame) -> DataFrame:
+        """(id_col, doc_len, positions, term) of the words that the queries have: one row a word and text."""
+        asked = query_phrases(queries).select("term").distinct()
+        each = self._of(self.words, asked).select("term", F.explode("block").alias("_e")).select(F.col("_e.id").alias("id"), F.col("_e.doc_len").alias("doc_len"), F.col("_e.pos").alias("positions"), "term")
+        return self._there(each).withColumnRenamed("id", self.id_col)
 
     def postings(self, queries: DataFrame) -> DataFrame:
         """What ``lexical.postings`` gives, of the words that the queries have."""
-        asked = query_phrases(queries).select("term").distinct()
-        return self._of(self.words, asked).select(F.col("id").alias(self.id_col), "doc_len", "pos", "term")
+        return self.entries(queries).select(self.id_col, "doc_len", F.explode("positions").alias("pos"), "term")
+
+    def counts(self, queries: DataFrame) -> DataFrame:
+        """What ``lexical.phrase_counts`` gives. Only phrases of several words need the places of their words."""
+        wanted = query_phrases(queries)
+        held = self.entries(queries)
+        one = held.join(checked_broadcast(wanted.filter("phrase_len = 1").drop("offset", "phrase_len")), "term")
+        one = one.select("query_id", "phrase", "phrases", self.id_col, "doc_len", F.size("positions").cast("long").alias("tf"))
+        long = wanted.filter("phrase_len > 1")
+        if long.isEmpty():
+            return one
+        parts = self.entries(queries).join(checked_broadcast(long.select("term").distinct()), "term", "left_semi")
+        parts = parts.select(self.id_col, "doc_len", F.explode("positions").alias("pos"), "term")
+        return one.unionByName(phrase_counts(parts, long, self.id_col).select(one.columns))
 
     def word_stats(self) -> DataFrame:
         """What ``lexical.collection_stats`` gives."""
@@ -101,30 +355,51 @@ class Index:
         """The same of trigrams."""
         return self.stats.agg(F.sum("n").alias("n_docs"), F.sum("grams").alias("_g")).select("n_docs", F.try_divide("_g", "n_docs").alias("avg_len"))
 
-    def candidates(self, terms: DataFrame) -> DataFrame:
-        """(id_col, _low, doc_len, and the columns of terms) of texts that have all trigrams of a term. terms: query_id, phrase
-        and term, of three code points at least; further columns come along."""
-        needed = with_grams(terms, "term", "_grams").withColumn("_need", F.size("_grams"))
-        each = needed.select("query_id", "phrase", F.explode("_grams").alias("_g"))
-        needed = needed.drop("_grams")
+    def candidates(self, terms: DataFrame, most: int = 4) -> DataFrame:
+        """(id_col, _low, doc_len, and the columns of terms) of texts that have the trigrams of a term that fewest texts have, at most so
+        many of them. terms: query_id, phrase and term, of three code points at least; further columns come along."""
+        each = with_grams(terms, "term", "_grams").select("query_id", "phrase", F.explode("_grams").alias("_g"))
         wanted = each.select(F.col("_g").alias("term")).distinct()
-        held = self._of(self.grams, wanted).select("id", F.col("term").alias("_g")).join(checked_broadcast(each), "_g")
-        full = held.groupBy("query_id", "phrase", "id").agg(F.count(F.lit(1)).alias("_n")).join(checked_broadcast(needed), ["query_id", "phrase"]).filter("_n = _need").drop("_n", "_need")
-        return full.join(self.texts.select("id", F.col("low").alias("_low"), "doc_len"), "id").withColumnRenamed("id", self.id_col)
+        of = self._of(self.grams, wanted)
+        # the numbers of texts are read without the lists
+        known = of.groupBy(F.col("term").alias("_g")).agg(F.sum("n").alias("_n"))
+        rarest = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g"))), 1, most)
+        picked = each.join(checked_broadcast(known), "_g", "left").groupBy("query_id", "phrase").agg(rarest.alias("_r"))
+        picked = picked.select("query_id", "phrase", F.size("_r").alias("_need"), F.explode("_r._g").alias("_g"))
+        rows = self._of(self.grams, picked.select(F.col("_g").alias("term")).distinct()).select(F.col("term").alias("_g"), "ids").join(checked_broadcast(picked), "_g")
+        full = rows.select("query_id", "phrase", "_need", F.explode("ids").alias("id")).groupBy("query_id", "phrase", "id").agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need")).filter("_n = _need").drop("_n", "_need")
+        found = self._there(full).join(checked_broadcast(terms), ["query_id", "phrase"])
+        return found.join(self.texts.select("id", F.col("low").alias("_low"), "doc_len"), "id").withColumnRenamed("id", self.id_col)
+
+    def _there(self, rows: DataFrame) -> DataFrame:
+        return rows if self.removed is None else rows.join(self.removed, "id", "left_anti")
 
     def _of(self, rows: DataFrame, terms: DataFrame) -> DataFrame:
-        """The rows of some terms. The bucket is part of the join, so Spark reads those buckets' folders alone."""
-        asked = terms.filter(F.length("term") > 0).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-        return rows.join(checked_broadcast(asked), ["bucket", "term"])
+        """The rows of some terms. The bucket is part of the join, so Spark reads those buckets' folders alone; a few terms are told to
+        the files too, in small groups, which is how Spark pushes lists down as values."""
+        asked = terms.filter(F.length("term") > 0)
+        named = [r.term for r in asked.limit(PUSHED + 1).collect()]
+        if len(named) <= PUSHED:
+            groups = [F.col("term").isin(named[i : i + 10]) for i in range(0, len(named), 10)]
+            told = F.lit(False)
+            for g in groups:
+                told = g if told is None else told | g
+            rows = rows.filter(told)
+            asked = terms.sparkSession.createDataFrame([(t,) for t in named], "term string")
+        return rows.join(checked_broadcast(asked.withColumn("bucket", bucket_of(F.col("term"), self.buckets))), ["bucket", "term"])
 
 
 def read(spark: SparkSession, folder: str, id_col: str = "revision_id") -> Index:
-    """The index in a folder, as it is now. All its batches must have the same number of buckets."""
-    stats = spark.read.parquet(f"{folder}/stats")
-    made = [r.buckets for r in stats.select("buckets").distinct().limit(2).collect()]
-    if len(made) != 1:
-        raise ValueError(f"batches of an index differ in buckets: {made}")
-    texts = spark.read.parquet(f"{folder}/texts")
-    kind = texts.schema["id"].dataType.simpleString()
-    rows = lambda part, columns: spark.read.schema(f"id {kind}, {columns}, batch long, bucket int").option("basePath", f"{folder}/{part}").parquet(f"{folder}/{part}")
-    return Index(rows("words", "doc_len int, pos int, term string"), rows("grams", "term string"), texts, stats, id_col, made[0])
+    """The index in a folder, as it is now. All its batches must have the same number of buckets; a merge may change it."""
+    held = _parts(spark, folder)
+    if held is None or len(held["buckets"]) != 1:
+        raise ValueError("no index there" if held is None else f"batches of an index differ in buckets: {held['buckets']}")
+    removed = None if held["marks"] is None else held["marks"].select("id")
+    texts = held["texts"] if removed is None else held["texts"].join(removed, "id", "left_anti")
+    return Index(held["words"], held["grams"], texts, held["stats"], id_col, held["buckets"][0], tuple(held["batches"]), removed)
+
+
+def exists(spark: SparkSession, folder: str, batches: tuple[int, ...] = ()) -> bool:
+    """Whether an index is in the folder, whose batches named are complete."""
+    held = _parts(spark, folder)
+    return held is not None and set(batches) <= set(held["batches"])

@@ -57,12 +57,17 @@ def summed(scored: DataFrame, id_col: str) -> DataFrame:
     return parts.select("query_id", id_col, (-F.aggregate("_p", F.lit(0.0), lambda t, x: t + x["_s"])).alias("score"))
 
 
-def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, id_col: str = "revision_id", p: Params = PARAMS) -> DataFrame:
-    """(query_id, id_col, score): less is better. All phrases of a query must occur."""
-    wanted = query_phrases(queries)
+def phrase_counts(index: DataFrame, wanted: DataFrame, id_col: str = "revision_id") -> DataFrame:
+    """(query_id, phrase, phrases, id_col, doc_len, tf): how often each phrase stands in each text. index: rows of ``postings``."""
     hits = index.join(checked_broadcast(wanted), "term").withColumn("_start", F.col("pos") - F.col("offset"))
     runs = hits.groupBy("query_id", "phrase", "phrase_len", "phrases", id_col, "doc_len", "_start").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == F.col("phrase_len"))
-    tf = runs.groupBy("query_id", "phrase", "phrases", id_col, "doc_len").agg(F.count(F.lit(1)).alias("tf")).repartition(id_col)
+    return runs.groupBy("query_id", "phrase", "phrases", id_col, "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25(index: DataFrame | Index, stats: DataFrame, queries: DataFrame, id_col: str = "revision_id", p: Params = PARAMS) -> DataFrame:
+    """(query_id, id_col, score): less is better. All phrases of a query must occur. index: rows of ``postings``, or a stored index."""
+    counts = phrase_counts(index, query_phrases(queries), id_col) if isinstance(index, DataFrame) else index.counts(queries)
+    tf = counts.repartition(id_col)
     df = document_frequency(tf, id_col)
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(p.least_idf)).otherwise(raw)
@@ -80,7 +85,7 @@ def top_per_query(scored: DataFrame, k: int, *order) -> DataFrame:
 def word_search(messages: DataFrame, revisions: DataFrame, queries: DataFrame, k: int = PARAMS.candidates, include_retracted: bool = False, p: Params = PARAMS, index: Index | None = None) -> DataFrame:
     """(query_id, message_id, score, rank) over head revisions. messages: message_id, head_revision_id, retracted;
     revisions: revision_id, message_id, text. A stored index of the revisions is asked in place of their texts."""
-    held, stats = (postings(revisions), collection_stats(revisions)) if index is None else (index.postings(queries), index.word_stats())
+    held, stats = (postings(revisions), collection_stats(revisions)) if index is None else (index, index.word_stats())
     scored = bm25(held, stats, queries, p=p)
     heads = messages if include_retracted else messages.filter(~F.col("retracted"))
     heads = heads.select("message_id", F.col("head_revision_id").alias("revision_id"))
@@ -118,12 +123,13 @@ def substring_search(messages: DataFrame, revisions: DataFrame, queries: DataFra
     return top_per_query(scored.join(heads, "revision_id"), k, "score", "message_id").select("query_id", "message_id", "score", "rank")
 
 
-def derivative_search(messages: DataFrame, attachments: DataFrame, derivatives: DataFrame, queries: DataFrame, k: int = PARAMS.candidates, include_retracted: bool = False) -> DataFrame:
+def derivative_search(messages: DataFrame, attachments: DataFrame, derivatives: DataFrame, queries: DataFrame, k: int = PARAMS.candidates, include_retracted: bool = False, index: Index | None = None) -> DataFrame:
     """(query_id, message_id, rank): messages with an attachment whose extracted text has all words; by message id.
-    derivatives: derivative_id, object_hash, status, invalidated, text."""
+    derivatives: derivative_id, object_hash, status, invalidated, text. A stored index of the derivatives is asked in place of
+    their texts; those that have been invalidated since are left out."""
     live = derivatives.filter((F.col("status") == "ok") & ~F.col("invalidated"))
-    index = postings(live, "derivative_id")
-    hit = bm25(index, collection_stats(live), queries, "derivative_id").join(live.select("derivative_id", "object_hash"), "derivative_id").join(attachments.select("message_id", "object_hash"), "object_hash")
+    held, stats = (postings(live, "derivative_id"), collection_stats(live)) if index is None else (index, index.word_stats())
+    hit = bm25(held, stats, queries, "derivative_id").join(live.select("derivative_id", "object_hash"), "derivative_id").join(attachments.select("message_id", "object_hash"), "object_hash")
     shown = messages if include_retracted else messages.filter(~F.col("retracted"))
     found = hit.join(shown.select("message_id"), "message_id", "left_semi").select("query_id", "message_id").distinct()
     return top_per_query(found, k, "message_id")

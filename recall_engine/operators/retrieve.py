@@ -19,7 +19,7 @@ class Corpus:
     priority, retracted, pinned, confirmed; revisions: revision_id, message_id, text; vectors: message_id, model_id,
     vector; salience (may be None): message_id, salience, novelty, impressions; attachments: message_id, object_hash, and
     derivatives: derivative_id, object_hash, status, invalidated, text (both may be None); index: a stored index of the
-    revisions, asked in place of their texts (may be None)."""
+    revisions, and derivative_index one of the derivatives, asked in place of their texts (both may be None)."""
 
     messages: DataFrame
     revisions: DataFrame
@@ -28,6 +28,7 @@ class Corpus:
     attachments: DataFrame | None = None
     derivatives: DataFrame | None = None
     index: Index | None = None
+    derivative_index: Index | None = None
 
 
 def relevance(c: Corpus, queries: DataFrame, scope: DataFrame | None = None, lexical_only: bool = False, p: Params = PARAMS) -> DataFrame:
@@ -36,7 +37,7 @@ def relevance(c: Corpus, queries: DataFrame, scope: DataFrame | None = None, lex
     the vector list is, as the store does. queries: query_id, query and, for vectors, model_id and vector."""
     sources = [lexical.word_search(c.messages, c.revisions, queries, p.candidates, p=p, index=c.index)]
     if c.attachments is not None and c.derivatives is not None:
-        sources.append(lexical.derivative_search(c.messages, c.attachments, c.derivatives, queries, p.candidates))
+        sources.append(lexical.derivative_search(c.messages, c.attachments, c.derivatives, queries, p.candidates, index=c.derivative_index))
     sources.append(lexical.substring_search(c.messages, c.revisions, queries, p.candidates, p=p, index=c.index))
     found = lexical.ordered_union(*sources, k=p.candidates)
     if scope is not None:

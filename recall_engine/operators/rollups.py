@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recall_engine.params import PARAMS
 
@@ -129,12 +133,22 @@ def missing_objects(wanted: DataFrame, held: DataFrame) -> DataFrame:
 
 def daily_quota(bodies: DataFrame, limit: int, key: list[str], order: list[str], size: str = "body_len") -> DataFrame:
     """The bodies with admitted: in order, a body goes in if it still fits the day's quota; one that doesn't takes nothing
-    of it. key: the group and day."""
-    items = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(size).cast("long").alias("_size"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("yes"))
-    step = lambda a, x: F.struct(
-        F.when(a["used"] + x["_size"] <= limit, a["used"] + x["_size"]).otherwise(a["used"]).alias("used"),
-        F.concat(a["yes"], F.array(a["used"] + x["_size"] <= limit)).alias("yes"),
-    )
-    folded = bodies.groupBy(*key).agg(items.alias("_items")).withColumn("_yes", F.aggregate("_items", start, step)["yes"])
-    return folded.select(*key, F.explode(F.arrays_zip(F.col("_items").alias("i"), F.col("_yes").alias("y"))).alias("_z")).select(*key, *[F.col(f"_z.i.{c}").alias(c) for c in order], F.col("_z.i._size").alias(size), F.col("_z.y").alias("admitted"))
+    of it, and one of no known size is neither. key: the group and day. The bodies of a day pass one by one, and what is kept
+    of them is how much is used up."""
+    rows = bodies.select(*key, *order, F.col(size).cast("long").alias(size)).repartition(*key).sortWithinPartitions(*key, *order, size)
+    n_key, schema = len(key), T.StructType([*rows.schema.fields, T.StructField("admitted", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, used = None, 0
+        for b in batches:
+            keys = zip(*(b.column(i).to_pylist() for i in range(n_key)), strict=True) if n_key else iter([()] * b.num_rows)
+            admitted = []
+            for own, n in zip(keys, b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if own != day:
+                    day, used = own, 0
+                fits = None if n is None else used + n <= limit
+                used += n if fits else 0
+                admitted.append(fits)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(admitted, pa.bool_())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recall_engine.plans import evaluation, log, retrieval, structure
+from recall_engine.plans import evaluation, log, retrieval, structure, writing
 
-_PARTS = (retrieval, structure, evaluation, log)
+_PARTS = (retrieval, structure, evaluation, log, writing)
 
 
 def queries() -> dict:

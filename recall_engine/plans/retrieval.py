@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall_engine.functions.text import ACCENTED, FOLDED, snippet
+from recall_engine.functions.text import ACCENTED, FOLDED, snippet, words
 from recall_engine.operators import index, lexical, lookups, ranking, retrieve, salience, vectors
 from recall_engine.params import PARAMS
-from recall_engine.sources.files import shared_folder
+from recall_engine.sources.files import checkpointed, shared_folder
 from recall_engine.sources.model import Model, now, with_tables
 
 QUERIES: dict = {}
@@ -76,14 +76,37 @@ def _ranked(half: float, w, source: str, uniform: bool = False) -> str:
     CASE WHEN pinned THEN 1.0 WHEN confirmed THEN 0.6 ELSE 0.0 END::DOUBLE AS i, coalesce(novelty, 0)::DOUBLE AS n FROM {source}))"""
 
 
+def _index_of(m: Model, name: str, *parts: DataFrame, id_col: str = "revision_id") -> index.Index:
+    """The index of a derived table, each part a batch. It is named by the files that the table comes from, so it is built once
+    for them, in the shared folder, and later queries find it."""
+    files = m.spark.read.parquet(f"{m.dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    mark = files.agg(F.sha2(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")).cast("string"), 256)).first()[0]
+    folder = f"{shared_folder(m.spark)}/index-2-{name}-{mark}"
+    if not index.exists(m.spark, folder, tuple(range(len(parts)))):
+        for i, part in enumerate(parts):
+            index.write(part, folder, i, id_col)
+    return index.read(m.spark, folder, id_col)
+
+
+def stored(m: Model) -> index.Index:
+    """An index of the revisions, written in two batches: older revisions came first."""
+    revisions = m.revisions()
+    return _index_of(m, "revisions", revisions.filter("revision_id % 10 = 0"), revisions.filter("revision_id % 10 <> 0"))
+
+
+def stored_derivatives(m: Model) -> index.Index:
+    live = m.derivatives().filter("status = 'ok'")
+    return _index_of(m, "derivatives", live, id_col="derivative_id")
+
+
 def corpus(m: Model, salient: DataFrame | None = None) -> retrieve.Corpus:
-    return retrieve.Corpus(m.messages(), m.revisions(), m.vectors(), salient, m.attachments(), m.derivatives())
+    return retrieve.Corpus(m.messages(), m.revisions(), m.vectors(), salient, m.attachments(), m.derivatives(), stored(m), stored_derivatives(m))
 
 
 @query(with_tables("messages revisions queries", "SELECT query_id, message_id, round(score, 6) AS score, rank FROM lex", **_LEX_CTES))
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
-    return lexical.word_search(m.messages(), m.revisions(), m.queries()).select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
+    return lexical.word_search(m.messages(), m.revisions(), m.queries(), index=stored(m)).select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -98,10 +121,9 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
 )
 def phrase_search(spark: SparkSession, d: str) -> DataFrame:
     """Words joined by a full stop are a phrase: next to each other."""
-    revs = Model(spark, d).revisions()
-    index = lexical.postings(revs)
+    held = stored(Model(spark, d))
     asked = spark.sql("SELECT 1 AS query_id, 'of.the and' AS query")
-    return lexical.bm25(index, lexical.collection_stats(revs), asked).select("query_id", "revision_id", r6("score", "score"))
+    return lexical.bm25(held, held.word_stats(), asked).select("query_id", "revision_id", r6("score", "score"))
 
 
 _TRI = ((1, "thre onanti"), (2, "license gnu"), (3, "éaux x"))
@@ -122,13 +144,13 @@ FROM scored JOIN messages ON head_revision_id = revision_id WHERE NOT retracted)
 def trigram_search(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     asked = spark.createDataFrame(list(_TRI), "query_id int, query string")
-    return lexical.substring_search(m.messages(), m.revisions(), asked).select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
+    return lexical.substring_search(m.messages(), m.revisions(), asked, index=stored(m)).select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_tables("messages attachments derivatives queries", "SELECT * FROM dr", terms=_TERMS, deriv=_DERIV, dr=_DERIV_RANKED))
 def derivative_search(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
-    return lexical.derivative_search(m.messages(), m.attachments(), m.derivatives(), m.queries()).select("query_id", "message_id", F.col("rank").cast("long").alias("rank"))
+    return lexical.derivative_search(m.messages(), m.attachments(), m.derivatives(), m.queries(), index=stored_derivatives(m)).select("query_id", "message_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_tables("messages revisions attachments derivatives queries", "SELECT query_id, message_id, source, rank FROM lex", **_FULL_CTES))
@@ -141,35 +163,64 @@ def lexical_union(spark: SparkSession, d: str) -> DataFrame:
     return lexical.ordered_union(a, b, c).select("query_id", "message_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
-def stored(m: Model) -> index.Index:
-    """An index of the revisions, written in two batches: older revisions came first."""
-    folder = f"{shared_folder(m.spark)}/index-{uuid.uuid4().hex}"
-    revisions = m.revisions()
-    index.write(revisions.filter("revision_id % 10 = 0"), folder, 0)
-    index.write(revisions.filter("revision_id % 10 <> 0"), folder, 1)
-    return index.read(m.spark, folder)
-
-
 @query(with_tables("messages revisions attachments derivatives queries", "SELECT query_id, message_id, source, rank FROM lex", **_FULL_CTES))
 def lexical_union_stored(spark: SparkSession, d: str) -> DataFrame:
     """As lexical_union, from a stored index."""
     m = Model(spark, d)
     held = stored(m)
     a = lexical.word_search(m.messages(), m.revisions(), m.queries(), index=held)
-    b = lexical.derivative_search(m.messages(), m.attachments(), m.derivatives(), m.queries())
+    b = lexical.derivative_search(m.messages(), m.attachments(), m.derivatives(), m.queries(), index=stored_derivatives(m))
     c = lexical.substring_search(m.messages(), m.revisions(), m.queries(), index=held)
     return lexical.ordered_union(a, b, c).select("query_id", "message_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
 @query(SQL["trigram_search"])
 def trigram_search_stored(spark: SparkSession, d: str) -> DataFrame:
-    """As trigram_search, from a stored index."""
+    """As trigram_search, from an index whose batches were merged into one of more buckets, after texts that aren't in the
+    table were added and removed again."""
     m = Model(spark, d)
+    folder = f"{shared_folder(spark)}/index-merged-{uuid.uuid4().hex}"
+    revisions = m.revisions()
+    index.write(revisions.filter("revision_id % 10 = 0"), folder, 0, buckets=8)
+    index.write(revisions.filter("revision_id % 10 <> 0").unionByName(revisions.filter("revision_id % 3 = 0").withColumn("revision_id", -F.col("revision_id") - 1)), folder, 1, buckets=8)
+    index.remove(revisions.filter("revision_id % 3 = 0").select((-F.col("revision_id") - 1).alias("revision_id")), folder, 2)
+    index.merge(spark, folder, 3, buckets=16)
     asked = spark.createDataFrame(list(_TRI), "query_id int, query string")
-    found = lexical.substring_search(m.messages(), m.revisions(), asked, index=stored(m))
+    found = lexical.substring_search(m.messages(), m.revisions(), asked, index=index.read(spark, folder))
     return found.select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(with_tables("revisions", "SELECT count(*) AS texts, (SELECT count(*) FROM tok)::BIGINT AS words, sum(greatest(0, length(lower(coalesce(text, ''))) - 2))::BIGINT AS grams FROM revisions", tok=_TOKENS))
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Builds an index of all revisions anew: what it counts."""
+    folder = f"{shared_folder(spark)}/index-built"
+    index.write(Model(spark, d).revisions(), folder)
+    return index.read(spark, folder).stats.agg(F.sum("n").alias("texts"), F.sum("words").alias("words"), F.sum("grams").alias("grams"))
+
+
+_GOLDEN = {
+    "queries": "SELECT item_id AS query_id, array_to_string(" + _WORDS.format("text") + ", ' ') AS query FROM benchmark",
+    "tok": _TOKENS, "stats": _STATS, "terms": _TERMS, "hits": _HITS, "scored": _SCORED, "lex": _LEX,
+    "judged": "SELECT item_id AS query_id, doc_id AS message_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+    "firsts": "SELECT j.query_id, min(l.rank) AS first FROM (SELECT DISTINCT query_id FROM judged) j LEFT JOIN (SELECT lex.* FROM lex JOIN judged USING (query_id, message_id)) l USING (query_id) GROUP BY 1",
+}
+
+
+@query(with_tables("messages revisions", "SELECT count(*) AS queries, count(*) FILTER (first <= 5) AS success_at_5, round(coalesce(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END), 0), 6) AS mrr_at_10 FROM firsts", **_GOLDEN))
+def golden_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark items as requests to the word search, judged by the documents that carry their text: success at five and the
+    mean reciprocal rank among ten, over the items that some document carries."""
+    m = Model(spark, d)
+    items = m.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = items.select("query_id", F.array_join(words(F.col("text")), " ").alias("query"))
+    judged = m.raw("documents").select(F.col("doc_id").alias("message_id"), F.col("text").alias("_t")).join(lexical.checked_broadcast(items.filter("text IS NOT NULL")), F.contains("_t", "text")).select("query_id", "message_id")
+    judged = checkpointed(judged)
+    found = lexical.word_search(m.messages(), m.revisions(), asked, index=stored(m)).join(judged, ["query_id", "message_id"])
+    first = judged.select("query_id").distinct().join(found.groupBy("query_id").agg(F.min("rank").alias("first")), "query_id", "left")
+    gain = F.when(F.col("first") <= 10, 1.0 / F.col("first")).otherwise(0.0)
+    return first.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("first") <= 5).alias("success_at_5"), F.round(F.coalesce(F.avg(gain), F.lit(0.0)), 6).alias("mrr_at_10"))
+
+
 @query(with_tables("messages vectors queries", "SELECT query_id, message_id, round(sim, 6) AS sim, rank FROM vec", vec=_VEC))
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
