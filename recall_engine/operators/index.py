@@ -35,7 +35,7 @@ from recall_engine.params import PARAMS
 
 #: Words or characters that a task turns into lists at once; texts of one row of a list, at most; terms that are pushed down.
 RUN, BLOCK, PUSHED = 2_000_000, 4096, 512
-_STATS = "n bigint, grams bigint, words bigint, buckets int, covers array<bigint>"
+_STATS = "n bigint, grams bigint, words bigint, buckets int, covers array<bigint>, kind string"
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -168,11 +168,11 @@ def write(texts: DataFrame, folder: str, batch: int = 0, id_col: str = "revision
     _laid_out(said, buckets).write.mode("overwrite").partitionBy("bucket").parquet(at("words"))
     _laid_out(runs, buckets).write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
     counts = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("grams"), F.coalesce(F.sum("n_words"), F.lit(0)).cast("long").alias("words"))
-    _write_stats(counts, folder, batch, buckets, [])
+    _write_stats(counts, folder, batch, buckets, [], kind)
 
 
-def _write_stats(counts: DataFrame, folder: str, batch: int, buckets: int, covers: list[int]) -> None:
-    own = counts.withColumns({"buckets": F.lit(buckets), "covers": F.lit(covers).cast("array<bigint>") if covers else F.array().cast("array<bigint>")})
+def _write_stats(counts: DataFrame, folder: str, batch: int, buckets: int, covers: list[int], kind: str) -> None:
+    own = counts.withColumns({"buckets": F.lit(buckets), "covers": F.lit(covers).cast("array<bigint>") if covers else F.array().cast("array<bigint>"), "kind": F.lit(kind)})
     own.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats/batch={batch}")
 
 
@@ -199,7 +199,7 @@ def remove(ids: DataFrame, folder: str, batch: int, id_col: str = "revision_id")
     gone.select("id", "doc_len", "n_words").write.mode("overwrite").parquet(f"{folder}/removed/batch={batch}")
     marks = spark.read.parquet(f"{folder}/removed/batch={batch}")
     less = lambda c: (-F.coalesce(F.sum(c), F.lit(0))).cast("long")
-    _write_stats(marks.agg((-F.count(F.lit(1))).alias("n"), less("doc_len").alias("grams"), less("n_words").alias("words")), folder, batch, held["buckets"][0], [])
+    _write_stats(marks.agg((-F.count(F.lit(1))).alias("n"), less("doc_len").alias("grams"), less("n_words").alias("words")), folder, batch, held["buckets"][0], [], held["kind"])
 
 
 def merge(spark: SparkSession, folder: str, batch: int, id_col: str = "revision_id", buckets: int | None = None) -> None:
@@ -219,7 +219,7 @@ def merge(spark: SparkSession, folder: str, batch: int, id_col: str = "revision_
             rows = each.join(held.removed, "id", "left_anti").select("term", F.array("_e").alias(listed), F.lit(1).alias("n"))
         _joined(_laid_out(rows.select(*columns), buckets), listed).write.mode("overwrite").partitionBy("bucket").parquet(at(part))
     counts = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("grams"), F.coalesce(F.sum("n_words"), F.lit(0)).cast("long").alias("words"))
-    _write_stats(counts, folder, batch, buckets, sorted(held.batches))
+    _write_stats(counts, folder, batch, buckets, sorted(held.batches), stored.schema["id"].dataType.simpleString())
 
 
 def _joined(rows: DataFrame, listed: str) -> DataFrame:
@@ -289,26 +289,23 @@ def _parts(spark: SparkSession, folder: str) -> dict | None:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    known = [(r.batch, r.buckets, list(r.covers or []), r.n) for r in stats.select("batch", "buckets", "covers", "n").collect()]  # one row a batch
-    covered = {c for _, _, covers, _ in known for c in covers}
-    live = sorted(b for b, _, _, _ in known if b not in covered)
-    stats = stats.filter(F.col("batch").isin(live))
-    kept = [b for b, _, _, _ in known if b in live]
-    part = lambda name, schema: spark.read.schema(f"{schema}, batch bigint").option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").filter(F.col("batch").isin(kept))
-    held = spark.read.parquet(f"{folder}/texts")
-    kind = held.schema["id"].dataType.simpleString()
-    out = {"stats": stats, "batches": live, "buckets": sorted({k for b, k, _, _ in known if b in live}), "kind": kind}
-    out["texts"] = part("texts", f"id {kind}, low string, doc_len int, n_words int")
-    out["words"] = part("words", f"{_word_schema(kind)}, bucket int")
-    out["grams"] = part("grams", f"term string, n int, ids array<{kind}>, bucket int")
-    try:
-        marks = part("removed", f"id {kind}").select("id", "batch")
-        out["marks"] = None if marks.isEmpty() else marks
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        out["marks"] = None
-    return out
+    known = stats.select("batch", "buckets", "covers", "n", "kind").collect()  # one row a batch
+    covered = {c for r in known for c in r.covers or []}
+    live = [r for r in known if r.batch not in covered]
+    kind = live[0].kind
+    names = sorted(r.batch for r in live)
+    part = lambda name, schema: spark.read.schema(f"{schema}, batch bigint").option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").filter(F.col("batch").isin(names))
+    return {
+        "stats": stats.filter(F.col("batch").isin(names)),
+        "batches": names,
+        "buckets": sorted({r.buckets for r in live}),
+        "kind": kind,
+        "texts": part("texts", f"id {kind}, low string, doc_len int, n_words int"),
+        "words": part("words", f"{_word_schema(kind)}, bucket int"),
+        "grams": part("grams", f"term string, n int, ids array<{kind}>, bucket int"),
+        # a batch of marks counts less than nothing
+        "marks": part("removed", f"id {kind}").select("id", "batch") if any(r.n < 0 for r in live) else None,
+    }
 
 
 @dataclass(frozen=True)
@@ -324,28 +321,28 @@ class Index:
     batches: tuple[int, ...] = ()
     removed: DataFrame | None = None
 
-    def entries(self, queries: DataFrame) -> DataFrame:
-        """(id_col, doc_len, positions, term) of the words that the queries have: one row a word and text."""
-        asked = query_phrases(queries).select("term").distinct()
-        each = self._of(self.words, asked).select("term", F.explode("block").alias("_e")).select(F.col("_e.id").alias("id"), F.col("_e.doc_len").alias("doc_len"), F.col("_e.pos").alias("positions"), "term")
+    def entries(self, terms: DataFrame | list[str]) -> DataFrame:
+        """(id_col, doc_len, positions, term) of some terms: one row a word and text."""
+        each = self._of(self.words, terms).select("term", F.explode("block").alias("_e")).select(F.col("_e.id").alias("id"), F.col("_e.doc_len").alias("doc_len"), F.col("_e.pos").alias("positions"), "term")
         return self._there(each).withColumnRenamed("id", self.id_col)
 
     def postings(self, queries: DataFrame) -> DataFrame:
         """What ``lexical.postings`` gives, of the words that the queries have."""
-        return self.entries(queries).select(self.id_col, "doc_len", F.explode("positions").alias("pos"), "term")
+        asked = query_phrases(queries).select("term").distinct()
+        return self.entries(asked).select(self.id_col, "doc_len", F.explode("positions").alias("pos"), "term")
 
     def counts(self, queries: DataFrame) -> DataFrame:
         """What ``lexical.phrase_counts`` gives. Only phrases of several words need the places of their words."""
-        wanted = query_phrases(queries)
-        held = self.entries(queries)
-        one = held.join(checked_broadcast(wanted.filter("phrase_len = 1").drop("offset", "phrase_len")), "term")
-        one = one.select("query_id", "phrase", "phrases", self.id_col, "doc_len", F.size("positions").cast("long").alias("tf"))
-        long = wanted.filter("phrase_len > 1")
-        if long.isEmpty():
-            return one
-        parts = self.entries(queries).join(checked_broadcast(long.select("term").distinct()), "term", "left_semi")
-        parts = parts.select(self.id_col, "doc_len", F.explode("positions").alias("pos"), "term")
-        return one.unionByName(phrase_counts(parts, long, self.id_col).select(one.columns))
+        wanted, rows = stated(query_phrases(queries))
+        one, long = wanted.filter("phrase_len = 1"), wanted.filter("phrase_len > 1")
+        asked = wanted.select("term").distinct() if rows is None else sorted({r.term for r in rows})
+        alone = self.entries(asked).join(checked_broadcast(one.drop("offset", "phrase_len")) if rows is None else F.broadcast(one.drop("offset", "phrase_len")), "term")
+        alone = alone.select("query_id", "phrase", "phrases", self.id_col, "doc_len", F.size("positions").cast("long").alias("tf"))
+        if rows is not None and all(r.phrase_len == 1 for r in rows):
+            return alone
+        asked = long.select("term").distinct() if rows is None else sorted({r.term for r in rows if r.phrase_len > 1})
+        parts = self.entries(asked).select(self.id_col, "doc_len", F.explode("positions").alias("pos"), "term")
+        return alone.unionByName(phrase_counts(parts, long, self.id_col).select(alone.columns))
 
     def word_stats(self) -> DataFrame:
         """What ``lexical.collection_stats`` gives."""
@@ -358,35 +355,50 @@ class Index:
     def candidates(self, terms: DataFrame, most: int = 4) -> DataFrame:
         """(id_col, _low, doc_len, and the columns of terms) of texts that have the trigrams of a term that fewest texts have, at most so
         many of them. terms: query_id, phrase and term, of three code points at least; further columns come along."""
+        terms, rows = stated(terms)
         each = with_grams(terms, "term", "_grams").select("query_id", "phrase", F.explode("_grams").alias("_g"))
-        wanted = each.select(F.col("_g").alias("term")).distinct()
-        of = self._of(self.grams, wanted)
+        each, asked = stated(each)
         # the numbers of texts are read without the lists
-        known = of.groupBy(F.col("term").alias("_g")).agg(F.sum("n").alias("_n"))
+        known = self._of(self.grams, each.select(F.col("_g").alias("term")).distinct() if asked is None else sorted({r["_g"] for r in asked}))
+        known = known.groupBy(F.col("term").alias("_g")).agg(F.sum("n").alias("_n"))
         rarest = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g"))), 1, most)
-        picked = each.join(checked_broadcast(known), "_g", "left").groupBy("query_id", "phrase").agg(rarest.alias("_r"))
-        picked = picked.select("query_id", "phrase", F.size("_r").alias("_need"), F.explode("_r._g").alias("_g"))
-        rows = self._of(self.grams, picked.select(F.col("_g").alias("term")).distinct()).select(F.col("term").alias("_g"), "ids").join(checked_broadcast(picked), "_g")
-        full = rows.select("query_id", "phrase", "_need", F.explode("ids").alias("id")).groupBy("query_id", "phrase", "id").agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need")).filter("_n = _need").drop("_n", "_need")
-        found = self._there(full).join(checked_broadcast(terms), ["query_id", "phrase"])
+        picked = each.join(checked_broadcast(known) if asked is None else known, "_g", "left").groupBy("query_id", "phrase").agg(rarest.alias("_r"))
+        picked, few = stated(picked.select("query_id", "phrase", F.size("_r").alias("_need"), F.explode("_r._g").alias("_g")))
+        held = self._of(self.grams, picked.select(F.col("_g").alias("term")).distinct() if few is None else sorted({r["_g"] for r in few}))
+        held = held.select(F.col("term").alias("_g"), "ids").join(checked_broadcast(picked) if few is None else F.broadcast(picked), "_g")
+        full = held.select("query_id", "phrase", "_need", F.explode("ids").alias("id")).groupBy("query_id", "phrase", "id").agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need")).filter("_n = _need").drop("_n", "_need")
+        found = self._there(full).join(checked_broadcast(terms) if rows is None else F.broadcast(terms), ["query_id", "phrase"])
         return found.join(self.texts.select("id", F.col("low").alias("_low"), "doc_len"), "id").withColumnRenamed("id", self.id_col)
 
     def _there(self, rows: DataFrame) -> DataFrame:
         return rows if self.removed is None else rows.join(self.removed, "id", "left_anti")
 
-    def _of(self, rows: DataFrame, terms: DataFrame) -> DataFrame:
+    def _of(self, rows: DataFrame, terms: DataFrame | list[str]) -> DataFrame:
         """The rows of some terms. The bucket is part of the join, so Spark reads those buckets' folders alone; a few terms are told to
         the files too, in small groups, which is how Spark pushes lists down as values."""
-        asked = terms.filter(F.length("term") > 0)
-        named = [r.term for r in asked.limit(PUSHED + 1).collect()]
-        if len(named) <= PUSHED:
-            groups = [F.col("term").isin(named[i : i + 10]) for i in range(0, len(named), 10)]
+        spark = rows.sparkSession
+        if not isinstance(terms, list):
+            named = [r.term for r in terms.filter(F.length("term") > 0).limit(PUSHED + 1).collect()]
+            terms = named if len(named) <= PUSHED else terms
+        if isinstance(terms, list):
+            terms = [t for t in terms if t]
             told = F.lit(False)
-            for g in groups:
-                told = g if told is None else told | g
-            rows = rows.filter(told)
-            asked = terms.sparkSession.createDataFrame([(t,) for t in named], "term string")
-        return rows.join(checked_broadcast(asked.withColumn("bucket", bucket_of(F.col("term"), self.buckets))), ["bucket", "term"])
+            for i in range(0, len(terms), 10):
+                told |= F.col("term").isin(terms[i : i + 10])
+            asked = spark.createDataFrame([(t,) for t in terms], "term string").withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+            return rows.filter(told).join(F.broadcast(asked), ["bucket", "term"])
+        asked = terms.filter(F.length("term") > 0).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        return rows.join(checked_broadcast(asked), ["bucket", "term"])
+
+
+def stated(df: DataFrame, most: int | None = None) -> tuple[DataFrame, list | None]:
+    """A small stated table as rows that the driver holds, and these; a larger one as it is, and none. So what the requests of a search
+    say is worked out once and not again by each part of it."""
+    most = PUSHED if most is None else most
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return df, None
+    return df.sparkSession.createDataFrame(rows, df.schema), rows
 
 
 def read(spark: SparkSession, folder: str, id_col: str = "revision_id") -> Index:
@@ -394,12 +406,18 @@ def read(spark: SparkSession, folder: str, id_col: str = "revision_id") -> Index
     held = _parts(spark, folder)
     if held is None or len(held["buckets"]) != 1:
         raise ValueError("no index there" if held is None else f"batches of an index differ in buckets: {held['buckets']}")
+    return _index(held, id_col)
+
+
+def _index(held: dict, id_col: str) -> Index:
     removed = None if held["marks"] is None else held["marks"].select("id")
     texts = held["texts"] if removed is None else held["texts"].join(removed, "id", "left_anti")
     return Index(held["words"], held["grams"], texts, held["stats"], id_col, held["buckets"][0], tuple(held["batches"]), removed)
 
 
-def exists(spark: SparkSession, folder: str, batches: tuple[int, ...] = ()) -> bool:
-    """Whether an index is in the folder, whose batches named are complete."""
+def find(spark: SparkSession, folder: str, id_col: str = "revision_id", batches: tuple[int, ...] = ()) -> Index | None:
+    """The index in a folder whose batches named are complete; None if there is none."""
     held = _parts(spark, folder)
-    return held is not None and set(batches) <= set(held["batches"])
+    if held is None or not set(batches) <= set(held["batches"]):
+        return None
+    return _index(held, id_col)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recall_engine.functions.text import quote_lines, snippet
 from recall_engine.operators import lexical, lookups, ranking, vectors
-from recall_engine.operators.index import Index
+from recall_engine.operators.index import Index, stated
 from recall_engine.params import PARAMS, Params, Weights
 
 
@@ -35,6 +35,7 @@ def relevance(c: Corpus, queries: DataFrame, scope: DataFrame | None = None, lex
     """(query_id, message_id, lex_rank, vec_rank, rrf). The lexical list has messages that hold the words, then those whose
     attachments do, then those that hold the terms anywhere. A scope is applied after the lexical list is cut and before
     the vector list is, as the store does. queries: query_id, query and, for vectors, model_id and vector."""
+    queries, _ = stated(queries)
     sources = [lexical.word_search(c.messages, c.revisions, queries, p.candidates, p=p, index=c.index)]
     if c.attachments is not None and c.derivatives is not None:
         sources.append(lexical.derivative_search(c.messages, c.attachments, c.derivatives, queries, p.candidates, index=c.derivative_index))

@@ -79,13 +79,15 @@ def _ranked(half: float, w, source: str, uniform: bool = False) -> str:
 def _index_of(m: Model, name: str, *parts: DataFrame, id_col: str = "revision_id") -> index.Index:
     """The index of a derived table, each part a batch. It is named by the files that the table comes from, so it is built once
     for them, in the shared folder, and later queries find it."""
-    files = m.spark.read.parquet(f"{m.dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    mark = files.agg(F.sha2(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")).cast("string"), 256)).first()[0]
-    folder = f"{shared_folder(m.spark)}/index-2-{name}-{mark}"
-    if not index.exists(m.spark, folder, tuple(range(len(parts)))):
+    files = m.spark.read.parquet(f"{m.dir}/documents.parquet").select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").cast("decimal(38,0)").alias("h"))
+    mark = files.agg(F.sha2(F.sum("h").cast("string"), 256)).first()[0]
+    folder = f"{shared_folder(m.spark)}/index-3-{name}-{mark}"
+    held = index.find(m.spark, folder, id_col, tuple(range(len(parts))))
+    if held is None:
         for i, part in enumerate(parts):
             index.write(part, folder, i, id_col)
-    return index.read(m.spark, folder, id_col)
+        held = index.read(m.spark, folder, id_col)
+    return held
 
 
 def stored(m: Model) -> index.Index:
