@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall_engine.functions.text import quote_lines, snippet
 from recall_engine.operators import lexical, lookups, ranking, vectors
 from recall_engine.operators.index import Index, stated
 from recall_engine.params import PARAMS, Params, Weights
+from recall_engine.schemas import LATENCIES
 
 
 @dataclass(frozen=True)
@@ -137,6 +138,18 @@ def impressions_of(interaction: DataFrame, hits: DataFrame) -> tuple[DataFrame,
     return rows.drop("query_id"), hits.join(interaction.select("query_id", "interaction_id"), "query_id").select("interaction_id", "message_id", F.col("final_rank").alias("position"))
 
 
+def record_latencies(samples: DataFrame, folder: str) -> None:
+    """Appends latencies (kind, micros, created_at) to those that the gates judge; samples without a time or below zero are left out."""
+    schema = samples.sparkSession.createDataFrame([], LATENCIES).schema
+    rows = samples.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    rows.filter("kind IS NOT NULL AND micros >= 0 AND created_at IS NOT NULL").write.mode("append").parquet(folder)
+
+
+def recorded_latencies(spark: SparkSession, folder: str) -> DataFrame:
+    """What has been recorded."""
+    return spark.read.schema(LATENCIES).parquet(folder)
+
+
 def save_search(saved: DataFrame, name: str, query: str) -> DataFrame:
     """The saved searches with one more, or with its query replaced."""
     if not name or not all(ch.isalnum() or ch in "-_" for ch in name):

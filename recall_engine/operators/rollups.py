@@ -13,6 +13,8 @@ from recall_engine.params import PARAMS
 
 #: Holders that the class normal, and any class that isn't known, asks for.
 NORMAL_HOLDERS = 2
+#: Sequences of an origin that one task looks at together.
+BLOCK = 4096
 
 
 def topic_list(topics: DataFrame, links: DataFrame) -> DataFrame:
@@ -59,18 +61,33 @@ def ttl_expired(refs: DataFrame, now: Column, hours: float = PARAMS.ttl_ephemera
     return refs.groupBy("object_hash").agg(F.bool_and((F.col("text_class") == "ephemeral") & old).alias("_gone")).filter("_gone").select("object_hash")
 
 
-def chain_gaps(events: DataFrame, origin: list[str], sequence: str) -> DataFrame:
-    """Places where an origin's chain isn't contiguous: the last sequence before and the next one after."""
-    seen = events.select(*origin, F.col(sequence).alias("next")).distinct()
-    before = F.coalesce(F.lag("next").over(Window.partitionBy(*origin).orderBy("next")), F.lit(0))
-    return seen.withColumn("last", before.cast("long")).filter(F.col("next") != F.col("last") + 1).select(*origin, "last", F.col("next").cast("long").alias("next"))
+def chain_gaps(events: DataFrame, origin: list[str], sequence: str, first: int = 1) -> DataFrame:
+    """Places where an origin's chain isn't contiguous: the last sequence before (first - 1 for none) and the next one after.
+
+    An origin is looked at in blocks of sequences, which go to different tasks; what ends a block is carried to the next one that
+    has any, and of an origin only its blocks come together.
+    """
+    seen = events.select(*origin, F.col(sequence).cast("long").alias("next")).distinct().withColumn("_b", F.floor(F.col("next") / BLOCK))
+    own = F.lag("next").over(Window.partitionBy(*origin, "_b").orderBy("next"))
+    ends = seen.groupBy(*origin, "_b").agg(F.max("next").alias("_end"))
+    ends = ends.withColumn("_last", F.coalesce(F.lag("_end").over(Window.partitionBy(*origin).orderBy("_b")), F.lit(first - 1))).select(*[F.col(c).alias(f"_{c}") for c in origin], F.col("_b").alias("_of"), "_last")
+    on = F.col("_b").eqNullSafe(F.col("_of"))
+    for c in origin:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    placed = seen.withColumn("_own", own)
+    inside = placed.filter(F.col("_own").isNotNull() & (F.col("next") != F.col("_own") + 1)).select(*origin, F.col("_own").alias("last"), "next")
+    between = placed.filter(F.col("_own").isNull()).join(ends, on).filter(F.col("next") != F.col("_last") + 1).select(*origin, F.col("_last").alias("last"), "next")
+    return inside.unionByName(between).select(*origin, F.col("last").cast("long").alias("last"), "next")
 
 
 def frontier(events: DataFrame, origin: list[str], sequence: str, first: int = 1) -> DataFrame:
     """(origin, frontier): the last sequence that is reached without a gap; first - 1 where the first is missing."""
-    seen = events.select(*origin, F.col(sequence).cast("long").alias("_s")).distinct()
-    held = seen.withColumn("_ok", F.col("_s") - F.row_number().over(Window.partitionBy(*origin).orderBy("_s")) == first - 1)
-    return held.groupBy(*origin).agg(F.coalesce(F.max(F.when(F.col("_ok"), F.col("_s"))), F.lit(first - 1)).cast("long").alias("frontier"))
+    ends = events.groupBy(*origin).agg(F.max(F.col(sequence).cast("long")).alias("_end"))
+    gaps = chain_gaps(events, origin, sequence, first).groupBy(*[F.col(c).alias(f"_{c}") for c in origin]).agg(F.min("last").alias("_last"))
+    on = F.lit(True)
+    for c in origin:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ends.join(gaps, on, "left").select(*origin, F.coalesce("_last", "_end", F.lit(first - 1)).cast("long").alias("frontier"))
 
 
 def frontier_diff(ours: DataFrame, theirs: DataFrame, origin: list[str]) -> DataFrame:

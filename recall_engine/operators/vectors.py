@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,26 @@ def normalise(v: Column) -> Column:
     return F.when(norm == 0, wide).otherwise(F.transform(wide, lambda x: x / norm))
 
 
+def encoded(df: DataFrame, vector: str = "vector", name: str = "data") -> DataFrame:
+    """The rows with a vector as bytes: 32-bit floats, little-endian; null for null. Components that are null make a vector null."""
+
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None or any(c is None for c in x) else np.asarray(x, "<f4").tobytes())
+
+    return df.withColumn(name, pack(F.col(vector).cast("array<float>")))
+
+
+def decoded(df: DataFrame, data: str = "data", name: str = "vector", dims: int | None = None) -> DataFrame:
+    """The rows with bytes as a vector; null where they aren't whole floats, or not as many as they should be."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None or len(x) % 4 or dims is not None and len(x) != 4 * dims else np.frombuffer(x, "<f4"))
+
+    return df.withColumn(name, unpack(F.col(data)))
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = PARAMS.candidates) -> DataFrame:
     """(query_id, message_id, sim, rank). vectors: message_id, model_id, vector; queries: query_id, model_id, vector.
     Models are never compared with each other. A few queries meet every vector where it lies; the query table is

@@ -252,13 +252,13 @@ def notes_tail(spark: SparkSession, d: str) -> DataFrame:
 SELECT CASE WHEN there IS NULL THEN 'missing' WHEN next IS NOT NULL THEN 'chain' ELSE 'kept' END AS outcome, count(*) AS n FROM s GROUP BY 1"""
 )
 def mine_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    issues = Model(spark, d).raw("documents").selectExpr("doc_id AS id", "left(text, 40) AS title", "text AS body", "CASE WHEN doc_id % 9 = 4 THEN doc_id * 3 END AS duplicate_of")
+    issues = Model(spark, d).raw("documents").selectExpr("doc_id AS id", "split_part(text, '\n', 1) AS title", "text AS body", "CASE WHEN doc_id % 9 = 4 THEN doc_id * 3 END AS duplicate_of")
     return corpora.mine_duplicates(issues)[2]
 
 
 @query("SELECT id, list_sort(list(DISTINCT o)) AS relevant FROM (SELECT doc_id AS id, unnest([doc_id - 1, doc_id - 2, doc_id - 4]) AS o FROM documents WHERE doc_id % 4 = 0) WHERE o >= 0 AND o % 4 <> 0 GROUP BY 1")
 def mine_questions(spark: SparkSession, d: str) -> DataFrame:
-    q = Model(spark, d).raw("documents").selectExpr("doc_id AS id", "left(text, 40) AS title", "text AS body", "CASE WHEN doc_id % 4 = 0 THEN array(doc_id - 1, doc_id - 2, doc_id - 4) END AS originals")
+    q = Model(spark, d).raw("documents").selectExpr("doc_id AS id", "split_part(text, '\n', 1) AS title", "text AS body", "CASE WHEN doc_id % 4 = 0 THEN array(doc_id - 1, doc_id - 2, doc_id - 4) END AS originals")
     return corpora.mine_questions(q)[1].select("id", "relevant")
 
 

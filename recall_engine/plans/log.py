@@ -12,7 +12,7 @@ from recall_engine.operators.incremental import Store
 from recall_engine.operators.order import numbered
 from recall_engine.sources.files import checkpointed, shared_folder
 from recall_engine.sources.model import Model
-from recall_engine.streaming import log_stream
+from recall_engine.streaming import log_stream, origins
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -169,6 +169,26 @@ def dependency_closure(spark: SparkSession, d: str) -> DataFrame:
     return every.groupBy("conv_id").agg(F.count("round").alias("ready"), F.count_if(F.col("round").isNull()).alias("parked"), F.coalesce(F.max("round"), F.lit(-1)).cast("long").alias("last_round"))
 
 
+@query(f"SELECT conv_id::VARCHAR AS origin, CASE WHEN forked THEN 1 ELSE ready END AS frontier, forked AS frozen FROM (SELECT conv_id, count(*) FILTER (cut IS NULL OR turn < cut) AS ready, conv_id % 10 = 3 AND count(*) FILTER (cut IS NULL OR turn < cut) > 1 AS forked FROM ({_HELD}) WHERE NOT lost GROUP BY conv_id)")
+def stream_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as chains of events in a stream, of which some events are lost and some name a wrong one before them: how far each
+    chain comes, and which are frozen at a fork."""
+    said = _stream(spark, d, "conversations").select("conv_id", "turn").filter("(conv_id * 7 + turn) % 11 <> 0")
+    name = lambda t: F.concat_ws("-", "conv_id", t)
+    before = F.when((F.col("conv_id") % 10 == 3) & (F.col("turn") == 1), "x").when(F.col("turn") > 0, name(F.col("turn") - 1))
+    rows = said.select(F.col("conv_id").alias("origin"), F.lit(origins.EVENT).alias("kind"), (F.col("turn") + 1).alias("sequence"), name(F.col("turn")).alias("event_id"), before.alias("previous_event_id"))
+    folder, given = f"{shared_folder(spark)}/origins-{uuid.uuid4().hex}", {k: spark.conf.get(k) for k in origins.SETTINGS}
+    for k, v in origins.SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        write = lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        origins.origin_changes(rows).writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+    return origins.standing(spark.read.parquet(f"{folder}/out"))
+
+
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return log_stream.read_log(spark, d, spark.read.parquet(f"{d}/{name}.parquet").schema, f"{name}.parquet")
 

@@ -347,15 +347,20 @@ def time_and_decay(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", vx.utc_day(F.col("ts")).alias("day"), F.round(vx.age_hours(F.col("ts"), now()), 6).alias("age"), F.round(vx.saturate(F.col("value"), 3.0), 6).alias("saturated"), vx.degradation(F.col("value") * 100, F.expr("CASE event_id % 50 WHEN 0 THEN 1L << 20 WHEN 1 THEN 1L << 28 WHEN 2 THEN 1L << 30 ELSE 1L << 40 END")).alias("level"))
 
 
-@query(with_tables("messages", "SELECT message_id, CASE WHEN NOT (message_id % 50 = 3 OR text_class = 'ephemeral' AND message_id % 2 = 1) THEN 'delivered' WHEN text_class = 'ephemeral' AND created_at < TIMESTAMP '2024-01-25' THEN 'expired' ELSE 'not_delivered' END AS state FROM messages UNION ALL SELECT -5, 'not_found'"))
+_STATE = "CASE WHEN NOT (message_id % 50 = 3 OR text_class = 'ephemeral' AND message_id % 2 = 1) THEN 'delivered' WHEN text_class = 'ephemeral' AND created_at < TIMESTAMP '2024-01-25' THEN 'expired' ELSE 'not_delivered' END"
+
+
+@query(with_tables("messages revisions", f"SELECT message_id, state, CASE WHEN state = 'delivered' THEN sha256(text) END AS body_sha256 FROM (SELECT m.message_id, {_STATE.replace('message_id', 'm.message_id').replace('created_at', 'm.created_at')} AS state, r.text FROM messages m JOIN revisions r ON r.revision_id = m.head_revision_id) UNION ALL SELECT -5, 'not_found', NULL"))
 def fetch_states(spark: SparkSession, d: str) -> DataFrame:
+    """Every message asked for, with the body that is delivered."""
     from recall_engine.operators import retrieve
 
     m = Model(spark, d)
-    held = m.messages().filter("NOT (message_id % 50 = 3 OR (text_class = 'ephemeral' AND message_id % 2 = 1))").selectExpr("message_id AS object_hash", "'x' AS data")
+    heads = m.revisions().join(m.messages().select("head_revision_id", "text_class"), F.col("revision_id") == F.col("head_revision_id"))
+    held = heads.filter("NOT (message_id % 50 = 3 OR (text_class = 'ephemeral' AND message_id % 2 = 1))").selectExpr("message_id AS object_hash", "text AS data")
     revs = m.revisions().withColumn("body_hash", F.col("message_id"))
     wanted = m.messages().select("message_id").union(spark.sql("SELECT -5L"))
-    return retrieve.fetch(m.messages(), revs, held, wanted, now()).select("message_id", "state")
+    return retrieve.fetch(m.messages(), revs, held, wanted, now()).select("message_id", "state", F.when(F.col("state") == "delivered", F.sha2("body", 256)).alias("body_sha256"))
 
 
 @query("SELECT severity, \"check\", count(*) AS n FROM (SELECT 'problem' AS severity, 'gap' AS \"check\" FROM (SELECT l_linenumber, coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 0) AS last FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) WHERE l_linenumber <> last + 1 UNION ALL SELECT 'problem', 'fork' FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_partkey) > 1) UNION ALL SELECT 'problem', 'drift' FROM (SELECT l_orderkey, max(l_linenumber) AS h, max(l_linenumber) FILTER (l_linestatus = 'O') AS c FROM lineitem GROUP BY 1) WHERE coalesce(h, 0) <> coalesce(c, 0)) GROUP BY ALL")

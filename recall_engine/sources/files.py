@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -108,18 +110,58 @@ def decode_frames(data: bytes, mode: str = "permissive") -> Iterator[tuple[int,
         at += _HEAD.size + size + 4
 
 
+@functools.cache
+def _steps() -> np.ndarray:
+    """(k, byte, value): what 2^k zero bytes make of each byte of a checksum."""
+    bit = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    step, out = bit >> np.uint32(8) ^ _TABLE_U[bit & np.uint32(0xFF)], np.empty((32, 4, 256), np.uint32)
+    for k in range(32):
+        for j in range(4):
+            out[k, j] = _apply(step, np.arange(256, dtype=np.uint32) << np.uint32(8 * j))
+        step = _apply(step, step)
+    return out
+
+
+def _advanced(c: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What zero bytes, as many as each length says, make of each checksum."""
+    c = c.copy()
+    for k in range(int(lengths.max()).bit_length() if len(lengths) else 0):
+        odd = (lengths >> k & 1).astype(bool)
+        x, t = c[odd], _steps()[k]
+        c[odd] = t[0][x & np.uint32(0xFF)] ^ t[1][x >> np.uint32(8) & np.uint32(0xFF)] ^ t[2][x >> np.uint32(16) & np.uint32(0xFF)] ^ t[3][x >> np.uint32(24)]
+    return c
+
+
+def sound_frames(data: bytes, starts: list[int]) -> np.ndarray:
+    """Which of some places begin a sound frame. Every byte goes into a checksum once, however many frames are claimed: that of a
+    range follows from those of what ends at its two ends."""
+    at = np.array(starts, np.int64)
+    size = np.array([_HEAD.unpack_from(data, i)[2] if data.startswith(MAGIC, i) and i + _HEAD.size <= len(data) and data[i + 4] == VERSION else LIMIT + 1 for i in starts], np.uint64)
+    ok = size <= LIMIT
+    begin = at + _HEAD.size
+    end = begin + np.where(ok, size, 0).astype(np.int64)
+    ok &= end + _CRC.size <= len(data)
+    begin, end = begin[ok], end[ok]
+    if not len(begin):
+        return ok
+    points = np.unique(np.concatenate([[0], begin, end]))
+    each = np.array([crc32c(data[i:j]) for i, j in zip(points[:-1].tolist(), points[1:].tolist(), strict=True)], np.uint32)
+    upto = np.zeros(len(points), np.uint32)
+    for k, gap in enumerate(np.diff(points).tolist()):
+        upto[k + 1] = _advanced(upto[k : k + 1], np.array([gap]))[0] ^ each[k]
+    found = upto[np.searchsorted(points, end)] ^ _advanced(upto[np.searchsorted(points, begin)], end - begin)
+    ok[np.flatnonzero(ok)] = found == np.array([_CRC.unpack_from(data, i)[0] for i in end.tolist()], np.uint32)
+    return ok
+
+
 def segment_state(data: bytes) -> tuple[int, str]:
     """How many bytes of a segment are sound, and whether it is clean, torn (nothing sound follows the break: the tail of an append
     that broke off, which may be cut) or corrupt (a sound frame follows, so something inside was damaged)."""
     good = 0
     for at, record, error in decode_frames(data):
         if error:
-            start = data.find(MAGIC, at + 1)
-            while start >= 0:
-                if not next(decode_frames(data[start:]))[2]:
-                    return at, "corrupt"
-                start = data.find(MAGIC, start + 1)
-            return at, "torn"
+            claimed = [m.start() for m in re.finditer(re.escape(MAGIC), data[at + 1 :])]
+            return at, "corrupt" if sound_frames(data, [at + 1 + i for i in claimed]).any() else "torn"
         good = at + _HEAD.size + len(record) + _CRC.size
     return good, "clean"
 
@@ -193,11 +235,29 @@ def read_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
 def corpus_manifest(files: Iterable[tuple[str, bytes]], **about) -> str:
     """The manifest of a corpus: names, sizes and hashes of its files."""
-    each = [{"name": n, "sha256": hashlib.sha256(d).hexdigest(), "bytes": len(d)} for n, d in files]
+    return _manifest([{"name": n, "sha256": hashlib.sha256(d).hexdigest(), "bytes": len(d)} for n, d in files], **about)
+
+
+def _manifest(each: list[dict], **about) -> str:
     total = hashlib.sha256("".join(f["sha256"] for f in each).encode()).hexdigest()
     return json.dumps({"schema_version": 1, **about, "files": each, "checksum": total}, sort_keys=True, indent=1)
 
 
+def write_corpus(items: DataFrame, queries: DataFrame, folder: str, **about) -> None:
+    """A corpus that ``read_corpus`` reads: items and queries as JSON lines, in as many parts as there are tasks, and last of all the
+    manifest with the hash of every part; a write that breaks off has none."""
+    spark = items.sparkSession
+    parts = {"items.jsonl": (items, CORPUS_ITEMS), "queries.jsonl": (queries, CORPUS_QUERIES)}
+    for name, (df, schema) in parts.items():
+        fields = spark.createDataFrame([], schema).schema.fields
+        df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).write.mode("overwrite").json(f"{folder}/{name}")
+    written = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([f"{folder}/{n}" for n in parts])
+    name = F.regexp_extract("path", r"/((?:items|queries)\.jsonl/[^/]+)$", 1).alias("name")
+    each = written.select(name, F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).orderBy("name").collect()  # one row a part
+    text = _manifest([r.asDict() for r in each], **about)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest.json")
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Outcome records of an evaluation run, as JSON lines; nothing is scored in them."""
     df.withColumn("schema_version", F.lit(1)).write.mode("overwrite").json(path)

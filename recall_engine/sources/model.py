@@ -44,10 +44,10 @@ class Model:
         )
 
     def revisions(self) -> DataFrame:
-        """A head for each message, and for every fifth an older revision of its first 200 characters."""
+        """A head for each message, and for every fifth an older revision, the text with a word before it."""
         d = self.raw("documents")
         head = d.selectExpr("doc_id * 10 + 1 AS revision_id", "doc_id AS message_id", "text", "timestampadd(HOUR, CAST(doc_id % 1000 AS INT), timestamp'2024-01-01') AS created_at")
-        old = d.filter("doc_id % 5 = 0").selectExpr("doc_id * 10 AS revision_id", "doc_id AS message_id", "left(text, 200) AS text", "timestamp'2024-01-01' AS created_at")
+        old = d.filter("doc_id % 5 = 0").selectExpr("doc_id * 10 AS revision_id", "doc_id AS message_id", "concat('draft ', text) AS text", "timestamp'2024-01-01' AS created_at")
         return head.unionByName(old)
 
     def topics(self) -> DataFrame:
@@ -138,7 +138,7 @@ SQL = {
   doc_id % 29 = 0 AS confirmed, lang AS topic_id, CASE WHEN doc_id % 13 = 0 THEN 'ephemeral' WHEN doc_id % 3 = 0 THEN 'canonical' ELSE 'eager-searchable' END AS text_class,
   CASE WHEN doc_id % 31 = 0 THEN source END AS recipient, n_chars AS body_len FROM documents""",
     "revisions": """SELECT doc_id * 10 + 1 AS revision_id, doc_id AS message_id, text, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 1000 AS INTEGER)) AS created_at FROM documents
-  UNION ALL SELECT doc_id * 10, doc_id, left(text, 200), TIMESTAMP '2024-01-01' FROM documents WHERE doc_id % 5 = 0""",
+  UNION ALL SELECT doc_id * 10, doc_id, 'draft ' || text, TIMESTAMP '2024-01-01' FROM documents WHERE doc_id % 5 = 0""",
     "topics": "SELECT DISTINCT lang AS topic_id, 'lang/' || lang AS name FROM documents",
     "links": "SELECT doc_id AS link_id, doc_id AS message_id, lang AS topic_id, doc_id % 7 = 0 AS protected, doc_id % 11 = 0 AND doc_id % 7 <> 0 AS removed FROM documents",
     "turns": """SELECT conv_id * 1000 + turn AS message_id, CASE WHEN turn > 0 THEN conv_id * 1000 END AS thread_id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS reply_to,

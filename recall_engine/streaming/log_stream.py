@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,8 +41,8 @@ def append_once(stream: DataFrame, out: str, checkpoint: str):
         try:
             known = spark.read.parquet(out).filter(F.col("batch") != n).select("event_id")
             new = new.join(known, "event_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
         new.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
