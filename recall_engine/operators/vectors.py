@@ -30,9 +30,10 @@ def encoded(df: DataFrame, vector: str = "vector", name: str = "data") -> DataFr
 
     @F.pandas_udf("binary")
     def pack(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None or any(c is None for c in x) else np.asarray(x, "<f4").tobytes())
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
-    return df.withColumn(name, pack(F.col(vector).cast("array<float>")))
+    whole = ~F.exists(vector, lambda x: x.isNull())
+    return df.withColumn(name, F.when(whole, pack(F.col(vector).cast("array<float>"))))
 
 
 def decoded(df: DataFrame, data: str = "data", name: str = "vector", dims: int | None = None) -> DataFrame:

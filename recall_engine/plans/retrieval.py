@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,10 +78,11 @@ def _ranked(half: float, w, source: str, uniform: bool = False) -> str:
 
 
 def _index_of(m: Model, name: str, *parts: DataFrame, id_col: str = "revision_id") -> index.Index:
-    """The index of a derived table, each part a batch. It is named by the files that the table comes from, so it is built once
-    for them, in the shared folder, and later queries find it."""
+    """The index of a derived table, each part a batch. It is named by the files that the table comes from and by how
+    it is derived and indexed, so it is built once for them, in the shared folder, and later queries find it."""
     files = m.spark.read.parquet(f"{m.dir}/documents.parquet").select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").cast("decimal(38,0)").alias("h"))
-    mark = files.agg(F.sha2(F.sum("h").cast("string"), 256)).first()[0]
+    how = inspect.getsource(getattr(Model, name)) + inspect.getsource(index)
+    mark = files.agg(F.sha2(F.concat(F.sum("h").cast("string"), F.lit(how)), 256)).first()[0]
     folder = f"{shared_folder(m.spark)}/index-3-{name}-{mark}"
     held = index.find(m.spark, folder, id_col, tuple(range(len(parts))))
     if held is None:
