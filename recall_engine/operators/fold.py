@@ -30,24 +30,47 @@ class Decoded:
         return self.events.groupBy(*by)
 
 
-Log = DataFrame | Decoded
+class Raw:
+    """A log as it came, of which the accepted events count. Which they are is told from ids and coordinates alone, and a kind's events are
+    decoded where they lie, so what travels of an event is what a table asks of it, not its payload."""
+
+    def __init__(self, events: DataFrame) -> None:
+        self.raw = events
+        self.events = accepted(events)
+        once = events.select(F.struct("event_id").alias("_k"), F.struct(*ORDER, "event_type").alias("_c")).groupBy("_k").agg(F.min("_c").alias("_c"))
+        first = once.groupBy(*[F.col(f"_c.{x}").alias(x) for x in ORDER]).agg(F.min(F.struct("_k", "_c")).alias("_m"))
+        self.counted = first.select(F.col("_m._k").alias("_k"), F.col("_m._c").alias("_c"))
+
+    def groupBy(self, *by):
+        return self.events.groupBy(*by)
+
+    def kind(self, kind: str) -> DataFrame:
+        """Ids are held as structs, which are equal where both ids are null."""
+        own = _fields(self.raw.filter(F.col("event_type") == kind), kind, F.struct("event_id").alias("_k"), F.struct(*ORDER, "event_type").alias("_own"))
+        return own.join(self.counted, "_k").filter(F.col("_own") == F.col("_c")).dropDuplicates(["_k"]).drop("_k", "_own", "_c")
+
+
+Log = DataFrame | Decoded | Raw
 
 
 def accepted(events: Log) -> Log:
     """Each event once, and of each coordinate the first event id."""
-    if isinstance(events, Decoded):
+    if not isinstance(events, DataFrame):
         return events
     once = events.dropDuplicates(["event_id"])
     w = Window.partitionBy(*ORDER).orderBy("event_id")
     return once.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def _fields(own: DataFrame, kind: str, *more: Column) -> DataFrame:
+    return own.withColumn("_p", F.from_json("payload", PAYLOADS[kind])).withColumn("_at", ordered()).select("event_id", "actor", "task_id", F.col("wall_time").cast("timestamp").alias("created_at"), "_at", *more, "_p.*")
+
+
 def decoded(events: Log, kind: str) -> DataFrame:
     """Events of one kind with their payload's fields; what can't be read has nulls."""
     if isinstance(events, Decoded):
         return events.kinds[kind]
-    own = events.filter(F.col("event_type") == kind)
-    return own.withColumn("_p", F.from_json("payload", PAYLOADS[kind])).withColumn("_at", ordered()).select("event_id", "actor", "task_id", F.col("wall_time").cast("timestamp").alias("created_at"), "_at", "_p.*")
+    return events.kind(kind) if isinstance(events, Raw) else _fields(events.filter(F.col("event_type") == kind), kind)
 
 
 def first_by(df: DataFrame, key: str) -> DataFrame:
@@ -203,13 +226,13 @@ def index_texts(revisions: DataFrame, objects: DataFrame | None = None) -> DataF
 
 def project(events: Log, objects: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a log."""
-    log = accepted(events)
+    log = Raw(events) if isinstance(events, DataFrame) else events
     messages, revisions, parents = messages_and_revisions(log)
     made, bad_topics = topics(log)
     links, bad_links = topic_links(log, messages, made)
     subs, bad_subs = subscriptions(log)
     return {
-        "events": log.events if isinstance(log, Decoded) else log,
+        "events": log.events,
         "messages": messages,
         "revisions": revisions,
         "revision_parents": parents,
