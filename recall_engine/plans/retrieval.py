@@ -83,7 +83,7 @@ def _index_of(m: Model, name: str, *parts: DataFrame, id_col: str = "revision_id
     files = m.spark.read.parquet(f"{m.dir}/documents.parquet").select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").cast("decimal(38,0)").alias("h"))
     how = inspect.getsource(getattr(Model, name)) + inspect.getsource(index)
     mark = files.agg(F.sha2(F.concat(F.sum("h").cast("string"), F.lit(how)), 256)).first()[0]
-    folder = f"{shared_folder(m.spark)}/index-3-{name}-{mark}"
+    folder = f"{shared_folder(m.spark)}/index-4-{name}-{mark}"
     held = index.find(m.spark, folder, id_col, tuple(range(len(parts))))
     if held is None:
         for i, part in enumerate(parts):
