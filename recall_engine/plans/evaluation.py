@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recall_engine.operators import calibration, checks, corpora, extraction, subscriptions
-from recall_engine.operators.lexical import checked_broadcast
 from recall_engine.sources.model import MODEL, Model, now, with_tables
 
 QUERIES: dict = {}
@@ -295,8 +294,8 @@ def retrieval_scores(spark: SparkSession, d: str) -> DataFrame:
     """The file search, judged: an item's relevant documents are those that hold its whole text."""
     m = Model(spark, d)
     docs = m.raw("documents").select(F.col("doc_id").alias("id"), "text")
-    items = m.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("_item"))
-    judged = docs.join(checked_broadcast(items), F.contains("text", "_item")).groupBy("query_id").agg(F.collect_list("id").alias("relevant"))
+    items = m.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    judged = corpora.holders(docs, items).groupBy("query_id").agg(F.collect_list("id").alias("relevant"))
     return corpora.scores(corpora.grep(docs, _asked(m)), judged).select("queries", "success", r6("mrr"), r6("recall"))
 
 
