@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recall_engine.functions.text import words
 from recall_engine.operators.lexical import checked_broadcast, top_per_query
@@ -56,13 +60,23 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = PARAMS.candidat
 
 
 def hash_embed(texts: DataFrame, id_col: str, text_col: str, dims: int = 384) -> DataFrame:
-    """(id_col, vector): a signed bag of hashed words of unit length; a stand-in for a learned embedder."""
-    h = F.xxhash64("_t")
-    counted = texts.select(id_col, F.explode_outer(words(F.col(text_col))).alias("_t")).select(id_col, F.pmod(h, F.lit(dims)).cast("int").alias("_i"), F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0).alias("_s"), F.col("_t"))
-    summed = counted.groupBy(id_col, "_i").agg(F.sum(F.when(F.col("_t").isNotNull(), F.col("_s")).otherwise(0.0)).alias("_s"))
-    maps = summed.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_s"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
-    return maps.select(id_col, normalise(dense).alias("vector"))
+    """(id_col, vector): a signed bag of hashed words of unit length; a stand-in for a learned embedder. A text's words are summed where it
+    lies; rows of one id count together."""
+    hashed = texts.select(id_col, F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            listed = b.column(1)
+            h = listed.flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(listed.offsets)))
+            sign = np.where(h >> 40 & 1, 1.0, -1.0)
+            sums = np.bincount(row * dims + h % dims, sign, b.num_rows * dims).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dims), pa.array(sums))], names=[id_col, "_v"])
+
+    out = T.StructType([texts.select(id_col).schema.fields[0], T.StructField("_v", T.ArrayType(T.IntegerType()))])
+    each = hashed.mapInArrow(run, out).groupBy(id_col).agg(F.collect_list("_v").alias("_l"))
+    whole = F.when(F.size("_l") == 1, F.col("_l")[0]).otherwise(F.aggregate(F.slice("_l", 2, F.size("_l")), F.col("_l")[0], lambda a, x: F.zip_with(a, x, lambda p, q: p + q)))
+    return each.select(id_col, normalise(whole).alias("vector"))
 
 
 def pending_embeddings(revisions: DataFrame, vectors: DataFrame, model_id: str) -> DataFrame:
