@@ -26,12 +26,14 @@ def payload(kind: str, df: DataFrame) -> Column:
     return F.to_json(F.struct(*names)) if names else F.lit("{}")
 
 
-def build(requests: dict[str, DataFrame], heads: DataFrame, device: str, generation: int, wall: Column) -> DataFrame:
+def build(requests: dict[str, DataFrame], heads: DataFrame, device: str, generation: int, wall: Column, writers: int = 1) -> DataFrame:
     """Events of one origin, to be appended: publish, revise, retract, link, unlink, pin, unpin, signal and all other kinds.
 
     requests: for each kind a table with the columns of its payload, actor, task_id (may be absent) and at, the order of
     the requests. They follow the origin's head (device_id, generation, sequence, event_id; none starts the log). Ids
     commit to the whole event and to the one before it, see ``chain``. Requests without an order come first; ties go by payload.
+    An id follows from the one before, so one task makes those of an origin, one after the other. Many requests are therefore dealt to
+    as many writers as asked, device-0, device-1 and so on, by what they say: each is an origin with its own chain and order.
     """
     every = None
     for kind, df in requests.items():
@@ -40,12 +42,14 @@ def build(requests: dict[str, DataFrame], heads: DataFrame, device: str, generat
         every = one if every is None else every.unionByName(one)
     if every is None:
         raise ValueError("no requests")
-    head = heads.filter((F.col("device_id") == device) & (F.col("generation") == generation)).agg(F.max("sequence").alias("_last"), F.max_by("event_id", "sequence").alias("_last_id"))
-    # One origin has one writer, and a batch of its requests has one order: this window holds the batch, not the log.
+    origin = F.lit(device) if writers == 1 else F.concat(F.lit(f"{device}-"), F.pmod(F.xxhash64("event_type", "payload"), F.lit(writers)).cast("string"))
+    head = heads.filter(F.col("generation") == generation).groupBy("device_id").agg(F.max("sequence").alias("_last"), F.max_by("event_id", "sequence").alias("_last_id"))
+    head = head.join(F.broadcast(every.sparkSession.createDataFrame([(device if writers == 1 else f"{device}-{i}",) for i in range(writers)], "device_id string")), "device_id", "left_semi")
+    # A writer's batch of requests has one order: this window holds its batch, not the log.
     w = Window.partitionBy("device_id", "generation").orderBy("_order", "event_type", "payload")
-    placed = every.withColumns({"device_id": F.lit(device), "generation": F.lit(generation), "schema_version": F.lit(1), "wall_time": wall}).crossJoin(F.broadcast(head))
+    placed = every.withColumns({"device_id": origin, "generation": F.lit(generation), "schema_version": F.lit(1), "wall_time": wall}).join(F.broadcast(head), "device_id", "left")
     placed = placed.withColumn("sequence", (F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).cast("long"))
-    last = head.select(F.lit(device).alias("device_id"), F.lit(generation).alias("generation"), F.col("_last_id").alias("event_id"))
+    last = head.select("device_id", F.lit(generation).alias("generation"), F.col("_last_id").alias("event_id"))
     made = identified(placed.select("schema_version", "event_type", "device_id", "generation", "sequence", "actor", "task_id", "wall_time", "payload"), last)
     return made.select("schema_version", "event_id", "event_type", "device_id", "generation", "sequence", "previous_event_id", "actor", "task_id", "wall_time", "payload")
 

@@ -24,11 +24,13 @@ def query(sql: str | None = None):
     return add
 
 
+#: Origins that the events of a query are dealt to.
+WRITERS = 64
 _NO_HEADS = "device_id string, generation int, sequence bigint, event_id string"
 
 
 def _built(spark: SparkSession, requests: dict[str, DataFrame]) -> DataFrame:
-    return checkpointed(events.build(requests, spark.createDataFrame([], _NO_HEADS), "writer", 1, F.lit("2024-01-01 00:00:00")))
+    return checkpointed(events.build(requests, spark.createDataFrame([], _NO_HEADS), "writer", 1, F.lit("2024-01-01 00:00:00"), WRITERS))
 
 
 @query(
