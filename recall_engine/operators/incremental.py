@@ -1,8 +1,10 @@
 """The fold kept up to date: batches of events go into a store, and its tables are those of ``fold.project`` over all of them.
 
-The store is a folder of runs. Applying a batch reads the origins' checkpoints and the events that still wait for a gap to
-close, writes what follows the checkpoints without a gap as one new run, decoded and laid out by kind, and commits. So
-its cost follows the batch, not the log. A commit names the runs that count; whatever a failed attempt left isn't named
+The store is a folder of runs. What a batch brings is written once, where it lies, decoded and laid out by kind. Which of it is ready
+is told from coordinates and ids alone: these, the origins' checkpoints and the coordinates of the events that still wait for a
+gap to close meet, and each gets a state and the place of its event, the batch that brought it and its row there. So payloads don't
+travel when a batch is applied, an event that waits is not written again, and the cost follows the batch and the coordinates of what
+waits, not the log. Those ready are one new run. A commit names the runs that count; whatever a failed attempt left isn't named
 and does no harm. The same batch may be applied again: it starts from the commit before, and gives the same.
 
 Runs are merged in levels: ``fan`` runs of a level become one of the next, sorted by the key that each kind is looked up by,
@@ -15,6 +17,8 @@ stays, and within a batch the least id. Events beyond a gap wait, or fail the ba
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +31,10 @@ ORIGIN = ("device_id", "generation")
 _COMMIT = "batch bigint, runs array<string>, applied bigint, waiting bigint, refused bigint"
 #: What becomes of an event of a batch.
 READY, WAITING, REFUSED = "ready", "waiting", "refused"
+#: What is known of an event without its payload: sound is null where nobody looked.
+_STATES = "event_id string, event_type string, device_id string, generation int, sequence bigint, previous_event_id string, sound boolean, home bigint, row bigint"
+#: So many places are told to all tasks that look for their events; more are joined.
+FEW = 100_000
 #: What an event can't do without.
 NEEDED = ("event_id", "event_type", "device_id", "generation", "sequence", "payload")
 
@@ -75,6 +83,25 @@ def thinned(kind: str, rows: DataFrame) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def _names(ddl: str) -> list[str]:
+    return [f.name for f in T.StructType.fromDDL(ddl).fields]
+
+
+class Places(NamedTuple):
+    """Where events lie, what their batches brought, None without events, and the kinds that are among them."""
+
+    places: DataFrame
+    brought: DataFrame | None
+    kinds: set[str]
+
+    def events(self, kind: str | None = None) -> DataFrame:
+        """The events, or those of one kind; only the columns that are asked for travel, and none if the places are few."""
+        places, brought = self.places, self.brought
+        if kind is not None:
+            places, brought = places.filter(F.col("event_type") == kind), brought.filter(F.col("event_type") == kind)
+        return brought.join(places.select("home", "row"), ["home", "row"], "left_semi")
+
+
 class Store:
     """A folded log in a folder that driver and executors share."""
 
@@ -124,14 +151,14 @@ class Store:
             raise ValueError("batches are numbered from 0")
         before = last if last.batch < n else self.commit(n)
         origins = self.origins(before.batch)
-        came = self._known(batch)
+        self._bring(self._known(batch), n, verify)
+        new = self._brought([n]).select(*_names(_STATES))
         if before.waiting:
-            came = came.unionByName(self._staged(before.batch, WAITING))
-        came = with_own_id(came, "_own") if verify else came.withColumn("_own", F.col("event_id"))
-        new = came.join(origins, list(ORIGIN), "left").filter(F.col("last").isNull() | (F.col("sequence") > F.col("last")))
-        # One of each coordinate, a sound one if there is one; then those that follow the checkpoint one by one are ready. The windows
-        # hold a batch's events of one origin.
-        sound = F.col("_own").eqNullSafe(F.col("event_id"))
+            new = new.unionByName(self._looked_at(self._states(before.batch, WAITING), verify))
+        # What follows needs an origin's events together: a batch's coordinates, and those that wait.
+        new = new.repartition(*ORIGIN).join(origins, list(ORIGIN), "left").filter(F.col("last").isNull() | (F.col("sequence") > F.col("last")))
+        # One of each coordinate, a sound one if there is one; then those that follow the checkpoint one by one are ready.
+        sound = F.col("sound") if verify else F.lit(True)
         once = new.withColumn("_rn", F.row_number().over(Window.partitionBy(*ORDER).orderBy(F.desc(sound.cast("int")), "event_id"))).filter("_rn = 1")
         w = Window.partitionBy(*ORIGIN).orderBy("sequence")
         follows = F.col("sequence") == F.coalesce("last", F.lit(0)) + F.row_number().over(w)
@@ -139,14 +166,13 @@ class Store:
         placed = once.withColumns({"_follows": follows, "_bad": follows & ~(sound & named) if verify else F.lit(False)})
         broken = F.bool_or("_bad").over(w.rowsBetween(Window.unboundedPreceding, 0))
         state = F.when(broken, REFUSED).when(F.col("_follows"), READY).otherwise(WAITING)
-        ready = placed.withColumn("state", state).drop("_rn", "_own", "_follows", "_bad", "last", "head")
-        _decoded(ready).write.mode("overwrite").partitionBy("state", "event_type").parquet(f"{self.folder}/staged/n={n}")
-        counts = {r.state: r["count"] for r in self._staged(n).groupBy("state").count().collect()}
+        placed.select(*_names(_STATES), state.alias("state")).write.mode("overwrite").partitionBy("state").parquet(f"{self.folder}/staged/n={n}")
+        counts = {r.state: r["count"] for r in self._states(n).groupBy("state").count().collect()}
         applied, waiting, refused = (counts.get(k, 0) for k in (READY, WAITING, REFUSED))
         if waiting and on_gap == "fail":
-            gaps = self._staged(n, WAITING).groupBy(*ORIGIN).agg(F.min("sequence").alias("first")).limit(5).collect()
+            gaps = self._states(n, WAITING).groupBy(*ORIGIN).agg(F.min("sequence").alias("first")).limit(5).collect()
             raise GapError("; ".join(f"{r.device_id}/{r.generation}: {r.first} came too early" for r in gaps))
-        heads = self._staged(n, READY).groupBy(*ORIGIN).agg(F.max("sequence").alias("last"), F.max_by("event_id", "sequence").alias("head"))
+        heads = self._states(n, READY).groupBy(*ORIGIN).agg(F.max("sequence").alias("last"), F.max_by("event_id", "sequence").alias("head"))
         every = origins.unionByName(heads).groupBy(*ORIGIN).agg(F.max_by("head", "last").alias("head"), F.max("last").alias("last"))
         self._write_origins(every.select(*ORIGIN, "last", "head"), n)
         runs = [*before.runs, f"staged/n={n}/state={READY}"] if applied else list(before.runs)
@@ -169,9 +195,38 @@ class Store:
         kinds = ", ".join(f"{_column(k)} struct<{T.StructType.fromDDL(d).simpleString()[7:-1]}>" for k, d in PAYLOADS.items())
         return f"{ENVELOPE}, {kinds}"
 
-    def _staged(self, n: int, state: str | None = None) -> DataFrame:
-        held = self.spark.read.schema(f"{self._schema()}, state string").parquet(f"{self.folder}/staged/n={n}")
-        return held if state is None else held.filter(F.col("state") == state).select(*[f.name for f in T.StructType.fromDDL(ENVELOPE).fields])
+    def _bring(self, came: DataFrame, n: int, verify: bool) -> None:
+        """Writes what batch n brings, no row of which travels."""
+        came = with_own_id(came, "_own").withColumn("sound", F.col("_own").eqNullSafe(F.col("event_id"))).drop("_own") if verify else came.withColumn("sound", F.lit(None).cast("boolean"))
+        _decoded(came.withColumn("row", F.monotonically_increasing_id())).write.mode("overwrite").partitionBy("event_type").parquet(f"{self.folder}/brought/home={n}")
+
+    def _brought(self, homes: list[int]) -> DataFrame:
+        """What batches brought: all columns of an envelope, the decoded kinds and the place."""
+        return self.spark.read.schema(f"{self._schema()}, sound boolean, home bigint, row bigint").option("basePath", f"{self.folder}/brought").parquet(*[f"{self.folder}/brought/home={h}" for h in homes])
+
+    def _states(self, n: int, state: str | None = None) -> DataFrame:
+        held = self.spark.read.schema(f"{_STATES}, state string").parquet(f"{self.folder}/staged/n={n}")
+        return held if state is None else held.filter(F.col("state") == state).drop("state")
+
+    def _looked_at(self, waiting: DataFrame, verify: bool) -> DataFrame:
+        """Waiting events with sound filled in, if it is asked for: those of batches that weren't verified have it null."""
+        unseen = waiting.filter("sound IS NULL")
+        if not verify or unseen.isEmpty():
+            return waiting
+        own = with_own_id(self._places(unseen).events().select(*_names(ENVELOPE), "home", "row"), "_own")
+        own = own.select("home", "row", F.col("_own").eqNullSafe(F.col("event_id")).alias("sound"))
+        return waiting.filter("sound IS NOT NULL").unionByName(unseen.drop("sound").join(own, ["home", "row"]))
+
+    def _places(self, states: DataFrame) -> Places:
+        held = states.groupBy("home", "event_type").count().collect()
+        places = states.select("event_type", "home", "row")
+        homes = sorted({r.home for r in held})
+        return Places(F.broadcast(places) if sum(r["count"] for r in held) <= FEW else places, self._brought(homes) if homes else None, {r.event_type for r in held})
+
+    def _staged(self, n: int, state: str) -> DataFrame:
+        """The events of a state after batch n, as they came."""
+        held = self._places(self._states(n, state))
+        return held.events().select(*_names(ENVELOPE)) if held.kinds else self.spark.createDataFrame([], ENVELOPE)
 
     # Runs and levels
 
@@ -187,35 +242,37 @@ class Store:
             if len(own) < self.fan:
                 return runs
             to = f"merged/level={level + 1}/n={n}"
+            lie = self._lie(own)
             for kind in PAYLOADS:
-                rows = thinned(kind, self._kind(own, kind))
+                rows = thinned(kind, self._kind(own, kind, lie))
                 key = THIN[kind][0] if kind in THIN else SORTED.get(kind, "event_id")
                 key = F.col(f"{LISTED[kind]}")[0] if kind in LISTED else F.col(key)
                 rows.hint("rebalance").sortWithinPartitions(key).write.mode("overwrite").parquet(f"{self.folder}/{to}/kinds/{_column(kind)}")
-            self._events(own).sortWithinPartitions(*ORDER).write.mode("overwrite").parquet(f"{self.folder}/{to}/events")
+            self._events(own, lie).sortWithinPartitions(*ORDER).write.mode("overwrite").parquet(f"{self.folder}/{to}/events")
             runs = [r for r in runs if r not in own] + [to]
             level += 1
 
-    def _events(self, runs: list[str]) -> DataFrame:
+    def _lie(self, runs: list[str]) -> list[Places]:
+        """Where the events of the runs lie that haven't been merged."""
+        return [self._places(self._states(int(r.split("n=")[1].split("/")[0]), READY)) for r in runs if not self._level(r)]
+
+    def _events(self, runs: list[str], lie: list[Places]) -> DataFrame:
         """The events of runs, as they came."""
         out = self.spark.createDataFrame([], ENVELOPE)
         columns = out.columns
-        for r in runs:
-            if self._level(r):
-                out = out.unionByName(self.spark.read.parquet(f"{self.folder}/{r}/events").select(columns))
-            else:
-                out = out.unionByName(self.spark.read.schema(ENVELOPE).option("basePath", f"{self.folder}/{r}").parquet(f"{self.folder}/{r}").select(columns))
+        for held in (x for x in lie if x.kinds):
+            out = out.unionByName(held.events().select(columns))
+        for r in (r for r in runs if self._level(r)):
+            out = out.unionByName(self.spark.read.parquet(f"{self.folder}/{r}/events").select(columns))
         return out
 
-    def _kind(self, runs: list[str], kind: str) -> DataFrame:
+    def _kind(self, runs: list[str], kind: str, lie: list[Places]) -> DataFrame:
         """The rows of a kind in runs, as ``fold.decoded`` gives them."""
-        rows = self.spark.read.schema(self._schema())
-        fields = [f.name for f in T.StructType.fromDDL(PAYLOADS[kind]).fields]
+        fields = _names(PAYLOADS[kind])
         picked = ("event_id", "actor", "task_id", F.col("wall_time").cast("timestamp").alias("created_at"), ordered().alias("_at"), *[F.col(f"{_column(kind)}.{f}").alias(f) for f in fields])
         out = self.spark.createDataFrame([], self._schema()).select(*picked)
-        plain = [r for r in runs if not self._level(r)]
-        for r in plain:
-            out = out.unionByName(rows.option("basePath", f"{self.folder}/{r}").parquet(f"{self.folder}/{r}").filter(F.col("event_type") == kind).select(*picked))
+        for held in (x for x in lie if kind in x.kinds):
+            out = out.unionByName(held.events(kind).select(*picked))
         for r in (r for r in runs if self._level(r)):
             out = out.unionByName(self.spark.read.schema(out.schema).parquet(f"{self.folder}/{r}/kinds/{_column(kind)}"))
         return out
@@ -238,7 +295,8 @@ class Store:
     def log(self) -> Decoded:
         """All applied events, decoded, for the functions of ``fold``."""
         runs = self.commit().runs
-        return Decoded(self._events(runs), {k: self._kind(runs, k) for k in PAYLOADS})
+        lie = self._lie(runs)
+        return Decoded(self._events(runs, lie), {k: self._kind(runs, k, lie) for k in PAYLOADS})
 
     def tables(self, objects: DataFrame | None = None) -> dict[str, DataFrame]:
         """All tables, as ``fold.project`` makes them from the same events."""
