@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recall_engine.operators.lexical import checked_broadcast
@@ -15,6 +16,10 @@ from recall_engine.operators.ranking import TERMS
 from recall_engine.params import PARAMS, Params
 
 
+#: So many places, 0 included, are counted in one array.
+_NEAR = 33
+
+
 def episodes(outcomes: DataFrame, explanations: DataFrame) -> DataFrame:
     """(episode, task_id, found, message_id, terms) from found outcomes and what was explained of their retrieval.
     explanations: interaction_id, message_id and a column for each term."""
@@ -62,7 +67,10 @@ def found_ranks(eps: DataFrame, grid: DataFrame) -> DataFrame:
 
 def place_counts(eps: DataFrame, grid: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(grid_id, by, place, n): in how many episodes each place comes up, as ``found_ranks`` has them. An episode's candidates
-    meet all weight vectors in one task, so only counts are shuffled; the grid has a fixed size."""
+    meet all weight vectors in one task, so only counts are shuffled; the grid has a fixed size.
+
+    How far each candidate is ahead of what was found is one product of matrices in single precision. Where that is nearer to zero
+    than rounding may account for, the vector's scores are made again in double precision, term by term, as ``found_ranks`` makes them."""
     held = grid.select("grid_id", *[f"w_{t}" for t in TERMS]).toPandas()
     ids, w = held["grid_id"].to_numpy(np.int64), held[[f"w_{t}" for t in TERMS]].to_numpy(np.float64).T
     own = F.coalesce(F.col("message_id") == F.col("found"), F.lit(False)).alias("own")
@@ -72,24 +80,60 @@ def place_counts(eps: DataFrame, grid: DataFrame, by: tuple[str, ...] = ()) -> D
     part = F.col("c").getField
     listed = listed.select(flag.alias("_by"), F.transform(part("message_id"), lambda x: F.array_position(part("message_id"), x)).alias("order"), part("own").alias("own"), *[part(t).alias(t) for t in TERMS])
 
+    weighed = w.any(1)  # terms that weigh nothing in any vector
+    single, most_weight = np.ascontiguousarray(w[weighed], np.float32), float(np.abs(w).sum(0).max(initial=0.0))
+
+    def scores(x: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        out = x[0][:, None] * w[0][at]
+        for i in range(1, len(TERMS)):
+            out += x[i][:, None] * w[i][at]
+        return out
+
+    def places(x: np.ndarray, own: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """x: a row for each term. One more than the number of candidates before the found one, 0 without it; nulls are nan."""
+        first = np.flatnonzero(own)
+        if not len(first):
+            return np.zeros(len(ids), np.int64)
+        size = np.abs(x).max() * most_weight
+        if len(first) == 1 and 1e-30 < size < 1e30:
+            ahead = (np.delete(x, first, 1) - x[:, first])[weighed].T.astype(np.float32) @ single
+            slack = np.float32(size * 1e-5)
+            least = np.add.reduce((ahead > slack).view(np.int8), 0, np.int64 if len(own) > 100 else np.int8)
+            most = np.add.reduce((ahead >= -slack).view(np.int8), 0, least.dtype)
+            at = np.flatnonzero(least != most)
+            place = least + least.dtype.type(1)
+        else:
+            at, place = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        if len(at):
+            score = scores(x, at)
+            f = score[own].max(0)
+            before = (score > f) | (score == f) & (order < order[first[0]])[:, None]
+            place[at] = before.sum(0) + 1
+        return place
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[bool, int], np.ndarray] = {}
+        near: dict[bool, np.ndarray] = {}  # by flag: a row for each of the first places, 0 included
+        far: dict[tuple[bool, int], np.ndarray] = {}
+        column = np.arange(len(ids))
         for b in batches:
-            for e in b.to_pylist():
-                x = np.array([e[t] for t in TERMS], np.float64)
-                score = x[0][:, None] * w[0]
-                for i in range(1, len(TERMS)):
-                    score += x[i][:, None] * w[i]
-                own, order = np.array(e["own"], bool), np.array(e["order"])
-                place = np.zeros(len(ids), np.int64)
-                if own.any():
-                    f = score[own].max(0)
-                    before = (score > f) | (score == f) & (order < order[own][0])[:, None]
-                    place = before.sum(0) + 1
+            parts = [b.column(i) for i in range(b.num_columns)]
+            lengths = np.asarray(pc.list_value_length(parts[1]), np.int64)
+            flat = [c.flatten().to_numpy(zero_copy_only=False) for c in parts[1:]]
+            orders, owns, x = flat[0], flat[1].astype(bool), np.array(flat[2:], np.float64)
+            for flag, to, n in zip(parts[0].to_pylist(), np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+                own = slice(to - n, to)
+                place = places(x[:, own], owns[own], orders[own])
+                if flag not in near:
+                    near[flag] = np.zeros((_NEAR, len(ids)), np.int64)
+                held = near[flag]
+                if n < _NEAR:
+                    held.reshape(-1)[place * np.int64(len(ids)) + column] += 1
+                    continue
                 for k in np.unique(place).tolist():
-                    at = seen.setdefault((e["_by"], k), np.zeros(len(ids), np.int64))
+                    at = held[k] if k < _NEAR else far.setdefault((flag, k), np.zeros(len(ids), np.int64))
                     at += place == k
-        for (flag, k), n in seen.items():
+        every = [(flag, k, n) for flag, held in near.items() for k, n in enumerate(held)] + [(flag, k, n) for (flag, k), n in far.items()]
+        for flag, k, n in every:
             has = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array([flag] * len(has), pa.bool_()), pa.array([k] * len(has), pa.int64()), pa.array(n[has])], names=["grid_id", "_by", "place", "n"])
 
@@ -97,20 +141,27 @@ def place_counts(eps: DataFrame, grid: DataFrame, by: tuple[str, ...] = ()) -> D
     return counted.withColumnRenamed("_by", by[0]) if by else counted.drop("_by")
 
 
+def _figures(listed: str, prefix: str = "") -> list[Column]:
+    """success_at_5, mrr and the number of episodes, from an array of (place, n); null if it is empty."""
+    n = F.aggregate(listed, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    hit = F.aggregate(F.filter(listed, lambda x: x["place"].between(1, 5)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    gain = F.aggregate(F.filter(listed, lambda x: x["place"] > 0), F.lit(0.0), lambda a, x: a + x["n"] / x["place"])
+    some = F.size(listed) > 0
+    return [F.when(some, hit / n).alias(f"{prefix}success_at_5"), F.when(some, gain / n).alias(f"{prefix}mrr"), n.alias(f"{prefix}episodes")]
+
+
 def evaluate_counts(counts: DataFrame) -> DataFrame:
     """What ``evaluate`` gives, from counts of places, summed in order of place, so that equal counts tie."""
-    listed = counts.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("_c"), F.sum("n").alias("episodes"), F.sum(F.when(F.col("place").between(1, 5), F.col("n")).otherwise(0)).alias("_hit"))
-    gain = F.aggregate(F.filter("_c", lambda x: x["place"] > 0), F.lit(0.0), lambda a, x: a + x["n"] / x["place"])
-    return listed.select("grid_id", (F.col("_hit") / F.col("episodes")).alias("success_at_5"), (gain / F.col("episodes")).alias("mrr"), "episodes")
+    return counts.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("_c")).select("grid_id", *_figures("_c"))
 
 
 def calibrate_fine(eps: DataFrame, grid: DataFrame, every: int = PARAMS.holdout_every) -> DataFrame:
-    """What ``calibrate`` gives, for grids of thousands of vectors."""
-    counts = place_counts(holdout(eps, every), grid, ("holdout",))
-    best = evaluate_counts(counts.filter(~F.col("holdout"))).orderBy(F.desc("success_at_5"), F.desc("mrr"), "grid_id").limit(1)
-    held = evaluate_counts(counts.filter("holdout")).select("grid_id", F.col("success_at_5").alias("holdout_success_at_5"), F.col("mrr").alias("holdout_mrr"))
+    """What ``calibrate`` gives, for grids of thousands of vectors. Places are counted once for training and held-out episodes."""
+    each = F.struct("place", "n")
+    both = place_counts(holdout(eps, every), grid, ("holdout",)).groupBy("grid_id").agg(*[F.array_sort(F.collect_list(F.when(which, each))).alias(c) for c, which in (("_c", ~F.col("holdout")), ("_h", F.col("holdout")))])
+    best = both.filter(F.size("_c") > 0).select("grid_id", *_figures("_c"), *_figures("_h", "holdout_")).drop("holdout_episodes").orderBy(F.desc("success_at_5"), F.desc("mrr"), "grid_id").limit(1)
     enough = eps.agg(F.count_distinct("episode").alias("_n")).filter("_n >= 8")
-    return best.join(held, "grid_id", "left").join(grid, "grid_id").crossJoin(enough)
+    return best.join(grid, "grid_id").crossJoin(enough)
 
 
 def evaluate(ranks: DataFrame, by: tuple[str, ...] = ("grid_id",)) -> DataFrame:
