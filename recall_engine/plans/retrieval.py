@@ -77,30 +77,36 @@ def _ranked(half: float, w, source: str, uniform: bool = False) -> str:
     CASE WHEN pinned THEN 1.0 WHEN confirmed THEN 0.6 ELSE 0.0 END::DOUBLE AS i, coalesce(novelty, 0)::DOUBLE AS n FROM {source}))"""
 
 
-def _index_of(m: Model, name: str, *parts: DataFrame, id_col: str = "revision_id") -> index.Index:
+def _index_of(m: Model, name: str, *parts: DataFrame, id_col: str = "revision_id", only: str | None = None) -> index.Index:
     """The index of a derived table, each part a batch. It is named by the files that the table comes from and by how
-    it is derived and indexed, so it is built once for them, in the shared folder, and later queries find it."""
+    it is derived and indexed, so it is built once for them, in the shared folder, and later queries find it. One that is asked for
+    words or trigrams only is built with these alone, if there is no whole one yet."""
     files = m.spark.read.parquet(f"{m.dir}/documents.parquet").select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").cast("decimal(38,0)").alias("h"))
     how = inspect.getsource(getattr(Model, name)) + inspect.getsource(index)
     mark = files.agg(F.sha2(F.concat(F.sum("h").cast("string"), F.lit(how)), 256)).first()[0]
     folder = f"{shared_folder(m.spark)}/index-4-{name}-{mark}"
-    held = index.find(m.spark, folder, id_col, tuple(range(len(parts))))
+    batches = tuple(range(len(parts)))
+    held = index.find(m.spark, folder, id_col, batches)
+    if held is None and only:
+        folder = f"{folder}-{only}"
+        held = index.find(m.spark, folder, id_col, batches)
     if held is None:
         for i, part in enumerate(parts):
-            index.write(part, folder, i, id_col)
+            index.write(part, folder, i, id_col, parts=(only,) if only else index.PARTS)
         held = index.read(m.spark, folder, id_col)
     return held
 
 
-def stored(m: Model) -> index.Index:
+def stored(m: Model, only: str | None = None) -> index.Index:
     """An index of the revisions, written in two batches: older revisions came first."""
     revisions = m.revisions()
-    return _index_of(m, "revisions", revisions.filter("revision_id % 10 = 0"), revisions.filter("revision_id % 10 <> 0"))
+    return _index_of(m, "revisions", revisions.filter("revision_id % 10 = 0"), revisions.filter("revision_id % 10 <> 0"), only=only)
 
 
 def stored_derivatives(m: Model) -> index.Index:
+    """An index of attachments' texts; nobody asks for terms within their words."""
     live = m.derivatives().filter("status = 'ok'")
-    return _index_of(m, "derivatives", live, id_col="derivative_id")
+    return _index_of(m, "derivatives", live, id_col="derivative_id", only="words")
 
 
 def corpus(m: Model, salient: DataFrame | None = None) -> retrieve.Corpus:
@@ -148,7 +154,7 @@ FROM scored JOIN messages ON head_revision_id = revision_id WHERE NOT retracted)
 def trigram_search(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
     asked = spark.createDataFrame(list(_TRI), "query_id int, query string")
-    return lexical.substring_search(m.messages(), m.revisions(), asked, index=stored(m)).select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
+    return lexical.substring_search(m.messages(), m.revisions(), asked, index=stored(m, "grams")).select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_tables("messages attachments derivatives queries", "SELECT * FROM dr", terms=_TERMS, deriv=_DERIV, dr=_DERIV_RANKED))
