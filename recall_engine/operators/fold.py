@@ -44,9 +44,9 @@ class Raw:
     def groupBy(self, *by):
         return self.events.groupBy(*by)
 
-    def kind(self, kind: str) -> DataFrame:
+    def kind(self, kind: str, more: dict[str, Column]) -> DataFrame:
         """Ids are held as structs, which are equal where both ids are null."""
-        own = _fields(self.raw.filter(F.col("event_type") == kind), kind, F.struct("event_id").alias("_k"), F.struct(*ORDER, "event_type").alias("_own"))
+        own = _fields(self.raw.filter(F.col("event_type") == kind), kind, F.struct("event_id").alias("_k"), F.struct(*ORDER, "event_type").alias("_own")).withColumns(more)
         return own.join(self.counted, "_k").filter(F.col("_own") == F.col("_c")).dropDuplicates(["_k"]).drop("_k", "_own", "_c")
 
 
@@ -66,11 +66,13 @@ def _fields(own: DataFrame, kind: str, *more: Column) -> DataFrame:
     return own.withColumn("_p", F.from_json("payload", PAYLOADS[kind])).withColumn("_at", ordered()).select("event_id", "actor", "task_id", F.col("wall_time").cast("timestamp").alias("created_at"), "_at", *more, "_p.*")
 
 
-def decoded(events: Log, kind: str) -> DataFrame:
-    """Events of one kind with their payload's fields; what can't be read has nulls."""
-    if isinstance(events, Decoded):
-        return events.kinds[kind]
-    return events.kind(kind) if isinstance(events, Raw) else _fields(events.filter(F.col("event_type") == kind), kind)
+def decoded(events: Log, kind: str, **more: Column) -> DataFrame:
+    """Events of one kind with their payload's fields; what can't be read has nulls. more: columns made of these fields where the event
+    lies, so that what is asked of a list can travel without the list."""
+    if isinstance(events, Raw):
+        return events.kind(kind, more)
+    own = events.kinds[kind] if isinstance(events, Decoded) else _fields(events.filter(F.col("event_type") == kind), kind)
+    return own.withColumns(more)
 
 
 def first_by(df: DataFrame, key: str) -> DataFrame:
@@ -83,31 +85,42 @@ def last_by(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def published(events: Log) -> DataFrame:
+    """The first publication of each message. Those that have a message id are the rows of messages, without heads, which need all revisions."""
+    return first_by(decoded(events, "message.publish"), "message_id")
+
+
 def messages_and_revisions(events: Log) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(messages, revisions, revision_parents). The head is the last revision of the last revise event."""
-    published = first_by(decoded(events, "message.publish"), "message_id")
-    revised = decoded(events, "message.revise_body").join(published.select("message_id"), "message_id", "left_semi")
-    each = revised.select("message_id", "created_at", "_at", F.posexplode("revisions").alias("_i", "_r")).select("message_id", "created_at", "_at", "_i", "_r.*")
+    """(messages, revisions, revision_parents). The head is the last revision of the last revise event. Heads and parents are told from
+    names alone; bodies travel for revisions only."""
+    first = published(events)
+    names = F.transform("revisions", lambda r: F.struct(r["revision_id"].alias("revision_id"), r["parents"].alias("parents")))
+    revised = decoded(events, "message.revise_body", _names=names).join(first.select("message_id"), "message_id", "left_semi")
+    own = first.select("message_id", "created_at", "_at", F.lit(-1).alias("_i"), "revision_id", F.array().cast("array<string>").alias("parents"), "body_hash", "body", "body_len")
+
+    def every(listed: str, *cols: str) -> DataFrame:
+        each = revised.select("message_id", "created_at", "_at", F.posexplode(listed).alias("_i", "_r")).select("message_id", "created_at", "_at", "_i", "_r.*")
+        return own.select(*cols).unionByName(each.select(*cols))
+
     gone = decoded(events, "message.retract").groupBy("message_id").agg(F.min_by("event_id", "_at").alias("retract_event_id"))
-    own = published.select("message_id", "created_at", "_at", F.lit(-1).alias("_i"), "revision_id", F.array().cast("array<string>").alias("parents"), "body_hash", "body", "body_len")
-    revisions = own.unionByName(each.select(own.columns))
-    heads = revisions.groupBy("message_id").agg(F.max_by("revision_id", F.struct("_at", "_i")).alias("head_revision_id"))
+    named = every("_names", "message_id", "_at", "_i", "revision_id", "parents")
+    heads = named.groupBy("message_id").agg(F.max_by("revision_id", F.struct("_at", "_i")).alias("head_revision_id"))
     messages = (
-        published.join(heads, "message_id")
+        first.join(heads, "message_id")
         .join(gone, "message_id", "left")
         .select("message_id", "event_id", F.col("actor").alias("sender"), "task_id", "created_at", "declared_priority", "text_class", "thread_id", "reply_to", "head_revision_id", F.col("retract_event_id").isNotNull().alias("retracted"), "retract_event_id")
     )
-    parents = revisions.select("revision_id", F.posexplode("parents").alias("ord", "parent_revision_id"))
-    return messages, revisions.select("revision_id", "message_id", "created_at", "body_hash", "body", "body_len"), parents
+    parents = named.select("revision_id", F.posexplode("parents").alias("ord", "parent_revision_id"))
+    return messages, every("revisions", "revision_id", "message_id", "created_at", "body_hash", "body", "body_len"), parents
 
 
 def recipients(events: Log) -> DataFrame:
-    return first_by(decoded(events, "message.publish"), "message_id").select("message_id", F.explode("recipients").alias("view")).distinct()
+    return published(events).select("message_id", F.explode("recipients").alias("view")).distinct()
 
 
 def attachments(events: Log) -> DataFrame:
     """One row for each message and object; no durability counts as normal."""
-    each = first_by(decoded(events, "message.publish"), "message_id").select("message_id", F.posexplode("attachments").alias("_i", "_a")).select("message_id", "_i", "_a.*")
+    each = published(events).select("message_id", F.posexplode("attachments").alias("_i", "_a")).select("message_id", "_i", "_a.*")
     w = Window.partitionBy("message_id", "object_hash").orderBy("_i")
     return each.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("message_id", "object_hash", "byte_len", "mime", "filename", F.coalesce("durability", F.lit("normal")).alias("durability"))
 
@@ -229,7 +242,8 @@ def project(events: Log, objects: DataFrame | None = None) -> dict[str, DataFram
     log = Raw(events) if isinstance(events, DataFrame) else events
     messages, revisions, parents = messages_and_revisions(log)
     made, bad_topics = topics(log)
-    links, bad_links = topic_links(log, messages, made)
+    there = published(log).select("message_id", "event_id")
+    links, bad_links = topic_links(log, there, made)
     subs, bad_subs = subscriptions(log)
     return {
         "events": log.events,
@@ -245,7 +259,7 @@ def project(events: Log, objects: DataFrame | None = None) -> dict[str, DataFram
         "signals": signals(log),
         "derivatives": derivatives(log),
         "subscriptions": subs,
-        "parked_events": parked(log, messages, bad_topics, bad_links, bad_subs),
+        "parked_events": parked(log, there, bad_topics, bad_links, bad_subs),
         "checkpoint": checkpoints(log),
         "index": index_texts(revisions, objects),
     }
