@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recall_engine.functions.text import words
 from recall_engine.params import PARAMS, Params
+from recall_engine.sources.files import checkpointed
 
 if TYPE_CHECKING:
     from recall_engine.operators.index import Index
@@ -98,7 +99,7 @@ def word_search(messages: DataFrame, revisions: DataFrame, queries: DataFrame, k
 def substring_search(messages: DataFrame, revisions: DataFrame, queries: DataFrame, k: int = PARAMS.candidates, include_retracted: bool = False, least: int = 3, p: Params = PARAMS, index: Index | None = None) -> DataFrame:
     """(query_id, message_id, score, rank): every term of at least three code points occurs in the text, whatever
     the case; BM25 over occurrences, with the number of trigrams as length. Accents count. A stored index of the revisions
-    finds the texts that have a term's trigrams; without one, every text is searched."""
+    finds the texts that have a rare term's trigrams; without one, or without trigrams in it, every text is searched."""
     terms = queries.select("query_id", F.posexplode(F.filter(F.split(F.lower("query"), r"\s+", -1), lambda x: F.char_length(x) >= least)).alias("phrase", "term"))
     terms = terms.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     # occurrences may overlap, as those of a phrase of trigrams do; only those of a term that ends as it begins can
@@ -115,6 +116,7 @@ def substring_search(messages: DataFrame, revisions: DataFrame, queries: DataFra
     plain = F.floor((F.octet_length("_low") - F.octet_length(F.replace(F.col("_low"), F.col("term"), F.lit("")))) / F.octet_length("term"))
     tf = found.withColumn("tf", F.when(F.col("_selfish"), F.regexp_count("_low", F.col("_at_each"))).otherwise(plain).cast("long"))
     tf = tf.select("query_id", "phrase", "phrases", "revision_id", "doc_len", "tf").repartition("revision_id")  # made once for both uses
+    tf = tf if index is None else checkpointed(tf)
     df = document_frequency(tf, "revision_id")
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(p.least_idf)).otherwise(raw)

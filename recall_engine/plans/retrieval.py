@@ -110,13 +110,15 @@ def stored_derivatives(m: Model) -> index.Index:
 
 
 def corpus(m: Model, salient: DataFrame | None = None) -> retrieve.Corpus:
-    return retrieve.Corpus(m.messages(), m.revisions(), m.vectors(), salient, m.attachments(), m.derivatives(), stored(m), stored_derivatives(m))
+    """An index of trigrams that isn't there yet costs more than a batch of requests saves by it: terms within words are looked for in the
+    index's texts."""
+    return retrieve.Corpus(m.messages(), m.revisions(), m.vectors(), salient, m.attachments(), m.derivatives(), stored(m, "words"), stored_derivatives(m))
 
 
 @query(with_tables("messages revisions queries", "SELECT query_id, message_id, round(score, 6) AS score, rank FROM lex", **_LEX_CTES))
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     m = Model(spark, d)
-    return lexical.word_search(m.messages(), m.revisions(), m.queries(), index=stored(m)).select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
+    return lexical.word_search(m.messages(), m.revisions(), m.queries(), index=stored(m, "words")).select("query_id", "message_id", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -131,7 +133,7 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
 )
 def phrase_search(spark: SparkSession, d: str) -> DataFrame:
     """Words joined by a full stop are a phrase: next to each other."""
-    held = stored(Model(spark, d))
+    held = stored(Model(spark, d), "words")
     asked = spark.sql("SELECT 1 AS query_id, 'of.the and' AS query")
     return lexical.bm25(held, held.word_stats(), asked).select("query_id", "revision_id", r6("score", "score"))
 
@@ -225,7 +227,7 @@ def golden_benchmark(spark: SparkSession, d: str) -> DataFrame:
     asked = items.select("query_id", F.array_join(words(F.col("text")), " ").alias("query"))
     judged = m.raw("documents").select(F.col("doc_id").alias("message_id"), F.col("text").alias("_t")).join(lexical.checked_broadcast(items.filter("text IS NOT NULL")), F.contains("_t", "text")).select("query_id", "message_id")
     judged = checkpointed(judged)
-    found = lexical.word_search(m.messages(), m.revisions(), asked, index=stored(m)).join(judged, ["query_id", "message_id"])
+    found = lexical.word_search(m.messages(), m.revisions(), asked, index=stored(m, "words")).join(judged, ["query_id", "message_id"])
     first = judged.select("query_id").distinct().join(found.groupBy("query_id").agg(F.min("rank").alias("first")), "query_id", "left")
     gain = F.when(F.col("first") <= 10, 1.0 / F.col("first")).otherwise(0.0)
     return first.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("first") <= 5).alias("success_at_5"), F.round(F.coalesce(F.avg(gain), F.lit(0.0)), 6).alias("mrr_at_10"))
