@@ -6,10 +6,12 @@ for copies, which share one node.
 
 1. One scan gives each document's set size and set digest, and a count table of shingles (fixed size, summed over all
    documents by way of the shuffle). Rare shingles, by this table, come first in one global order.
-2. A second scan sends, for each distinct set, its first n - ceil(t n) + 1 shingles in that order: two sets that link
-   share one of them. They travel as packed arrays to buckets by shingle. Shingles that only one prefix has bound the
-   size that a partner can have; the connected components of the sets that share a shingle and may link by size are
-   the candidate groups.
+2. A second scan sends, for each distinct set, signatures of its first shingles in that order: two sets that link share one
+   of them. A signature is a pair of shingles that follow each other in the order of the set, of the first half of it; so sets
+   that have single shingles in common by chance, as ever more have in a larger corpus, don't meet. (Below a similarity of
+   3/4 sets that link needn't share a pair; there a signature is one of the first n - ceil(t n) + 1 shingles.) They travel as
+   packed arrays to buckets by signature. Signatures that only one prefix has bound the size that a partner can have; the
+   connected components of the sets that share a signature and may link by size are the candidate groups.
 3. The texts of each candidate group come together once. Shingles are hashed into 64 to 1024 groups; the counts of a set are
    a point, and an R-tree over the points bounds the overlap of a set with all sets below a node by the sum of the
    coordinate minima. Pairs that survive are verified on the shingle sets, unless links found before join them already.
@@ -128,6 +130,11 @@ def _decimals(d: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(38, 0), len(d), [valid, pa.py_buffer(np.ascontiguousarray(d, np.int64).tobytes())])
 
 
+def _names(low: np.ndarray) -> np.ndarray:
+    """Low halves of digests as numbers of their own, of which ``_decimals`` makes decimals."""
+    return np.stack([low, np.zeros_like(low)], axis=1)
+
+
 def _dense(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digests as places among the distinct ones, and these."""
     order = np.argsort(d[:, 0], kind="stable")
@@ -285,8 +292,8 @@ class Cell:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows of documents (id, text hash, set size, digest) and rows of the count table (chunk, counts)."""
-    fields = [T.StructField("_id", docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in ("_th", "_n")] + [T.StructField("_set", NODE), T.StructField("_chunk", T.IntegerType()), T.StructField("_counts", T.BinaryType())]
+    """Rows of documents (id, text hash, set size, digest, name of the set) and rows of the count table (chunk, counts)."""
+    fields = [T.StructField("_id", docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in ("_th", "_n")] + [T.StructField("_set", NODE), T.StructField("_name", NODE), T.StructField("_chunk", T.IntegerType()), T.StructField("_counts", T.BinaryType())]
     schema = T.StructType(fields)
     kind = pa.null()
 
@@ -301,12 +308,12 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 seen += np.bincount((np.concatenate(sets) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 n += [len(s) for s in sets]
                 digest += [set_digest(s) if len(s) else None for s in sets]
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), _decimals(*_digests(digest)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=schema.names)
+            k, (d, none) = len(n), _digests(digest)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), _decimals(d, none), _decimals(_names(d[:, 0]), none), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=schema.names)
         if seen.any():
             chunks = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in seen.reshape(-1, CHUNK)]
             k = len(chunks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.decimal128(38, 0))), pa.array(range(k), pa.int32()), pa.array(chunks, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.decimal128(38, 0))), pa.array(range(k), pa.int32()), pa.array(chunks, pa.binary())], names=schema.names)
 
     return docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.col(text_col)).mapInArrow(run, schema)
 
@@ -328,11 +335,37 @@ def _count_table(scanned: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles of a set of which a linked set must have one: the rarest n - ceil(n num / den) + 1."""
-    keep = len(s) - -(-len(s) * num // den) + 1
-    rare = counts[(s & _U(COUNTERS - 1)).astype(np.int64)]
-    return s[np.lexsort((s, rare))[:keep]]
+def _paired(num: int, den: int) -> bool:
+    """Whether sets that link share two shingles that follow each other in both. They have at least num / (den - num) shingles in common for
+    each one that only one of them has; with three for one, some two must be neighbours, with fewer each could stand alone."""
+    return num >= 3 * (den - num)
+
+
+def n_signatures(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many signatures sets of n shingles send. Of pairs: until two common shingles are neighbours, one that only one set has follows each
+    common one. A set with x shingles of its own and n - x in common has at most e = (n - x) (den - num) / num such ones on both sides,
+    so e + x of its shingles stand before those two, which is most for the largest x that e allows. None if the set can link with none but itself."""
+    n = np.asarray(n, np.int64)
+    if not _paired(num, den):
+        return n + (-(n * num) // den) + 1
+    own = n * (den - num) // den
+    either = (n - own) * (den - num) // num
+    return np.where(either > 0, np.minimum(either + own + 1, n - 1), 0)
+
+
+def signatures(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of which a linked set must have one, told from the rarest shingles of a set."""
+    keep = int(n_signatures(len(s), num, den))
+    first = s[np.lexsort((s, counts[(s & _U(COUNTERS - 1)).astype(np.int64)]))[: keep + 1]]
+    return _mix(_mix(first[:-1]) * _BASE + first[1:]) if _paired(num, den) else _mix(first[:keep])
+
+
+def _largest(n: np.ndarray, unmet: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The largest set that may link with one of n shingles whose prefix ends first and of whose signatures the other lacks so many. A shingle of
+    its own costs it two pairs at most, one of the other's costs it one: common <= (2 n + other - unmet) / 3."""
+    if _paired(num, den):
+        return ((2 * den - num) * n - (num + den) * unmet) // (2 * num - den)
+    return ((num + den) * (n - unmet)) // num - n
 
 
 _ENTRY = (("_h", np.uint32), ("_d", np.int64), ("_n", np.uint32), ("_u", np.uint32))
@@ -353,17 +386,16 @@ def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray, name: str, **fix
 
 def _unpacked(t: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
     kinds = dict(_ENTRY)
-    out = [np.concatenate([np.frombuffer(x, kinds[n]) for x in t[n].to_pylist()]) for n in names]
-    return [x.reshape(-1, 2) if n == "_d" else x for n, x in zip(names, out, strict=True)]
+    return [np.concatenate([np.frombuffer(x, kinds[n]) for x in t[n].to_pylist()]) for n in names]
 
 
 def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int, width: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of digests: a forest over the sets that share a shingle of their prefixes and may link.
+    """Pairs (a, b) of sets, named by the low halves of their digests: a forest over the sets that share a signature and may link.
 
-    Entries of shingle, set and set size go to buckets by shingle. Those that met another set there go on to buckets by
-    set, where each set learns how many of its prefix's shingles no other prefix has, and back. Of two sets, let x be the
-    one whose prefix ends first in the common order: what only x's prefix has can't be in the other set at all, so
-    with u such shingles the other's size is at most (num + den) (n - u) / num - n, and that leaves few.
+    Entries of signature, set and set size go to buckets by signature. Those that met another set there go on to buckets by
+    set, where each set learns how many of its signatures no other set has, and back. Of two sets, let x be the one whose
+    prefix ends first in the common order: signatures that only x has can't be in the other set at all, so the more there are,
+    the smaller the other one must be, and that leaves few. Sets of one name would be one candidate, which loses no link.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers of four bytes
 
@@ -376,7 +408,7 @@ def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int,
         def flush() -> pa.RecordBatch:
             h = np.concatenate(held)
             bucket = ((h >> _U(32)) % _U(buckets)).astype(np.int64)
-            d = np.repeat(_digests(owner)[0], [len(x) for x in held], axis=0)
+            d = np.repeat(_digests(owner)[0][:, 0], [len(x) for x in held])
             out = _packed({"_h": h.astype(np.uint32), "_d": d, "_n": np.concatenate(size)}, bucket, "_bucket")
             held.clear()
             owner.clear()
@@ -386,9 +418,9 @@ def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int,
         for b in batches:
             for _, part in _slices(b.column(0).to_pylist()):
                 for s in shingle_sets(part, width):
-                    if len(s) and (digest := set_digest(s)) not in known:
+                    if len(s) and (digest := set_digest(s)) not in known and n_signatures(len(s), num, den):
                         known.add(digest)
-                        held.append(_mix(prefix(s, shared.value, num, den)))
+                        held.append(signatures(s, shared.value, num, den))
                         owner.append(digest)
                         size.append(np.full(len(held[-1]), len(s), np.uint32))
                 if sum(map(len, held)) > 2_000_000:
@@ -399,34 +431,34 @@ def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int,
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        """Entries whose shingle another set has too, once each."""
+        """Entries whose signature another set has too, once each."""
         h, d, n = _unpacked(t, ("_h", "_d", "_n"))
-        _, at = np.unique(h.astype(np.uint64) << _U(32) | _dense(d)[0].astype(np.uint64), return_index=True)
+        _, at = np.unique(h.astype(np.uint64) << _U(32) | np.unique(d, return_inverse=True)[1].astype(np.uint64), return_index=True)
         h, d, n = h[at], d[at], n[at]
         same = h[1:] == h[:-1]
         met = np.append(same, False) | np.append(False, same)
         h, d, n = h[met], d[met], n[met]
-        return pa.Table.from_batches([_packed({"_h": h, "_d": d, "_n": n}, (d[:, 0] % buckets).astype(np.int64), "_to", _bucket=t["_bucket"][0].as_py())])
+        return pa.Table.from_batches([_packed({"_h": h, "_d": d, "_n": n}, d % buckets, "_to", _bucket=t["_bucket"][0].as_py())])
 
     def tally(t: pa.Table) -> pa.Table:
-        """The same entries with the number of shingles of the set's prefix that none but it has."""
+        """The same entries with the number of the set's signatures that none but it has."""
         h, d, n = _unpacked(t, ("_h", "_d", "_n"))
         bucket = np.repeat(t["_bucket"].to_numpy(), [len(x) // 4 for x in t["_h"].to_pylist()])
-        which, _ = _dense(d)
-        length = n.astype(np.int64)
-        unmet = length + (-(length * num) // den) + 1 - np.bincount(which)[which] if len(which) else length
+        which = np.unique(d, return_inverse=True)[1]
+        unmet = n_signatures(n, num, den) - (np.bincount(which)[which] if len(which) else 0)
         return pa.Table.from_batches([_packed({"_h": h, "_d": d, "_n": n, "_u": np.maximum(unmet, 0).astype(np.uint32)}, bucket, "_bucket")])
 
     def link(t: pa.Table) -> pa.Table:
-        """A forest over the sets of each shingle, by the sizes that each may link with. Members lie in order of size, so
+        """A forest over the sets of each signature, by the sizes that each may link with. Members lie in order of size, so
         whom a set may link with is a run of them, and joining neighbours in the run joins it all."""
         h, d, n, u = _unpacked(t, ("_h", "_d", "_n", "_u"))
-        d, digests = _dense(d)
+        names, d = np.unique(d, return_inverse=True)
+        names = _names(names)
         order = np.lexsort((d, n, h))
         h, d, n, u = h[order], d[order], n[order].astype(np.int64), u[order].astype(np.int64)
         block = np.cumsum(np.append(0, h[1:] != h[:-1])) << 33
         least = -(-n * num // den)
-        most = np.maximum(np.minimum(n * den // num, ((num + den) * (n - u)) // num - n), 0)
+        most = np.maximum(np.minimum(n * den // num, _largest(n, u, num, den)), 0)
         lo, hi = np.searchsorted(block + n, block + least, "left"), np.searchsorted(block + n, block + most, "right")
         may = hi > lo
         cover = np.zeros(len(h) + 1, np.int64)
@@ -438,7 +470,7 @@ def _meetings(docs: DataFrame, text_col: str, counts: np.ndarray, buckets: int,
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         nodes, ends = np.unique(pairs, return_inverse=True)
         a, b = _forest(len(nodes), ends.reshape(-1, 2))
-        return pa.Table.from_arrays([_decimals(digests[nodes[a]]), _decimals(digests[nodes[b]])], schema=pa.schema([("a", pa.decimal128(38, 0)), ("b", pa.decimal128(38, 0))]))
+        return pa.Table.from_arrays([_decimals(names[nodes[a]]), _decimals(names[nodes[b]])], schema=pa.schema([("a", pa.decimal128(38, 0)), ("b", pa.decimal128(38, 0))]))
 
     entries = docs.select(F.col(text_col)).mapInArrow(send, "_bucket long, _h binary, _d binary, _n binary")
     met = entries.groupBy("_bucket").applyInArrow(meet, "_to long, _bucket long, _h binary, _d binary, _n binary")
@@ -690,7 +722,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: id_col, n_shingles, component_id (the least id that links reach, its own included), and
     with text_hash the xxhash64 of the text (null as empty) in _th, which tells rows of one id apart."""
     scanned = checkpointed(_scan(docs, id_col, text_col, width))
-    rows = scanned.filter("_chunk IS NULL").select("_id", "_th", "_n", "_set")
+    rows = scanned.filter("_chunk IS NULL").select("_id", "_th", "_n", "_set", "_name")
     counts = _count_table(scanned)
     buckets = max(12, -(-rows.count() // docs_per_bucket))
     met = components(_meetings(docs, text_col, counts, buckets, width, num, den))
@@ -698,10 +730,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One text for each set that met another: the one of the least id and text hash. Its group's number of parts goes along
     # where the group is more than a cell; rows of one group are dealt to SALTS parts for that.
     key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_key")
-    chosen = rows.filter("_set IS NOT NULL").groupBy("_set").agg(F.min(F.struct("_id", "_th")).alias("_at"), F.min("_n").alias("_n"))
-    wanted = checkpointed(met.join(chosen, met["node"] == chosen["_set"]).select("root", "node", "_n", key(F.col("_at._id")), F.col("_at._th").alias("_th")))
+    chosen = rows.filter("_set IS NOT NULL").groupBy("_set").agg(F.min(F.struct("_id", "_th")).alias("_at"), F.min("_n").alias("_n"), F.min("_name").alias("_name"))
+    wanted = checkpointed(met.join(chosen, met["node"] == chosen["_name"]).select("root", F.col("_set").alias("node"), "_n", key(F.col("_at._id")), F.col("_at._th").alias("_th")))
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("_n") / CELL_SHINGLES)).cast("long")
-    sizes = checkpointed(wanted.groupBy("root").agg(parts.alias("_parts")).filter("_parts > 1"))
+    sizes = checkpointed(wanted.groupBy("root").agg(F.min("node").alias("_head"), parts.alias("_parts")).filter("_parts > 1"))
     # Rows that repeat both id and text are made one before the shuffle, and what joins lies as it must; texts travel once.
     texts = docs.select(key(F.col(id_col)), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(text_col).alias("_text"))
     texts = texts.groupBy("_key", "_th").agg(F.first("_text").alias("_text"))
@@ -711,7 +743,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         final = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
         salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt")
-        marked = wanted.withColumn("_salt", F.xxhash64("node").bitwiseAND(F.lit(SALTS - 1))).join(sizes.select("root", "_parts", salts), ["root", "_salt"], "left")
+        marked = wanted.withColumn("_salt", F.xxhash64("node").bitwiseAND(F.lit(SALTS - 1))).join(sizes.select("root", "_head", "_parts", salts), ["root", "_salt"], "left")
+        marked = marked.withColumn("root", F.coalesce("_head", "root"))  # of a large group the digest of a set, its head
         groups = checkpointed(marked.join(texts, ["_key", "_th"]).select("root", "node", "_n", "_parts", "_text"))
         release(docs.sparkSession)
         large = groups.filter("_parts IS NOT NULL")
